@@ -11,7 +11,7 @@ from ..sources.ledger import Ledger
 from . import catalog as C
 
 SEARCH_LIMIT = 60          # fixed value: rows shown per search
-SORT_COLLATION = "UNICODE"  # locale-aware order for client sorts (T14)
+SORT_COLLATION = "id"  # Indonesian locale order for client sorts (T14)
 
 INDEX_COLUMNS = ["product_id", "name", "sku", "price", "unit", "category_name",
                  "photo_thumb_url", "photo_large_url"]

@@ -272,3 +272,21 @@ class Ledger:
         values = {k: getattr(self, k) for k in SCHEMAS if hasattr(self, k)}
         values.update(frames)
         return Ledger(spark=self.spark, source=self.source, **values)
+
+
+def map_link_opens(events: DataFrame) -> DataFrame:
+    """Link-open log derived from ``events``: each event opens its user's link.
+
+    ``view`` adds a trailing slash, ``error`` a bad suffix, ``signup`` carries a
+    token cut to 12 characters (too short to resolve); others open the plain link.
+    """
+    tok = F.md5(F.col("user_id").cast("string"))
+    et = F.col("event_type")
+    path = (F.when(et == "view", F.concat(F.lit("/t/"), tok, F.lit("/")))
+            .when(et == "error", F.concat(F.lit("/t/"), tok, F.lit("/x")))
+            .when(et == "signup", F.concat(F.lit("/t/"), F.substring(tok, 1, 12)))
+            .otherwise(F.concat(F.lit("/t/"), tok)))
+    token = (F.when(et == "error", F.lit(None).cast("string"))
+             .when(et == "signup", F.substring(tok, 1, 12)).otherwise(tok))
+    return events.select(F.col("event_id").cast("bigint").alias("open_id"), path.alias("path"),
+                         token.alias("token"))
