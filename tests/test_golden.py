@@ -1,0 +1,137 @@
+"""Golden values of the reference's own tests (FIXTURES.md section 2)."""
+
+from pyspark.sql import functions as F
+
+from outletlens.operators import browse as B
+from outletlens.operators import catalog as C
+from outletlens.operators import orders as O
+from outletlens.sources.ledger import Ledger
+
+
+def _products(spark, rows):
+    return spark.createDataFrame(rows, "product_id bigint, name string, sku string, price double, unit string,"
+                                       " category_name string")
+
+
+def _display(spark, rows, qty=None, mode=None):
+    df = _products(spark, rows)
+    if qty is not None:
+        df = df.withColumn("qty", F.lit(qty)).withColumn("mode", F.lit(mode))
+    return O.display_rows(df).collect()
+
+
+def test_dozen_price_45000(spark):
+    r = _display(spark, [(1, "Lipstik Matte Merah Bata", "LP-001", 45000.0, "pcs", "Lipstik")], 1, "lusin")[0]
+    assert r.recap == "1 lusin = 12 pcs · Rp 540.000"
+    assert r.price_tag == "Rp 540.000 / lusin"
+    assert r.second_line == "Rp 45.000 / pcs"
+
+
+def test_unit_lusin_not_multiplied_again(spark):
+    r = _display(spark, [(2, "Paket Lipstik Nude (isi 12)", "LP-002", 470000.0, "lusin", "Lipstik")], 1, "lusin")[0]
+    assert r.price_tag == "Rp 470.000 / lusin"
+    assert r.second_line is None          # no dozen toggle for a non-pcs unit
+    assert r.recap == "1 lusin · Rp 470.000"
+
+
+def test_round_up_odd_price(spark):
+    row = [(3, "Beautica Nail Polish 24 Colors ( Mahkota )", "NP-1", 4570.0, "pcs", "Kuku")]
+    assert _display(spark, row)[0].second_line == "Rp 54.900 / lusin"
+    r = _display(spark, row, 12, "base")[0]
+    assert r.recap == "12 pcs · Rp 54.900"
+
+
+def test_unpriced_line(spark):
+    r = _display(spark, [(4, "Produk Belum Ada Harga", "NOPRICE-1", 0.0, "pcs", "Bedak")], 2, "base")[0]
+    assert r.price_tag == "Harga dikonfirmasi"
+    assert r.recap == "2 pcs · harga dikonfirmasi"
+    assert "Rp 0" not in (r.price_tag + (r.second_line or "") + r.recap)
+
+
+def _order(spark, cart_rows, products):
+    cart = spark.createDataFrame(cart_rows, "outlet_id bigint, product_id bigint, qty bigint, unit string,"
+                                            " position bigint")
+    lines = O.order_lines(cart, products)
+    profile = spark.createDataFrame([(7, "Toko Ani", "628123456789")],
+                                    "outlet_id bigint, store_name string, whatsapp_number string")
+    return lines, O.order_message(lines, profile).collect()[0]
+
+
+def test_order_message(spark):
+    prods = _products(spark, [(1, "Lipstik Matte Merah Bata", "LP-001", 45000.0, "pcs", "Lipstik"),
+                              (2, "Paket Lipstik Nude (isi 12)", "LP-002", 470000.0, "lusin", "Lipstik"),
+                              (3, "Produk Belum Ada Harga", "NOPRICE-1", 0.0, "pcs", "Bedak")])
+    lines, m = _order(spark, [(7, 1, 1, "lusin", 10), (7, 2, 1, "base", 11), (7, 3, 2, "base", 12)], prods)
+    assert "Pesanan Toko Ani" in m.message
+    assert "- Lipstik Matte Merah Bata: 1 lusin" in m.message
+    assert "- Paket Lipstik Nude (isi 12): 1 lusin" in m.message
+    assert "- Produk Belum Ada Harga: 2 pcs (harga dikonfirmasi)" in m.message
+    assert "Total estimasi: Rp 1.010.000" in m.message
+    assert "(belum termasuk 1 barang yang harganya dikonfirmasi dulu)" in m.message
+    assert m.message_url.startswith("https://wa.me/628123456789?text=")
+    s = O.order_summary(lines).collect()[0]
+    assert (s.total, s.line_count, s.needs_price_count) == (1010000.0, 3, 1)
+
+
+def test_readme_total(spark):
+    prods = _products(spark, [(1, "Bedak", "BD-1", 25000.0, "pcs", "Bedak"),
+                              (2, "Paket", "LP-2", 470000.0, "lusin", "Lipstik")])
+    _, m = _order(spark, [(7, 1, 1, "lusin", 1), (7, 2, 1, "base", 2)], prods)
+    assert m.message.endswith("Total estimasi: Rp 770.000")
+
+
+def test_history_note(spark):
+    df = spark.createDataFrame([(1, "Bedak Padat Aurora Seri 1 12gr", 25000.0, "pcs", "Bedak", 3, "2026-08-14")],
+                               "product_id bigint, name string, price double, unit string, category_name string,"
+                               " order_count bigint, last_ordered string")
+    df = df.withColumn("last_ordered", F.to_date("last_ordered"))
+    assert O.display_rows(df, qty=None, mode=None).collect()[0].note == "3× · 14 Agu 2026"
+
+
+def _catalogue(spark, n):
+    return spark.createDataFrame(
+        [(i, f"Produk {i:04d}" if i != 7 else "Masker Wajah Timun", f"SKU-{i}", 10000.0, "pcs", "Umum")
+         for i in range(1, n + 1)],
+        "product_id bigint, name string, sku string, price double, unit string, category_name string")
+
+
+def test_search_masker_and_none(spark):
+    idx = B.normalize_products(_catalogue(spark, 24))
+    res = B.search(idx, ["masker", "zzzz"]).collect()
+    assert [(r.keyword, r.name, r.match_count) for r in res] == [("masker", "Masker Wajah Timun", 1)]
+
+
+def test_paging_1574_rows(spark):
+    listing = _catalogue(spark, 1574)
+    pos = C.global_rank(listing, [F.col("name"), F.col("product_id")], "pos")
+    p0 = C.page(pos, 1000, 0).count()
+    p1 = C.page(pos, 1000, 1000).count()
+    p2 = C.page(pos, 1000, 2000).count()
+    assert (p0, p1, p2) == (1000, 574, 0)
+    assert C.drain(pos).count() == 1574
+    paged = C.with_page_numbers(pos, 1000).groupBy("page_no").count().orderBy("page_no").collect()
+    assert [(r.page_no, r["count"]) for r in paged] == [(0, 1000), (1, 574)]
+    last = B.search(B.normalize_products(listing), ["Produk 1574"]).collect()
+    assert len(last) == 1
+
+
+def test_unknown_token_zero_rows(ledger_small):
+    r = C.negative_token_check(ledger_small, "tokenngawur123456789").collect()[0]
+    assert (r.outlet_rows, r.history_rows, r.product_rows, r.suggestion_rows) == (0, 0, 0, 0)
+    # a short token never resolves, even when it is a prefix of a real one
+    assert C.resolve_outlets(ledger_small, "abc").count() == 0
+
+
+def test_known_token_reads(ledger_small):
+    tok = ledger_small.customers.filter(F.col("id") == 1).first().catalog_token
+    prof = C.outlet_profile(ledger_small, tok).collect()
+    assert len(prof) == 1 and prof[0].store_name == "Toko 1"
+    assert prof[0].distributor_name == "NORTHWIND SUPPLY"
+    assert C.product_listing(ledger_small, tok).count() == 156
+    assert C.suggestions(ledger_small, tok).count() == 12
+
+
+def test_empty_ledger(spark):
+    L = Ledger.from_frames(spark)
+    assert C.suggestions(L).count() == 0
+    assert C.purchase_history(L).count() == 0
