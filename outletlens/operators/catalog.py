@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions.text import store_display_name
 from ..plans.ranking import global_rank, group_position
+from ..session import materialize
 from ..sources.ledger import Ledger
 
 # Fixed values of the reference's read functions.
@@ -31,9 +32,6 @@ MAX_SUGGESTIONS = 50
 DRAIN_GUARD_ROWS = 50000
 LINK_PATTERN = r"^/t/([A-Za-z0-9_-]+)/?\z"   # '\z': Java '$' also matches before a final newline (T9)
 
-# Ranks at or below this are joined by broadcast: popular products are the hot
-# join keys, and a rank filter bounds the broadcast side by construction.
-HOT_RANKS = 4096
 # Suggestion slots are generated in blocks of this size so one outlet's slots
 # spread over many tasks.
 SLOT_BLOCK = 4096
@@ -144,6 +142,12 @@ def bought(ledger: Ledger) -> DataFrame:
     )
 
 
+def owned_pairs(ledger: Ledger) -> DataFrame:
+    """Distinct (customer_id, product_id) validly bought (no product filter, T12)."""
+    vp = valid_purchases(ledger).filter(F.col("customer_id").isNotNull() & F.col("product_id").isNotNull())
+    return vp.select("customer_id", "product_id").distinct()
+
+
 def catalog_products(ledger: Ledger, vis: Visibility = DEFAULT) -> DataFrame:
     """Sellable products with their category name (the product side of C4-C6)."""
     prods = ledger.products.filter(P.sellable_product(vis.require_stock, vis.require_price))
@@ -196,24 +200,12 @@ def ranked_popularity(ledger: Ledger, vis: Visibility = DEFAULT, pairs: DataFram
     A product shown to an outlet was never bought by it, so the reference's
     count of *other* outlets equals this global distinct-outlet count.
     """
-    pairs = bought(ledger) if pairs is None else pairs
+    pairs = owned_pairs(ledger) if pairs is None else pairs
     pop = pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("outlet_count"))
     prods = catalog_products(ledger, vis)
-    return global_rank(prods.join(pop, "product_id"), suggestion_order(), "rank")
-
-
-def _split_hot_join(left: DataFrame, ranked: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Inner join on ``key`` with ranked rows; ranks <= HOT_RANKS go by broadcast.
-
-    The hot side is bounded by its rank filter; only the cold remainder is
-    shuffled, and a cold key is never more popular than rank ``HOT_RANKS``.
-    """
-    hot = ranked.filter(F.col("rank") <= HOT_RANKS).select(key, *[c for c in cols if c != key])
-    cold = ranked.filter(F.col("rank") > HOT_RANKS).select(key, *[c for c in cols if c != key])
-    tagged = left.join(F.broadcast(hot.select(key).withColumn("_hot", F.lit(True))), key, "left")
-    hot_part = tagged.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot), key)
-    cold_part = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(cold, key)
-    return hot_part.unionByName(cold_part)
+    # Ranked rows are a subset of the products, so the product count bounds them.
+    return global_rank(prods.join(pop, "product_id"), suggestion_order(), "rank",
+                       size_bound=ledger.products.select("id"))
 
 
 def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGESTIONS,
@@ -227,13 +219,17 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
     """
     n = clamp(limit, DEFAULT_SUGGESTIONS, 1, MAX_SUGGESTIONS)
     ids = resolve_outlets(ledger, outlets)
-    pairs = bought(ledger).select("customer_id", "product_id")
+    # The narrow (outlet, product) pairs feed both the popularity rank and the
+    # owned side: written once so the ledger join runs once.
+    pairs = materialize(owned_pairs(ledger), "pairs")
     pop = ranked_popularity(ledger, vis, pairs)
 
     # Already bought, as ranks (trap T12: the owned side has no product filter;
     # unsellable owned products have no rank and cannot be suggested anyway).
     mine = pairs.join(ids.withColumnRenamed("outlet_id", "customer_id"), "customer_id", "left_semi")
-    owned = _split_hot_join(mine, pop, "product_id", ["product_id", "rank"]).select(
+    # Popular products are hot join keys here and below; AQE's skew-join split
+    # (or a runtime broadcast of the product-sized side) spreads them.
+    owned = mine.join(pop.select("product_id", "rank"), "product_id").select(
         F.col("customer_id").alias("outlet_id"), "rank")
     # Slot count: limit + every product the outlet bought (an upper bound of the
     # ranked ones it must skip).  Slots past the last rank find no product and
@@ -254,10 +250,7 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
     top = free.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
 
     attrs = vis.product_columns() + ["outlet_count"]
-    hot = pop.filter(F.col("rank") <= HOT_RANKS).select("rank", *attrs)
-    cold = pop.filter(F.col("rank") > HOT_RANKS).select("rank", *attrs)
-    res = (top.filter(F.col("rank") <= HOT_RANKS).join(F.broadcast(hot), "rank")
-           .unionByName(top.filter(F.col("rank") > HOT_RANKS).join(cold, "rank")))
+    res = top.join(pop.select("rank", *attrs), "rank")
     return res.select("outlet_id", F.col("pos").cast("bigint").alias("pos"), *attrs)
 
 
@@ -278,7 +271,8 @@ def product_listing(ledger: Ledger, token: str | None = None, vis: Visibility =
 
 def positioned_listing(ledger: Ledger, vis: Visibility = DEFAULT) -> DataFrame:
     """C6 with its 1-based global listing position (category NULLS LAST, name, id)."""
-    return global_rank(product_listing(ledger, vis=vis), listing_order(), "pos")
+    return global_rank(product_listing(ledger, vis=vis), listing_order(), "pos",
+                       size_bound=ledger.products.select("id"))
 
 
 def positioned_history(ledger: Ledger, outlets=None, vis: Visibility = DEFAULT) -> DataFrame:

@@ -1,11 +1,18 @@
-"""Distributed total-order ranking without a single-partition window.
+"""Total-order ranking and per-group positions, safe for any input size.
+
+Both functions first check the size that would land in one task: the whole
+input for ``global_rank``, the largest group for ``group_position``.  Within
+``SINGLE_TASK_ROWS`` a plain ``row_number`` window is used; over a total order
+it is deterministic, so nothing is materialised.  Beyond that bound nothing is
+ever gathered into one task:
 
 ``Window.orderBy(...)`` without ``partitionBy`` moves every row into one task.
-``global_rank`` instead range-partitions with a distributed sort, tags each row
+``global_rank`` then range-partitions with a distributed sort, tags each row
 with ``monotonically_increasing_id`` (partition index in the upper bits, row
-index inside the partition in the lower 33 bits), checkpoints the tagged rows
-so both uses read the same materialised data (and survive executor loss), and
-adds per-partition offsets from a table with one row per partition.
+index inside the partition in the lower 33 bits), writes the tagged rows once
+to the checkpoint folder so every use reads the same ids (and survives
+executor loss), and adds per-partition offsets from a table with one row per
+partition.
 
 ``group_position`` gives a 1-based position inside each group, computed as the
 global rank minus the group's first rank: no group is ever gathered into one
@@ -17,23 +24,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 
 
+# Rows one task may rank with a window: a bound checked before each use.
+SINGLE_TASK_ROWS = 1_000_000
+
+
 def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank",
-                checkpoint: bool = True) -> DataFrame:
+                checkpoint: bool = True, single_task_rows: int | None = None,
+                size_bound: DataFrame | None = None) -> DataFrame:
     """Add a dense 1-based ``rank_col`` by the (total) ``order``.
 
     The caller must make ``order`` total (end with a unique key), otherwise ties
-    are numbered arbitrarily.
+    are numbered arbitrarily.  ``size_bound`` is an optional cheaper frame with
+    at least as many rows as ``df`` (e.g. the dimension it was filtered from);
+    it is counted instead of ``df``.
     """
+    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    if limit > 0 and (df if size_bound is None else size_bound).count() <= limit:
+        return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    return _distributed_rank(df, order, rank_col, checkpoint)
+
+
+def _distributed_rank(df: DataFrame, order: list[Column], rank_col: str, checkpoint: bool) -> DataFrame:
     tagged = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        tagged = tagged.checkpoint(eager=True)
+        tagged = materialize(tagged, "ranked")
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK))
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
@@ -46,12 +66,18 @@ def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank",
 
 
 def group_position(df: DataFrame, group_cols: list[str], order: list[Column],
-                   pos_col: str = "pos") -> DataFrame:
+                   pos_col: str = "pos", single_task_rows: int | None = None) -> DataFrame:
     """1-based position of each row inside its group, by ``order`` (made total by caller).
 
     Group keys may be NULL; NULLs form one group (null-safe join back).
     """
-    ranked = global_rank(df, [F.col(c).asc_nulls_last() for c in group_cols] + order, "_grank")
+    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    if limit > 0:
+        largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+        if largest <= limit:
+            w = Window.partitionBy(*group_cols).orderBy(*order)
+            return df.withColumn(pos_col, F.row_number().over(w).cast("bigint"))
+    ranked = _distributed_rank(df, [F.col(c).asc_nulls_last() for c in group_cols] + order, "_grank", True)
     first = ranked.groupBy(*group_cols).agg(F.min("_grank").alias("_first"))
     first = first.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], "_first")
     cond = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols]

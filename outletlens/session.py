@@ -50,3 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the checkpoint folder and read it back.
+
+    This cuts lineage like ``checkpoint()`` but computes the input only once
+    (a reliable ``checkpoint()`` runs its input twice: once to count, once to
+    write).  Used for intermediates that are read more than once or whose
+    recomputation must not change (row ids).
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

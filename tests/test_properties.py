@@ -36,8 +36,9 @@ def test_rewrite_equals_literal_form(ledger_small):
 
 
 def test_cold_paths_match(ledger_small, monkeypatch):
-    """Tiny hot-rank and slot-block sizes force the shuffled branches."""
-    monkeypatch.setattr(C, "HOT_RANKS", 5)
+    """Distributed ranking (no single-task window) and tiny slot blocks."""
+    from outletlens.plans import ranking
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)
     monkeypatch.setattr(C, "SLOT_BLOCK", 3)
     got = sorted((r.outlet_id, r.pos, r.product_id) for r in C.suggestions(ledger_small).collect())
     want = sorted(tuple(r) for r in duck(SF0001).sql(
@@ -56,7 +57,9 @@ def test_limit_clamp(ledger_small):
     assert C.suggestions(ledger_small, limit=500).groupBy("outlet_id").count().agg(F.max("count")).first()[0] <= 50
 
 
-def test_pages_concatenate_to_whole(ledger_small):
+def test_pages_concatenate_to_whole(ledger_small, monkeypatch):
+    from outletlens.plans import ranking
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)   # distributed positions
     pos = C.positioned_history(ledger_small)
     whole = pos.count()
     pages = sum(C.page(pos, 7, o).count() for o in range(0, 60, 7))
