@@ -22,24 +22,29 @@ def cart_state(events: DataFrame) -> DataFrame:
     """Reduce a change log ``(outlet_id, seq, product_id, qty, unit)`` to the cart.
 
     A qty of 0 deletes the entry; a later add re-inserts it at the end, while
-    an update of a present entry keeps its place.  Result per live entry:
+    an update of a present entry keeps its place.  The mode is ``'lusin'`` or
+    ``'base'`` (any other value counts as base, as in the pricing rules).  Result per live entry:
     latest ``qty`` and ``unit`` (mode) and ``position`` = first seq after the
     last delete.  Two grouped aggregations (partial before each shuffle) and a
     join, no per-key window, so a hot (outlet, product) is never one task.
     """
     ev = events.filter(F.col("product_id").isNotNull() & F.col("outlet_id").isNotNull()).select(
-        "outlet_id", "product_id", "seq", "qty", "unit")
+        "outlet_id", "product_id", "seq", "qty",
+        # Mode is a two-valued enum: aggregate it as 0/1 so every aggregation
+        # buffer is fixed-width and Spark keeps a hash (not sort) aggregate.
+        (F.col("unit") == F.lit(PR.MODE_DOZEN)).cast("int").alias("_dozen"))
     last = ev.groupBy("outlet_id", "product_id").agg(
-        F.max_by(F.struct("qty", "unit"), F.col("seq")).alias("_last"),
+        F.max_by("qty", "seq").alias("qty"),
+        F.max_by("_dozen", "seq").alias("_dozen"),
         F.max(F.when(F.col("qty") == 0, F.col("seq"))).alias("_del"),
-    ).filter(F.col("_last.qty") != 0)
-    live = ev.filter(F.col("qty") != 0).join(last.select("outlet_id", "product_id", "_del"),
-                                            ["outlet_id", "product_id"])
+    ).filter(F.col("qty") != 0)
+    live = ev.filter(F.col("qty") != 0).select("outlet_id", "product_id", "seq").join(
+        last.select("outlet_id", "product_id", "_del"), ["outlet_id", "product_id"])
     first = live.filter(F.col("_del").isNull() | (F.col("seq") > F.col("_del"))).groupBy(
         "outlet_id", "product_id").agg(F.min("seq").alias("position"))
+    mode = F.when(F.col("_dozen") == 1, F.lit(PR.MODE_DOZEN)).otherwise(F.lit(PR.MODE_BASE))
     return last.join(first, ["outlet_id", "product_id"]).select(
-        "outlet_id", "product_id", F.col("_last.qty").alias("qty"), F.col("_last.unit").alias("unit"),
-        "position")
+        "outlet_id", "product_id", "qty", mode.alias("unit"), "position")
 
 
 def order_lines(cart: DataFrame, index: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import browse as B
 from ..operators import catalog as C
 from ..operators import orders as O
 from ..operators import tokens as TK
-from ..sources.ledger import Ledger, map_link_opens
+from ..sources.ledger import Ledger, map_link_opens, read_driver_table
 
 # Fixed query parameters (mirrored in the oracle SQL).
 STORAGE_BASE_URL = "https://store.example.com"
@@ -34,7 +34,7 @@ def _ledger(spark: SparkSession, sf_dir: str) -> Ledger:
 
 
 def _opens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return map_link_opens(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
+    return map_link_opens(read_driver_table(spark, sf_dir, "events"))
 
 
 def _index(L: Ledger) -> DataFrame:
@@ -138,7 +138,7 @@ def q_cart_state(spark, sf_dir):
 
 def q_clean_quantity(spark, sf_dir):
     from ..functions.pricing import clean_quantity
-    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    ev = read_driver_table(spark, sf_dir, "events")
     raw = F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" pcs"))
     return ev.select(F.col("event_id").alias("seq"), raw.alias("raw_text")).select(
         "seq", "raw_text", clean_quantity("raw_text").alias("qty"))

@@ -17,8 +17,6 @@ All frames are lazy; no operator materialises a table unless it says so.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -209,69 +207,90 @@ def map_cart_events(events: DataFrame) -> DataFrame:
     )
 
 
-@dataclass
+# Column types of the driver tables (TESTDATA.md), declared so a
+# read needs no schema-inference job and prunes to the columns used.
+DRIVER_SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz,"
+              " o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double",
+    "part": "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = DRIVER_SCHEMAS.get(name)
+    return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+
+
 class Ledger:
-    spark: SparkSession
-    customers: DataFrame
-    invoices: DataFrame
-    invoice_items: DataFrame
-    products: DataFrame
-    categories: DataFrame
-    app_settings: DataFrame
-    cart_events: DataFrame
-    grants: DataFrame | None = None
-    source: str = field(default="")
+    """Lazily loaded ledger tables: a table is read on first use only."""
+
+    def __init__(self, spark: SparkSession, loaders: dict, source: str = ""):
+        self.spark = spark
+        self.source = source
+        self._loaders = dict(loaders)
+        self._frames: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        loaders = self.__dict__.get("_loaders", {})
+        if name not in loaders:
+            raise AttributeError(name)
+        frames = self.__dict__["_frames"]
+        if name not in frames:
+            frames[name] = loaders[name]()
+        return frames[name]
 
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Ledger":
         def read(name: str) -> DataFrame:
-            return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-        part = read("part")
-        return cls(
-            spark=spark,
-            customers=map_customers(read("customer")),
-            invoices=map_invoices(read("orders")),
-            invoice_items=map_invoice_items(read("lineitem")),
-            products=map_products(part),
-            categories=map_categories(part),
-            app_settings=settings_frame(spark),
-            cart_events=map_cart_events(read("events")),
-            grants=None,
-            source=sf_dir,
-        )
+            return read_driver_table(spark, sf_dir, name)
+
+        return cls(spark, {
+            "customers": lambda: map_customers(read("customer")),
+            "invoices": lambda: map_invoices(read("orders")),
+            "invoice_items": lambda: map_invoice_items(read("lineitem")),
+            "products": lambda: map_products(read("part")),
+            "categories": lambda: map_categories(read("part")),
+            "app_settings": lambda: settings_frame(spark),
+            "cart_events": lambda: map_cart_events(read("events")),
+            "grants": lambda: spark.createDataFrame([], GRANTS),
+        }, source=sf_dir)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, root: str) -> "Ledger":
         """Read ledger-schema parquet tables from ``<root>/<name>``; enforce schemas."""
-        frames = {}
-        for name, schema in SCHEMAS.items():
-            path = f"{root.rstrip('/')}/{name}"
-            try:
-                df = spark.read.parquet(path)
-            except Exception:  # noqa: BLE001 - an absent optional table is empty
-                if name in ("grants", "cart_events", "app_settings"):
+        def loader(name: str, schema: T.StructType):
+            def load() -> DataFrame:
+                path = f"{root.rstrip('/')}/{name}"
+                try:
+                    df = spark.read.parquet(path)
+                except Exception:  # noqa: BLE001 - an absent optional table is empty
+                    if name not in ("grants", "cart_events", "app_settings"):
+                        raise
                     df = spark.createDataFrame([], schema)
-                else:
-                    raise
-            frames[name] = conform(df, schema)
-        return cls(spark=spark, source=root, **frames)
+                return conform(df, schema)
+            return load
+
+        return cls(spark, {n: loader(n, sc) for n, sc in SCHEMAS.items()}, source=root)
 
     @classmethod
     def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> "Ledger":
         """Build from in-memory frames (tests); missing tables are empty."""
-        out = {}
-        for name, schema in SCHEMAS.items():
+        def loader(name: str, schema: T.StructType):
             df = frames.get(name)
-            if df is None:
-                df = spark.createDataFrame([], schema)
-            out[name] = conform(df, schema)
-        return cls(spark=spark, source="frames", **out)
+            return (lambda: conform(df, schema)) if df is not None else (
+                lambda: spark.createDataFrame([], schema))
+
+        return cls(spark, {n: loader(n, sc) for n, sc in SCHEMAS.items()}, source="frames")
 
     def replace(self, **frames: DataFrame) -> "Ledger":
-        values = {k: getattr(self, k) for k in SCHEMAS if hasattr(self, k)}
-        values.update(frames)
-        return Ledger(spark=self.spark, source=self.source, **values)
+        loaders = dict(self._loaders)
+        for name, df in frames.items():
+            loaders[name] = (lambda d=df: d)
+        return Ledger(self.spark, loaders, source=self.source)
 
 
 def map_link_opens(events: DataFrame) -> DataFrame:
