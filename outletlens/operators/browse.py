@@ -112,18 +112,20 @@ def category_picks(listing: DataFrame, cart: DataFrame) -> DataFrame:
 
 
 def category_items(listing_raw: DataFrame, category: str | None = None,
-                   storage_base_url: str | None = None) -> DataFrame:
+                   storage_base_url: str | None = None, group_bound: DataFrame | None = None) -> DataFrame:
     """Products of a category in listing order, with 1-based ``pos``.
 
-    ``listing_raw`` is the C6 output (raw category).  Positions are computed
-    with the distributed ranking, so a huge category is never one task.
+    ``listing_raw`` is the C6 output (raw category).  A category is ranked in
+    one task only below a checked size (``group_bound``: e.g. the product
+    table); beyond it the distributed ranking is used.
     """
     raw = listing_raw.withColumn("_raw_cat", F.col("category_name"))
     norm = normalize_products(raw, storage_base_url)
     if category is not None:
         norm = norm.filter(F.col("category_name") == F.lit(category))
     pos = group_position(norm, ["category_name"], [F.col("_raw_cat").asc_nulls_last(),
-                                                   F.col("name").asc_nulls_last(), F.col("product_id")])
+                                                   F.col("name").asc_nulls_last(), F.col("product_id")],
+                         group_bound=group_bound)
     return pos.drop("_raw_cat")
 
 

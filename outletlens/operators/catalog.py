@@ -277,7 +277,9 @@ def positioned_listing(ledger: Ledger, vis: Visibility = DEFAULT) -> DataFrame:
 
 def positioned_history(ledger: Ledger, outlets=None, vis: Visibility = DEFAULT) -> DataFrame:
     """C4 with its 1-based per-outlet position in the reference order."""
-    return group_position(purchase_history(ledger, outlets, vis), ["outlet_id"], history_order(), "pos")
+    # One outlet has at most one history row per product.
+    return group_position(purchase_history(ledger, outlets, vis), ["outlet_id"], history_order(), "pos",
+                          group_bound=ledger.products.select("id"))
 
 
 def page_bounds(limit=None, offset=None, default: int = DEFAULT_PAGE, hi: int = MAX_PAGE) -> tuple[int, int]:

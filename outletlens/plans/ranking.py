@@ -66,14 +66,21 @@ def _distributed_rank(df: DataFrame, order: list[Column], rank_col: str, checkpo
 
 
 def group_position(df: DataFrame, group_cols: list[str], order: list[Column],
-                   pos_col: str = "pos", single_task_rows: int | None = None) -> DataFrame:
+                   pos_col: str = "pos", single_task_rows: int | None = None,
+                   group_bound: DataFrame | None = None) -> DataFrame:
     """1-based position of each row inside its group, by ``order`` (made total by caller).
 
     Group keys may be NULL; NULLs form one group (null-safe join back).
+    ``group_bound`` is an optional frame whose row count bounds the largest
+    group (e.g. the product table for one outlet's history); it is counted
+    instead of grouping ``df``.
     """
     limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
     if limit > 0:
-        largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+        if group_bound is not None:
+            largest = group_bound.count()
+        else:
+            largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
         if largest <= limit:
             w = Window.partitionBy(*group_cols).orderBy(*order)
             return df.withColumn(pos_col, F.row_number().over(w).cast("bigint"))
