@@ -29,20 +29,28 @@ def missing_price_summary(products: DataFrame) -> DataFrame:
 def missing_price_list(ledger: Ledger) -> DataFrame:
     """Active unpriced products with non-cancelled invoice count and last sale.
 
-    Grouped by (sku, name, category, unit), not by id (T13).  The status test
-    sits in the join condition, so never-sold products stay with count 0.
+    Grouped by (sku, name, category, unit), not by id (T13).  Sales are found
+    with inner joins (items -> unpriced products -> non-cancelled invoices) and
+    reduced to distinct (group, invoice) before the count, so the fact table is
+    never the preserved side of an outer join; never-sold groups come back from
+    a left join of the small per-group result and count 0.
     """
-    prods = ledger.products.filter(_active() & P.unpriced())
+    keys = ["sku", "name", "category_name", "unit"]
     cats = ledger.categories.select(F.col("id").alias("_cat_id"), F.col("name").alias("category_name"))
-    items = ledger.invoice_items.select(F.col("invoice_id"), F.col("product_id").alias("_pid"))
-    inv = ledger.invoices.select(F.col("id").alias("_inv_id"), "invoice_date", "status")
-    j = (prods.join(cats, prods["category_id"] == cats["_cat_id"], "left")
-         .join(items, F.col("id") == F.col("_pid"), "left")
-         .join(inv, (F.col("invoice_id") == F.col("_inv_id")) & (F.col("status") != F.lit("cancelled")), "left"))
-    return j.groupBy("sku", "name", "category_name", "unit").agg(
-        F.count_distinct("_inv_id").alias("invoice_count"),
-        F.max("invoice_date").alias("last_sold"),
-    )
+    raw = ledger.products.filter(_active() & P.unpriced())
+    prods = raw.join(cats, raw["category_id"] == cats["_cat_id"], "left").select(
+        F.col("id").alias("product_id"), *keys)
+    items = ledger.invoice_items.select("invoice_id", "product_id")
+    inv = ledger.invoices.filter(F.col("status") != F.lit("cancelled")).select(
+        F.col("id").alias("invoice_id"), "invoice_date")
+    sold = (items.join(prods, "product_id").join(inv, "invoice_id")
+            .groupBy(*keys).agg(F.count_distinct("invoice_id").alias("invoice_count"),
+                                F.max("invoice_date").alias("last_sold")))
+    groups = prods.select(*keys).distinct()
+    s = sold.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "invoice_count", "last_sold")
+    j = groups.join(s, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], "left")
+    return j.select(*keys, F.coalesce(F.col("invoice_count"), F.lit(0)).cast("bigint").alias("invoice_count"),
+                    "last_sold")
 
 
 def stock_split(products: DataFrame) -> DataFrame:

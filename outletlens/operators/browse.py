@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import category_or_default, clean_keyword, photo_url
 from ..plans.ranking import group_position
+from ..session import materialize
 from ..sources.ledger import Ledger
 from . import catalog as C
 
@@ -129,17 +130,27 @@ def category_items(listing_raw: DataFrame, category: str | None = None,
     return pos.drop("_raw_cat")
 
 
-def landing_summary(ledger: Ledger, outlets=None, vis: C.Visibility = C.DEFAULT) -> DataFrame:
-    """Per outlet the three list sizes and the list opened first."""
+def landing_summary(ledger: Ledger, outlets=None, vis: C.Visibility = C.DEFAULT,
+                    limit: int | None = C.DEFAULT_SUGGESTIONS) -> DataFrame:
+    """Per outlet the three list sizes and the list opened first.
+
+    No suggestion list is built: an outlet's candidates are the ranked
+    (sellable, bought-by-someone) products minus those it bought itself, and
+    the latter are exactly its history rows, so
+    ``suggestion_count = least(limit, ranked_products - history_count)``.
+    """
+    n = C.clamp(limit, C.DEFAULT_SUGGESTIONS, 1, C.MAX_SUGGESTIONS)
     ids = C.resolve_outlets(ledger, outlets)
-    h = C.purchase_history(ledger, outlets, vis).groupBy("outlet_id").agg(F.count(F.lit(1)).alias("history_count"))
-    s = C.suggestions(ledger, outlets, vis=vis).groupBy("outlet_id").agg(
-        F.count(F.lit(1)).alias("suggestion_count"))
+    sellable = C.catalog_products(ledger, vis).select("product_id")
+    pairs = materialize(C.owned_pairs(ledger).join(sellable, "product_id", "left_semi"), "sellable_pairs")
+    ranked = pairs.select(F.count_distinct("product_id")).scalar()
+    h = (pairs.join(ids.withColumnRenamed("outlet_id", "customer_id"), "customer_id", "left_semi")
+         .groupBy(F.col("customer_id").alias("outlet_id")).agg(F.count(F.lit(1)).alias("history_count")))
     n_products = C.product_listing(ledger, vis=vis).select(F.count(F.lit(1))).scalar()
-    out = ids.join(h, "outlet_id", "left").join(s, "outlet_id", "left").select(
-        "outlet_id",
-        F.coalesce(F.col("history_count"), F.lit(0)).cast("bigint").alias("history_count"),
-        F.coalesce(F.col("suggestion_count"), F.lit(0)).cast("bigint").alias("suggestion_count"),
+    hc = F.coalesce(F.col("history_count"), F.lit(0)).cast("bigint")
+    out = ids.join(h, "outlet_id", "left").select(
+        "outlet_id", hc.alias("history_count"),
+        F.least(F.lit(n).cast("bigint"), (ranked - hc)).cast("bigint").alias("suggestion_count"),
         n_products.cast("bigint").alias("product_count"),
     )
     return out.withColumn(
