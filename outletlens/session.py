@@ -66,4 +66,5 @@ def materialize(df, name: str):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    # The schema is known: reading it back needs no footer-inference job.
+    return spark.read.schema(df.schema).parquet(path)
