@@ -43,22 +43,31 @@ def issue_tokens(ledger: Ledger, out_path: str) -> tuple[DataFrame, int]:
     return conform(back, CUSTOMERS), issued
 
 
-def rotate_tokens(ledger: Ledger, outlet_ids: DataFrame, out_path: str) -> DataFrame:
-    """New tokens for the given outlets; their old tokens stop resolving.
+def with_rotated_tokens(customers: DataFrame, outlet_ids: DataFrame) -> DataFrame:
+    """C24 (plan): a new token for each given outlet, others unchanged.
 
-    Returns (outlet_id, catalog_token) of the rotated outlets, read back from
-    the written snapshot.
+    Adds ``token_rotated`` and keeps the previous token as ``previous_token``.
     """
     ids = outlet_ids.select(F.col("outlet_id").cast("bigint").alias("_rid")).dropDuplicates()
-    c = ledger.customers.join(ids, F.col("id") == F.col("_rid"), "left")
+    c = customers.join(ids, F.col("id") == F.col("_rid"), "left")
     hit = F.col("_rid").isNotNull()
-    snap = c.select(
-        *[F.col(x) for x in ledger.customers.columns if x not in ("catalog_token", "catalog_token_created_at")],
+    return c.select(
+        *[F.col(x) for x in customers.columns if x not in ("catalog_token", "catalog_token_created_at")],
         F.when(hit, new_token()).otherwise(F.col("catalog_token")).alias("catalog_token"),
         F.when(hit, F.current_timestamp()).otherwise(F.col("catalog_token_created_at"))
         .alias("catalog_token_created_at"),
         hit.alias("token_rotated"),
+        F.col("catalog_token").alias("previous_token"),
     )
+
+
+def rotate_tokens(ledger: Ledger, outlet_ids: DataFrame, out_path: str) -> DataFrame:
+    """New tokens for the given outlets; their old tokens stop resolving.
+
+    The snapshot is written to ``out_path`` (never the path being read) and
+    read back; returns (outlet_id, catalog_token) of the rotated outlets.
+    """
+    snap = with_rotated_tokens(ledger.customers, outlet_ids).drop("previous_token")
     snap.write.mode("overwrite").parquet(out_path)
     back = ledger.spark.read.parquet(out_path)
     return back.filter(F.col("token_rotated")).select(F.col("id").alias("outlet_id"), "catalog_token")

@@ -85,6 +85,10 @@ def q_history_pages(spark, sf_dir):
     return C.with_page_numbers(C.positioned_history(L), HISTORY_PAGE_SIZE)
 
 
+def q_history_drain(spark, sf_dir):
+    return C.drain(C.positioned_history(_ledger(spark, sf_dir)))
+
+
 def q_suggestions_priced(spark, sf_dir):
     return C.suggestions(_ledger(spark, sf_dir), vis=C.Visibility(require_price=True))
 
@@ -186,6 +190,17 @@ def q_issue_tokens(spark, sf_dir):
                        F.col("catalog_token").rlike("^[0-9a-f]{32}$").alias("token_is_hex"))
 
 
+def q_rotate_tokens(spark, sf_dir):
+    """C24 over a data-derived set: outlets whose link was opened through a malformed path."""
+    L = _ledger(spark, sf_dir)
+    ev = read_driver_table(spark, sf_dir, "events")
+    leaked = ev.filter(F.col("event_type") == "error").select(F.col("user_id").alias("outlet_id"))
+    snap = TK.with_rotated_tokens(L.customers, leaked)
+    return snap.select(
+        "id", "token_rotated", F.length("catalog_token").cast("bigint").alias("token_length"),
+        F.coalesce(F.col("catalog_token") == F.col("previous_token"), F.lit(False)).alias("keeps_old_token"))
+
+
 def q_token_uniqueness_check(spark, sf_dir):
     return TK.token_uniqueness_check(_ledger(spark, sf_dir).customers)
 
@@ -222,7 +237,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "purchase_history": q_purchase_history,        # C4
     "suggestions": q_suggestions,                  # C5
     "product_listing": q_product_listing,          # C6
-    "history_pages": q_history_pages,              # C7 (+ C8 drain = un-paged)
+    "history_pages": q_history_pages,              # C7
+    "history_drain": q_history_drain,              # C8
     "suggestions_priced": q_suggestions_priced,    # C9
     "listing_any_stock": q_listing_any_stock,      # C10
     "normalized_listing": q_normalized_listing,    # C11
@@ -239,6 +255,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "landing_summary": q_landing_summary,          # C21
     "review_list": q_review_list,                  # C22
     "issue_tokens": q_issue_tokens,                # C23
+    "rotate_tokens": q_rotate_tokens,              # C24
     "token_uniqueness_check": q_token_uniqueness_check,  # C25
     "token_coverage": q_token_coverage,            # C26
     "link_list": q_link_list,                      # C27
