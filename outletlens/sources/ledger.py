@@ -17,7 +17,7 @@ All frames are lazy; no operator materialises a table unless it says so.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,93 +118,97 @@ def settings_frame(spark: SparkSession, rows=SETTINGS_ROWS) -> DataFrame:
 
 # ---------------------------------------------------------------------------
 # Driver-table mapping (FIXTURES.md section 3).  CASE branches in written order.
+# Stated as SQL expressions: each table's projection is parsed once on the JVM
+# side instead of being assembled from hundreds of client-side column calls.
 # ---------------------------------------------------------------------------
-def _mod(c: Column, m: int) -> Column:
-    return c % F.lit(m)
+CUSTOMER_RULES = [
+    "cast(c_custkey AS bigint) AS id",
+    "c_name AS name",
+    "CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN NULL"
+    " ELSE concat('Toko ', cast(c_custkey AS string)) END AS store_name",
+    "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE md5(cast(c_custkey AS string)) END AS catalog_token",
+    "cast(NULL AS timestamp) AS catalog_token_created_at",
+]
+INVOICE_RULES = [
+    "cast(o_orderkey AS bigint) AS id",
+    "cast(o_custkey AS bigint) AS customer_id",
+    "cast(o_orderdate AS date) AS invoice_date",
+    "CASE WHEN o_orderstatus = 'P' THEN 'cancelled' WHEN o_orderstatus = 'F' THEN 'paid'"
+    " ELSE 'unpaid' END AS status",
+    "CASE WHEN o_orderpriority = '1-URGENT' THEN 'rejected' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL"
+    " ELSE 'approved' END AS verification_status",
+]
+INVOICE_ITEM_RULES = [
+    "cast(l_orderkey AS bigint) AS invoice_id",
+    "CASE WHEN l_linenumber = 7 AND l_partkey % 10 = 0 THEN NULL ELSE cast(l_partkey AS bigint) END AS product_id",
+    "cast(l_quantity AS bigint) AS quantity",
+]
+PRODUCT_RULES = [
+    "cast(p_partkey AS bigint) AS id",
+    "p_name AS name",
+    "concat('SKU-', lpad(cast(p_partkey AS string), 6, '0')) AS sku",
+    "CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN cast(0.0 AS double)"
+    " ELSE cast(p_retailprice AS double) END AS price",
+    "CASE WHEN p_partkey % 6 = 0 THEN 'lusin' WHEN p_partkey % 6 = 1 THEN 'box' WHEN p_partkey % 6 = 2 THEN ''"
+    " WHEN p_partkey % 6 = 3 THEN NULL ELSE 'pcs' END AS unit",
+    "CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_type END AS category_id",
+    "CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE p_partkey % 13 <> 0 END AS is_active",
+    "CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE cast(p_size - 3 AS bigint) END AS stock_quantity",
+    "CASE WHEN p_partkey % 3 = 0 THEN concat(cast(p_partkey AS string), '/1780000000-thumb.webp') END"
+    " AS photo_thumb_path",
+    "CASE WHEN p_partkey % 3 = 0 THEN concat(cast(p_partkey AS string), '/1780000000-large.webp') END"
+    " AS photo_large_path",
+]
+CATEGORY_RULES = ["id", "concat('Cat ', id) AS name"]
+CART_EVENT_RULES = [
+    "cast(event_id AS bigint) AS seq",
+    "cast(ts AS timestamp) AS ts",
+    "cast(user_id AS bigint) AS outlet_id",
+    "cast(get_json_object(props, '$.k') AS bigint) AS product_id",
+    "CASE WHEN event_type = 'error' THEN cast(0 AS bigint) ELSE cast(floor(value) AS bigint) % 13 END AS qty",
+    "CASE WHEN event_type = 'click' THEN 'lusin' ELSE 'base' END AS unit",
+]
+# Derived link-open log: each event opens its user's link; ``view`` adds a
+# trailing slash, ``error`` a bad suffix, ``signup`` a token cut to 12
+# characters (too short to resolve); others open the plain link.
+LINK_OPEN_RULES = [
+    "cast(event_id AS bigint) AS open_id",
+    "CASE WHEN event_type = 'view' THEN concat('/t/', md5(cast(user_id AS string)), '/')"
+    " WHEN event_type = 'error' THEN concat('/t/', md5(cast(user_id AS string)), '/x')"
+    " WHEN event_type = 'signup' THEN concat('/t/', substr(md5(cast(user_id AS string)), 1, 12))"
+    " ELSE concat('/t/', md5(cast(user_id AS string))) END AS path",
+    "CASE WHEN event_type = 'error' THEN NULL"
+    " WHEN event_type = 'signup' THEN substr(md5(cast(user_id AS string)), 1, 12)"
+    " ELSE md5(cast(user_id AS string)) END AS token",
+]
 
 
 def map_customers(customer: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    store = (F.when(_mod(k, 5) == 0, F.lit(""))
-             .when(_mod(k, 7) == 0, F.lit(None).cast("string"))
-             .otherwise(F.concat(F.lit("Toko "), k.cast("string"))))
-    token = F.when(_mod(k, 11) == 0, F.lit(None).cast("string")).otherwise(F.md5(k.cast("string")))
-    return customer.select(
-        k.cast("bigint").alias("id"),
-        F.col("c_name").alias("name"),
-        store.alias("store_name"),
-        token.alias("catalog_token"),
-        F.lit(None).cast("timestamp").alias("catalog_token_created_at"),
-    )
+    return customer.selectExpr(*CUSTOMER_RULES)
 
 
 def map_invoices(orders: DataFrame) -> DataFrame:
-    status = (F.when(F.col("o_orderstatus") == "P", F.lit("cancelled"))
-              .when(F.col("o_orderstatus") == "F", F.lit("paid"))
-              .otherwise(F.lit("unpaid")))
-    verification = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("rejected"))
-                    .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit(None).cast("string"))
-                    .otherwise(F.lit("approved")))
-    return orders.select(
-        F.col("o_orderkey").cast("bigint").alias("id"),
-        F.col("o_custkey").cast("bigint").alias("customer_id"),
-        F.col("o_orderdate").cast("date").alias("invoice_date"),
-        status.alias("status"),
-        verification.alias("verification_status"),
-    )
+    return orders.selectExpr(*INVOICE_RULES)
 
 
 def map_invoice_items(lineitem: DataFrame) -> DataFrame:
-    pid = F.when((F.col("l_linenumber") == 7) & (_mod(F.col("l_partkey"), 10) == 0),
-                 F.lit(None).cast("bigint")).otherwise(F.col("l_partkey").cast("bigint"))
-    return lineitem.select(
-        F.col("l_orderkey").cast("bigint").alias("invoice_id"),
-        pid.alias("product_id"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-    )
+    return lineitem.selectExpr(*INVOICE_ITEM_RULES)
 
 
 def map_categories(part: DataFrame) -> DataFrame:
-    return (part.select(F.col("p_type").alias("id")).distinct()
-            .select("id", F.concat(F.lit("Cat "), F.col("id")).alias("name")))
+    return part.selectExpr("p_type AS id").distinct().selectExpr(*CATEGORY_RULES)
 
 
 def map_products(part: DataFrame) -> DataFrame:
-    k = F.col("p_partkey")
-    price = (F.when(_mod(k, 23) == 0, F.lit(None).cast("double"))
-             .when(_mod(k, 17) == 0, F.lit(0.0).cast("double"))
-             .otherwise(F.col("p_retailprice").cast("double")))
-    m6 = _mod(k, 6)
-    unit = (F.when(m6 == 0, F.lit("lusin")).when(m6 == 1, F.lit("box")).when(m6 == 2, F.lit(""))
-            .when(m6 == 3, F.lit(None).cast("string")).otherwise(F.lit("pcs")))
-    active = F.when(_mod(k, 29) == 0, F.lit(None).cast("boolean")).otherwise(_mod(k, 13) != 0)
-    stock = F.when(_mod(k, 31) == 0, F.lit(None).cast("bigint")).otherwise((F.col("p_size") - 3).cast("bigint"))
-    has_photo = _mod(k, 3) == 0
-    return part.select(
-        k.cast("bigint").alias("id"),
-        F.col("p_name").alias("name"),
-        F.concat(F.lit("SKU-"), F.lpad(k.cast("string"), 6, "0")).alias("sku"),
-        price.alias("price"),
-        unit.alias("unit"),
-        F.when(_mod(k, 19) == 0, F.lit(None).cast("string")).otherwise(F.col("p_type")).alias("category_id"),
-        active.alias("is_active"),
-        stock.alias("stock_quantity"),
-        F.when(has_photo, F.concat(k.cast("string"), F.lit("/1780000000-thumb.webp"))).alias("photo_thumb_path"),
-        F.when(has_photo, F.concat(k.cast("string"), F.lit("/1780000000-large.webp"))).alias("photo_large_path"),
-    )
+    return part.selectExpr(*PRODUCT_RULES)
 
 
 def map_cart_events(events: DataFrame) -> DataFrame:
-    qty = (F.when(F.col("event_type") == "error", F.lit(0).cast("bigint"))
-           .otherwise(F.floor(F.col("value")).cast("bigint") % F.lit(13)))
-    return events.select(
-        F.col("event_id").cast("bigint").alias("seq"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("user_id").cast("bigint").alias("outlet_id"),
-        F.get_json_object(F.col("props"), "$.k").cast("bigint").alias("product_id"),
-        qty.alias("qty"),
-        F.when(F.col("event_type") == "click", F.lit("lusin")).otherwise(F.lit("base")).alias("unit"),
-    )
+    return events.selectExpr(*CART_EVENT_RULES)
+
+
+def map_link_opens(events: DataFrame) -> DataFrame:
+    return events.selectExpr(*LINK_OPEN_RULES)
 
 
 # Column types of the driver tables (TESTDATA.md), declared so a
@@ -292,20 +296,3 @@ class Ledger:
             loaders[name] = (lambda d=df: d)
         return Ledger(self.spark, loaders, source=self.source)
 
-
-def map_link_opens(events: DataFrame) -> DataFrame:
-    """Link-open log derived from ``events``: each event opens its user's link.
-
-    ``view`` adds a trailing slash, ``error`` a bad suffix, ``signup`` carries a
-    token cut to 12 characters (too short to resolve); others open the plain link.
-    """
-    tok = F.md5(F.col("user_id").cast("string"))
-    et = F.col("event_type")
-    path = (F.when(et == "view", F.concat(F.lit("/t/"), tok, F.lit("/")))
-            .when(et == "error", F.concat(F.lit("/t/"), tok, F.lit("/x")))
-            .when(et == "signup", F.concat(F.lit("/t/"), F.substring(tok, 1, 12)))
-            .otherwise(F.concat(F.lit("/t/"), tok)))
-    token = (F.when(et == "error", F.lit(None).cast("string"))
-             .when(et == "signup", F.substring(tok, 1, 12)).otherwise(tok))
-    return events.select(F.col("event_id").cast("bigint").alias("open_id"), path.alias("path"),
-                         token.alias("token"))
