@@ -23,3 +23,12 @@ def test_entry_runs(spark):
 def test_query_matches_oracle(spark, name):
     ok, msg = compare(spark, SF0001, name, queries()[name], oracle_sql()[name])
     assert ok, msg
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_no_cross_join_in_plan(spark, name):
+    plan = queries()[name](spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+    assert not [op for op in FORBIDDEN if op in plan], plan
