@@ -72,6 +72,12 @@ def q_purchase_history(spark, sf_dir):
     return C.purchase_history(_ledger(spark, sf_dir))
 
 
+def q_purchase_history_all_customers(spark, sf_dir):
+    """C4 for every customer, token or not (the admin form; FIXTURES.md's count)."""
+    L = _ledger(spark, sf_dir)
+    return C.purchase_history(L, outlets=L.customers.select(F.col("id").alias("outlet_id")))
+
+
 def q_suggestions(spark, sf_dir):
     return C.suggestions(_ledger(spark, sf_dir))
 
@@ -235,6 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resolve_links": q_resolve_links,              # C2
     "outlet_profile": q_outlet_profile,            # C3
     "purchase_history": q_purchase_history,        # C4
+    "purchase_history_all_customers": q_purchase_history_all_customers,  # C4, admin form
     "suggestions": q_suggestions,                  # C5
     "product_listing": q_product_listing,          # C6
     "history_pages": q_history_pages,              # C7
