@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import store_display_name
 from ..sources.ledger import CUSTOMERS, Ledger, conform
+from ..sources.sinks import write_snapshot
 
 LINK_PREFIX = "/t/"
 LINK_LIST_SIZE = 20
@@ -36,9 +37,7 @@ def with_issued_tokens(customers: DataFrame) -> DataFrame:
 
 def issue_tokens(ledger: Ledger, out_path: str) -> tuple[DataFrame, int]:
     """Write the new customers snapshot to ``out_path``; return it and the count issued."""
-    snap = with_issued_tokens(ledger.customers)
-    snap.write.mode("overwrite").parquet(out_path)
-    back = ledger.spark.read.parquet(out_path)
+    back = write_snapshot(with_issued_tokens(ledger.customers), out_path)
     issued = back.filter(F.col("token_issued")).count()
     return conform(back, CUSTOMERS), issued
 
@@ -67,9 +66,7 @@ def rotate_tokens(ledger: Ledger, outlet_ids: DataFrame, out_path: str) -> DataF
     The snapshot is written to ``out_path`` (never the path being read) and
     read back; returns (outlet_id, catalog_token) of the rotated outlets.
     """
-    snap = with_rotated_tokens(ledger.customers, outlet_ids).drop("previous_token")
-    snap.write.mode("overwrite").parquet(out_path)
-    back = ledger.spark.read.parquet(out_path)
+    back = write_snapshot(with_rotated_tokens(ledger.customers, outlet_ids).drop("previous_token"), out_path)
     return back.filter(F.col("token_rotated")).select(F.col("id").alias("outlet_id"), "catalog_token")
 
 

@@ -152,3 +152,16 @@ def test_group_position_paths_agree(ledger_small, monkeypatch):
     monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)
     b = sorted((r.category_name, r.pos, r.product_id) for r in B.category_items(listing).collect())
     assert a == b and len(a) == 156
+
+
+def test_snapshot_never_overwrites_its_input(spark, ledger_small, tmp_path):
+    import pytest
+    from outletlens.sources.sinks import write_order_messages, write_snapshot
+    first = write_snapshot(ledger_small.customers, str(tmp_path / "c1"))
+    with pytest.raises(ValueError):
+        write_snapshot(first.filter(F.col("id") > 3), str(tmp_path / "c1"))
+    idx = C.product_listing(ledger_small)
+    from outletlens.operators import browse as B
+    lines = O.order_lines(O.cart_state(ledger_small.cart_events), B.normalize_products(idx))
+    msgs = write_order_messages(O.order_message(lines, C.outlet_profile(ledger_small)), str(tmp_path / "m"))
+    assert msgs.count() > 0 and msgs.filter(~F.col("message").startswith("Pesanan ")).count() == 0
