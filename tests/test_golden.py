@@ -135,3 +135,25 @@ def test_empty_ledger(spark):
     L = Ledger.from_frames(spark)
     assert C.suggestions(L).count() == 0
     assert C.purchase_history(L).count() == 0
+
+
+def test_safe_projection(ledger_small):
+    """The four reads return exactly their declared columns (no stock, activity or contact data)."""
+    prod = ["product_id", "name", "sku", "price", "unit", "category_name", "photo_thumb_path", "photo_large_path"]
+    assert C.outlet_profile(ledger_small).columns == ["outlet_id", "store_name", "distributor_name",
+                                                      "whatsapp_number"]
+    assert C.purchase_history(ledger_small).columns == ["outlet_id", *prod, "order_count", "total_qty",
+                                                        "last_ordered"]
+    assert C.suggestions(ledger_small).columns == ["outlet_id", "pos", *prod, "outlet_count"]
+    assert C.product_listing(ledger_small).columns == prod
+    no_photos = C.Visibility(include_photos=False)
+    assert C.product_listing(ledger_small, vis=no_photos).columns == prod[:6]
+
+
+def test_suggestion_note(spark):
+    df = spark.createDataFrame([(1, "Lipstik Matte Merah Bata", 45000.0, "pcs", "Lipstik", 9),
+                                (2, "Tanpa Kategori", 1000.0, "pcs", None, 3)],
+                               "product_id bigint, name string, price double, unit string, category_name string,"
+                               " outlet_count bigint")
+    notes = [r.note for r in O.display_rows(df, qty=None, mode=None).orderBy("product_id").collect()]
+    assert notes == ["Lipstik · laris di toko lain", "Lainnya · laris di toko lain"]
