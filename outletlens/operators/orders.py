@@ -25,8 +25,11 @@ def cart_state(events: DataFrame) -> DataFrame:
     an update of a present entry keeps its place.  The mode is ``'lusin'`` or
     ``'base'`` (any other value counts as base, as in the pricing rules).  Result per live entry:
     latest ``qty`` and ``unit`` (mode) and ``position`` = first seq after the
-    last delete.  Two grouped aggregations (partial before each shuffle) and a
-    join, no per-key window, so a hot (outlet, product) is never one task.
+    last delete.  Two passes over the log, no per-key window, so a hot
+    (outlet, product) is never one task: (1) a grouped aggregation (partial
+    before its shuffle) gives the latest state and the last delete; (2) the
+    non-zero events join that state and a second grouped aggregation takes the
+    first seq after the delete, carrying the (per-key constant) state along.
     """
     ev = events.filter(F.col("product_id").isNotNull() & F.col("outlet_id").isNotNull()).select(
         "outlet_id", "product_id", "seq", "qty",
@@ -34,17 +37,18 @@ def cart_state(events: DataFrame) -> DataFrame:
         # buffer is fixed-width and Spark keeps a hash (not sort) aggregate.
         (F.col("unit") == F.lit(PR.MODE_DOZEN)).cast("int").alias("_dozen"))
     last = ev.groupBy("outlet_id", "product_id").agg(
-        F.max_by("qty", "seq").alias("qty"),
-        F.max_by("_dozen", "seq").alias("_dozen"),
+        F.max_by("qty", "seq").alias("_qty"),
+        F.max_by("_dozen", "seq").alias("_mode"),
         F.max(F.when(F.col("qty") == 0, F.col("seq"))).alias("_del"),
-    ).filter(F.col("qty") != 0)
+    ).filter(F.col("_qty") != 0)
     live = ev.filter(F.col("qty") != 0).select("outlet_id", "product_id", "seq").join(
-        last.select("outlet_id", "product_id", "_del"), ["outlet_id", "product_id"])
+        last, ["outlet_id", "product_id"])
+    # _qty/_mode are constant per key, so max() just carries them.
     first = live.filter(F.col("_del").isNull() | (F.col("seq") > F.col("_del"))).groupBy(
-        "outlet_id", "product_id").agg(F.min("seq").alias("position"))
+        "outlet_id", "product_id").agg(F.min("seq").alias("position"), F.max("_qty").alias("qty"),
+                                       F.max("_mode").alias("_dozen"))
     mode = F.when(F.col("_dozen") == 1, F.lit(PR.MODE_DOZEN)).otherwise(F.lit(PR.MODE_BASE))
-    return last.join(first, ["outlet_id", "product_id"]).select(
-        "outlet_id", "product_id", "qty", mode.alias("unit"), "position")
+    return first.select("outlet_id", "product_id", "qty", mode.alias("unit"), "position")
 
 
 def order_lines(cart: DataFrame, index: DataFrame) -> DataFrame:
