@@ -222,7 +222,9 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
     # The narrow (outlet, product) pairs feed both the popularity rank and the
     # owned side: written once so the ledger join runs once.
     pairs = materialize(owned_pairs(ledger), "pairs")
-    pop = ranked_popularity(ledger, vis, pairs)
+    # The rank table is product-sized and used twice (owned ranks, attributes):
+    # written once, so its ranking runs once and both uses see the same ranks.
+    pop = materialize(ranked_popularity(ledger, vis, pairs), "popularity")
 
     # Already bought, as ranks (trap T12: the owned side has no product filter;
     # unsellable owned products have no rank and cannot be suggested anyway).
