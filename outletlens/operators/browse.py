@@ -113,7 +113,7 @@ def category_picks(listing: DataFrame, cart: DataFrame) -> DataFrame:
 
 
 def category_items(listing_raw: DataFrame, category: str | None = None,
-                   storage_base_url: str | None = None, group_bound: DataFrame | None = None) -> DataFrame:
+                   storage_base_url: str | None = None, group_bound: DataFrame | int | None = None) -> DataFrame:
     """Products of a category in listing order, with 1-based ``pos``.
 
     ``listing_raw`` is the C6 output (raw category).  A category is ranked in

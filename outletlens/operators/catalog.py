@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.text import store_display_name
+from ..plans.hotkeys import split_by_key_join, split_hot_join
 from ..plans.ranking import global_rank, group_position
 from ..session import materialize
 from ..sources.ledger import Ledger
@@ -35,6 +36,10 @@ LINK_PATTERN = r"^/t/([A-Za-z0-9_-]+)/?\z"   # '\z': Java '$' also matches befor
 # Suggestion slots are generated in blocks of this size so one outlet's slots
 # spread over many tasks.
 SLOT_BLOCK = 4096
+# Rows of the broadcast heads of the suggestion joins (hot keys by popularity).
+HOT_KEYS = 4096
+# Ranked products up to which the whole (written) rank table is broadcast.
+BROADCAST_ROWS = 200_000
 
 PRODUCT_COLUMNS = ["product_id", "name", "sku", "price", "unit", "category_name"]
 PHOTO_COLUMNS = ["photo_thumb_path", "photo_large_path"]
@@ -194,18 +199,25 @@ def clamp(value, default: int, lo: int, hi: int) -> int:
     return max(lo, min(hi, v))
 
 
-def ranked_popularity(ledger: Ledger, vis: Visibility = DEFAULT, pairs: DataFrame | None = None) -> DataFrame:
+def owner_counts(pairs: DataFrame) -> DataFrame:
+    """(product_id, outlet_count): distinct outlets that validly bought each product."""
+    return pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("outlet_count"))
+
+
+def ranked_popularity(ledger: Ledger, vis: Visibility = DEFAULT, pairs: DataFrame | None = None,
+                      counts: DataFrame | None = None) -> DataFrame:
     """Sellable products bought by >= 1 outlet, with ``outlet_count`` and global ``rank``.
 
     A product shown to an outlet was never bought by it, so the reference's
     count of *other* outlets equals this global distinct-outlet count.
     """
-    pairs = owned_pairs(ledger) if pairs is None else pairs
-    pop = pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("outlet_count"))
+    if counts is None:
+        counts = owner_counts(owned_pairs(ledger) if pairs is None else pairs)
+    pop = counts
     prods = catalog_products(ledger, vis)
     # Ranked rows are a subset of the products, so the product count bounds them.
     return global_rank(prods.join(pop, "product_id"), suggestion_order(), "rank",
-                       size_bound=ledger.products.select("id"))
+                       size_bound=ledger.product_count)
 
 
 def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGESTIONS,
@@ -222,17 +234,30 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
     # The narrow (outlet, product) pairs feed both the popularity rank and the
     # owned side: written once so the ledger join runs once.
     pairs = materialize(owned_pairs(ledger), "pairs")
+    counts = owner_counts(pairs)
     # The rank table is product-sized and used twice (owned ranks, attributes):
     # written once, so its ranking runs once and both uses see the same ranks.
-    pop = materialize(ranked_popularity(ledger, vis, pairs), "popularity")
+    pop = materialize(ranked_popularity(ledger, vis, counts=counts), "popularity")
 
     # Already bought, as ranks (trap T12: the owned side has no product filter;
     # unsellable owned products have no rank and cannot be suggested anyway).
     mine = pairs.join(ids.withColumnRenamed("outlet_id", "customer_id"), "customer_id", "left_semi")
-    # Popular products are hot join keys here and below; AQE's skew-join split
-    # (or a runtime broadcast of the product-sized side) spreads them.
-    owned = mine.join(pop.select("product_id", "rank"), "product_id").select(
-        F.col("customer_id").alias("outlet_id"), "rank")
+    # Hot keys of this join are the most-owned products: a product's rows here
+    # are its owners.  The HOT_KEYS heaviest products (sellable or not; a
+    # top-k by owner count) are broadcast with their rank, so they never enter
+    # a shuffle; every other product has at most |pairs| / HOT_KEYS owners.
+    # When the ranked products are few (the product count bounds them, checked
+    # against BROADCAST_ROWS) the whole rank table is broadcast instead.
+    small = ledger.product_count <= BROADCAST_ROWS
+    ranks = pop.select("product_id", "rank")
+    pairs_mine = mine.select("customer_id", "product_id")
+    if small:
+        owned = pairs_mine.join(F.broadcast(ranks), "product_id")
+    else:
+        heavy = counts.orderBy(F.col("outlet_count").desc(), F.col("product_id")).limit(HOT_KEYS)
+        heavy_ranks = heavy.select("product_id").join(ranks, "product_id", "left")
+        owned = split_hot_join(pairs_mine, "product_id", heavy_ranks, ranks).filter(F.col("rank").isNotNull())
+    owned = owned.select(F.col("customer_id").alias("outlet_id"), "rank")
     # Slot count: limit + every product the outlet bought (an upper bound of the
     # ranked ones it must skip).  Slots past the last rank find no product and
     # fall out in the final join, so no global count is needed.
@@ -251,8 +276,19 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
     w = Window.partitionBy("outlet_id").orderBy("rank")
     top = free.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
 
+    # Nearly every outlet's list holds the first ranks, so those are the hot
+    # keys of the attribute join.  Ranks <= HOT_KEYS are broadcast (fixed row
+    # bound); a deeper rank r is listed only by outlets owning >= r - n
+    # products, at most |pairs| / (HOT_KEYS - n) of them, so the rest shuffles.
+    # Both branches read ``top``, so beyond the broadcast bound its narrow
+    # (outlet, pos, rank) rows are written once first.
     attrs = vis.product_columns() + ["outlet_count"]
-    res = top.join(pop.select("rank", *attrs), "rank")
+    dim = pop.select("rank", *attrs)
+    if small:
+        res = top.join(F.broadcast(dim), "rank")
+    else:
+        top = materialize(top.select("outlet_id", "pos", "rank"), "suggestion_ranks")
+        res = split_by_key_join(top, "rank", dim, F.col("rank") <= F.lit(HOT_KEYS))
     return res.select("outlet_id", F.col("pos").cast("bigint").alias("pos"), *attrs)
 
 
@@ -274,14 +310,14 @@ def product_listing(ledger: Ledger, token: str | None = None, vis: Visibility =
 def positioned_listing(ledger: Ledger, vis: Visibility = DEFAULT) -> DataFrame:
     """C6 with its 1-based global listing position (category NULLS LAST, name, id)."""
     return global_rank(product_listing(ledger, vis=vis), listing_order(), "pos",
-                       size_bound=ledger.products.select("id"))
+                       size_bound=ledger.product_count)
 
 
 def positioned_history(ledger: Ledger, outlets=None, vis: Visibility = DEFAULT) -> DataFrame:
     """C4 with its 1-based per-outlet position in the reference order."""
     # One outlet has at most one history row per product.
     return group_position(purchase_history(ledger, outlets, vis), ["outlet_id"], history_order(), "pos",
-                          group_bound=ledger.products.select("id"))
+                          group_bound=ledger.product_count)
 
 
 def page_bounds(limit=None, offset=None, default: int = DEFAULT_PAGE, hi: int = MAX_PAGE) -> tuple[int, int]:

@@ -34,18 +34,22 @@ _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 SINGLE_TASK_ROWS = 1_000_000
 
 
+def _rows(bound: DataFrame | int) -> int:
+    return bound if isinstance(bound, int) else bound.count()
+
+
 def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank",
                 checkpoint: bool = True, single_task_rows: int | None = None,
-                size_bound: DataFrame | None = None) -> DataFrame:
+                size_bound: DataFrame | int | None = None) -> DataFrame:
     """Add a dense 1-based ``rank_col`` by the (total) ``order``.
 
     The caller must make ``order`` total (end with a unique key), otherwise ties
     are numbered arbitrarily.  ``size_bound`` is an optional cheaper frame with
-    at least as many rows as ``df`` (e.g. the dimension it was filtered from);
-    it is counted instead of ``df``.
+    at least as many rows as ``df`` (e.g. the dimension it was filtered from),
+    counted instead of ``df``, or such a count already known.
     """
     limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
-    if limit > 0 and (df if size_bound is None else size_bound).count() <= limit:
+    if limit > 0 and _rows(df if size_bound is None else size_bound) <= limit:
         return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     return _distributed_rank(df, order, rank_col, checkpoint)
 
@@ -67,18 +71,18 @@ def _distributed_rank(df: DataFrame, order: list[Column], rank_col: str, checkpo
 
 def group_position(df: DataFrame, group_cols: list[str], order: list[Column],
                    pos_col: str = "pos", single_task_rows: int | None = None,
-                   group_bound: DataFrame | None = None) -> DataFrame:
+                   group_bound: DataFrame | int | None = None) -> DataFrame:
     """1-based position of each row inside its group, by ``order`` (made total by caller).
 
     Group keys may be NULL; NULLs form one group (null-safe join back).
     ``group_bound`` is an optional frame whose row count bounds the largest
-    group (e.g. the product table for one outlet's history); it is counted
-    instead of grouping ``df``.
+    group (e.g. the product table for one outlet's history), or that count;
+    it is used instead of grouping ``df``.
     """
     limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
     if limit > 0:
         if group_bound is not None:
-            largest = group_bound.count()
+            largest = _rows(group_bound)
         else:
             largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
         if largest <= limit:

@@ -134,7 +134,7 @@ def q_category_picks(spark, sf_dir):
 def q_category_items(spark, sf_dir):
     L = _ledger(spark, sf_dir)
     return B.category_items(C.product_listing(L), storage_base_url=STORAGE_BASE_URL,
-                            group_bound=L.products.select("id")).select(
+                            group_bound=L.product_count).select(
         "category_name", "pos", *[c for c in NORM if c != "category_name"])
 
 

@@ -290,6 +290,15 @@ class Ledger:
 
         return cls(spark, {n: loader(n, sc) for n, sc in SCHEMAS.items()}, source="frames")
 
+    @property
+    def product_count(self) -> int:
+        """Rows of ``products``, counted once per ledger: the bound of every
+        product-sized size check (rank tables, one outlet's history)."""
+        counts = self.__dict__.setdefault("_counts", {})
+        if "products" not in counts:
+            counts["products"] = self.products.count()
+        return counts["products"]
+
     def replace(self, **frames: DataFrame) -> "Ledger":
         loaders = dict(self._loaders)
         for name, df in frames.items():
