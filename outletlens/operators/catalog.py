@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.text import store_display_name
-from ..plans.hotkeys import split_by_key_join, split_hot_join
+from ..plans import hotkeys as HK
 from ..plans.ranking import global_rank, group_position
 from ..session import materialize
 from ..sources.ledger import Ledger
@@ -36,10 +36,6 @@ LINK_PATTERN = r"^/t/([A-Za-z0-9_-]+)/?\z"   # '\z': Java '$' also matches befor
 # Suggestion slots are generated in blocks of this size so one outlet's slots
 # spread over many tasks.
 SLOT_BLOCK = 4096
-# Rows of the broadcast heads of the suggestion joins (hot keys by popularity).
-HOT_KEYS = 4096
-# Ranked products up to which the whole (written) rank table is broadcast.
-BROADCAST_ROWS = 200_000
 
 PRODUCT_COLUMNS = ["product_id", "name", "sku", "price", "unit", "category_name"]
 PHOTO_COLUMNS = ["photo_thumb_path", "photo_large_path"]
@@ -170,7 +166,9 @@ def purchase_history(ledger: Ledger, outlets=None, vis: Visibility = DEFAULT) ->
     ids = resolve_outlets(ledger, outlets).withColumnRenamed("outlet_id", "customer_id")
     b = bought(ledger).join(ids, "customer_id", "left_semi")
     prods = catalog_products(ledger, vis)
-    out = b.join(prods, "product_id")
+    # A popular product is a hot key here (one row per owner): broadcast the
+    # products within the checked count, else broadcast the heaviest keys.
+    out = HK.dimension_join(b, prods, "product_id", ledger.product_count)
     return out.select(F.col("customer_id").alias("outlet_id"), *vis.product_columns(),
                       "order_count", "total_qty", "last_ordered")
 
@@ -244,19 +242,19 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
     mine = pairs.join(ids.withColumnRenamed("outlet_id", "customer_id"), "customer_id", "left_semi")
     # Hot keys of this join are the most-owned products: a product's rows here
     # are its owners.  The HOT_KEYS heaviest products (sellable or not; a
-    # top-k by owner count) are broadcast with their rank, so they never enter
-    # a shuffle; every other product has at most |pairs| / HOT_KEYS owners.
-    # When the ranked products are few (the product count bounds them, checked
-    # against BROADCAST_ROWS) the whole rank table is broadcast instead.
-    small = ledger.product_count <= BROADCAST_ROWS
+    # top-k of the owner counts already at hand) are broadcast with their
+    # rank, so they never enter a shuffle; every other product has at most
+    # |pairs| / HOT_KEYS owners.  When the ranked products are few (the
+    # product count bounds them, checked against BROADCAST_ROWS) the whole
+    # rank table is broadcast instead.
+    small = ledger.product_count <= HK.BROADCAST_ROWS
     ranks = pop.select("product_id", "rank")
     pairs_mine = mine.select("customer_id", "product_id")
     if small:
         owned = pairs_mine.join(F.broadcast(ranks), "product_id")
     else:
-        heavy = counts.orderBy(F.col("outlet_count").desc(), F.col("product_id")).limit(HOT_KEYS)
-        heavy_ranks = heavy.select("product_id").join(ranks, "product_id", "left")
-        owned = split_hot_join(pairs_mine, "product_id", heavy_ranks, ranks).filter(F.col("rank").isNotNull())
+        heavy = counts.orderBy(F.col("outlet_count").desc(), F.col("product_id")).limit(HK.HOT_KEYS)
+        owned = HK.split_hot_join(pairs_mine, "product_id", heavy, ranks)
     owned = owned.select(F.col("customer_id").alias("outlet_id"), "rank")
     # Slot count: limit + every product the outlet bought (an upper bound of the
     # ranked ones it must skip).  Slots past the last rank find no product and
@@ -288,7 +286,7 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
         res = top.join(F.broadcast(dim), "rank")
     else:
         top = materialize(top.select("outlet_id", "pos", "rank"), "suggestion_ranks")
-        res = split_by_key_join(top, "rank", dim, F.col("rank") <= F.lit(HOT_KEYS))
+        res = HK.split_by_key_join(top, "rank", dim, F.col("rank") <= F.lit(HK.HOT_KEYS))
     return res.select("outlet_id", F.col("pos").cast("bigint").alias("pos"), *attrs)
 
 

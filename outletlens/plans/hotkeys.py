@@ -2,10 +2,11 @@
 
 A many-to-one join against a dimension that is too large to broadcast must
 shuffle, and a key holding a large share of the many side then lands in one
-task.  When the hot keys can be named up front (for example the head of a
-popularity ranking), their dimension rows form a *head* with a fixed row
-bound: it is broadcast, and rows with a hot key never enter a shuffle.  Only
-the remaining rows, whose per-key load the caller bounds, are shuffle-joined.
+task.  When the hot keys can be named up front (the head of a popularity
+ranking, or a top-k of key counts), their dimension rows form a *head* with a
+fixed row bound: it is broadcast, and rows with a hot key never enter a
+shuffle.  Only the remaining rows, whose per-key load the caller bounds, are
+shuffle-joined.
 """
 
 from __future__ import annotations
@@ -13,21 +14,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_HEAD = "_hot_head"
+from ..session import materialize
 
+_HOT = "_hot_key"
 
-def split_hot_join(left: DataFrame, on: str, head: DataFrame, tail: DataFrame) -> DataFrame:
-    """Inner join of ``left`` with a dimension unique on ``on``.
+# Dimension rows up to which a dimension is broadcast whole (after a count check).
+BROADCAST_ROWS = 100_000
+# Hot keys broadcast with their dimension rows beyond that bound.
+HOT_KEYS = 4096
 
-    ``head`` holds the dimension rows of the hot keys (at most a fixed number
-    of rows: it is broadcast); ``tail`` is the dimension (it may include the
-    head rows, they are never reached).  Both must have the same columns.
-    Left rows are routed by one broadcast left-outer join: a row whose key is
-    in ``head`` is complete there; the others are shuffle-joined with ``tail``.
+
+def split_hot_join(left: DataFrame, on: str, hot_keys: DataFrame, dim: DataFrame) -> DataFrame:
+    """Inner join of ``left`` with ``dim`` (unique on ``on``).
+
+    ``hot_keys`` (column ``on``, at most a fixed number of rows) names the heavy
+    keys.  Left rows are routed by one broadcast left join against them: hot
+    rows join the dimension rows of the hot keys (a broadcast head of at most
+    as many rows; hot keys missing from ``dim`` drop out as in any inner join),
+    the others are shuffle-joined with ``dim``.
     """
-    marked = left.join(F.broadcast(head.withColumn(_HEAD, F.lit(True))), on, "left")
-    hot = marked.filter(F.col(_HEAD).isNotNull()).drop(_HEAD)
-    cold = marked.filter(F.col(_HEAD).isNull()).select(*left.columns).join(tail, on)
+    keys = hot_keys.select(on)
+    marked = left.join(F.broadcast(keys.withColumn(_HOT, F.lit(True))), on, "left")
+    head = dim.join(F.broadcast(keys), on)
+    hot = marked.filter(F.col(_HOT).isNotNull()).drop(_HOT).join(F.broadcast(head), on)
+    cold = marked.filter(F.col(_HOT).isNull()).drop(_HOT).join(dim, on)
     return hot.unionByName(cold)
 
 
@@ -39,3 +49,27 @@ def split_by_key_join(left: DataFrame, on: str, dim: DataFrame, is_hot) -> DataF
     hot = left.filter(is_hot).join(F.broadcast(dim.filter(is_hot)), on)
     cold = left.filter(~is_hot).join(dim.filter(~is_hot), on)
     return hot.unionByName(cold)
+
+
+def heaviest_keys(df: DataFrame, on: str, k: int) -> DataFrame:
+    """The ``k`` keys with the most rows (a top-k report; ties by key)."""
+    counts = df.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.orderBy(F.col("_n").desc(), F.col(on)).limit(k).select(on)
+
+
+def dimension_join(facts: DataFrame, dim: DataFrame, on: str, dim_rows: int,
+                   broadcast_rows: int | None = None, hot_keys: int | None = None) -> DataFrame:
+    """Many-to-one inner join of ``facts`` with ``dim`` (unique on ``on``).
+
+    ``dim_rows`` is a proven bound of the dimension's row count (e.g. the
+    product count).  Within ``broadcast_rows`` the dimension is broadcast.
+    Beyond it the facts are written once, their ``hot_keys`` heaviest keys are
+    broadcast with their dimension rows, and every other key, which then holds
+    at most ``|facts| / hot_keys`` rows, is shuffle-joined.
+    """
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    k = HOT_KEYS if hot_keys is None else hot_keys
+    if dim_rows <= limit:
+        return facts.join(F.broadcast(dim), on)
+    facts = materialize(facts, "facts")
+    return split_hot_join(facts, on, heaviest_keys(facts, on, k), dim)

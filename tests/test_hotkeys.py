@@ -38,3 +38,14 @@ def test_split_by_key_join_equals_plain_join(spark):
     facts, dim = _facts(spark), _dim(spark)
     got = split_by_key_join(facts, "k", dim, F.col("k") <= 3)
     assert _rows(got) == _rows(facts.join(dim, "k"))
+
+
+def test_dimension_join_both_paths_equal_plain_join(spark):
+    from outletlens.plans.hotkeys import dimension_join
+    facts, dim = _facts(spark), _dim(spark)
+    # key 99 is heavy too but has no dimension row: it must drop out, not shuffle
+    facts = facts.unionByName(spark.range(500).select((F.col("id") + 10_000).alias("fact_id"),
+                                                      F.lit(99).cast("bigint").alias("k")))
+    want = _rows(facts.join(dim, "k"))
+    assert _rows(dimension_join(facts, dim, "k", dim_rows=50)) == want             # broadcast whole
+    assert _rows(dimension_join(facts, dim, "k", dim_rows=50, broadcast_rows=10, hot_keys=2)) == want

@@ -37,7 +37,8 @@ def test_skewed_query_matches_oracle(spark, skewed_dir, name, monkeypatch):
     from outletlens.plans import ranking
     monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)
     monkeypatch.setattr(C, "SLOT_BLOCK", 7)
-    monkeypatch.setattr(C, "HOT_KEYS", 3)  # both the broadcast head and the shuffled tail run
-    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
+    from outletlens.plans import hotkeys
+    monkeypatch.setattr(hotkeys, "HOT_KEYS", 3)  # both the broadcast head and the shuffled tail run
+    monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", 0)
     ok, msg = compare(spark, skewed_dir, name, queries()[name], oracle_sql()[name])
     assert ok, msg
