@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import category_or_default, clean_keyword, photo_url
+from ..plans import hotkeys as HK
 from ..plans.ranking import group_position
 from ..session import materialize
 from ..sources.ledger import Ledger
@@ -90,6 +91,11 @@ def search(index: DataFrame, keywords: list[str], limit: int = SEARCH_LIMIT) ->
     matches = parts[0]
     for p in parts[1:]:
         matches = matches.unionByName(p)
+    return _shown_matches(matches, limit)
+
+
+def _shown_matches(matches: DataFrame, limit: int) -> DataFrame:
+    """Per keyword: total ``match_count`` and the first ``limit`` matches by name."""
     counts = matches.groupBy("keyword").agg(F.count(F.lit(1)).alias("match_count"))
     w = Window.partitionBy("keyword").orderBy(_sort_name(), F.col("category_name").asc_nulls_last(),
                                               F.col("product_id"))
@@ -97,6 +103,67 @@ def search(index: DataFrame, keywords: list[str], limit: int = SEARCH_LIMIT) ->
     return top.join(counts, "keyword").withColumn("pos", F.col("pos").cast("bigint"))
 
 
+# Keyword index: substrings of this length (shorter keywords use their own length).
+GRAM = 3
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct substrings of length ``n`` of ``text`` (empty when shorter)."""
+    count = F.length(text) - n + F.lit(1)
+    return F.when(count >= 1, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), count), lambda i: F.substr(text, i, n)))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def gram_index(index: DataFrame) -> DataFrame:
+    """(n, gram, product_id): every distinct 1..GRAM-character substring of the
+    lower-cased name and sku of each product.  Product-sized (times text length)."""
+    name = F.lower(F.coalesce(F.col("name"), F.lit("")))
+    sku = F.lower(F.coalesce(F.col("sku"), F.lit("")))
+    parts = [index.select("product_id", F.lit(n).alias("n"),
+                          F.explode(F.array_union(_grams(name, F.lit(n)), _grams(sku, F.lit(n)))).alias("gram"))
+             for n in range(1, GRAM + 1)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def search_table(index: DataFrame, keywords: DataFrame, keyword_col: str = "keyword",
+                 limit: int = SEARCH_LIMIT, product_rows: int | None = None) -> DataFrame:
+    """C13 for a table of keywords (e.g. every outlet's search log), same output as ``search``.
+
+    A substring test between two tables is a theta join; here it becomes an
+    equi-join.  Every substring of a match contains the keyword's grams, so
+    each distinct keyword joins the products holding its *rarest* gram (of
+    length ``min(GRAM, len)``, chosen from the gram frequencies); the
+    candidates get their product rows and the exact ``contains`` test.
+    Keywords are deduplicated first, so a keyword searched by many outlets is
+    matched once.  ``product_rows`` (a bound of the index rows, e.g. the
+    product count) lets the product-row join use the hot-key join.
+    """
+    kw = (keywords.select(F.col(keyword_col).alias("keyword")).filter(F.col("keyword").isNotNull()).distinct()
+          .withColumn("_k", clean_keyword(F.col("keyword"))).filter(F.col("_k") != F.lit(""))
+          .withColumn("_n", F.least(F.lit(GRAM), F.length("_k"))))
+    # The gram index is read for the frequencies and for the candidates (and
+    # again by the count and the shown rows): written once.
+    grams = materialize(gram_index(index), "gram_index")
+    freq = grams.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("_f"))
+    kwg = kw.select("keyword", "_k", F.col("_n").alias("n"), F.explode(_grams(F.col("_k"), F.col("_n"))).alias("gram"))
+    # A gram no product holds has frequency 0: the keyword then has no candidates.
+    best = kwg.join(freq, ["n", "gram"], "left").groupBy("keyword", "_k", "n").agg(
+        F.min_by("gram", F.coalesce(F.col("_f"), F.lit(0))).alias("gram"))
+    cand = best.join(grams, ["n", "gram"]).select("keyword", "_k", "product_id")
+    if product_rows is None:
+        rows = cand.join(index, "product_id")
+    else:
+        rows = HK.dimension_join(cand, index, "product_id", product_rows)
+    k = F.col("_k")
+    matches = rows.filter(F.contains(F.lower(F.col("name")), k)
+                          | F.contains(F.lower(F.coalesce(F.col("sku"), F.lit(""))), k)).drop("_k")
+    return _shown_matches(matches, limit)
+
+
 def category_rollup(listing: DataFrame) -> DataFrame:
     """C14 (outlet-independent part): products per category, in locale order."""
     g = listing.groupBy("category_name").agg(F.count(F.lit(1)).alias("item_count"))

@@ -24,6 +24,12 @@ STORAGE_BASE_URL = "https://store.example.com"
 SEARCH_KEYWORDS = ["ring", "  BLUE ", "SKU-0001", "zzzz"]
 HISTORY_PAGE_SIZE = 5
 UNKNOWN_TOKEN = "unknown-token-000000000000"
+# Derived search log: each cart event searches a fragment of its product's
+# name (1-2 or 3-6 characters) or an upper-cased fragment of its sku.
+SEARCH_LOG_KEYWORD = (
+    "CASE WHEN seq % 7 = 0 THEN substr(name, 2 + seq % 5, 1 + seq % 2)"
+    " WHEN seq % 2 = 0 THEN substr(name, 1 + seq % 3, 3 + seq % 4)"
+    " ELSE upper(substr(sku, 4 + seq % 5, 3 + seq % 3)) END")
 
 PROD8 = C.PRODUCT_COLUMNS + C.PHOTO_COLUMNS
 NORM = ["product_id", "name", "sku", "price", "unit", "category_name", "photo_thumb_url", "photo_large_url"]
@@ -122,6 +128,18 @@ def q_search(spark, sf_dir):
     return res.select("keyword", "match_count", "pos", *NORM)
 
 
+def q_search_log(spark, sf_dir):
+    """C13 over a whole search log (one keyword per cart event), as an n-gram equi-join."""
+    from ..plans.hotkeys import dimension_join
+    L = _ledger(spark, sf_dir)
+    ev = L.cart_events.filter(F.col("product_id").isNotNull()).select("seq", "outlet_id", "product_id")
+    prods = L.products.select(F.col("id").alias("product_id"), "name", "sku")
+    log = dimension_join(ev, prods, "product_id", L.product_count).selectExpr(
+        "outlet_id", f"{SEARCH_LOG_KEYWORD} AS keyword")
+    res = B.search_table(_index(L), log, product_rows=L.product_count)
+    return res.select("keyword", "match_count", "pos", *NORM)
+
+
 def q_category_rollup(spark, sf_dir):
     return B.category_rollup(_index(_ledger(spark, sf_dir)))
 
@@ -251,6 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalized_listing": q_normalized_listing,    # C11
     "product_index": q_product_index,              # C12
     "search": q_search,                            # C13
+    "search_log": q_search_log,                    # C13, keyword table
     "category_rollup": q_category_rollup,          # C14
     "category_picks": q_category_picks,            # C14
     "category_items": q_category_items,            # C15

@@ -165,3 +165,17 @@ def test_snapshot_never_overwrites_its_input(spark, ledger_small, tmp_path):
     lines = O.order_lines(O.cart_state(ledger_small.cart_events), B.normalize_products(idx))
     msgs = write_order_messages(O.order_message(lines, C.outlet_profile(ledger_small)), str(tmp_path / "m"))
     assert msgs.count() > 0 and msgs.filter(~F.col("message").startswith("Pesanan ")).count() == 0
+
+
+def test_search_table_equals_keyword_search(spark, ledger_small):
+    """The n-gram equi-join search returns what the literal per-keyword filter does,
+    for 1-, 2- and 3+-character keywords, blanks, repeats and keywords no gram matches."""
+    from outletlens.operators import browse as B
+    idx = B.normalize_products(C.product_listing(ledger_small), "https://x")
+    kws = ["ring", "  BLUE ", "SKU-0001", "zzzz", "r", "ed", "all r", "-00", "  ", "0", "q", "LL"]
+    want = B.search(idx, kws)
+    got = B.search_table(idx, spark.createDataFrame([(k,) for k in kws] * 3, "keyword string"),
+                         product_rows=ledger_small.product_count)
+    cols = want.columns
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == \
+        sorted(tuple(r) for r in want.select(*cols).collect())

@@ -11,7 +11,8 @@ from .conftest import SF0001
 from .oracle_compare import compare
 
 SKEWED = ["purchase_history", "suggestions", "history_pages", "product_listing", "landing_summary",
-          "category_items", "missing_price_list", "cart_state", "order_message", "resolve_links"]
+          "category_items", "missing_price_list", "cart_state", "order_message", "resolve_links",
+          "search_log"]
 
 
 @pytest.fixture(scope="module")
