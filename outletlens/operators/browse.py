@@ -170,10 +170,13 @@ def category_rollup(listing: DataFrame) -> DataFrame:
     return g.orderBy(_sort_name("category_name"))
 
 
-def category_picks(listing: DataFrame, cart: DataFrame) -> DataFrame:
-    """C14 (per outlet): distinct picked products per category, only where > 0."""
+def category_picks(listing: DataFrame, cart: DataFrame, product_rows: int | None = None) -> DataFrame:
+    """C14 (per outlet): distinct picked products per category, only where > 0.
+    ``product_rows`` (a bound of the listing rows) selects the hot-key join."""
     picked = cart.filter(F.col("qty") > 0).select("outlet_id", "product_id").dropDuplicates()
-    per = picked.join(listing.select("product_id", "category_name"), "product_id")
+    cats = listing.select("product_id", "category_name")
+    per = (picked.join(cats, "product_id") if product_rows is None
+           else HK.dimension_join(picked, cats, "product_id", product_rows))
     counts = per.groupBy("outlet_id", "category_name").agg(F.count(F.lit(1)).alias("picked"))
     totals = listing.groupBy("category_name").agg(F.count(F.lit(1)).alias("item_count"))
     return counts.join(totals, "category_name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing as PR
 from ..functions import text as TX
+from ..plans import hotkeys as HK
 
 # Message wording.
 ORDER_HEADER = "Pesanan "
@@ -51,11 +52,19 @@ def cart_state(events: DataFrame) -> DataFrame:
     return first.select("outlet_id", "product_id", "qty", mode.alias("unit"), "position")
 
 
-def order_lines(cart: DataFrame, index: DataFrame) -> DataFrame:
+def _product_join(facts: DataFrame, dim: DataFrame, product_rows: int | None) -> DataFrame:
+    """Many-to-one join on product_id; with a product-count bound it is the
+    hot-key join (a product in every outlet's cart is a hot key)."""
+    if product_rows is None:
+        return facts.join(dim, "product_id")
+    return HK.dimension_join(facts, dim, "product_id", product_rows)
+
+
+def order_lines(cart: DataFrame, index: DataFrame, product_rows: int | None = None) -> DataFrame:
     """Cart entries joined with the product index; unknown products and
     zero quantities drop out; dozen pricing, rounded-up subtotals, unpriced flag."""
     prod = index.select("product_id", "name", F.col("price").alias("_price"), F.col("unit").alias("_unit"))
-    j = cart.filter(F.col("qty") > 0).join(prod, "product_id")
+    j = _product_join(cart.filter(F.col("qty") > 0), prod, product_rows)
     priced = PR.has_price("_price")
     unit_price = F.when(priced, PR.price_for_unit("_price", "unit", "_unit")).otherwise(F.lit(0.0))
     return j.select(
@@ -112,9 +121,9 @@ def order_message(lines: DataFrame, profile: DataFrame) -> DataFrame:
                TX.message_url(F.col("whatsapp_number"), F.col("message")))).drop("whatsapp_number")
 
 
-def review_list(lines: DataFrame, index: DataFrame) -> DataFrame:
+def review_list(lines: DataFrame, index: DataFrame, product_rows: int | None = None) -> DataFrame:
     """The selected products in cart order, with their product rows."""
-    return lines.select("outlet_id", "position", "product_id").join(index, "product_id")
+    return _product_join(lines.select("outlet_id", "position", "product_id"), index, product_rows)
 
 
 def display_rows(rows: DataFrame, qty: str | None = "qty", mode: str | None = "mode") -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import browse as B
 from ..operators import catalog as C
 from ..operators import orders as O
 from ..operators import tokens as TK
+from ..plans.hotkeys import dimension_join
 from ..sources.ledger import Ledger, map_link_opens, read_driver_table
 
 # Fixed query parameters (mirrored in the oracle SQL).
@@ -53,7 +54,7 @@ def _index(L: Ledger) -> DataFrame:
 
 
 def _lines(L: Ledger) -> DataFrame:
-    return O.order_lines(O.cart_state(L.cart_events), _index(L))
+    return O.order_lines(O.cart_state(L.cart_events), _index(L), product_rows=L.product_count)
 
 
 # --- C1 / C2 / C3 -----------------------------------------------------------
@@ -130,7 +131,6 @@ def q_search(spark, sf_dir):
 
 def q_search_log(spark, sf_dir):
     """C13 over a whole search log (one keyword per cart event), as an n-gram equi-join."""
-    from ..plans.hotkeys import dimension_join
     L = _ledger(spark, sf_dir)
     ev = L.cart_events.filter(F.col("product_id").isNotNull()).select("seq", "outlet_id", "product_id")
     prods = L.products.select(F.col("id").alias("product_id"), "name", "sku")
@@ -146,7 +146,7 @@ def q_category_rollup(spark, sf_dir):
 
 def q_category_picks(spark, sf_dir):
     L = _ledger(spark, sf_dir)
-    return B.category_picks(_index(L), O.cart_state(L.cart_events))
+    return B.category_picks(_index(L), O.cart_state(L.cart_events), product_rows=L.product_count)
 
 
 def q_category_items(spark, sf_dir):
@@ -188,14 +188,14 @@ def q_order_message(spark, sf_dir):
 
 def q_review_list(spark, sf_dir):
     L = _ledger(spark, sf_dir)
-    return O.review_list(_lines(L), _index(L)).select("outlet_id", "position", *NORM)
+    return O.review_list(_lines(L), _index(L), product_rows=L.product_count).select("outlet_id", "position", *NORM)
 
 
 def q_display_rows(spark, sf_dir):
     L = _ledger(spark, sf_dir)
     cart = O.cart_state(L.cart_events).select("outlet_id", "product_id", "qty", F.col("unit").alias("mode"),
                                                "position")
-    rows = cart.join(_index(L), "product_id")
+    rows = dimension_join(cart, _index(L), "product_id", L.product_count)
     return O.display_rows(rows).select("outlet_id", "position", "product_id", "price_tag", "second_line",
                                        "recap", "initial")
 
