@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..plans import hotkeys as HK
 from ..sources.ledger import SETTINGS_ROWS, Ledger, settings_frame
 
 SETTINGS_PATTERN = "catalog_%"
@@ -43,7 +44,10 @@ def missing_price_list(ledger: Ledger) -> DataFrame:
     items = ledger.invoice_items.select("invoice_id", "product_id")
     inv = ledger.invoices.filter(F.col("status") != F.lit("cancelled")).select(
         F.col("id").alias("invoice_id"), "invoice_date")
-    sold = (items.join(prods, "product_id").join(inv, "invoice_id")
+    # Unpriced products are a subset of the products: broadcast within the
+    # checked product count, else the hot-key join over the item scan.
+    sold = (HK.dimension_join(items, prods, "product_id", ledger.product_count, write_facts=False)
+            .join(inv, "invoice_id")
             .groupBy(*keys).agg(F.count_distinct("invoice_id").alias("invoice_count"),
                                 F.max("invoice_date").alias("last_sold")))
     groups = prods.select(*keys).distinct()

@@ -212,7 +212,9 @@ def landing_summary(ledger: Ledger, outlets=None, vis: C.Visibility = C.DEFAULT,
     n = C.clamp(limit, C.DEFAULT_SUGGESTIONS, 1, C.MAX_SUGGESTIONS)
     ids = C.resolve_outlets(ledger, outlets)
     sellable = C.catalog_products(ledger, vis).select("product_id")
-    pairs = materialize(C.owned_pairs(ledger).join(sellable, "product_id", "left_semi"), "sellable_pairs")
+    # A semi join with the (unique) sellable ids, as the hot-key dimension join.
+    pairs = materialize(HK.dimension_join(C.owned_pairs(ledger), sellable, "product_id", ledger.product_count),
+                        "sellable_pairs")
     ranked = pairs.select(F.count_distinct("product_id")).scalar()
     h = (pairs.join(ids.withColumnRenamed("outlet_id", "customer_id"), "customer_id", "left_semi")
          .groupBy(F.col("customer_id").alias("outlet_id")).agg(F.count(F.lit(1)).alias("history_count")))

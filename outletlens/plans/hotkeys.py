@@ -52,24 +52,30 @@ def split_by_key_join(left: DataFrame, on: str, dim: DataFrame, is_hot) -> DataF
 
 
 def heaviest_keys(df: DataFrame, on: str, k: int) -> DataFrame:
-    """The ``k`` keys with the most rows (a top-k report; ties by key)."""
-    counts = df.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    """The ``k`` non-NULL keys with the most rows (a top-k report; ties by key).
+    NULL keys never match an equi-join and are filtered before its shuffle."""
+    counts = df.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
     return counts.orderBy(F.col("_n").desc(), F.col(on)).limit(k).select(on)
 
 
 def dimension_join(facts: DataFrame, dim: DataFrame, on: str, dim_rows: int,
-                   broadcast_rows: int | None = None, hot_keys: int | None = None) -> DataFrame:
+                   broadcast_rows: int | None = None, hot_keys: int | None = None,
+                   write_facts: bool = True) -> DataFrame:
     """Many-to-one inner join of ``facts`` with ``dim`` (unique on ``on``).
 
     ``dim_rows`` is a proven bound of the dimension's row count (e.g. the
     product count).  Within ``broadcast_rows`` the dimension is broadcast.
-    Beyond it the facts are written once, their ``hot_keys`` heaviest keys are
-    broadcast with their dimension rows, and every other key, which then holds
-    at most ``|facts| / hot_keys`` rows, is shuffle-joined.
+    Beyond it the facts are read twice: once for their ``hot_keys`` heaviest
+    keys (a key-sized partial aggregation), which are broadcast with their
+    dimension rows, and once for the join, where every other key holds at most
+    ``|facts| / hot_keys`` rows and is shuffle-joined.  Computed facts are
+    written once first (``write_facts``); a plain table scan is cheaper to
+    read again than to copy, so callers pass ``write_facts=False`` for it.
     """
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     k = HOT_KEYS if hot_keys is None else hot_keys
     if dim_rows <= limit:
         return facts.join(F.broadcast(dim), on)
-    facts = materialize(facts, "facts")
+    if write_facts:
+        facts = materialize(facts, "facts")
     return split_hot_join(facts, on, heaviest_keys(facts, on, k), dim)
