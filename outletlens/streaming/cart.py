@@ -9,7 +9,9 @@ batch id, so a retried batch overwrites its own output (idempotent).
 Assumes ``seq`` increases across batches (an append-only change log); events
 at or below a key's last applied seq are ignored, which also makes replays safe.
 The end state equals the batch reduction ``orders.cart_state`` over the whole
-log (tested).
+log (tested).  A key's events within one micro-batch are reduced by one pandas
+call, so bound micro-batches on the source (``maxFilesPerTrigger`` or
+``maxBytesPerTrigger``); the batch reduction needs no such bound.
 """
 
 from __future__ import annotations
