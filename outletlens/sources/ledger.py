@@ -264,13 +264,31 @@ class Ledger:
         }, source=sf_dir)
 
     @classmethod
-    def from_tables(cls, spark: SparkSession, root: str) -> "Ledger":
-        """Read ledger-schema parquet tables from ``<root>/<name>``; enforce schemas."""
+    def from_tables(cls, spark: SparkSession, root: str, fmt: str = "parquet",
+                    json_arrays: bool = False) -> "Ledger":
+        """Read ledger-schema tables from ``<root>/<name>``; enforce schemas.
+
+        ``fmt`` is ``parquet`` or ``orc`` (self-describing: filters and column
+        pruning reach the scan) or ``json``.  JSON is read with the declared
+        schema in FAILFAST mode, so a malformed row stops the job instead of
+        becoming NULLs; fields absent from older rows read as NULL.  With
+        ``json_arrays`` each file holds one JSON array of rows (a saved
+        response of the reference's row calls) instead of one row per line.
+        """
+        if fmt not in ("parquet", "orc", "json"):
+            raise ValueError(f"unsupported ledger format: {fmt}")
+
+        def read(path: str, schema: T.StructType) -> DataFrame:
+            if fmt == "json":
+                r = spark.read.schema(schema).option("mode", "FAILFAST")
+                return r.option("multiLine", json_arrays).json(path)
+            return spark.read.format(fmt).load(path)
+
         def loader(name: str, schema: T.StructType):
             def load() -> DataFrame:
                 path = f"{root.rstrip('/')}/{name}"
                 try:
-                    df = spark.read.parquet(path)
+                    df = read(path, schema)
                 except Exception:  # noqa: BLE001 - an absent optional table is empty
                     if name not in ("grants", "cart_events", "app_settings"):
                         raise

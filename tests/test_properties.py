@@ -195,3 +195,29 @@ def test_ledger_tables_push_filters_to_the_scan(spark, ledger_small, tmp_path):
     assert "EqualTo(is_active,true)" in text
     items = [ln for ln in scans if "invoice_id:bigint,product_id:bigint,quantity:bigint>" in ln]
     assert items, "the item scan reads exactly the three used columns"
+
+
+def test_ledger_from_json_and_orc(spark, ledger_small, tmp_path):
+    """JSON lines, JSON arrays and ORC ledgers give the same reads; malformed JSON fails fast."""
+    import json
+
+    import pytest
+
+    from outletlens.sources.ledger import Ledger
+    tables = ["customers", "invoices", "invoice_items", "products", "categories"]
+    for t in tables:
+        getattr(ledger_small, t).write.json(str(tmp_path / "jl" / t))
+        getattr(ledger_small, t).write.orc(str(tmp_path / "orc" / t))
+        rows = [json.loads(x) for x in getattr(ledger_small, t).toJSON().collect()]
+        (tmp_path / "arr" / t).mkdir(parents=True)
+        (tmp_path / "arr" / t / "part-0.json").write_text(json.dumps(rows))
+    want = sorted(tuple(r) for r in C.purchase_history(ledger_small).collect())
+    for sub, kw in (("jl", {"fmt": "json"}), ("orc", {"fmt": "orc"}), ("arr", {"fmt": "json", "json_arrays": True})):
+        L = Ledger.from_tables(spark, str(tmp_path / sub), **kw)
+        assert sorted(tuple(r) for r in C.purchase_history(L).collect()) == want, sub
+    bad = tmp_path / "bad"
+    for t in tables:
+        (bad / t).mkdir(parents=True)
+        (bad / t / "part-0.json").write_text('{"id": "not a number"}\n')
+    with pytest.raises(Exception):
+        Ledger.from_tables(spark, str(bad), fmt="json").customers.collect()
