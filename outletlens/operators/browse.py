@@ -105,6 +105,9 @@ def _shown_matches(matches: DataFrame, limit: int) -> DataFrame:
 
 # Keyword index: substrings of this length (shorter keywords use their own length).
 GRAM = 3
+# Product-hash buckets one keyword's candidate search is split into, so a
+# keyword matching most products (a one-letter search) is never one task.
+SEARCH_BUCKETS = 32
 
 
 def _grams(text: Column, n: Column) -> Column:
@@ -147,13 +150,19 @@ def search_table(index: DataFrame, keywords: DataFrame, keyword_col: str = "keyw
           .withColumn("_n", F.least(F.lit(GRAM), F.length("_k"))))
     # The gram index is read for the frequencies and for the candidates (and
     # again by the count and the shown rows): written once.
-    grams = materialize(gram_index(index), "gram_index")
+    buckets = SEARCH_BUCKETS
+    grams = materialize(gram_index(index).withColumn(
+        "_b", F.pmod(F.xxhash64("product_id"), F.lit(buckets)).cast("int")), "gram_index")
     freq = grams.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("_f"))
     kwg = kw.select("keyword", "_k", F.col("_n").alias("n"), F.explode(_grams(F.col("_k"), F.col("_n"))).alias("gram"))
     # A gram no product holds has frequency 0: the keyword then has no candidates.
     best = kwg.join(freq, ["n", "gram"], "left").groupBy("keyword", "_k", "n").agg(
         F.min_by("gram", F.coalesce(F.col("_f"), F.lit(0))).alias("gram"))
-    cand = best.join(grams, ["n", "gram"]).select("keyword", "_k", "product_id")
+    # One row per keyword and product bucket, spread over tasks: a keyword's
+    # candidates (and their count and top rows, combined partially) split
+    # over the buckets instead of landing in the keyword's one partition.
+    fan = best.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).repartition("keyword", "_b")
+    cand = fan.join(grams, ["n", "gram", "_b"]).select("keyword", "_k", "product_id")
     if product_rows is None:
         rows = cand.join(index, "product_id")
     else:
