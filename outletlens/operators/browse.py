@@ -158,6 +158,9 @@ def search_table(index: DataFrame, keywords: DataFrame, keyword_col: str = "keyw
     # A gram no product holds has frequency 0: the keyword then has no candidates.
     best = kwg.join(freq, ["n", "gram"], "left").groupBy("keyword", "_k", "n").agg(
         F.min_by("gram", F.coalesce(F.col("_f"), F.lit(0))).alias("gram"))
+    # One row per distinct keyword, read by both the count and the shown rows:
+    # written once, so the keyword source (a whole search log) is read once.
+    best = materialize(best, "search_keywords")
     # One row per keyword and product bucket, spread over tasks: a keyword's
     # candidates (and their count and top rows, combined partially) split
     # over the buckets instead of landing in the keyword's one partition.

@@ -211,10 +211,9 @@ def ranked_popularity(ledger: Ledger, vis: Visibility = DEFAULT, pairs: DataFram
     """
     if counts is None:
         counts = owner_counts(owned_pairs(ledger) if pairs is None else pairs)
-    pop = counts
     prods = catalog_products(ledger, vis)
     # Ranked rows are a subset of the products, so the product count bounds them.
-    return global_rank(prods.join(pop, "product_id"), suggestion_order(), "rank",
+    return global_rank(prods.join(counts, "product_id"), suggestion_order(), "rank",
                        size_bound=ledger.product_count)
 
 
