@@ -65,11 +65,18 @@ def usable_tokens(ledger: Ledger) -> DataFrame:
 
 
 def resolve_tokens(ledger: Ledger, tokens: DataFrame, token_col: str = "token") -> DataFrame:
-    """Every input token with its outlet id, NULL when it does not resolve."""
-    t = tokens.withColumn("_ok", F.col(token_col).isNotNull() & (F.length(token_col) >= P.MIN_TOKEN_LENGTH))
-    known = usable_tokens(ledger)
-    joined = t.join(known, (F.col("_ok")) & (F.col(token_col) == F.col("catalog_token")), "left")
-    return joined.drop("_ok", "catalog_token")
+    """Every input token with its outlet id, NULL when it does not resolve.
+
+    Too-short and NULL tokens get a NULL key and can never match.  The token
+    table is outlet-sized and unique on the token, so this is the hot-key
+    left join: a link opened very often is a hot key, and NULL keys skip the
+    join instead of meeting in one shuffle partition.
+    """
+    ok = F.col(token_col).isNotNull() & (F.length(token_col) >= P.MIN_TOKEN_LENGTH)
+    t = tokens.withColumn("_key", F.when(ok, F.col(token_col)))
+    known = usable_tokens(ledger).select("outlet_id", F.col("catalog_token").alias("_key"))
+    joined = HK.dimension_join(t, known, "_key", ledger.customer_count, write_facts=False, how="left")
+    return joined.select(*tokens.columns, "outlet_id")
 
 
 def resolve_outlets(ledger: Ledger, outlets=None) -> DataFrame:

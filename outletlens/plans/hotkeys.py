@@ -24,21 +24,34 @@ BROADCAST_ROWS = 100_000
 HOT_KEYS = 4096
 
 
-def split_hot_join(left: DataFrame, on: str, hot_keys: DataFrame, dim: DataFrame) -> DataFrame:
-    """Inner join of ``left`` with ``dim`` (unique on ``on``).
+def split_hot_join(left: DataFrame, on: str, hot_keys: DataFrame, dim: DataFrame,
+                   how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``left`` with ``dim`` (unique on ``on``).
 
     ``hot_keys`` (column ``on``, at most a fixed number of rows) names the heavy
     keys.  Left rows are routed by one broadcast left join against them: hot
     rows join the dimension rows of the hot keys (a broadcast head of at most
-    as many rows; hot keys missing from ``dim`` drop out as in any inner join),
-    the others are shuffle-joined with ``dim``.
+    as many rows; hot keys missing from ``dim`` drop out of an inner join and
+    keep NULLs in a left join), the others are shuffle-joined with ``dim``.
+    In a left join, rows with a NULL key can match nothing: they skip the
+    join (and its shuffle, where they would all meet in one partition).
     """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join type: {how}")
     keys = hot_keys.select(on)
+    rest = None
+    if how == "left":
+        rest = left.filter(F.col(on).isNull())
+        left = left.filter(F.col(on).isNotNull())
     marked = left.join(F.broadcast(keys.withColumn(_HOT, F.lit(True))), on, "left")
     head = dim.join(F.broadcast(keys), on)
-    hot = marked.filter(F.col(_HOT).isNotNull()).drop(_HOT).join(F.broadcast(head), on)
-    cold = marked.filter(F.col(_HOT).isNull()).drop(_HOT).join(dim, on)
-    return hot.unionByName(cold)
+    hot = marked.filter(F.col(_HOT).isNotNull()).drop(_HOT).join(F.broadcast(head), on, how)
+    cold = marked.filter(F.col(_HOT).isNull()).drop(_HOT).join(dim, on, how)
+    out = hot.unionByName(cold)
+    if rest is not None:
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema.fields if f.name != on]
+        out = out.unionByName(rest.select(*rest.columns, *nulls))
+    return out
 
 
 def split_by_key_join(left: DataFrame, on: str, dim: DataFrame, is_hot) -> DataFrame:
@@ -60,8 +73,8 @@ def heaviest_keys(df: DataFrame, on: str, k: int) -> DataFrame:
 
 def dimension_join(facts: DataFrame, dim: DataFrame, on: str, dim_rows: int,
                    broadcast_rows: int | None = None, hot_keys: int | None = None,
-                   write_facts: bool = True) -> DataFrame:
-    """Many-to-one inner join of ``facts`` with ``dim`` (unique on ``on``).
+                   write_facts: bool = True, how: str = "inner") -> DataFrame:
+    """Many-to-one inner (or left) join of ``facts`` with ``dim`` (unique on ``on``).
 
     ``dim_rows`` is a proven bound of the dimension's row count (e.g. the
     product count).  Within ``broadcast_rows`` the dimension is broadcast.
@@ -75,7 +88,7 @@ def dimension_join(facts: DataFrame, dim: DataFrame, on: str, dim_rows: int,
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     k = HOT_KEYS if hot_keys is None else hot_keys
     if dim_rows <= limit:
-        return facts.join(F.broadcast(dim), on)
+        return facts.join(F.broadcast(dim), on, how)
     if write_facts:
         facts = materialize(facts, "facts")
-    return split_hot_join(facts, on, heaviest_keys(facts, on, k), dim)
+    return split_hot_join(facts, on, heaviest_keys(facts, on, k), dim, how)

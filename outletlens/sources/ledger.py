@@ -308,14 +308,23 @@ class Ledger:
 
         return cls(spark, {n: loader(n, sc) for n, sc in SCHEMAS.items()}, source="frames")
 
+    def row_count(self, name: str) -> int:
+        """Rows of one ledger table, counted once per ledger (size checks)."""
+        counts = self.__dict__.setdefault("_counts", {})
+        if name not in counts:
+            counts[name] = getattr(self, name).count()
+        return counts[name]
+
     @property
     def product_count(self) -> int:
-        """Rows of ``products``, counted once per ledger: the bound of every
-        product-sized size check (rank tables, one outlet's history)."""
-        counts = self.__dict__.setdefault("_counts", {})
-        if "products" not in counts:
-            counts["products"] = self.products.count()
-        return counts["products"]
+        """The bound of every product-sized size check (rank tables, one
+        outlet's history, product-dimension joins)."""
+        return self.row_count("products")
+
+    @property
+    def customer_count(self) -> int:
+        """The bound of outlet-sized size checks (the token table)."""
+        return self.row_count("customers")
 
     def replace(self, **frames: DataFrame) -> "Ledger":
         loaders = dict(self._loaders)

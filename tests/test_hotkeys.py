@@ -49,3 +49,17 @@ def test_dimension_join_both_paths_equal_plain_join(spark):
     want = _rows(facts.join(dim, "k"))
     assert _rows(dimension_join(facts, dim, "k", dim_rows=50)) == want             # broadcast whole
     assert _rows(dimension_join(facts, dim, "k", dim_rows=50, broadcast_rows=10, hot_keys=2)) == want
+
+
+def test_dimension_join_left_keeps_unmatched_and_null_keys(spark):
+    from outletlens.plans.hotkeys import dimension_join
+    facts, dim = _facts(spark), _dim(spark)
+    # a third of the rows have a NULL key, key 99 is heavy and has no dimension row
+    facts = facts.withColumn("k", F.when(F.col("fact_id") % 3 == 1, F.lit(None).cast("bigint")).otherwise(F.col("k")))
+    facts = facts.unionByName(spark.range(400).select((F.col("id") + 10_000).alias("fact_id"),
+                                                      F.lit(99).cast("bigint").alias("k")))
+    want = _rows(facts.join(dim, "k", "left"))
+    assert len(want) == facts.count()
+    assert _rows(dimension_join(facts, dim, "k", dim_rows=50, how="left")) == want
+    got = dimension_join(facts, dim, "k", dim_rows=50, broadcast_rows=10, hot_keys=2, write_facts=False, how="left")
+    assert _rows(got) == want
