@@ -5,7 +5,6 @@ import math
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from outletlens.functions import pricing as PR
 from outletlens.functions import text as TX
