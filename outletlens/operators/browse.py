@@ -13,6 +13,7 @@ from ..sources.ledger import Ledger
 from . import catalog as C
 
 SEARCH_LIMIT = 60          # fixed value: rows shown per search
+UNION_KEYWORDS = 16        # up to this many keywords, one filter branch each
 SORT_COLLATION = "id"  # Indonesian locale order for client sorts (T14)
 
 INDEX_COLUMNS = ["product_id", "name", "sku", "price", "unit", "category_name",
@@ -79,6 +80,11 @@ def search(index: DataFrame, keywords: list[str], limit: int = SEARCH_LIMIT) ->
     """
     if not keywords:
         raise ValueError("search needs at least one keyword")
+    if len(keywords) > UNION_KEYWORDS:
+        # Many keywords: one plan branch each would grow the plan and rescan
+        # the index per keyword; the keyword-table search does one pass.
+        table = index.sparkSession.createDataFrame([(k,) for k in keywords], "keyword string")
+        return search_table(index, table, limit=limit)
     # Few keywords: unioned filters (each a constant-folded literal), never a
     # join on ``contains``.
     parts = []

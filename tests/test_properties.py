@@ -221,3 +221,15 @@ def test_ledger_from_json_and_orc(spark, ledger_small, tmp_path):
         (bad / t / "part-0.json").write_text('{"id": "not a number"}\n')
     with pytest.raises(Exception):
         Ledger.from_tables(spark, str(bad), fmt="json").customers.collect()
+
+
+def test_search_with_many_keywords_takes_the_table_path(ledger_small, monkeypatch):
+    """Past UNION_KEYWORDS the list search runs as the keyword-table search, with the same rows."""
+    from outletlens.operators import browse as B
+    idx = B.normalize_products(C.product_listing(ledger_small), "https://x")
+    kws = ["ring", "  BLUE ", "SKU-0001", "zzzz", "r", "ed", "all r", "-00", "  ", "0", "q", "LL"]
+    want = sorted(tuple(r) for r in B.search(idx, kws).collect())
+    monkeypatch.setattr(B, "UNION_KEYWORDS", 3)
+    got = B.search(idx, kws)
+    assert "keyword" in got.columns
+    assert sorted(tuple(r) for r in got.select(*B.search(idx, kws[:2]).columns).collect()) == want
