@@ -1,17 +1,23 @@
-"""The reference's four per-token read calls, with its parameters and clamps.
-
-Each call is the batch plan of ``operators.catalog`` restricted to one token
-(one more filter), paged like the reference and ordered by its sort, with
-exactly the reference's result columns.  An unknown or too-short token gives
-zero rows in every call.  For many outlets at once use the batch operators
-directly; these calls are for switching over one read at a time.
+"""The reference's per-token calls, with its parameters and clamps.
+
+The four reads (outlet, history, suggestions, products) are the batch plans
+of ``operators.catalog`` restricted to one token (one more filter), paged like
+the reference and ordered by its sort, with exactly the reference's result
+columns.  ``search_products`` and ``build_order`` are the client-side steps
+that follow (keyword search over the listing; order lines, totals and message
+from a cart).  An unknown or too-short token gives zero rows in every call.
+For many outlets at once use the batch operators directly; these calls are for
+switching over one outlet at a time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .operators import browse as B
 from .operators import catalog as C
+from .operators import orders as O
 from .sources.ledger import Ledger
 
 HISTORY_COLUMNS = C.PRODUCT_COLUMNS + C.PHOTO_COLUMNS + ["order_count", "total_qty", "last_ordered"]
@@ -62,5 +68,30 @@ def get_products_all(ledger: Ledger, token: str, vis: C.Visibility = C.DEFAULT,
     return rows.orderBy("pos").select(*_cols(vis, PRODUCT_COLUMNS))
 
 
+def search_products(ledger: Ledger, token: str, keyword: str, storage_base_url: str | None = None,
+                    vis: C.Visibility = C.DEFAULT) -> DataFrame:
+    """The client search over the outlet's listing: total ``match_count`` and
+    the first 60 matches (``pos``) by name; nothing for an unknown token."""
+    listing = B.normalize_products(C.product_listing(ledger, token, vis), storage_base_url)
+    return B.search(listing, [keyword]).orderBy("pos")
+
+
+def build_order(ledger: Ledger, token: str, cart: DataFrame, vis: C.Visibility = C.DEFAULT
+                ) -> tuple[DataFrame, DataFrame]:
+    """Order lines (C18) and the order message row (C19/C20) for one outlet's cart.
+
+    ``cart`` holds the client's cart map: ``product_id, qty, unit`` (mode
+    ``'base'`` or ``'lusin'``) and ``position`` (insertion order).  Products
+    outside the listing and zero quantities drop out, as in the client.
+    """
+    outlet = C.resolve_outlets(ledger, token).select(F.max("outlet_id")).scalar()
+    entries = cart.select(outlet.alias("outlet_id"), "product_id", "qty", "unit", "position").filter(
+        F.col("outlet_id").isNotNull())
+    index = B.normalize_products(C.product_listing(ledger, vis=vis))
+    lines = O.order_lines(entries, index).orderBy("position")
+    message = O.order_message(lines, C.outlet_profile(ledger, token))
+    return lines, message
+
+
 __all__ = ["get_outlet", "get_history", "get_suggestions", "get_products", "get_history_all",
-           "get_products_all"]
+           "get_products_all", "search_products", "build_order"]

@@ -57,3 +57,29 @@ def test_products_pages_and_unknown_token(ledger_small):
         assert call(ledger_small, "unknown-token-000000000000").count() == 0
         assert call(ledger_small, tok[:12]).count() == 0                     # shorter than 16
     assert api.get_outlet(ledger_small, tok).count() == 1
+
+
+def test_search_products_gated_by_token(ledger_small):
+    tok = _token(ledger_small, _busiest(ledger_small))
+    rows = api.search_products(ledger_small, tok, "  RING ").collect()
+    assert rows and all("ring" in r.name.lower() or "ring" in (r.sku or "").lower() for r in rows)
+    assert [r.pos for r in rows] == list(range(1, len(rows) + 1))
+    assert rows[0].match_count >= len(rows)
+    assert api.search_products(ledger_small, "unknown-token-000000000000", "ring").count() == 0
+
+
+def test_build_order_for_one_cart(spark, ledger_small):
+    tok = _token(ledger_small, _busiest(ledger_small))
+    listing = C.product_listing(ledger_small).orderBy("product_id").limit(3).collect()
+    cart = spark.createDataFrame(
+        [(listing[0].product_id, 2, "base", 1), (listing[1].product_id, 1, "lusin", 2),
+         (listing[2].product_id, 0, "base", 3), (999_999, 4, "base", 4)],
+        "product_id bigint, qty int, unit string, position bigint")
+    lines, message = api.build_order(ledger_small, tok, cart)
+    got = lines.collect()
+    assert [r.product_id for r in got] == [listing[0].product_id, listing[1].product_id]  # qty 0, unknown drop
+    assert all(r.subtotal % 100 == 0 for r in got)
+    m = message.collect()
+    assert len(m) == 1 and m[0].line_count == 2 and m[0].total == sum(r.subtotal for r in got)
+    assert m[0].message.startswith("Pesanan ")
+    assert api.build_order(ledger_small, "unknown-token-000000000000", cart)[1].count() == 0
