@@ -76,6 +76,33 @@ def search_products(ledger: Ledger, token: str, keyword: str, storage_base_url:
     return B.search(listing, [keyword]).orderBy("pos")
 
 
+def browse_categories(ledger: Ledger, token: str, cart: DataFrame | None = None,
+                      vis: C.Visibility = C.DEFAULT) -> DataFrame:
+    """The category browser: ``category_name``, ``item_count`` and ``picked``
+    (distinct cart products with qty > 0; 0 without a cart), in locale order.
+    ``cart`` has at least ``product_id`` and ``qty``."""
+    listing = B.normalize_products(C.product_listing(ledger, token, vis))
+    roll = listing.groupBy("category_name").agg(F.count(F.lit(1)).alias("item_count"))
+    if cart is None:
+        out = roll.withColumn("picked", F.lit(0).cast("bigint"))
+    else:
+        chosen = cart.filter(F.col("qty") > 0).select("product_id").distinct()
+        picked = chosen.join(listing.select("product_id", "category_name"), "product_id").groupBy(
+            "category_name").agg(F.count(F.lit(1)).alias("picked"))
+        out = roll.join(picked, "category_name", "left").select(
+            "category_name", "item_count", F.coalesce(F.col("picked"), F.lit(0)).cast("bigint").alias("picked"))
+    return out.orderBy(F.collate(F.coalesce(F.col("category_name"), F.lit("")), B.SORT_COLLATION))
+
+
+def category_products(ledger: Ledger, token: str, category: str, storage_base_url: str | None = None,
+                      vis: C.Visibility = C.DEFAULT) -> DataFrame:
+    """The products of one category in listing order (``pos``); an unknown
+    category or token gives no rows."""
+    rows = B.category_items(C.product_listing(ledger, token, vis), category, storage_base_url,
+                            group_bound=ledger.product_count)
+    return rows.orderBy("pos")
+
+
 def build_order(ledger: Ledger, token: str, cart: DataFrame, vis: C.Visibility = C.DEFAULT
                 ) -> tuple[DataFrame, DataFrame]:
     """Order lines (C18) and the order message row (C19/C20) for one outlet's cart.
@@ -94,4 +121,4 @@ def build_order(ledger: Ledger, token: str, cart: DataFrame, vis: C.Visibility =
 
 
 __all__ = ["get_outlet", "get_history", "get_suggestions", "get_products", "get_history_all",
-           "get_products_all", "search_products", "build_order"]
+           "get_products_all", "search_products", "browse_categories", "category_products", "build_order"]

@@ -83,3 +83,19 @@ def test_build_order_for_one_cart(spark, ledger_small):
     assert len(m) == 1 and m[0].line_count == 2 and m[0].total == sum(r.subtotal for r in got)
     assert m[0].message.startswith("Pesanan ")
     assert api.build_order(ledger_small, "unknown-token-000000000000", cart)[1].count() == 0
+
+
+def test_category_browser(spark, ledger_small):
+    tok = _token(ledger_small, _busiest(ledger_small))
+    listing = C.product_listing(ledger_small).orderBy("product_id").collect()
+    cart = spark.createDataFrame([(listing[0].product_id, 3), (listing[0].product_id, 1), (listing[1].product_id, 0)],
+                                 "product_id bigint, qty int")
+    cats = api.browse_categories(ledger_small, tok, cart).collect()
+    assert sum(r.item_count for r in cats) == len(listing)
+    assert sum(r.picked for r in cats) == 1
+    assert [r.category_name for r in cats] == sorted(r.category_name for r in cats)   # ASCII names
+    first = cats[0].category_name
+    items = api.category_products(ledger_small, tok, first).collect()
+    assert len(items) == cats[0].item_count and [r.pos for r in items] == list(range(1, len(items) + 1))
+    assert api.category_products(ledger_small, tok, "no such category").count() == 0
+    assert api.browse_categories(ledger_small, "unknown-token-000000000000").count() == 0
