@@ -229,14 +229,21 @@ def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
+# Size-check counts shared by file-backed ledgers: (session, source, table, files) -> rows.
+_SESSION_COUNTS: dict[tuple, int] = {}
+
+
 class Ledger:
     """Lazily loaded ledger tables: a table is read on first use only."""
 
-    def __init__(self, spark: SparkSession, loaders: dict, source: str = ""):
+    def __init__(self, spark: SparkSession, loaders: dict, source: str = "", shared_counts: bool = False):
         self.spark = spark
         self.source = source
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
+        # Ledgers read straight from files share their size-check counts
+        # within the session (see ``row_count``).
+        self._shared_counts = shared_counts
 
     def __getattr__(self, name: str) -> DataFrame:
         loaders = self.__dict__.get("_loaders", {})
@@ -261,7 +268,7 @@ class Ledger:
             "app_settings": lambda: settings_frame(spark),
             "cart_events": lambda: map_cart_events(read("events")),
             "grants": lambda: spark.createDataFrame([], GRANTS),
-        }, source=sf_dir)
+        }, source=f"driver:{sf_dir}", shared_counts=True)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, root: str, fmt: str = "parquet",
@@ -296,7 +303,8 @@ class Ledger:
                 return conform(df, schema)
             return load
 
-        return cls(spark, {n: loader(n, sc) for n, sc in SCHEMAS.items()}, source=root)
+        return cls(spark, {n: loader(n, sc) for n, sc in SCHEMAS.items()}, source=f"{fmt}:{root}",
+                   shared_counts=True)
 
     @classmethod
     def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> "Ledger":
@@ -309,10 +317,27 @@ class Ledger:
         return cls(spark, {n: loader(n, sc) for n, sc in SCHEMAS.items()}, source="frames")
 
     def row_count(self, name: str) -> int:
-        """Rows of one ledger table, counted once per ledger (size checks)."""
+        """Rows of one ledger table for size checks, counted once.
+
+        A ledger read straight from files (``from_driver``/``from_tables``)
+        shares the count with every such ledger of the same session over the
+        same input files, as Spark itself caches file listings per session:
+        a table rewritten in place under the same file names needs a new
+        session.  Ledgers made by ``replace`` or from frames count their own.
+        """
         counts = self.__dict__.setdefault("_counts", {})
         if name not in counts:
-            counts[name] = getattr(self, name).count()
+            df = getattr(self, name)
+            key = None
+            if self.__dict__.get("_shared_counts"):
+                files = tuple(sorted(df.inputFiles()))
+                key = (id(self.spark), self.source, name, files) if files else None
+            if key is not None and key in _SESSION_COUNTS:
+                counts[name] = _SESSION_COUNTS[key]
+            else:
+                counts[name] = df.count()
+                if key is not None:
+                    _SESSION_COUNTS[key] = counts[name]
         return counts[name]
 
     @property

@@ -233,3 +233,14 @@ def test_search_with_many_keywords_takes_the_table_path(ledger_small, monkeypatc
     got = B.search(idx, kws)
     assert "keyword" in got.columns
     assert sorted(tuple(r) for r in got.select(*B.search(idx, kws[:2]).columns).collect()) == want
+
+
+def test_size_check_counts_shared_only_by_file_backed_ledgers(spark):
+    from outletlens.sources import ledger as LG
+    a = LG.Ledger.from_driver(spark, SF0001)
+    n = a.product_count
+    b = LG.Ledger.from_driver(spark, SF0001)
+    assert b.product_count == n
+    assert any(k[1] == f"driver:{SF0001}" and k[2] == "products" for k in LG._SESSION_COUNTS)
+    doubled = b.replace(products=b.products.unionByName(b.products))   # same files, twice the rows
+    assert doubled.product_count == 2 * n
