@@ -244,3 +244,16 @@ def test_size_check_counts_shared_only_by_file_backed_ledgers(spark):
     assert any(k[1] == f"driver:{SF0001}" and k[2] == "products" for k in LG._SESSION_COUNTS)
     doubled = b.replace(products=b.products.unionByName(b.products))   # same files, twice the rows
     assert doubled.product_count == 2 * n
+
+
+def test_driver_scans_read_only_the_mapped_columns(spark):
+    """Column pruning reaches the driver tables: lineitem is read for the mapped columns only."""
+    from __spark_entry__ import queries
+    want = {"purchase_history": "struct<l_orderkey:bigint,l_partkey:bigint,l_linenumber:int,l_quantity:double>",
+            "missing_price_list": "struct<l_orderkey:bigint,l_partkey:bigint,l_linenumber:int>"}
+    for name, schema in want.items():
+        df = queries()[name](spark, SF0001)
+        df.count()
+        scans = [ln for ln in df._jdf.queryExecution().executedPlan().toString().splitlines()
+                 if "FileScan" in ln and "lineitem" in ln]
+        assert scans and all(f"ReadSchema: {schema}" in ln for ln in scans), (name, scans)
