@@ -68,6 +68,13 @@ def get_products_all(ledger: Ledger, token: str, vis: C.Visibility = C.DEFAULT,
     return rows.orderBy("pos").select(*_cols(vis, PRODUCT_COLUMNS))
 
 
+def get_landing(ledger: Ledger, token: str, vis: C.Visibility = C.DEFAULT) -> DataFrame:
+    """The list the client opens first (``history``, else ``new``, else ``all``)
+    with the three list sizes; no row for an unknown token."""
+    return B.landing_summary(ledger, token, vis).select(
+        "history_count", "suggestion_count", "product_count", "landing")
+
+
 def search_products(ledger: Ledger, token: str, keyword: str, storage_base_url: str | None = None,
                     vis: C.Visibility = C.DEFAULT) -> DataFrame:
     """The client search over the outlet's listing: total ``match_count`` and
@@ -121,4 +128,5 @@ def build_order(ledger: Ledger, token: str, cart: DataFrame, vis: C.Visibility =
 
 
 __all__ = ["get_outlet", "get_history", "get_suggestions", "get_products", "get_history_all",
-           "get_products_all", "search_products", "browse_categories", "category_products", "build_order"]
+           "get_products_all", "get_landing", "search_products", "browse_categories", "category_products",
+           "build_order"]

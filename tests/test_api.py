@@ -99,3 +99,14 @@ def test_category_browser(spark, ledger_small):
     assert len(items) == cats[0].item_count and [r.pos for r in items] == list(range(1, len(items) + 1))
     assert api.category_products(ledger_small, tok, "no such category").count() == 0
     assert api.browse_categories(ledger_small, "unknown-token-000000000000").count() == 0
+
+
+def test_landing_for_one_token(ledger_small):
+    from outletlens.operators import browse as B
+    oid = _busiest(ledger_small)
+    tok = _token(ledger_small, oid)
+    got = [tuple(r) for r in api.get_landing(ledger_small, tok).collect()]
+    want = [tuple(r) for r in B.landing_summary(ledger_small).filter(F.col("outlet_id") == oid).select(
+        "history_count", "suggestion_count", "product_count", "landing").collect()]
+    assert got == want and got[0][3] == "history"
+    assert api.get_landing(ledger_small, "unknown-token-000000000000").count() == 0
