@@ -257,3 +257,21 @@ def test_driver_scans_read_only_the_mapped_columns(spark):
         scans = [ln for ln in df._jdf.queryExecution().executedPlan().toString().splitlines()
                  if "FileScan" in ln and "lineitem" in ln]
         assert scans and all(f"ReadSchema: {schema}" in ln for ln in scans), (name, scans)
+
+
+def _executed(df):
+    df.count()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_n_plans_limit_before_the_shuffle(spark):
+    """C5 per outlet and C13 per keyword: the top-N is limited in each map task
+    (partial WindowGroupLimit) and the match count pre-aggregated, before the
+    shuffle on the group key, so a hot outlet or keyword is never gathered whole."""
+    from __spark_entry__ import queries
+    plan = _executed(queries()["suggestions"](spark, SF0001))
+    assert any("WindowGroupLimit [outlet_id" in ln and "Partial" in ln for ln in plan.splitlines())
+    plan = _executed(queries()["search_log"](spark, SF0001))
+    lines = plan.splitlines()
+    assert any("WindowGroupLimit [keyword" in ln and "Partial" in ln for ln in lines)
+    assert any("partial_count(1)" in ln and "keys=[keyword" in ln for ln in lines)
