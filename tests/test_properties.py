@@ -275,3 +275,16 @@ def test_top_n_plans_limit_before_the_shuffle(spark):
     lines = plan.splitlines()
     assert any("WindowGroupLimit [keyword" in ln and "Partial" in ln for ln in lines)
     assert any("partial_count(1)" in ln and "keys=[keyword" in ln for ln in lines)
+
+
+def test_split_paths_broadcast_the_hot_heads(spark, monkeypatch):
+    """Beyond the broadcast bound, C4 and C5 route hot keys through a broadcast
+    left join and union the hot and shuffled parts (forced with tiny bounds)."""
+    from __spark_entry__ import queries
+    from outletlens.plans import hotkeys
+    monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(hotkeys, "HOT_KEYS", 8)
+    for name in ("purchase_history", "suggestions"):
+        lines = _executed(queries()[name](spark, SF0001)).splitlines()
+        assert any("Union" in ln for ln in lines), name
+        assert any("BroadcastHashJoin" in ln and "LeftOuter" in ln for ln in lines), name
