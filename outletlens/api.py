@@ -79,8 +79,8 @@ def search_products(ledger: Ledger, token: str, keyword: str, storage_base_url:
                     vis: C.Visibility = C.DEFAULT) -> DataFrame:
     """The client search over the outlet's listing: total ``match_count`` and
     the first 60 matches (``pos``) by name; nothing for an unknown token."""
-    listing = B.normalize_products(C.product_listing(ledger, token, vis), storage_base_url)
-    return B.search(listing, [keyword]).orderBy("pos")
+    listing = B.search_index(C.product_listing(ledger, token, vis), storage_base_url)
+    return B.search(listing, [keyword]).orderBy("pos").drop("raw_category")
 
 
 def browse_categories(ledger: Ledger, token: str, cart: DataFrame | None = None,

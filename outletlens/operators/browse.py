@@ -100,11 +100,21 @@ def search(index: DataFrame, keywords: list[str], limit: int = SEARCH_LIMIT) ->
     return _shown_matches(matches, limit)
 
 
+def search_index(listing: DataFrame, storage_base_url: str | None = None) -> DataFrame:
+    """The listing in client shape (C11) plus ``raw_category``, the category
+    before 'Lainnya' replaces a blank one: search ties follow listing order."""
+    return normalize_products(listing.withColumn("raw_category", F.col("category_name")), storage_base_url)
+
+
 def _shown_matches(matches: DataFrame, limit: int) -> DataFrame:
-    """Per keyword: total ``match_count`` and the first ``limit`` matches by name."""
+    """Per keyword: total ``match_count`` and the first ``limit`` matches by name.
+
+    The client sorts by name with a stable sort, so equal names keep listing
+    order: raw category NULLS LAST, then id (when the index carries
+    ``raw_category``; else the displayed category)."""
     counts = matches.groupBy("keyword").agg(F.count(F.lit(1)).alias("match_count"))
-    w = Window.partitionBy("keyword").orderBy(_sort_name(), F.col("category_name").asc_nulls_last(),
-                                              F.col("product_id"))
+    tie = F.col("raw_category") if "raw_category" in matches.columns else F.col("category_name")
+    w = Window.partitionBy("keyword").orderBy(_sort_name(), tie.asc_nulls_last(), F.col("product_id"))
     top = matches.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
     return top.join(counts, "keyword").withColumn("pos", F.col("pos").cast("bigint"))
 

@@ -125,7 +125,7 @@ def q_product_index(spark, sf_dir):
 
 
 def q_search(spark, sf_dir):
-    res = B.search(_index(_ledger(spark, sf_dir)), SEARCH_KEYWORDS)
+    res = B.search(B.search_index(C.product_listing(_ledger(spark, sf_dir)), STORAGE_BASE_URL), SEARCH_KEYWORDS)
     return res.select("keyword", "match_count", "pos", *NORM)
 
 
@@ -136,7 +136,7 @@ def q_search_log(spark, sf_dir):
     prods = L.products.select(F.col("id").alias("product_id"), "name", "sku")
     log = dimension_join(ev, prods, "product_id", L.product_count).selectExpr(
         "outlet_id", f"{SEARCH_LOG_KEYWORD} AS keyword")
-    res = B.search_table(_index(L), log, product_rows=L.product_count)
+    res = B.search_table(B.search_index(C.product_listing(L), STORAGE_BASE_URL), log, product_rows=L.product_count)
     return res.select("keyword", "match_count", "pos", *NORM)
 
 

@@ -150,3 +150,20 @@ def test_initial_and_phone(spark):
     assert one(spark, TX.initial(F.lit(None).cast("string"))) == "?"
     assert one(spark, TX.normalize_phone(F.lit("+62 812-3456-789"))) == "628123456789"
     assert one(spark, TX.short_date(F.lit(None).cast("date"))) == ""
+
+
+def test_t3_search_ties_follow_listing_order(spark):
+    """Equal names keep listing order (raw category NULLS LAST), not the order of
+    the displayed category, where blank and NULL both read 'Lainnya'."""
+    from outletlens.operators import browse as B
+    rows = [(1, "Sabun", None), (2, "Sabun", "Zebra"), (3, "Sabun", ""), (4, "Sabun", "Alpha")]
+    listing = spark.createDataFrame(
+        [(i, n, f"SKU-{i}", 1000.0, "pcs", c, None, None) for i, n, c in rows],
+        "product_id bigint, name string, sku string, price double, unit string, category_name string,"
+        " photo_thumb_path string, photo_large_path string")
+    idx = B.search_index(listing)
+    want = [3, 4, 2, 1]
+    got = [r.product_id for r in B.search(idx, ["sabun"]).orderBy("pos").collect()]
+    assert got == want
+    table = spark.createDataFrame([("sabun",)], "keyword string")
+    assert [r.product_id for r in B.search_table(idx, table).orderBy("pos").collect()] == want
