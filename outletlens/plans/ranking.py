@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .hotkeys import dimension_join
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
@@ -89,9 +90,12 @@ def group_position(df: DataFrame, group_cols: list[str], order: list[Column],
             w = Window.partitionBy(*group_cols).orderBy(*order)
             return df.withColumn(pos_col, F.row_number().over(w).cast("bigint"))
     ranked = _distributed_rank(df, [F.col(c).asc_nulls_last() for c in group_cols] + order, "_grank", True)
-    first = ranked.groupBy(*group_cols).agg(F.min("_grank").alias("_first"))
-    first = first.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], "_first")
-    cond = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols]
-    out = ranked.join(first, cond, "inner")
+    # One struct key per group: NULL group values match each other in it.
+    ranked = ranked.withColumn("_gkey", F.struct(*[F.col(c) for c in group_cols]))
+    # This path runs because some group is too big for one task, so that group
+    # is a hot key of the join back to the first ranks: the hot-key join
+    # broadcasts it (or all first ranks, when the groups are few).
+    first = materialize(ranked.groupBy("_gkey").agg(F.min("_grank").alias("_first")), "group_first")
+    out = dimension_join(ranked, first, "_gkey", first.count(), write_facts=False)
     return (out.withColumn(pos_col, (F.col("_grank") - F.col("_first") + F.lit(1)).cast("bigint"))
-            .drop("_grank", "_first", *[f"_g_{c}" for c in group_cols]))
+            .drop("_grank", "_first", "_gkey"))

@@ -293,3 +293,28 @@ def test_split_paths_broadcast_the_hot_heads(spark, monkeypatch):
     lines = _executed(queries()["suggestions"](spark, SF0001)).splitlines()
     assert any("Union" in ln for ln in lines)
     assert any("BroadcastHashJoin [rank" in ln and "BuildRight" in ln for ln in lines)
+
+
+def test_group_position_null_groups_on_every_path(spark, monkeypatch):
+    """Two group columns with NULLs and one hot group: the window path, the
+    distributed path and its hot-key split give the same positions."""
+    from outletlens.plans import hotkeys, ranking
+    df = spark.range(600).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") < 300, F.lit("hot"))
+        .otherwise(F.lit("b")).alias("g1"),
+        F.when(F.col("id") % 5 == 0, F.lit(None).cast("int")).otherwise(F.lit(1)).alias("g2"),
+        (F.col("id") * 7 % 11).alias("v"))
+    order = [F.col("v").asc(), F.col("id").asc()]
+
+    def run():
+        out = ranking.group_position(df, ["g1", "g2"], order)
+        return sorted((r.id, r.pos) for r in out.select("id", "pos").collect())
+
+    window = run()
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)
+    distributed = run()
+    monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(hotkeys, "HOT_KEYS", 1)
+    split = run()
+    assert window == distributed == split and len(window) == 600
