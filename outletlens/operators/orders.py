@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pricing as PR
 from ..functions import text as TX
 from ..plans import hotkeys as HK
+from ..session import materialize
 
 # Message wording.
 ORDER_HEADER = "Pesanan "
@@ -19,7 +20,7 @@ PRICE_PENDING_NOTE = "Boleh dipesan, harga menyusul"
 SUGGESTION_NOTE_TAIL = " · laris di toko lain"
 
 
-def cart_state(events: DataFrame) -> DataFrame:
+def cart_state(events: DataFrame, event_rows: int | None = None) -> DataFrame:
     """Reduce a change log ``(outlet_id, seq, product_id, qty, unit)`` to the cart.
 
     A qty of 0 deletes the entry; a later add re-inserts it at the end, while
@@ -31,6 +32,11 @@ def cart_state(events: DataFrame) -> DataFrame:
     before its shuffle) gives the latest state and the last delete; (2) the
     non-zero events join that state and a second grouped aggregation takes the
     first seq after the delete, carrying the (per-key constant) state along.
+
+    ``event_rows`` (a bound of the log's rows, hence of the cart entries)
+    makes the join back the hot-key join on one (outlet, product) key: an
+    entry changed very often is a hot key.  Without it AQE's skew split
+    handles that join.
     """
     ev = events.filter(F.col("product_id").isNotNull() & F.col("outlet_id").isNotNull()).select(
         "outlet_id", "product_id", "seq", "qty",
@@ -42,8 +48,17 @@ def cart_state(events: DataFrame) -> DataFrame:
         F.max_by("_dozen", "seq").alias("_mode"),
         F.max(F.when(F.col("qty") == 0, F.col("seq"))).alias("_del"),
     ).filter(F.col("_qty") != 0)
-    live = ev.filter(F.col("qty") != 0).select("outlet_id", "product_id", "seq").join(
-        last, ["outlet_id", "product_id"])
+    nonzero = ev.filter(F.col("qty") != 0).select("outlet_id", "product_id", "seq")
+    if event_rows is None:
+        live = nonzero.join(last, ["outlet_id", "product_id"])
+    else:
+        key = F.struct("outlet_id", "product_id")
+        state = last.select(key.alias("_entry"), "_qty", "_mode", "_del")
+        if event_rows > HK.BROADCAST_ROWS:
+            # Read by the hot and the shuffled branch: written once.
+            state = materialize(state, "cart_last")
+        live = HK.dimension_join(nonzero.withColumn("_entry", key), state, "_entry", event_rows,
+                                 write_facts=False).drop("_entry")
     # _qty/_mode are constant per key, so max() just carries them.
     first = live.filter(F.col("_del").isNull() | (F.col("seq") > F.col("_del"))).groupBy(
         "outlet_id", "product_id").agg(F.min("seq").alias("position"), F.max("_qty").alias("qty"),

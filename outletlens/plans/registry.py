@@ -53,8 +53,13 @@ def _index(L: Ledger) -> DataFrame:
     return B.normalize_products(C.product_listing(L), STORAGE_BASE_URL)
 
 
+def _cart(L: Ledger) -> DataFrame:
+    """C16 with the event count as the bound of the cart entries (hot-key join back)."""
+    return O.cart_state(L.cart_events, L.row_count("cart_events"))
+
+
 def _lines(L: Ledger) -> DataFrame:
-    return O.order_lines(O.cart_state(L.cart_events), _index(L), product_rows=L.product_count)
+    return O.order_lines(_cart(L), _index(L), product_rows=L.product_count)
 
 
 # --- C1 / C2 / C3 -----------------------------------------------------------
@@ -146,7 +151,7 @@ def q_category_rollup(spark, sf_dir):
 
 def q_category_picks(spark, sf_dir):
     L = _ledger(spark, sf_dir)
-    return B.category_picks(_index(L), O.cart_state(L.cart_events), product_rows=L.product_count)
+    return B.category_picks(_index(L), _cart(L), product_rows=L.product_count)
 
 
 def q_category_items(spark, sf_dir):
@@ -162,7 +167,7 @@ def q_landing_summary(spark, sf_dir):
 
 # --- C16 - C20, C22, C36 ----------------------------------------------------
 def q_cart_state(spark, sf_dir):
-    return O.cart_state(_ledger(spark, sf_dir).cart_events)
+    return _cart(_ledger(spark, sf_dir))
 
 
 def q_clean_quantity(spark, sf_dir):
@@ -193,7 +198,7 @@ def q_review_list(spark, sf_dir):
 
 def q_display_rows(spark, sf_dir):
     L = _ledger(spark, sf_dir)
-    cart = O.cart_state(L.cart_events).select("outlet_id", "product_id", "qty", F.col("unit").alias("mode"),
+    cart = _cart(L).select("outlet_id", "product_id", "qty", F.col("unit").alias("mode"),
                                                "position")
     rows = dimension_join(cart, _index(L), "product_id", L.product_count)
     return O.display_rows(rows).select("outlet_id", "position", "product_id", "price_tag", "second_line",
