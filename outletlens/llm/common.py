@@ -2,21 +2,56 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on; memory per task is a small multiple of it.
 BLOCK_BYTES = 1 << 21
 
+#: Groups that are broadcast: one is heavy from 1 / HEAVY of all rows, so there are at most HEAVY.
+HEAVY = 4096
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, heavy: int = HEAVY) -> DataFrame:
+    """Left join of rows with their groups, each of ``size`` rows out of ``total``.
+
+    The at most ``heavy`` groups of ``total / heavy`` rows or more are
+    broadcast, so their rows do not meet in one task; the others are shuffled.
+    Rows with a null in ``on`` match nothing and skip the shuffle.
+    """
+    least = max(2, -(-total // heavy))
+    key = F.lit(True)
+    for c in on:
+        key = key & F.col(c).isNotNull()
+    first = rows.join(F.broadcast(groups.filter(F.col(size) >= least)), on, "left")
+    done = F.col(size).isNotNull() | ~key
+    added = [c for c in groups.columns if c not in on]
+    rest = first.filter(~done).drop(*added).join(groups.filter(F.col(size) < least), on, "left")
+    return first.filter(done).unionByName(rest)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+class Shared:
+    """A broadcast object whose class travels with it, so executors need no package."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self) -> Any:
+        return pickle.loads(self._bytes.value)
+
+
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty.  No copy unless nulls are present."""
     if isinstance(column, pa.ChunkedArray):

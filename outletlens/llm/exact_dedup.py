@@ -26,12 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import table
+from .common import HEAVY, join_groups, table
 
 #: Runs that one round merges into one.
 FAN_IN = 16
-#: Winners that are broadcast: a group is heavy from 1 / HEAVY of all rows, so there are at most HEAVY.
-HEAVY = 4096
 #: Characters that do not count (fixed by the contract): space and U+0009 to U+000D.
 IGNORED = " \t\n\x0b\x0c\r"
 
@@ -70,12 +68,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fan
     size = digests.agg(F.count(F.lit(1)).alias("rows"), F.max("_run").alias("last")).first()
     merged = tree_merge(digests, (size["last"] or 0) + 1, fan_in).filter("group_size > 1")
     merged = materialize(merged, "digest_groups")
-    least = max(2, -(-size["rows"] // heavy))
-    # At most `heavy` groups have `least` rows: their rows meet a broadcast table, not one task.
-    large = digests.join(F.broadcast(merged.filter(F.col("group_size") >= least)), _KEY, "left")
-    small = large.filter(F.col("group_size").isNull()).drop("keep_id", "group_size").join(merged.filter(F.col("group_size") < least), _KEY, "left")
+    judged = join_groups(digests, merged, _KEY, "group_size", size["rows"], heavy)
     single = F.col("group_size").isNull()
-    judged = large.filter(F.col("group_size").isNotNull()).unionByName(small)
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
     return judged.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
                          F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))

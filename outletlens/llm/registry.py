@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import decontamination, exact_dedup, near_dedup, packing, quality
 
 QUERIES = {
+    "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+    "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE = {
+    "op7_benchmark_decontamination": decontamination.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
