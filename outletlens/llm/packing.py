@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import slices, strings, table
-from .tokens import Encoder, byte_bpe_path
+from .tokens import byte_bpe_path, encoder
 
 #: Tokens of a sequence.
 WINDOW = 2048
@@ -42,17 +42,17 @@ def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """part, part_offset, doc_id, n_tokens, width and ids of every document, end token included."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = Encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encoder.dtype).tobytes()
+        encode_text, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], encode_text.dtype).tobytes()
         for batch in batches:
             for rows in slices(batch, "text"):
-                ids = [encoder(x) + end for x in strings(rows.column("text"))]
-                n = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
+                ids = [encode_text(x) + end for x in strings(rows.column("text"))]
+                n = np.array([len(x) // encode_text.dtype.itemsize for x in ids], np.int64)
                 offsets = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(ids), part), pa.int32()), pa.array(offsets), rows.column("doc_id").cast(pa.int64()), pa.array(n),
-                     pa.array(np.full(len(ids), encoder.dtype.itemsize), pa.int32()), pa.array(ids, pa.binary())],
+                     pa.array(np.full(len(ids), encode_text.dtype.itemsize), pa.int32()), pa.array(ids, pa.binary())],
                     ["part", "part_offset", "doc_id", "n_tokens", "width", "ids"])
 
     schema = "part int, part_offset bigint, doc_id bigint, n_tokens bigint, width int, ids binary"
