@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, near_dedup, packing, quality
+from . import decontamination, exact_dedup, near_dedup, packing, pii, quality, token_counts, url_filters
 
 QUERIES = {
+    "op1_url_filters": url_filters.op1_url_filters,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op4_pii": pii.op4_pii,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
@@ -13,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_url_filters": url_filters.SQL,
     "op7_benchmark_decontamination": decontamination.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
