@@ -79,3 +79,37 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
 
 def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
+
+
+#: Rows of ``summed``: an array of numbers, cut into numbered chunks, from one part of the work.
+PARCELS = "part int, chunk int, sums binary"
+
+
+def parcels(part: int, chunks: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(chunks), pa.int32()), pa.array(list(chunks), pa.int32()),
+                                       pa.array([x.tobytes() for x in chunks.values()], pa.binary())], ["part", "chunk", "sums"])
+
+
+def summed(rows: DataFrame, dtype: type, fan_in: int = 64) -> dict[int, np.ndarray]:
+    """Sums of the parts' arrays by chunk.
+
+    A task holds running sums only.  Each round sums up to ``fan_in`` parts of
+    a chunk, so none reads what all tasks sent; the last one's result has the
+    size of one array, whatever the corpus.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for part, chunk, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                x, key = np.frombuffer(x, dtype), (part // fan_in, chunk)
+                sums[key] = sums[key] + x if key in sums else x
+        for (part, chunk), x in sums.items():
+            yield parcels(part, {chunk: x})
+
+    for _ in range(2):
+        rows = rows.repartition(F.col("chunk"), F.floor(F.col("part") / fan_in)).mapInArrow(run, PARCELS)
+    out: dict[int, np.ndarray] = {}
+    for row in rows.toLocalIterator():
+        x = np.frombuffer(row["sums"], dtype)
+        out[row["chunk"]] = out[row["chunk"]] + x if row["chunk"] in out else x
+    return out

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Shared, slices, table, utf8_column
+from .common import PARCELS, Shared, parcels, slices, summed, table, utf8_column
 
 BUCKETS = 1 << 13
 #: Dimensions of the index vectors, and how many of them are not zero.
@@ -93,42 +93,16 @@ def _contexts(docs: DataFrame, text: str) -> DataFrame:
                     sorted_ = bucket[own][order]
                     first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
                     sums[sorted_[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
-        yield _parcels(TaskContext.get().partitionId(), {c: x for c, x in enumerate(np.split(sums, _CHUNKS)) if x.any()})
+        yield parcels(TaskContext.get().partitionId(), {c: x for c, x in enumerate(np.split(sums, _CHUNKS)) if x.any()})
 
-    return docs.select(text).mapInArrow(run, _PARCELS)
-
-
-_PARCELS = "part int, chunk int, sums binary"
-
-
-def _parcels(part: int, chunks: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part] * len(chunks), pa.int32()), pa.array(list(chunks), pa.int32()),
-                                       pa.array([x.astype("<i8").tobytes() for x in chunks.values()], pa.binary())], ["part", "chunk", "sums"])
-
-
-def _summed(parcels: DataFrame, by: list[Column]) -> DataFrame:
-    """One parcel per value of ``by`` in a task; a task holds running sums only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for part, chunk, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                x = np.frombuffer(x, "<i8")
-                key = (part // 64, chunk)
-                sums[key] = sums[key] + x if key in sums else x
-        for (part, chunk), x in sums.items():
-            yield _parcels(part, {chunk: x})
-
-    return parcels.repartition(_CHUNKS, *by).mapInArrow(run, _PARCELS)
+    return docs.select(text).mapInArrow(run, PARCELS)
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Word vector of each bucket: scaled context vector, index vector."""
-    parcels = _contexts(docs, text)
-    parcels = _summed(parcels, [F.col("chunk"), F.floor(F.col("part") / 64)])
     sums = np.zeros((_CHUNKS, BUCKETS // _CHUNKS * DIMENSIONS), np.int64)
-    for row in _summed(parcels, [F.col("chunk")]).toLocalIterator():  # of fixed size, whatever the corpus
-        sums[row["chunk"]] += np.frombuffer(row["sums"], "<i8")
+    for chunk, x in summed(_contexts(docs, text), np.int64).items():
+        sums[chunk] = x
     context = sums.reshape(BUCKETS, DIMENSIONS).astype(np.float64)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     context = np.divide(context, norm, out=np.zeros_like(context), where=norm > 0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, near_dedup, packing, pii, quality, token_counts, url_filters
+from . import decontamination, exact_dedup, lm_scoring, near_dedup, packing, pii, quality, repeats, token_counts, url_filters
 
 QUERIES = {
+    "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_pii": pii.op4_pii,
