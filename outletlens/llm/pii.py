@@ -179,7 +179,7 @@ def _surrogate(key: str, kind: Column, value: Column, norm: Column, draw: Column
     code = F.concat(F.substr(value, F.lit(1), head), _mapped(F.substr(value, head + 1), h))
     iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _spaced(F.substr(value, F.lit(3)), _mapped(F.substr(norm, F.lit(3)), h)))
     # A secret grows when its format seems to have no free surrogate left.
-    secret = F.concat(_mapped(value, h), F.substr(_number(h, F.lit(40)), F.lit(1), F.greatest(draw - 20, F.lit(0))))
+    secret = F.concat(_mapped(value, h), F.substr(_number(h, F.lit(40)), F.lit(1), F.greatest(draw - 3, F.lit(0))))
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "mac", mac).when(kind == "ssn", _filled(value, _number(h, n)))
             .when(kind == "iban", iban).when(kind == "key", code).when(kind == "hex", hexes).when(kind == "card", card).when(kind == "phone", phone)
             .when(kind == "person", _person(key, value, h, draw)).otherwise(secret))

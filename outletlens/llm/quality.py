@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: Shared, rows: int = TRAIN
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     got = sorted(picked.mapInArrow(features, f"doc_id {dict(docs.dtypes)['doc_id']}, label double, x binary").dropDuplicates(["doc_id"]).collect())
-    x = np.array([np.frombuffer(r["x"], "<f8") for r in got]).reshape(len(got), -1)
+    x = np.stack([np.frombuffer(r["x"], "<f8") for r in got]) if got else np.zeros((0, 1))
     return Network(x, np.array([float(r["label"] >= 0.5) for r in got]))
 
 
