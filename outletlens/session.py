@@ -3,14 +3,17 @@
 The library never creates a cluster session on its own: jobs take the
 ``SparkSession`` they are given.  ``local_session`` is for tests and the bench
 only.  ``ensure_checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session
-(the shared folder a cluster names) and only falls back to a fresh scratch
-folder when the setting is absent, as it is in local tests.
+(the shared folder a cluster names) and falls back to a fresh scratch folder
+only on a local master, as in tests.
 """
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,14 +41,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting a local one only if unset."""
+    """Return the reliable checkpoint folder.
+
+    Without ``spark.checkpoint.dir`` a scratch folder is made, but only where
+    driver and executors share this machine (a ``local[...]`` master): on a
+    cluster each executor would write to its own disk, so that is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
-        # Only reached without a cluster-provided folder (local tests / bench).
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="outletlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
@@ -58,13 +67,27 @@ def materialize(df, name: str):
     This cuts lineage like ``checkpoint()`` but computes the input only once
     (a reliable ``checkpoint()`` runs its input twice: once to count, once to
     write).  Used for intermediates that are read more than once or whose
-    recomputation must not change (row ids).
+    recomputation must not change (row ids).  ``drop`` deletes them.
     """
-    import uuid
-
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     # The schema is known: reading it back needs no footer-inference job.
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(spark: SparkSession, *tables) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more.
+
+    Spark frees the shuffle files of finished jobs when the driver's garbage
+    is collected, which a small driver may put off for long; it is asked for
+    here.
+    """
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
