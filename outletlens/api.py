@@ -55,13 +55,13 @@ def get_products(ledger: Ledger, token: str, limit: int | None = C.DEFAULT_PAGE,
     return rows.orderBy("pos").select(*_cols(vis, PRODUCT_COLUMNS))
 
 
-def get_history_all(ledger: Ledger, token: str, vis: C.Visibility = C.DEFAULT, guard: bool = True) -> DataFrame:
-    """The drained history: every page until a short one (and the 50 000-row guard)."""
+def get_history_all(ledger: Ledger, token: str, vis: C.Visibility = C.DEFAULT, guard: bool = False) -> DataFrame:
+    """The drained history: every page until a short one (with ``guard``, the client's 50 000-row stop)."""
     rows = C.drain(C.positioned_history(ledger, token, vis), guard=guard)
     return rows.orderBy("pos").select(*_cols(vis, HISTORY_COLUMNS))
 
 
-def get_products_all(ledger: Ledger, token: str, vis: C.Visibility = C.DEFAULT, guard: bool = True) -> DataFrame:
+def get_products_all(ledger: Ledger, token: str, vis: C.Visibility = C.DEFAULT, guard: bool = False) -> DataFrame:
     """The drained listing (the client's full-listing fetch)."""
     gate = C.resolve_outlets(ledger, token).exists()
     rows = C.drain(C.positioned_listing(ledger, vis), guard=guard).filter(gate)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import js_trim
+
 # Fixed values of the pricing rules.
 PCS_PER_DOZEN = 12
 MODE_BASE = "base"
@@ -79,6 +81,6 @@ def line_subtotal(qty="qty", price="price", mode="mode", unit="unit") -> Column:
 
 def clean_quantity(text="text") -> Column:
     """Typed text -> leading integer (parseInt semantics) or 0, clamped 0..9999."""
-    lead = F.regexp_extract(_c(text).cast("string"), r"^\s*([+-]?\d+)", 1)
+    lead = F.regexp_extract(js_trim(_c(text).cast("string")), r"^([+-]?[0-9]+)", 1)
     value = F.nullif(lead, F.lit("")).try_cast("double")
     return F.greatest(F.lit(0.0), F.least(F.lit(9999.0), F.coalesce(value, F.lit(0.0)))).cast("bigint")

@@ -13,7 +13,6 @@ from ..sources.ledger import Ledger
 from . import catalog as C
 
 SEARCH_LIMIT = 60          # fixed value: rows shown per search
-UNION_KEYWORDS = 16        # up to this many keywords, one filter branch each
 SORT_COLLATION = "id"  # Indonesian locale order for client sorts (T14)
 
 INDEX_COLUMNS = ["product_id", "name", "sku", "price", "unit", "category_name",
@@ -75,28 +74,17 @@ def search(index: DataFrame, keywords: list[str], limit: int = SEARCH_LIMIT) ->
     """Literal, case-folded substring search in name or sku.
 
     One row per shown match: keyword, total ``match_count``, ``pos`` (1..limit)
-    by name (locale order), ties in listing order.  The per-keyword top-N is a
+    by name (locale order), ties in listing order; a repeated keyword counts once.  The per-keyword top-N is a
     ``row_number`` filter that Spark plans as a partial ``WindowGroupLimit``.
     """
     if not keywords:
         raise ValueError("search needs at least one keyword")
-    if len(keywords) > UNION_KEYWORDS:
-        # Many keywords: one plan branch each would grow the plan and rescan
-        # the index per keyword; the keyword-table search does one pass.
-        table = index.sparkSession.createDataFrame([(k,) for k in keywords], "keyword string")
-        return search_table(index, table, limit=limit)
-    # Few keywords: unioned filters (each a constant-folded literal), never a
-    # join on ``contains``.
-    parts = []
-    for raw in keywords:
-        k = clean_keyword(F.lit(raw))
-        m = index.filter((k != F.lit("")) & (
-            F.contains(F.lower(F.col("name")), k)
-            | F.contains(F.lower(F.coalesce(F.col("sku"), F.lit(""))), k)))
-        parts.append(m.withColumn("keyword", F.lit(raw)))
-    matches = parts[0]
-    for p in parts[1:]:
-        matches = matches.unionByName(p)
+    # One pass over the index: each product lists the keywords it holds.
+    terms = F.array(*[F.struct(F.lit(k).alias("keyword"), clean_keyword(F.lit(k)).alias("term"))
+                      for k in dict.fromkeys(keywords)])
+    name, sku = F.lower(F.col("name")), F.lower(F.coalesce(F.col("sku"), F.lit("")))
+    held = F.filter(terms, lambda k: (k.term != F.lit("")) & (F.contains(name, k.term) | F.contains(sku, k.term)))
+    matches = index.select("*", F.explode(held).alias("_term")).select(*index.columns, F.col("_term.keyword"))
     return _shown_matches(matches, limit)
 
 
@@ -244,8 +232,8 @@ def landing_summary(ledger: Ledger, outlets=None, vis: C.Visibility = C.DEFAULT,
     pairs = materialize(HK.dimension_join(C.owned_pairs(ledger), sellable, "product_id", ledger.product_count),
                         "sellable_pairs")
     ranked = pairs.select(F.count_distinct("product_id")).scalar()
-    h = (pairs.join(ids.withColumnRenamed("outlet_id", "customer_id"), "customer_id", "left_semi")
-         .groupBy(F.col("customer_id").alias("outlet_id")).agg(F.count(F.lit(1)).alias("history_count")))
+    # Counted for every customer; the left join below keeps the asked outlets.
+    h = pairs.groupBy(F.col("customer_id").alias("outlet_id")).agg(F.count(F.lit(1)).alias("history_count"))
     n_products = C.product_listing(ledger, vis=vis).select(F.count(F.lit(1))).scalar()
     hc = F.coalesce(F.col("history_count"), F.lit(0)).cast("bigint")
     out = ids.join(h, "outlet_id", "left").select(

@@ -89,7 +89,7 @@ def resolve_outlets(ledger: Ledger, outlets=None) -> DataFrame:
             return known.filter(F.lit(False)).select("outlet_id")
         return known.filter(F.col("catalog_token") == F.lit(outlets)).select("outlet_id")
     if "outlet_id" in outlets.columns:
-        return outlets.select(F.col("outlet_id").cast("bigint")).dropDuplicates()
+        return outlets.select(F.col("outlet_id").cast(known.schema["outlet_id"].dataType)).dropDuplicates()
     return (resolve_tokens(ledger, outlets.select(F.col("token")))
             .filter(F.col("outlet_id").isNotNull()).select("outlet_id").dropDuplicates())
 
@@ -145,7 +145,8 @@ def bought(ledger: Ledger) -> DataFrame:
     vp = valid_purchases(ledger).filter(F.col("customer_id").isNotNull() & F.col("product_id").isNotNull())
     return vp.groupBy("customer_id", "product_id").agg(
         F.count_distinct("invoice_id").alias("order_count"),
-        F.sum("quantity").cast("bigint").alias("total_qty"),
+        # Rounded after the sum: quantities may be fractional.
+        F.round(F.sum("quantity")).cast("bigint").alias("total_qty"),
         F.max("invoice_date").alias("last_ordered"),
     )
 
@@ -265,7 +266,8 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
     # Slot count: limit + every product the outlet bought (an upper bound of the
     # ranked ones it must skip).  Slots past the last rank find no product and
     # fall out in the final join, so no global count is needed.
-    owned_n = mine.groupBy(F.col("customer_id").alias("outlet_id")).agg(F.count(F.lit(1)).alias("_owned"))
+    # Counted for every customer; the left join keeps the asked outlets.
+    owned_n = pairs.groupBy(F.col("customer_id").alias("outlet_id")).agg(F.count(F.lit(1)).alias("_owned"))
     need = ids.join(owned_n, "outlet_id", "left").select(
         "outlet_id", (F.lit(n) + F.coalesce(F.col("_owned"), F.lit(0))).alias("_slots"))
     blocks = need.select(
@@ -343,12 +345,13 @@ def with_page_numbers(positioned: DataFrame, limit=None, pos_col: str = "pos") -
     return positioned.withColumn("page_no", F.floor((F.col(pos_col) - 1) / F.lit(n)).cast("bigint"))
 
 
-def drain(positioned: DataFrame, chunk: int = DEFAULT_PAGE, guard: bool = True,
+def drain(positioned: DataFrame, chunk: int = DEFAULT_PAGE, guard: bool = False,
           pos_col: str = "pos") -> DataFrame:
     """The rows a page-by-page drain returns.
 
-    Pages stop at the first short page; with the guard, also once more than
-    50 000 rows are held, checked after appending (so 51 pages of 1 000).
+    Pages stop at the first short page, so that is every row.  With the
+    client's guard they also stop once more than 50 000 rows are held, checked
+    after appending (so 51 pages of 1 000).
     """
     if not guard:
         return positioned

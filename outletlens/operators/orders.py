@@ -22,7 +22,7 @@ SUGGESTION_NOTE_TAIL = " · laris di toko lain"
 def cart_state(events: DataFrame) -> DataFrame:
     """Reduce a change log ``(outlet_id, seq, product_id, qty, unit)`` to the cart.
 
-    A qty of 0 deletes the entry; a later add re-inserts it at the end, while
+    A qty of 0 or NULL deletes the entry; a later add re-inserts it at the end, while
     an update of a present entry keeps its place.  The mode is ``'lusin'`` or
     ``'base'`` (any other value counts as base, as in the pricing rules).  Result per live entry:
     latest ``qty`` and ``unit`` (mode) and ``position`` = first seq after the
@@ -33,7 +33,8 @@ def cart_state(events: DataFrame) -> DataFrame:
     first seq after the delete, carrying the (per-key constant) state along.
     """
     ev = events.filter(F.col("product_id").isNotNull() & F.col("outlet_id").isNotNull()).select(
-        "outlet_id", "product_id", "seq", "qty",
+        "outlet_id", "product_id", "seq",
+        F.coalesce(F.col("qty"), F.lit(0)).alias("qty"),  # no quantity deletes, as 0 does
         # Mode is a two-valued enum: aggregate it as 0/1 so every aggregation
         # buffer is fixed-width and Spark keeps a hash (not sort) aggregate.
         (F.col("unit") == F.lit(PR.MODE_DOZEN)).cast("int").alias("_dozen"))

@@ -47,7 +47,7 @@ def with_rotated_tokens(customers: DataFrame, outlet_ids: DataFrame) -> DataFram
 
     Adds ``token_rotated`` and keeps the previous token as ``previous_token``.
     """
-    ids = outlet_ids.select(F.col("outlet_id").cast("bigint").alias("_rid")).dropDuplicates()
+    ids = outlet_ids.select(F.col("outlet_id").cast(customers.schema["id"].dataType).alias("_rid")).dropDuplicates()
     c = customers.join(ids, F.col("id") == F.col("_rid"), "left")
     hit = F.col("_rid").isNotNull()
     return c.select(

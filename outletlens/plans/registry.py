@@ -22,7 +22,7 @@ from ..sources.ledger import Ledger, map_link_opens, read_driver_table
 
 # Fixed query parameters (mirrored in the oracle SQL).
 STORAGE_BASE_URL = "https://store.example.com"
-SEARCH_KEYWORDS = ["ring", "  BLUE ", "SKU-0001", "zzzz"]
+SEARCH_KEYWORDS = ["ring", "  BLUE ", "SKU-0001", "zzzz", "ring"]  # a repeated keyword counts once
 HISTORY_PAGE_SIZE = 5
 UNKNOWN_TOKEN = "unknown-token-000000000000"
 # Derived search log: each cart event searches a fragment of its product's
@@ -209,9 +209,11 @@ def q_history_notes(spark, sf_dir):
 
 # --- C23 - C27 --------------------------------------------------------------
 def q_issue_tokens(spark, sf_dir):
-    snap = TK.with_issued_tokens(_ledger(spark, sf_dir).customers)
+    customers = _ledger(spark, sf_dir).customers
+    snap = TK.with_issued_tokens(customers.withColumn("_before", F.col("catalog_token")))
     return snap.select("id", "token_issued", F.length("catalog_token").cast("bigint").alias("token_length"),
-                       F.col("catalog_token").rlike("^[0-9a-f]{32}$").alias("token_is_hex"))
+                       F.col("catalog_token").rlike("^[0-9a-f]{32}$").alias("token_is_hex"),
+                       F.coalesce(F.col("catalog_token") == F.col("_before"), F.lit(False)).alias("keeps_old_token"))
 
 
 def q_rotate_tokens(spark, sf_dir):

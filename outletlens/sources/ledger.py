@@ -17,6 +17,7 @@ All frames are lazy; no operator materialises a table unless it says so.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ INVOICES = T.StructType([
 INVOICE_ITEMS = T.StructType([
     T.StructField("invoice_id", T.LongType()),
     T.StructField("product_id", T.LongType()),
-    T.StructField("quantity", T.LongType()),
+    T.StructField("quantity", T.DoubleType()),
 ])
 PRODUCTS = T.StructType([
     T.StructField("id", T.LongType()),
@@ -51,7 +52,7 @@ PRODUCTS = T.StructType([
     T.StructField("unit", T.StringType()),
     T.StructField("category_id", T.StringType()),
     T.StructField("is_active", T.BooleanType()),
-    T.StructField("stock_quantity", T.LongType()),
+    T.StructField("stock_quantity", T.DoubleType()),
     T.StructField("photo_thumb_path", T.StringType()),
     T.StructField("photo_large_path", T.StringType()),
 ])
@@ -99,13 +100,26 @@ SETTINGS_ROWS = [
 ]
 
 
+#: Columns that name a row of some table.  Numbers in the driver mapping; a ledger of
+#: its own may have text (uuid) instead, which is kept.
+ID_COLUMNS = {"customers": ["id"], "invoices": ["id", "customer_id"], "invoice_items": ["invoice_id", "product_id"],
+              "products": ["id"], "cart_events": ["outlet_id", "product_id"]}
+
+
+def with_text_ids(name: str, schema: T.StructType) -> T.StructType:
+    """The table's schema with text ids."""
+    ids = ID_COLUMNS.get(name, [])
+    return T.StructType([T.StructField(f.name, T.StringType()) if f.name in ids else f for f in schema.fields])
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the schema's columns in order, casting, and NULL-fill missing ones."""
-    present = set(df.columns)
+    """Select the schema's columns in order, casting, and NULL-fill missing ones.  Text ids stay text."""
+    present, ids = set(df.columns), {c for columns in ID_COLUMNS.values() for c in columns}
     cols = []
     for f in schema.fields:
         if f.name in present:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+            text_id = f.name in ids and isinstance(df.schema[f.name].dataType, T.StringType)
+            cols.append(F.col(f.name) if text_id else F.col(f.name).cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return df.select(*cols)
@@ -229,10 +243,6 @@ def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
-# Size-check counts shared by file-backed ledgers: (session, source, table, files) -> rows.
-_SESSION_COUNTS: dict[tuple, int] = {}
-
-
 class Ledger:
     """Lazily loaded ledger tables: a table is read on first use only."""
 
@@ -272,22 +282,28 @@ class Ledger:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, root: str, fmt: str = "parquet",
-                    json_arrays: bool = False) -> "Ledger":
+                    json_arrays: bool = False, text_ids: bool = False) -> "Ledger":
         """Read ledger-schema tables from ``<root>/<name>``; enforce schemas.
 
         ``fmt`` is ``parquet`` or ``orc`` (self-describing: filters and column
         pruning reach the scan) or ``json``.  JSON is read with the declared
         schema in FAILFAST mode, so a malformed row stops the job instead of
-        becoming NULLs; fields absent from older rows read as NULL.  With
+        becoming NULLs; fields absent from older rows read as NULL; prices,
+        quantities and stock may be given as text, and ids are text (uuid)
+        with ``text_ids``.  The other formats keep text ids as they are.  With
         ``json_arrays`` each file holds one JSON array of rows (a saved
         response of the reference's row calls) instead of one row per line.
         """
         if fmt not in ("parquet", "orc", "json"):
             raise ValueError(f"unsupported ledger format: {fmt}")
 
-        def read(path: str, schema: T.StructType) -> DataFrame:
+        def read(name: str, path: str, schema: T.StructType) -> DataFrame:
             if fmt == "json":
-                r = spark.read.schema(schema).option("mode", "FAILFAST")
+                # Numbers may be given as text: cast after the read.
+                numbers = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
+                loose = T.StructType([T.StructField(f.name, T.StringType()) if f.name in numbers else f
+                                      for f in (with_text_ids(name, schema) if text_ids else schema).fields])
+                r = spark.read.schema(loose).option("mode", "FAILFAST")
                 return r.option("multiLine", json_arrays).json(path)
             return spark.read.format(fmt).load(path)
 
@@ -295,9 +311,10 @@ class Ledger:
             def load() -> DataFrame:
                 path = f"{root.rstrip('/')}/{name}"
                 try:
-                    df = read(path, schema)
-                except Exception:  # noqa: BLE001 - an absent optional table is empty
-                    if name not in ("grants", "cart_events", "app_settings"):
+                    df = read(name, path, schema)
+                except AnalysisException as e:
+                    # An absent optional table is empty; any other failure is one.
+                    if name not in ("grants", "cart_events", "app_settings") or e.getCondition() != "PATH_NOT_FOUND":
                         raise
                     df = spark.createDataFrame([], schema)
                 return conform(df, schema)
@@ -319,25 +336,19 @@ class Ledger:
     def row_count(self, name: str) -> int:
         """Rows of one ledger table for size checks, counted once.
 
-        A ledger read straight from files (``from_driver``/``from_tables``)
-        shares the count with every such ledger of the same session over the
-        same input files, as Spark itself caches file listings per session:
-        a table rewritten in place under the same file names needs a new
-        session.  Ledgers made by ``replace`` or from frames count their own.
+        Ledgers read straight from files (``from_driver``/``from_tables``)
+        share the count within a session as long as the files keep their
+        total size.  Ledgers made by ``replace`` or from frames count their own.
         """
         counts = self.__dict__.setdefault("_counts", {})
         if name not in counts:
             df = getattr(self, name)
-            key = None
+            known, key = {}, None
             if self.__dict__.get("_shared_counts"):
-                files = tuple(sorted(df.inputFiles()))
-                key = (id(self.spark), self.source, name, files) if files else None
-            if key is not None and key in _SESSION_COUNTS:
-                counts[name] = _SESSION_COUNTS[key]
-            else:
-                counts[name] = df.count()
-                if key is not None:
-                    _SESSION_COUNTS[key] = counts[name]
+                known = self.spark.__dict__.setdefault("_outletlens_counts", {})
+                key = (self.source, name, str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            counts[name] = known[key] if key in known else df.count()
+            known[key] = counts[name]
         return counts[name]
 
     @property

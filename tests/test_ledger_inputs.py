@@ -1,0 +1,98 @@
+"""Ledgers with text ids, fractional numbers, JSON numbers as text, and broken inputs."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from outletlens.functions import pricing as PR
+from outletlens.operators import audits, catalog as C, orders as O
+from outletlens.session import drop, ensure_checkpoint_dir, materialize
+from outletlens.sources.ledger import CART_EVENTS, Ledger
+
+TOKEN = "0123456789abcdef0123456789abcdef"
+ROWS = {
+    "customers": [{"id": "3f0e8a54-0001", "name": "A", "store_name": "Toko A", "catalog_token": TOKEN}],
+    "invoices": [{"id": "inv-1", "customer_id": "3f0e8a54-0001", "invoice_date": "2025-01-02", "status": "paid", "verification_status": "verified"}],
+    "invoice_items": [{"invoice_id": "inv-1", "product_id": "h0", "quantity": "0.5"}, {"invoice_id": "inv-1", "product_id": "h0", "quantity": 0.5}],
+    "products": [{"id": "h0", "name": "Teh", "sku": "S0", "price": "25000.00", "unit": "pcs", "category_id": None, "is_active": True, "stock_quantity": "0.5"},
+                 {"id": "h1", "name": "Kopi", "sku": "S1", "price": "0.00", "unit": "pcs", "category_id": None, "is_active": True, "stock_quantity": 3}],
+    "categories": [],
+}
+
+
+def write(root, arrays):
+    for name, rows in ROWS.items():
+        folder = root / name
+        folder.mkdir()
+        text = json.dumps(rows) if arrays else "\n".join(map(json.dumps, rows))
+        (folder / "rows.json").write_text(text)
+
+
+@pytest.mark.parametrize("arrays", [False, True])
+def test_json_rows_with_text_ids_and_text_numbers(spark, tmp_path, arrays):
+    write(tmp_path, arrays)
+    ledger = Ledger.from_tables(spark, str(tmp_path), fmt="json", json_arrays=arrays, text_ids=True)
+    (row,) = C.purchase_history(ledger, TOKEN).collect()
+    # 0.5 + 0.5 is rounded after the sum; a stock of 0.5 is in stock.
+    assert (row["product_id"], row["total_qty"], row["price"], row["last_ordered"]) == ("h0", 1, 25000.0, dt.date(2025, 1, 2))
+    assert [r["product_id"] for r in C.product_listing(ledger).orderBy("product_id").collect()] == ["h0", "h1"]
+    assert [r["sku"] for r in audits.missing_price_list(ledger).collect()] == ["S1"]
+    assert C.suggestions(ledger).count() == 0
+
+
+def test_parquet_ledger_keeps_text_ids(spark, tmp_path):
+    write(tmp_path, False)
+    ledger = Ledger.from_tables(spark, str(tmp_path), fmt="json", text_ids=True)
+    for name in ("customers", "invoices", "invoice_items", "products", "categories"):
+        getattr(ledger, name).write.parquet(str(tmp_path / "p" / name))
+    again = Ledger.from_tables(spark, str(tmp_path / "p"))
+    assert dict(again.products.dtypes)["id"] == "string" and C.purchase_history(again, TOKEN).count() == 1
+
+
+def test_absent_optional_tables_are_empty_and_broken_ones_are_errors(spark, tmp_path):
+    ledger = Ledger.from_tables(spark, str(tmp_path))
+    assert ledger.cart_events.count() == 0
+    (tmp_path / "cart_events").mkdir()
+    (tmp_path / "cart_events" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|FAILED_READ"):
+        Ledger.from_tables(spark, str(tmp_path)).cart_events.count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        Ledger.from_tables(spark, str(tmp_path)).customers.count()
+
+
+def test_missing_quantity_deletes_a_cart_entry(spark):
+    rows = [(1, None, 1, 1, 1, "base"), (2, None, 1, 1, None, "base"), (3, None, 1, 1, 4, "base"), (1, None, 2, 1, 1, "base"), (2, None, 2, 1, None, "base")]
+    cart = O.cart_state(spark.createDataFrame(rows, CART_EVENTS)).collect()
+    assert [(r["outlet_id"], r["qty"], r["position"]) for r in cart] == [(1, 4, 3)]
+
+
+def test_typed_quantity_trims_every_javascript_space(spark):
+    texts = [" 12", "﻿7x", " \t3", "٣", "-4", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(PR.clean_quantity("text").alias("q")).collect()
+    assert [r["q"] for r in got] == [12, 7, 3, 0, 0, 0]
+
+
+def test_scratch_tables_are_dropped_and_need_a_shared_folder(spark, monkeypatch):
+    table = materialize(spark.range(5).withColumn("x", F.lit(1)), "scratch_test")
+    assert table.count() == 5
+    drop(spark, table)
+    with pytest.raises(Exception, match="(?i)not.found|does not exist|no such file|PATH_NOT_FOUND|FAILED_READ"):
+        spark.read.parquet(table.scratch_path).count()
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
