@@ -13,6 +13,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -89,5 +90,7 @@ def drop(spark: SparkSession, *tables) -> None:
     for table in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the JVM learns of Python's dropped references only after the first
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
