@@ -16,9 +16,12 @@
    Nodes that lie within one component need no more comparisons.  In the rest,
    every class outside the node's largest component is compared with every
    class of the node that is not in its own component: by minwise tokens first
-   (within four standard errors of the threshold), then on full sets.  Large
-   nodes are cut into a grid of blocks of at most ``LEAF`` classes by ``LEAF``,
-   so no task holds a node, and none is capped.
+   (within four standard errors of the threshold), then on full sets.  A
+   first round verifies only the best partner in each other component, which
+   connects almost all; the last round verifies every pair that is left, inside
+   the tasks, and returns no more links than connect the classes.  Large nodes are
+   cut into a grid of blocks of at most about ``LEAF`` classes by ``LEAF``, so
+   no task holds a node, none is capped, and no list of pairs is written.
 4. Components of all verified links.  Only links inside an already connected
    component are left out, so components are those of all links found.
 
@@ -54,7 +57,9 @@ RECALL = 0.9999
 #: Similarity of unlike documents that the depth is laid out for.
 UNLIKE = 0.05
 #: Classes on either side of one exhaustive comparison.
-LEAF = 256
+LEAF = 1024
+#: Rounds in which each class is compared with its likeliest partners only, before the exhaustive one.
+BEST_ROUNDS = 2
 
 
 def plan_trees(classes: int, percent: int = PERCENT) -> tuple[int, int]:
@@ -170,6 +175,16 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return wanted.mapInArrow(run, "id bigint, set binary")
 
 
+def _similar(x, y, percent: int) -> bool:
+    """Whether two non-empty full sets are similar enough."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    same = int((q[at] == p).sum())
+    return 100 * same >= percent * (len(p) + len(q) - same)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
@@ -179,48 +194,92 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             x, y = batch.column("x"), batch.column("y")
             ok = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    continue
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                same = int((q[at] == p).sum())
-                ok[i] = 100 * same >= percent * (len(p) + len(q) - same)
+                ok[i] = _similar(x[i].as_buffer(), y[i].as_buffer(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components in the same block of a node.
+def _blocks(members: DataFrame, found: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Comparisons left to make: node, i, j, side (0: to be compared, 1: with these), id, component, tokens.
+
+    Nodes within one component have none.  In the others, block (i, j) holds the
+    i-th part of the classes outside the node's largest component, and the j-th
+    part of all its classes.
+    """
+    placed = members.join(found, "id", "left").select("node", "n", "id", F.coalesce("component", "id").alias("component"))
+    placed = materialize(placed, "placed")
+    parts = placed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    parts = parts.groupBy("node").agg(F.max(F.struct("k", "component")).alias("main"), F.max("n").alias("n")).filter("main.k < n")
+    parts = parts.select("node", F.col("main.component").alias("main"), F.ceil(F.col("n") / LEAF).cast("int").alias("blocks"),
+                         F.ceil((F.col("n") - F.col("main.k")) / LEAF).cast("int").alias("odd_blocks"))
+    open_ = placed.join(parts, "node").join(tokens, "id")
+    draw = F.xxhash64("id")
+    odd = open_.filter("component <> main").withColumn("i", F.pmod(draw, "odd_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = open_.withColumn("j", F.pmod(draw, "blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)))
+    columns = ["node", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
+    return odd.select(*columns, F.lit(0).alias("side"), "id", "component", "tokens").union(each.select(*columns, F.lit(1).alias("side"), "id", "component", "tokens"))
+
+
+def _compared(blocks: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
+    """Pairs (a, b) of different components in a block whose minwise tokens agree well enough.
 
-    ``members``: node, i, j, side (0: to be compared, 1: with these), id,
-    component, tokens.
+    Not exhaustive: each class's best partner in each other component, still to
+    be verified.  Exhaustive (``blocks`` with full sets): all pairs are verified
+    here, best first; what is returned are links, without those between classes
+    that the block's links so far connect.
     """
     t = percent / 100
     least = POSITIONS * (t - 4 * math.sqrt(t * (1 - t) / POSITIONS))
 
+    def pairs(left: list, right: list) -> Iterator[tuple[int, int]]:
+        (li, lc, lt), (ri, rc, rt) = ((np.array([r[0] for r in side]), np.array([r[1] for r in side]),
+                                       np.frombuffer(b"".join(r[2] for r in side), np.uint8).reshape(len(side), -1)) for side in (left, right))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
+        for i in range(len(li)):
+            agree = (rt == lt[i]).sum(axis=1)
+            hit = np.flatnonzero((agree >= least) & (rc != lc[i]))
+            hit = hit[np.argsort(-agree[hit], kind="stable")]
+            if exhaustive:
+                for j in hit.tolist():
+                    x, y = root(int(lc[i])), root(int(rc[j]))
+                    if x != y and _similar(left[i][3], right[j][3], percent):
+                        parent[max(x, y)] = min(x, y)
+                        yield int(li[i]), int(ri[j])
+            else:
+                for j in hit[np.sort(np.unique(rc[hit], return_index=True)[1])].tolist():
+                    yield int(li[i]), int(ri[j])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, left, right = None, [], []
-
-        def pairs():
-            if left and right:
-                (li, lc, lt), (ri, rc, rt) = ((np.array([r[0] for r in side]), np.array([r[1] for r in side]),
-                                               np.frombuffer(b"".join(r[2] for r in side), np.uint8).reshape(len(side), -1)) for side in (left, right))
-                for i in range(len(li)):
-                    hit = np.flatnonzero(((rt == lt[i]).sum(axis=1) >= least) & (rc != lc[i]))
-                    if len(hit):
-                        a, b = np.minimum(ri[hit], li[i]), np.maximum(ri[hit], li[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        names = ["node", "i", "j", "side", "id", "component", "tokens"] + ["set"] * exhaustive
+        block, sides = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if got := list(pairs(*sides)) if all(sides) else []:
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in got], pa.int64()), pa.array([max(x) for x in got], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for key, i, j, side, id_, component, tokens in zip(*(batch.column(c).to_pylist() for c in ("node", "i", "j", "side", "id", "component", "tokens"))):
-                if (key, i, j) != node:
-                    yield from pairs()
-                    node, left, right = (key, i, j), [], []
-                (right if side else left).append((id_, component, tokens))
-        yield from pairs()
+            for node, i, j, side, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
+                if (node, i, j) != block:
+                    yield from done()
+                    block, sides = (node, i, j), ([], [])
+                sides[side].append(row)
+        yield from done()
 
-    return members.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    return blocks.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _join_up(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of all links, with the components so far standing for theirs."""
+    if links.isEmpty():
+        return found
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -242,23 +301,12 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     links = materialize(verified(pairs, sets, percent), "links")
 
     found = components(links)
-    placed = members.join(found, "id", "left").select("node", "n", "id", F.coalesce("component", "id").alias("component"))
-    placed = materialize(placed, "placed")
-    split = placed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
-    split = split.groupBy("node").agg(F.max(F.struct("k", "component")).alias("main"), F.max("n").alias("n")).filter("main.k < n")
-    split = split.select("node", F.col("main.component").alias("main"), F.ceil(F.col("n") / LEAF).cast("int").alias("blocks"),
-                         F.ceil((F.col("n") - F.col("main.k")) / LEAF).cast("int").alias("odd_blocks"))
-    open_ = placed.join(split, "node").join(classes.select("id", "tokens"), "id")
-    draw = F.xxhash64("id")
-    # The classes outside the main component, in their row of the grid, meet all classes of the node, in their column.
-    odd = open_.filter("component <> main").withColumn("i", F.pmod(draw, "odd_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = open_.withColumn("j", F.pmod(draw, "blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)))
-    columns = ["node", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
-    grid = odd.select(*columns, F.lit(0).alias("side"), "id", "component", "tokens").union(each.select(*columns, F.lit(1).alias("side"), "id", "component", "tokens"))
-    more = materialize(verified(materialize(_across(grid, percent), "pairs"), sets, percent), "links")
-    if not more.isEmpty():
-        # Old components stand for their links.
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    tokens = classes.select("id", "tokens")
+    for _ in range(BEST_ROUNDS):
+        best = materialize(_compared(_blocks(members, found, tokens), percent, exhaustive=False), "pairs")
+        found = _join_up(found, materialize(verified(best, sets, percent), "links"))
+    last = _blocks(members, found, tokens).join(sets, "id")
+    found = _join_up(found, materialize(_compared(last, percent, exhaustive=True), "links"))
 
     # Only classes with copies or links differ from "on its own".
     linked = classes.join(found.withColumnRenamed("component", "component_id"), "id", "left").filter("size > 1 OR component_id IS NOT NULL")
