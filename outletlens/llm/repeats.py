@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import drop, materialize
 from . import words as W
 from .common import slices, table, utf8_column
 
@@ -50,9 +50,9 @@ LENGTH = 200
 PERIOD = 133
 COVER = [1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121]
 #: Bytes of a chunk of documents.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Samples or strings that a bucket holds on average.
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 
 _SHARED = LENGTH - PERIOD + 1
 _NO_ANSWER = 0xFFFFFFFF
@@ -219,60 +219,48 @@ def _result(buf: np.ndarray, starts: np.ndarray) -> tuple[int, int, int, str, by
     return len(buf), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest
 
 
-_JUDGED = "kind int, chunk bigint, bucket bigint, place bigint, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, hashes binary, starts binary, bytes binary"
-_FINAL, _OPEN, _STRINGS = 0, 1, 2
+class Judged:
+    """A chunk with its samples' marks: what is known to be repeated, and which strings are still to be sorted."""
 
+    def __init__(self, batch: pa.RecordBatch, row: int, buckets: int):
+        self.buf, self.offs = _unpacked(batch, row)
+        s = Samples(self.buf, self.offs, buckets)
+        tied, stands = np.zeros((2, len(s.kind)), bool)
+        for mark in batch.column("found")[row].as_py() or ():
+            part = slice(*np.searchsorted(s.of_bucket, [mark["bucket"], mark["bucket"] + 1]))
+            n = part.stop - part.start
+            tied[part], stands[part] = np.unpackbits(np.frombuffer(mark["marks"], np.uint8), count=2 * n).reshape(2, n).astype(bool)
+        known, one = tied[s.entry], s.one[stands]
+        #: By start of a string.
+        self.repeated = _spread(s.low[known], s.high[known], len(self.buf))
+        self.open = _spread(s.low[one], s.high[one], len(self.buf))
 
-def judge_chunks(packed: DataFrame, marks: DataFrame, buckets: int, with_bytes: bool) -> DataFrame:
-    """Final rows of documents without open strings, open documents, and the strings to sort."""
-    names = [c.split()[0] for c in _JUDGED.split(", ")]
-    types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    kinds = [types[c.split()[1]] for c in _JUDGED.split(", ")]
 
-    def batch_of(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(names, kinds)], names)
+_STRINGS = "bucket bigint, chunk bigint, hashes binary, starts binary"
+
+
+def open_strings(marked: DataFrame, buckets: int) -> DataFrame:
+    """Per chunk and bucket: hashes of the strings to sort, and their starts if they need an answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, chunk in enumerate(batch.column("chunk").to_pylist()):
-                buf, offs = _unpacked(batch, row)
-                s = Samples(buf, offs, buckets)
-                tied, stands = np.zeros((2, len(s.kind)), bool)
-                for mark in batch.column("found")[row].as_py() or ():
-                    part = slice(*np.searchsorted(s.of_bucket, [mark["bucket"], mark["bucket"] + 1]))
-                    n = part.stop - part.start
-                    tied[part], stands[part] = np.unpackbits(np.frombuffer(mark["marks"], np.uint8), count=2 * n).reshape(2, n).astype(bool)
-                known = tied[s.entry]
-                repeated = _spread(s.low[known], s.high[known], len(buf))
-                one = s.one[stands]
-                open_ = np.flatnonzero(_spread(s.low[one], s.high[one], len(buf)))
-                h = W.hashes(buf, open_, open_ + LENGTH, lower=False)
-                values, place, count = np.unique(h, return_inverse=True, return_counts=True)
-                repeated[open_[count[place] > 1]] = True
-                answer = np.full(len(values), _NO_ANSWER, np.uint32)
-                asked = ~repeated[open_]
-                answer[place[asked]] = open_[asked]
-                to = (values % np.uint64(buckets)).astype(np.int64)
+                judged = Judged(batch, row, buckets)
+                start = np.flatnonzero(judged.open)
+                h = W.hashes(judged.buf, start, start + LENGTH, lower=False)
+                asked = ~judged.repeated[start]
+                # Strings known to be repeated only answer others; one of each is enough.
+                h = np.concatenate([h[asked], np.unique(h[~asked])])
+                start = np.append(start[asked], np.full(len(h) - asked.sum(), _NO_ANSWER)).astype(np.uint32)
+                to = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                values, answer, to = values[order], answer[order], to[order]
+                h, start, to = h[order], start[order], to[order]
                 own = np.unique(to)
-                rows = [{"kind": _STRINGS, "chunk": chunk, "bucket": int(b), "hashes": values[x:y].tobytes(), "starts": answer[x:y].tobytes()}
-                        for b, x, y in zip(own, np.searchsorted(to, own), np.searchsorted(to, own, "right"))]
-                waits = np.zeros(len(offs) - 1, bool)
-                waits[np.searchsorted(offs, open_[asked], side="right") - 1] = True
-                starts = np.flatnonzero(repeated)
-                cuts = np.searchsorted(starts, offs)
-                for d, doc_id in enumerate(batch.column("doc_ids")[row].as_py()):
-                    text, own_starts = buf[offs[d]: offs[d + 1]], starts[cuts[d]: cuts[d + 1]] - offs[d]
-                    if waits[d]:
-                        rows.append({"kind": _OPEN, "chunk": chunk, "place": int(offs[d]), "doc_id": doc_id, "starts": own_starts.astype(np.uint32).tobytes(), "bytes": text.tobytes()})
-                    else:
-                        rows.append(dict(zip(["kind", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], [_FINAL, doc_id, *_result(text, own_starts)[: 5 if with_bytes else 4]])))
-                for i in range(0, len(rows), 1000):
-                    yield batch_of(rows[i: i + 1000])
+                cuts = [slice(x, y) for x, y in zip(np.searchsorted(to, own), np.searchsorted(to, own, "right"))]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.full(len(own), chunk), pa.int64()), pa.array([h[c].tobytes() for c in cuts], pa.binary()),
+                                                  pa.array([start[c].tobytes() for c in cuts], pa.binary())], [c.split()[0] for c in _STRINGS.split(", ")])
 
-    found = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "marks")).alias("found"))
-    return packed.join(found, "chunk", "left").select("chunk", "doc_ids", "ends", "bytes", "found").mapInArrow(run, _JUDGED)
+    return marked.mapInArrow(run, _STRINGS)
 
 
 def sort_strings(strings: DataFrame) -> DataFrame:
@@ -295,41 +283,44 @@ def sort_strings(strings: DataFrame) -> DataFrame:
                 if hit[end - n: end].any():
                     yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()), pa.array([start[end - n: end][hit[end - n: end]].tobytes()], pa.binary())], ["chunk", "more"])
 
-    dealt = strings.select("bucket", "chunk", "hashes", "starts").repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    dealt = strings.repartition("bucket").sortWithinPartitions("bucket", "chunk")
     return dealt.mapInArrow(run, "chunk bigint, more binary")
 
 
 _OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def settle(open_: DataFrame, answers: DataFrame, with_bytes: bool) -> DataFrame:
-    """Final rows of the open documents."""
+def settle(marked: DataFrame, buckets: int, with_bytes: bool) -> DataFrame:
+    """The documents of the chunks without what is repeated."""
     schema = _OUT + ", kept binary" * with_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                text = np.frombuffer(r["bytes"], np.uint8)
-                more = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in r["more"] or ())]).astype(np.int64) - r["place"]
-                starts = np.concatenate([np.frombuffer(r["starts"], np.uint32).astype(np.int64), more[(more >= 0) & (more < len(text))]])
-                rows.append((r["doc_id"], *_result(text, starts)[: 5 if with_bytes else 4]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string(), pa.binary()][: 1 + with_bytes])], [c.split()[0] for c in schema.split(", ")])
+            for row in range(batch.num_rows):
+                judged = Judged(batch, row, buckets)
+                for more in batch.column("answers")[row].as_py() or ():
+                    judged.repeated[np.frombuffer(more, np.uint32)] = True
+                starts, offs = np.flatnonzero(judged.repeated), judged.offs
+                cuts = np.searchsorted(starts, offs)
+                rows = [(doc_id, *_result(judged.buf[a:b], starts[x:y] - a)[: 5 if with_bytes else 4])
+                        for doc_id, a, b, x, y in zip(batch.column("doc_ids")[row].as_py(), offs, offs[1:], cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string(), pa.binary()][: 1 + with_bytes])], [c.split()[0] for c in schema.split(", ")])
 
-    by_chunk = answers.groupBy("chunk").agg(F.collect_list("more").alias("more"))
-    return open_.select("chunk", "place", "doc_id", "starts", "bytes").join(by_chunk, "chunk", "left").mapInArrow(run, schema)
+    return marked.mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, with_bytes: bool = True, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every document."""
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total * len(COVER) / PERIOD / bucket))
     packed = materialize(chunks(docs, chunk), "chunks")
     marks = materialize(rank_samples(sample_entries(packed, buckets)), "sample_ranks")
-    judged = materialize(judge_chunks(packed, marks, buckets, with_bytes), "judged")
-    answers = materialize(sort_strings(judged.filter(F.col("kind") == _STRINGS)), "string_ranks")
-    names = [c.split()[0] for c in _OUT.split(", ")] + ["kept"] * with_bytes
-    return judged.filter(F.col("kind") == _FINAL).select(*names).unionByName(settle(judged.filter(F.col("kind") == _OPEN), answers, with_bytes))
+    drop(spark)
+    marked = packed.join(marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "marks")).alias("found")), "chunk", "left")
+    answers = materialize(sort_strings(open_strings(marked, buckets)), "string_ranks")
+    drop(spark)
+    return settle(marked.join(answers.groupBy("chunk").agg(F.collect_list("more").alias("answers")), "chunk", "left"), buckets, with_bytes)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
