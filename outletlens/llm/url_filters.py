@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import words as W
 from .common import Shared, table
 
 #: The contract's rules: (verdict, key); fixed values.
@@ -46,6 +47,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
+def _places(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, count: int) -> Iterator[np.ndarray]:
+    """The bits of each key; every level draws its own, or two keys could fall together in all of them."""
+    a, b = W.mix(h1 + np.uint64(2 * level + 1)), W.mix(h2 + np.uint64(2 * level + 2)) | np.uint64(1)
+    for i in range(count):
+        yield (a + np.uint64(i) * b) % np.uint64(bits)
+
+
 class Cascade:
     """Levels of (bits, hash count, words) for each shard."""
 
@@ -58,8 +66,7 @@ class Cascade:
         at = np.flatnonzero(h1 % np.uint64(self.shards) == self.shard)
         for k, (bits, count, words) in enumerate(self.levels):
             passed = np.ones(len(at), bool)
-            for i in range(count):
-                p = (h1[at] + np.uint64(i) * h2[at]) % np.uint64(bits)
+            for p in _places(h1[at], h2[at], k, bits, count):
                 passed &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
             at = at[passed]
             out[at] = k % 2 == 0
@@ -67,7 +74,7 @@ class Cascade:
 
 
 def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(1), key).alias("h1"), F.xxhash64(F.lit(2), key).bitwiseOR(F.lit(1)).alias("h2")]
+    return [F.xxhash64(F.lit(1), key).alias("h1"), F.xxhash64(F.lit(2), key).alias("h2")]
 
 
 def _level_size(n: int, wrong: float) -> tuple[int, int]:
@@ -75,15 +82,14 @@ def _level_size(n: int, wrong: float) -> tuple[int, int]:
     return max(64, math.ceil(n * math.log(1 / wrong) / math.log(2) ** 2 / 64) * 64), max(1, round(math.log2(1 / wrong)))
 
 
-def _words(keys: DataFrame, bits: int, count: int) -> np.ndarray:
+def _words(keys: DataFrame, level: int, bits: int, count: int) -> np.ndarray:
     """The filter of all keys; one partial filter per task goes into the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(bits // 64, np.uint64)
         for batch in batches:
             h1, h2 = (batch.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
-            for i in range(count):
-                p = (h1 + np.uint64(i) * h2) % np.uint64(bits)
+            for p in _places(h1, h2, level, bits, count):
                 np.bitwise_or.at(words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at].view(np.int64))], ["at", "word"])
@@ -124,7 +130,7 @@ def build(listed: DataFrame, universe: DataFrame, shard_bytes: int = SHARD_BYTES
         cascade, wrong, left = Cascade([], shard, shards), first, own.filter("listed")
         while n := left.count():
             bits, count = _level_size(n, wrong)
-            cascade.levels.append((bits, count, _words(left, bits, count)))
+            cascade.levels.append((bits, count, _words(left, len(cascade.levels), bits, count)))
             left = materialize(_passing(own, Shared(keys.sparkSession, cascade), len(cascade.levels)), "passing")
             wrong = WRONG
         out.append(cascade)
