@@ -27,21 +27,23 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import table
 
-_LETTER_OR_DIGIT = r"\p{L}\p{N}_"
-#: Kind -> pattern, in order of preference at one place.
+_WORD = r"\p{L}\p{N}_"
+#: Kind -> pattern, in order of preference at one place; none starts inside a word (see ANY).
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "ip": rf"(?<![{_LETTER_OR_DIGIT}.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\.?[{_LETTER_OR_DIGIT}])",
-    "mac": rf"(?<![{_LETTER_OR_DIGIT}:-])(?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}(?![{_LETTER_OR_DIGIT}:-])",
-    "ssn": rf"(?<![{_LETTER_OR_DIGIT}-])\d{{3}}-\d{{2}}-\d{{4}}(?![{_LETTER_OR_DIGIT}-])",
-    "iban": rf"(?<![{_LETTER_OR_DIGIT}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_LETTER_OR_DIGIT}])",
-    "key": rf"(?<![{_LETTER_OR_DIGIT}])(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![{_LETTER_OR_DIGIT}])",
-    "hex": rf"(?<![{_LETTER_OR_DIGIT}])[0-9a-f]{{32,128}}(?![{_LETTER_OR_DIGIT}])",
-    "card": rf"(?<![{_LETTER_OR_DIGIT}+])\d(?:[ -]?\d){{12,18}}(?![{_LETTER_OR_DIGIT}])",
-    "phone": rf"(?<![{_LETTER_OR_DIGIT}+])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]\d{{3,4}}(?![{_LETTER_OR_DIGIT}])",
-    "person": rf"(?<![{_LETTER_OR_DIGIT}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "ip": rf"(?<!\.)(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\.?[{_WORD}])",
+    "mac": rf"(?<![:-])(?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}(?![{_WORD}:-])",
+    "ssn": rf"(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?![{_WORD}-])",
+    "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_WORD}])",
+    "key": rf"(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![{_WORD}])",
+    "hex": rf"(?=[a-f]*\d)[0-9a-f]{{32,128}}(?![{_WORD}])",
+    "card": rf"(?<!\+)\d(?:[ -]?\d){{12,18}}(?![{_WORD}])",
+    "phone": rf"(?<!\+)(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]\d{{3,4}}(?![{_WORD}])",
+    "person": r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
     "secret": r"(?<=(?:password|passwd|pwd|secret|token|api_key)[=:])[^\s\"',;]+",
 }
+#: What a text without digits, @, : and = must contain to hold an entity; fixed values, parts of the patterns above.
+NEEDED = ["AKIA", "ASIA", "Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа"]
 _FEMALE = r"^(Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)\b"
 #: Given names by gender and script; fixed values.
 GIVEN = {
@@ -67,7 +69,8 @@ _CLASSES = [
     (r"[\p{IsGreek}&&\p{Ll}]", "αβγδεζηθικλμνξοπρστυφχψω"),
     (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
 ]
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Any entity; most places are ruled out at once, as they are inside a word.
+ANY = f"(?<![{_WORD}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: Draws after which an entity's format is taken to have no free surrogate left.
 MAX_DRAWS = 60
 
@@ -210,9 +213,18 @@ def _person(key: str, value: Column, h: Column, draw: Column) -> Column:
     return F.when(F.size(parts) > 2, F.concat_ws(" ", parts[0], given, last)).otherwise(F.concat_ws(" ", parts[0], last))
 
 
+def may_hold(text: Column) -> Column:
+    """True for every text with an entity, and cheap to tell for the others."""
+    out = text.rlike("[0-9@:=]")
+    for literal in NEEDED:
+        out = out | text.contains(literal)
+    return F.coalesce(out, F.lit(False))
+
+
 def entities(text: Column) -> Column:
     """All entities of a text, in order."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
 
 
 def redraws(found: DataFrame, key: str) -> DataFrame:
@@ -239,13 +251,13 @@ def redraws(found: DataFrame, key: str) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with surrogates in the text, and ``n_entities``."""
     row = [F.xxhash64(F.col(text)).alias("_row1"), F.sha2(F.encode(F.col(text), "UTF-8"), 256).alias("_row2")]
-    found = docs.filter(F.col(text).rlike(ANY)).select(F.explode(entities(F.col(text))).alias("value"))
+    found = docs.filter(may_hold(F.col(text))).select(F.explode(entities(F.col(text))).alias("value"))
     moved = redraws(found, key)
     with_entities = docs.withColumn("_found", entities(F.col(text)))
     draws = F.lit(None).cast("map<string,int>")
     if not moved.isEmpty():
         # Texts that hold a redrawn entity: which, and at which draw.
-        named = docs.filter(F.col(text).rlike(ANY)).select(*row, F.explode(entities(F.col(text))).alias("value")).distinct()
+        named = docs.filter(may_hold(F.col(text))).select(*row, F.explode(entities(F.col(text))).alias("value")).distinct()
         named = named.withColumn("kind", kind_of(F.col("value"))).withColumn("norm", norm_of(F.col("kind"), F.col("value")))
         per_text = named.join(moved, ["kind", "norm"]).select("_row1", "_row2", F.concat_ws("\x1f", "kind", "norm").alias("k"), "draw").distinct()
         per_text = per_text.groupBy("_row1", "_row2").agg(F.map_from_entries(F.collect_list(F.struct("k", "draw"))).alias("_draws"))
