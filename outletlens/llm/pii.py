@@ -73,6 +73,8 @@ _CLASSES = [
 ANY = f"(?<![{_WORD}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: Draws after which an entity's format is taken to have no free surrogate left.
 MAX_DRAWS = 60
+#: Redrawn entities that are looked up from a list; more are joined.  The result is the same.
+LISTED = 4096
 
 
 def kind_of(value: Column) -> Column:
@@ -252,21 +254,26 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with surrogates in the text, and ``n_entities``."""
     row = [F.xxhash64(F.col(text)).alias("_row1"), F.sha2(F.encode(F.col(text), "UTF-8"), 256).alias("_row2")]
     found = docs.filter(may_hold(F.col(text))).select(F.explode(entities(F.col(text))).alias("value"))
-    moved = redraws(found, key)
+    moved = materialize(redraws(found, key), "redraws")
     with_entities = docs.withColumn("_found", entities(F.col(text)))
-    draws = F.lit(None).cast("map<string,int>")
-    if not moved.isEmpty():
+    entry = F.struct(F.concat_ws("\x1f", "kind", "norm").alias("k"), "draw")
+    count = moved.count()
+    if 0 < count <= LISTED:
+        # A short list is looked up as it is; no text moves.
+        with_entities = with_entities.withColumn("_draws", moved.select(F.map_from_entries(F.collect_list(entry))).scalar())
+    elif count:
         # Texts that hold a redrawn entity: which, and at which draw.
         named = docs.filter(may_hold(F.col(text))).select(*row, F.explode(entities(F.col(text))).alias("value")).distinct()
         named = named.withColumn("kind", kind_of(F.col("value"))).withColumn("norm", norm_of(F.col("kind"), F.col("value")))
-        per_text = named.join(moved, ["kind", "norm"]).select("_row1", "_row2", F.concat_ws("\x1f", "kind", "norm").alias("k"), "draw").distinct()
-        per_text = per_text.groupBy("_row1", "_row2").agg(F.map_from_entries(F.collect_list(F.struct("k", "draw"))).alias("_draws"))
+        per_text = named.join(moved, ["kind", "norm"]).select("_row1", "_row2", entry.alias("e")).distinct()
+        per_text = per_text.groupBy("_row1", "_row2").agg(F.map_from_entries(F.collect_list("e")).alias("_draws"))
         with_entities = with_entities.withColumns({"_row1": F.when(F.size("_found") > 0, row[0]), "_row2": F.when(F.size("_found") > 0, row[1])})
         with_entities = with_entities.join(per_text, ["_row1", "_row2"], "left").drop("_row1", "_row2")
-        draws = F.col("_draws")
+    else:
+        with_entities = with_entities.withColumn("_draws", F.lit(None).cast("map<string,int>"))
 
     def draw_of(kind: Column, norm: Column) -> Column:
-        return F.coalesce(F.element_at(draws, F.concat_ws("\x1f", kind, norm)), F.lit(0))
+        return F.coalesce(F.element_at(F.col("_draws"), F.concat_ws("\x1f", kind, norm)), F.lit(0))
 
     between = F.split(F.col(text), ANY, -1)
     new = F.array_join(F.flatten(F.zip_with(between, surrogates(key, F.col("_found"), draw_of), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")

@@ -46,8 +46,10 @@ def test_names_follow_gender_and_script(spark):
     assert b[0] in pii.GIVEN["f", "cyrillic"] and b[2] != "Иванов"
 
 
-def test_distinct_entities_stay_distinct(spark):
+@pytest.mark.parametrize("listed", [pii.LISTED, 0])
+def test_distinct_entities_stay_distinct(spark, listed, monkeypatch):
     """Every one of the 100 two-digit secrets is taken, so all first draws clash with entities of the corpus."""
+    monkeypatch.setattr(pii, "LISTED", listed)
     texts = [f"password={k:02d}" for k in range(100)] + ["password=07 and password=07"]
     got = replaced(spark, texts)
     new = [got[k][0] for k in range(100)]
