@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from outletlens.llm import lm_scoring as L
@@ -115,3 +117,38 @@ def test_lm_counts_and_edge_cases(spark):
     assert got[2]["n_tokens"] == 1 and got[3]["n_tokens"] == 150_000 and got[3]["log_prob"] < 0
     empty = docs(spark, [])
     assert L.score(empty, L.train(empty, L.start_network(empty))).count() == 0
+
+
+@pytest.mark.parametrize("listed", [L.LISTED, 5, 0])
+def test_lm_scores_are_those_of_tokens_not_of_their_numbers(spark, listed, monkeypatch):
+    """1 500 tokens share numbers; each has its own share of its number, and unseen ones share half an occurrence."""
+    monkeypatch.setattr(L, "LISTED", listed)
+    words = ["".join(chr(97 + int(c)) for c in str(k)) for k in range(2000)]
+    corpus = docs(spark, [" ".join(w for w in words[:1500 + k % 500] for _ in range(1 + (len(w) > 3 and w[-1] < "d"))) for k in range(4)])
+    counts = L.token_counts(corpus)
+    net = L.start_network(corpus, counts=counts)
+    n = {r["h"] % 2**64: r["n"] for r in counts.collect()}
+    texts = [words[1999], "unseenword", f"{words[1500]} {words[3]} unseenword {words[1500]}", None, words[1999]]
+    new = docs(spark, texts)
+    plain, got = rows(L.score(new, net)), rows(L.score(new, net, counts=counts))
+    for k, t in enumerate(texts):
+        h, _ = L.token_hashes(pa.RecordBatch.from_arrays([pa.array([t], pa.string())], ["text"]), "text")
+        share = sum(np.log(n.get(int(x), 0.5) / (net.counts[i] + 0.5)) for x, i in zip(h, net.numbers(h)) if i >= L.TOP)
+        assert abs(got[k]["log_prob"] - plain[k]["log_prob"] - share) < 1e-4
+        assert got[k]["n_tokens"] == plain[k]["n_tokens"] and (t is None or abs(got[k]["mean_log_prob"] * len(h) - got[k]["log_prob"]) < 1e-9)
+    assert got[1]["log_prob"] < plain[1]["log_prob"] - 1 and got[3]["mean_log_prob"] is None and got[0][2:] == got[4][2:]
+    # All tokens of a number and the unseen ones have the whole of it.
+    of = {}
+    for x, i in zip(n, net.numbers(np.array(list(n), np.uint64))):
+        of[i] = of.get(i, 0) + n[x]
+    assert all(net.counts[i] == c for i, c in of.items())
+
+
+def test_lm_vocabulary_grows_with_the_corpus(spark, monkeypatch):
+    assert [L.side_for(d) for d in (0, 262_144, 262_145, 5_000_000)] == [32, 32, 64, 128]
+    monkeypatch.setattr(L, "side_for", lambda distinct: 64)
+    df = docs(spark, ["".join(chr(97 + int(c)) for c in str(k)) + " and more" for k in range(5000)])
+    net = L.start_network(df)
+    assert len(net.top) == 3072 and net.counts.sum() == 15_000
+    got = L.score(df, L.train(df, net)).agg(F.sum("n_tokens"), F.sum("log_prob")).first()
+    assert got[0] == 15_000 and got[1] < 0
