@@ -2,14 +2,15 @@
 
 Entities are found by pattern, and each is replaced by a surrogate of its own
 kind and format: digits stay digits, letters stay letters of the same script
-and case, separators stay, card numbers keep their check sum, names follow the
+and case (Latin ones for scripts not in ``_CLASSES``), separators stay, card numbers keep their check sum, names follow the
 honorific's gender and the name's script.  A surrogate is drawn by a keyed hash
 of the *normalised* entity (a phone's digits, a lower-cased mail address, the
 bare name), so one entity gets one surrogate in every document and spelling.
 
 All distinct entities of the corpus are then checked: a surrogate that another
 entity also got, or that is itself an entity of the corpus, is drawn again
-until none is left, so distinct entities stay distinct.  Only these redrawn
+until none is left, so distinct entities stay distinct.  Surrogates of mails,
+names and secrets grow with the draw, so a small format never runs full.  Only these redrawn
 entities (few) are joined back, to the documents that hold them.
 
 Defined cases: a null text stays null; empty and entity-free texts stay as they
@@ -68,10 +69,16 @@ _CLASSES = [
     (r"[\p{IsCyrillic}&&\p{Lu}]", "".join(map(chr, range(0x410, 0x430)))),
     (r"[\p{IsGreek}&&\p{Ll}]", "αβγδεζηθικλμνξοπρστυφχψω"),
     (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    # What else is ASCII stays; letters of scripts not named below, and their vowel signs, become Latin ones.
+    (r"[\x00-\x7F]", None),
+    (r"[\p{L}[\p{M}&&[^\p{IsInherited}]]]", "abcdefghijklmnopqrstuvwxyz"),
+    (r"\p{N}", "0123456789"),
 ]
 #: Any entity; most places are ruled out at once, as they are inside a word.
 ANY = f"(?<![{_WORD}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
-#: Draws after which an entity's format is taken to have no free surrogate left.
+#: Draws after which a surrogate grows (mails, secrets) or gives up its exchange (phones); names grow from the first on.
+SAME_SIZE = 3
+#: A guard only: surrogates that grow by a digit a draw find a free one long before.
 MAX_DRAWS = 60
 #: Redrawn entities that are looked up from a list; more are joined.  The result is the same.
 LISTED = 4096
@@ -119,11 +126,16 @@ def _mapped(value: Column, h: Column) -> Column:
     def one(c: Column, i: Column) -> Column:
         out = c
         for pattern, chars in reversed(_CLASSES):
-            out = F.when(c.rlike(f"^{pattern}$"), _pick(chars, _byte(h, i))).otherwise(out)
+            out = F.when(c.rlike(f"^{pattern}$"), c if chars is None else _pick(chars, _byte(h, i))).otherwise(out)
         return out
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _spelled(value: Column) -> Column:
+    """The value, or as many letters if it has no letter or digit to replace."""
+    return F.when(value.rlike(r"[\p{L}\p{N}]"), value).otherwise(F.repeat(F.lit("x"), F.char_length(value)))
+
+
 def _number(h: Column, n: Column) -> Column:
     return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: (_byte(h, k) % 10).cast("string")), "")).otherwise("")
 
@@ -161,9 +173,10 @@ def surrogates(key: str, values: Column, draw_of) -> Column:
 def _surrogate(key: str, kind: Column, value: Column, norm: Column, draw: Column, digits: Column, h: Column) -> Column:
     """The surrogate of an entity in its own spelling."""
     n = F.length(digits)
-    # Phones: country code kept; area and exchange start with 2 to 9; the fictional exchange 555 is kept.
+    more = F.substr(_number(h, F.lit(40)), F.lit(1), F.greatest(draw - SAME_SIZE, F.lit(0)))
+    # Phones: country code kept; area and exchange start with 2 to 9; the fictional exchange 555 is kept while it has room.
     local = F.substring(F.concat(F.lit("0" * 10), digits), -10, 10)
-    exchange = F.when(F.substring(local, 4, 3) == "555", "555").otherwise(F.concat((_byte(h, F.lit(3)) % 8 + 2).cast("string"), _number(h, F.lit(2))))
+    exchange = F.when((F.substring(local, 4, 3) == "555") & (draw <= SAME_SIZE), "555").otherwise(F.concat((_byte(h, F.lit(3)) % 8 + 2).cast("string"), _number(h, F.lit(2))))
     long_phone = F.concat(F.substr(digits, F.lit(1), n - 10), (_byte(h, F.lit(0)) % 8 + 2).cast("string"), F.substring(_number(h, F.lit(9)), 4, 2), exchange, F.substring(_number(h, F.lit(9)), 6, 4))
     phone = _filled(value, F.when(n >= 10, long_phone).otherwise(_number(h, n)))
     # Cards: issuer digit and check sum kept.
@@ -176,15 +189,14 @@ def _surrogate(key: str, kind: Column, value: Column, norm: Column, draw: Column
     domain = F.lower(F.substring_index(value, "@", -1))
     keep = F.regexp_extract(domain, r"((?:^|\.)example\.[a-z]+|\.[^.]+)$", 1)
     site = F.substr(domain, F.lit(1), F.length(domain) - F.length(keep))
-    email = F.concat(_mapped(F.substring_index(norm, "@", 1), h), F.lit("@"), _mapped(site, _hash(key, F.lit("domain"), site)), keep)
+    email = F.concat(_mapped(_spelled(F.substring_index(norm, "@", 1)), h), more, F.lit("@"), _mapped(site, _hash(key, F.lit("domain"), site)), keep)
     hexes = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", _byte(h, i)))
                                      .when(c.rlike("^[A-F]$"), _pick("0123456789ABCDEF", _byte(h, i))).otherwise(c)), "")
     mac = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("^[0-9A-Fa-f]$"), _pick("0123456789abcdef", _byte(h, i))).otherwise(c)), "")
     head = F.when(kind == "iban", 2).otherwise(4)
     code = F.concat(F.substr(value, F.lit(1), head), _mapped(F.substr(value, head + 1), h))
     iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _spaced(F.substr(value, F.lit(3)), _mapped(F.substr(norm, F.lit(3)), h)))
-    # A secret grows when its format seems to have no free surrogate left.
-    secret = F.concat(_mapped(value, h), F.substr(_number(h, F.lit(40)), F.lit(1), F.greatest(draw - 3, F.lit(0))))
+    secret = F.concat(_mapped(_spelled(value), h), more)
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "mac", mac).when(kind == "ssn", _filled(value, _number(h, n)))
             .when(kind == "iban", iban).when(kind == "key", code).when(kind == "hex", hexes).when(kind == "card", card).when(kind == "phone", phone)
             .when(kind == "person", _person(key, value, h, draw)).otherwise(secret))

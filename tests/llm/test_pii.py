@@ -76,3 +76,16 @@ def test_a_full_kind_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(pii, "MAX_DRAWS", 1)
     with pytest.raises(ValueError, match="more members"):
         replaced(spark, [f"password={k}" for k in range(10)])
+
+
+def test_small_formats_and_other_scripts_always_find_a_surrogate(spark):
+    letters, digits = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"], [f"{k}@example.org" for k in range(10)]
+    others = ["用户@example.com", "...@example.com", "사용자@example.com", "מישהו@firma.co.il", "مستخدم@example.org", "かな@example.com", "ไทย@example.com", "password=密码", "password=!!!", "a@正體.tw"]
+    texts = letters + digits + others
+    got = replaced(spark, texts)
+    new = [got[k][0] for k in range(len(texts))]
+    assert all(n == 1 for _, n in got.values()) and len(set(new)) == len(texts) and not set(new) & set(texts)
+    for old, x in zip(others, new[len(letters + digits):]):
+        found = old.split("@")[0] if "@example" in old else old.split("=")[-1].split("@")[0]
+        assert found not in x
+    assert "正體" not in new[-1] and "firma" not in new[39]
