@@ -19,8 +19,8 @@ counted from the document's start).  So only one position in eleven is a sample.
 
 Chunks hand equal samples on once, so a passage that a third of all documents
 share is one entry per chunk.  Bucket counts follow the corpus's bytes, so a
-bucket's size does not.  Strings are compared by 64-bit hashes (a class and its
-context together have over 70 bits).
+bucket's size does not.  Strings, and the contexts within a class, are compared
+by 64-bit hashes.
 
 Defined cases: null and empty texts have 0 bytes and the hash of nothing; texts
 shorter than LENGTH lose nothing; equal rows are different places, so equal
@@ -122,7 +122,7 @@ class Samples:
         kind = W.hashes(buf, self.start, self.start + _SHARED, lower=False)
         context = W.hashes(buf, self.low, right, lower=False) + (self.start - self.low).astype(np.uint64)
         self.bucket = (kind % np.uint64(buckets)).astype(np.int64)
-        kind, context = (kind >> np.uint64(32)).astype(np.uint32), W.mix(context) >> np.uint64(24)
+        kind, context = (kind >> np.uint64(32)).astype(np.uint32), W.mix(context)
         order = np.lexsort((context, kind, self.bucket))
         same = np.zeros(len(order), bool)
         b, k, c = self.bucket[order], kind[order], context[order]
@@ -136,16 +136,6 @@ class Samples:
         self.one = order[heads]
 
 
-def _five(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _from_five(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 _ENTRIES = "bucket bigint, chunk bigint, kinds binary, contexts binary, several binary"
 
 
@@ -158,7 +148,7 @@ def sample_entries(packed: DataFrame, buckets: int) -> DataFrame:
                 cuts = [slice(a, b) for a, b in zip(np.searchsorted(s.of_bucket, own), np.searchsorted(s.of_bucket, own, "right"))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own, pa.int64()), pa.array(np.full(len(own), chunk), pa.int64()), pa.array([s.kind[c].tobytes() for c in cuts], pa.binary()),
-                     pa.array([_five(s.context[c]) for c in cuts], pa.binary()), pa.array([np.packbits(s.several[c]).tobytes() for c in cuts], pa.binary())],
+                     pa.array([s.context[c].tobytes() for c in cuts], pa.binary()), pa.array([np.packbits(s.several[c]).tobytes() for c in cuts], pa.binary())],
                     [c.split()[0] for c in _ENTRIES.split(", ")])
 
     return packed.mapInArrow(run, _ENTRIES)
@@ -184,7 +174,7 @@ def rank_samples(entries: DataFrame) -> DataFrame:
         for rows in _by_bucket(batches):
             sizes = [len(r["kinds"]) // 4 for r in rows]
             kind = np.frombuffer(b"".join(r["kinds"] for r in rows), np.uint32)
-            context = _from_five(b"".join(r["contexts"] for r in rows))
+            context = np.frombuffer(b"".join(r["contexts"] for r in rows), np.uint64)
             several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=n) for r, n in zip(rows, sizes)]).astype(bool)
             order = np.lexsort((context, kind))  # stable: entries of a context keep the order of their chunks
             k, c = kind[order], context[order]

@@ -61,3 +61,21 @@ def test_empty_table_and_missing_ids(spark):
     same = spark.createDataFrame([(None, "q" * 250), (1, "z" * 10)], "doc_id bigint, text string")
     out = {r["doc_id"]: r["n_removed"] for r in R.remove_repeats(same).collect()}
     assert out == {None: 250, 1: 0}
+
+
+def test_contexts_of_a_class_keep_64_bits():
+    """Contexts that agree in all but their last 24 bits are not tied."""
+    rng = np.random.default_rng(5)
+    buf = rng.integers(0, 256, 40_000).astype(np.uint8)
+    s = R.Samples(buf, np.array([0, len(buf)]), 3)
+    assert s.context.dtype == np.uint64 and (s.context >> np.uint64(40)).any()
+    assert len(np.unique(s.context)) == len(s.context) > 3000
+
+
+def test_near_equal_contexts_are_not_tied(spark):
+    def entry(chunk, context):
+        return 0, chunk, np.array([7], np.uint32).tobytes(), np.array([context], np.uint64).tobytes(), b"\0"
+
+    entries = spark.createDataFrame([entry(k, c) for k, c in enumerate((1 << 62, (1 << 62) + 1, (1 << 63) + 1, (1 << 63) + 1))], R._ENTRIES)
+    marks = {r["chunk"]: np.unpackbits(np.frombuffer(r["marks"], np.uint8))[:2].tolist() for r in R.rank_samples(entries).collect()}
+    assert marks == {0: [0, 1], 1: [0, 1], 2: [1, 1], 3: [1, 0]}
