@@ -34,17 +34,18 @@ KINDS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "ip": rf"(?<!\.)(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\.?[{_WORD}])",
     "mac": rf"(?<![:-])(?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}(?![{_WORD}:-])",
+    "ip6": rf"(?<![:.])(?=[a-fA-F:]*\d)(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?:[0-9A-Fa-f]{{1,4}}:){{1,6}}(?::[0-9A-Fa-f]{{1,4}}){{1,6}})(?![{_WORD}:])",
     "ssn": rf"(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?![{_WORD}-])",
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_WORD}])",
     "key": rf"(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![{_WORD}])",
     "hex": rf"(?=[a-f]*\d)[0-9a-f]{{32,128}}(?![{_WORD}])",
     "card": rf"(?<!\+)\d(?:[ -]?\d){{12,18}}(?![{_WORD}])",
-    "phone": rf"(?<!\+)(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]\d{{3,4}}(?![{_WORD}])",
-    "person": r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
-    "secret": r"(?<=(?:password|passwd|pwd|secret|token|api_key)[=:])[^\s\"',;]+",
+    "phone": rf"(?<!\+)(?:(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]\d{{3,4}}|\+\d{{8,15}}|\+\d{{1,3}}(?:[ .-]\d{{1,4}}){{3,6}}|0\d(?:[ .-]\d{{2}}){{4}})(?![{_WORD}])",
+    "person": r"(?:Mr|Mrs|Ms|Mx|Miss|Dr|Prof|Doctor|Professor|Docteur|Herr|Herrn|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"',;]+",
 }
 #: What a text without digits, @, : and = must contain to hold an entity; fixed values, parts of the patterns above.
-NEEDED = ["AKIA", "ASIA", "Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа"]
+NEEDED = ["AKIA", "ASIA", "Mr", "Ms", "Mx", "Miss", "Dr", "Prof", "Doct", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа"]
 _FEMALE = r"^(Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)\b"
 #: Given names by gender and script; fixed values.
 GIVEN = {
@@ -100,9 +101,16 @@ def _name(value: Column) -> Column:
     return F.regexp_replace(value, r"^\S+ ", "")
 
 
+def _country(value: Column) -> Column:
+    """The country code of a number with a plus that is too short to have ten digits beside it."""
+    digits = _digits(value)
+    code = F.regexp_extract(digits, r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 1)
+    return F.when(value.startswith("+") & (F.length(code) > F.length(digits) - 10), code).otherwise("")
+
+
 def norm_of(kind: Column, value: Column) -> Column:
-    return (F.when(kind == "phone", F.substring(F.concat(F.lit("0" * 10), _digits(value)), -10, 10)).when(kind.isin("card", "ssn"), _digits(value))
-            .when(kind.isin("email", "mac"), F.lower(F.replace(value, F.lit("-"), F.when(kind == "mac", ":").otherwise("-"))))
+    return (F.when((kind == "phone") & (_country(value) != ""), F.concat(F.lit("+"), _digits(value))).when(kind == "phone", F.substring(F.concat(F.lit("0" * 10), _digits(value)), -10, 10)).when(kind.isin("card", "ssn"), _digits(value))
+            .when(kind == "ip6", F.lower(value)).when(kind.isin("email", "mac"), F.lower(F.replace(value, F.lit("-"), F.when(kind == "mac", ":").otherwise("-"))))
             .when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).when(kind == "person", F.lower(_name(value))).otherwise(value))
 
 
@@ -178,7 +186,8 @@ def _surrogate(key: str, kind: Column, value: Column, norm: Column, draw: Column
     local = F.substring(F.concat(F.lit("0" * 10), digits), -10, 10)
     exchange = F.when((F.substring(local, 4, 3) == "555") & (draw <= SAME_SIZE), "555").otherwise(F.concat((_byte(h, F.lit(3)) % 8 + 2).cast("string"), _number(h, F.lit(2))))
     long_phone = F.concat(F.substr(digits, F.lit(1), n - 10), (_byte(h, F.lit(0)) % 8 + 2).cast("string"), F.substring(_number(h, F.lit(9)), 4, 2), exchange, F.substring(_number(h, F.lit(9)), 6, 4))
-    phone = _filled(value, F.when(n >= 10, long_phone).otherwise(_number(h, n)))
+    country = _country(value)
+    phone = _filled(value, F.when(country != "", F.concat(country, _number(h, n - F.length(country)))).when(n >= 10, long_phone).otherwise(_number(h, n)))
     # Cards: issuer digit and check sum kept.
     body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), _number(h, n - 2))
     card = _filled(value, F.concat(body, F.pmod(_luhn(digits) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
@@ -193,11 +202,12 @@ def _surrogate(key: str, kind: Column, value: Column, norm: Column, draw: Column
     hexes = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", _byte(h, i)))
                                      .when(c.rlike("^[A-F]$"), _pick("0123456789ABCDEF", _byte(h, i))).otherwise(c)), "")
     mac = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("^[0-9A-Fa-f]$"), _pick("0123456789abcdef", _byte(h, i))).otherwise(c)), "")
+    ip6 = F.when(draw <= SAME_SIZE, hexes).otherwise(F.concat_ws(":", *[F.substr(h, F.lit(4 * k + 1), F.lit(4)) for k in range(8)]))
     head = F.when(kind == "iban", 2).otherwise(4)
     code = F.concat(F.substr(value, F.lit(1), head), _mapped(F.substr(value, head + 1), h))
     iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _spaced(F.substr(value, F.lit(3)), _mapped(F.substr(norm, F.lit(3)), h)))
     secret = F.concat(_mapped(_spelled(value), h), more)
-    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "mac", mac).when(kind == "ssn", _filled(value, _number(h, n)))
+    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "mac", mac).when(kind == "ip6", ip6).when(kind == "ssn", _filled(value, _number(h, n)))
             .when(kind == "iban", iban).when(kind == "key", code).when(kind == "hex", hexes).when(kind == "card", card).when(kind == "phone", phone)
             .when(kind == "person", _person(key, value, h, draw)).otherwise(secret))
 

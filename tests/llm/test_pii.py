@@ -89,3 +89,16 @@ def test_small_formats_and_other_scripts_always_find_a_surrogate(spark):
         found = old.split("@")[0] if "@example" in old else old.split("=")[-1].split("@")[0]
         assert found not in x
     assert "正體" not in new[-1] and "firma" not in new[39]
+
+
+def test_more_spellings_are_found(spark):
+    texts = ["call +14155550123 now", "call +33 1 23 45 67 89 now", "from 2001:db8::ff00:42:8329 and 2001:DB8::FF00:42:8329", "password: hunter2", 'token = "sk_live_x9"', '{"api_key":"abc"}',
+             "PASSWORD=Hunter3", "ask Dr. Smith", "at 12:30:45 std::string a::b 3.4"]
+    got = replaced(spark, texts)
+    assert [got[k][1] for k in range(9)] == [1, 1, 2, 1, 1, 1, 1, 1, 0] and got[8][0] == texts[8]
+    for k, gone in enumerate(["4155550123", "23 45 67 89", "ff00:42", "hunter2", "sk_live_x9", '"abc"', "Hunter3", "Smith"]):
+        assert gone not in got[k][0]
+    assert re.fullmatch(r"call \+1\d{10} now", got[0][0]) and re.fullmatch(r"call \+33 \d \d\d \d\d \d\d \d\d now", got[1][0])
+    a, b = got[2][0][5:].split(" and ")
+    assert a == b.lower() and re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}", a)
+    assert got[4][0].startswith('token = "') and got[4][0].endswith('"') and got[6][0].startswith("PASSWORD=") and got[7][0].startswith("ask Dr. ")
