@@ -1,4 +1,4 @@
-"""Repeated strings: blockwise suffix sorting with a difference cover.
+"""Repeated strings: hash grouping at the samples of a difference cover (no suffix is sorted).
 
 A byte is removed when it lies in a ``LENGTH``-byte string that also starts
 anywhere else in the corpus.  Two equal strings at p and q share a cover
@@ -7,14 +7,14 @@ PERIOD for which p + d and q + d are both sample positions (D modulo PERIOD,
 counted from the document's start).  So only one position in eleven is a sample.
 
 1. Documents are packed into chunks of about ``CHUNK`` bytes, written once.
-2. Samples are ranked: by the class of the LENGTH - PERIOD + 1 bytes that follow
+2. Samples are grouped: by the hash of the class of the LENGTH - PERIOD + 1 bytes that follow
    (which any two strings that meet in this sample share) and, within a class, by
    the whole context that such strings can touch.  Samples are dealt to buckets
    by class, and tasks sort one bucket at a time.  Ties in the whole context,
    however long the repeat goes on, are settled here: the strings around all
    tied samples are repeated.  They are the bulk, and take no more sorting.
 3. What is left are strings whose sample shares a class with other contexts:
-   ends of repeats.  They are sorted bucket by bucket on all LENGTH bytes, with
+   ends of repeats.  They are grouped bucket by bucket by the hash of all LENGTH bytes, with
    one representative of each tied context.
 
 Chunks hand equal samples on once, so a passage that a third of all documents
