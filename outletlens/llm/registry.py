@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, lm_scoring, near_dedup, packing, pii, quality, repeats, token_counts, url_filters
+from . import decontamination, exact_dedup, lexical_search, lm_scoring, near_dedup, packing, pii, quality, repeats, simhash, token_counts, url_filters
 
 QUERIES = {
     "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
@@ -15,10 +15,13 @@ QUERIES = {
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_packing": packing.op10_packing,
+    "op12_simhash_near_dedup": simhash.op12_simhash_near_dedup,
+    "op13_ranked_lexical_search": lexical_search.op13_ranked_lexical_search,
 }
 
 ORACLE = {
     "op1_url_filters": url_filters.SQL,
     "op7_benchmark_decontamination": decontamination.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op13_ranked_lexical_search": lexical_search.SQL,
 }

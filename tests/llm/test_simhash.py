@@ -1,0 +1,146 @@
+"""SimHash near-dedup: equal to brute force over all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from outletlens.llm import simhash
+
+from . import helpers as H
+
+
+def fingerprint(text, n=3):
+    w = H.words(text)
+    if not w:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(w[i:i + n]).encode(), 42) for i in range(max(1, len(w) - n + 1))]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hs) > len(hs))
+
+
+def expected(rows, radius=2):
+    """[(doc_id, fingerprint, component_id)] of (doc_id, text) rows; every row is a vertex."""
+    fps = [fingerprint(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                up[root(i)] = root(j)
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        smallest.setdefault(root(i), []).append(d)
+    smallest = {r: min((d for d in ids if d is not None), default=None) for r, ids in smallest.items()}
+    return sorted(((d, f"{f:016x}", smallest[root(i)]) for i, ((d, _), f) in enumerate(zip(rows, fps))), key=repr)
+
+
+def got(df):
+    return sorted(((r.doc_id, r.fingerprint, r.component_id) for r in df.collect()), key=repr)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, H.DOCS).repartition(3)
+
+
+def test_xxh64_of_spans_of_every_length():
+    rng = random.Random(3)
+    data = bytes(rng.randrange(256) for _ in range(4000))
+    start = np.array([rng.randrange(3000) for _ in range(700)])
+    end = start + np.arange(700)
+    assert simhash.xxh64(np.frombuffer(data, np.uint8), start, end).tolist() == [xxhash.xxh64_intdigest(data[a:b], 42) for a, b in zip(start, end)]
+
+
+def near_copies(seed=1, groups=12):
+    """Groups whose members differ in one word of many, so most fingerprints lie close together."""
+    rng, texts = random.Random(seed), []
+    for _ in range(groups):
+        base = H.sentence(rng, rng.randrange(40, 900)).split()
+        for _ in range(6):
+            base[rng.randrange(len(base))] = f"x{rng.randrange(1000)}"
+            texts.append(" ".join(base))
+    return texts
+
+
+def test_equals_brute_force(spark):
+    texts = near_copies() + [None, "", " \t\n", "one", "ONE", "one two", "One  two\t", "é ü ß", "a b c d e", "a b c d e", H.sentence(random.Random(9), 30000)]
+    rows = list(enumerate(texts))
+    want = expected(rows)
+    assert len({c for _, _, c in want}) < len(want) - 15
+    assert got(simhash.simhash_near_dedup(frame(spark, rows))) == want
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3])
+def test_other_radii(spark, radius):
+    """An odd radius has two unlike halves; the links of balls connect what all pairs connect."""
+    rng = random.Random(radius)
+    prints = set()
+    for _ in range(40):
+        f = rng.getrandbits(64)
+        for _ in range(6):
+            prints.add(f)
+            for bit in rng.sample(range(64), rng.randrange(1, 4)):
+                f ^= 1 << bit
+    prints = sorted(f - (1 << 64) if f >> 63 else f for f in prints)
+    df = spark.createDataFrame([(f,) for f in prints], "fp bigint")
+    links = [(r.a, r.b) for r in simhash.ball_links(df, radius).collect()]
+
+    def groups(pairs):
+        up = {f: f for f in prints}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[root(a)] = root(b)
+        return {frozenset(f for f in prints if root(f) == r) for r in map(root, prints)}
+
+    mask = (1 << 64) - 1
+    every = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if ((a ^ b) & mask).bit_count() <= radius]
+    assert all(((a ^ b) & mask).bit_count() <= radius for a, b in links)
+    assert groups(links) == groups(every)
+
+
+def test_a_dense_group_gives_no_list_of_all_pairs(spark):
+    """All numbers of 12 bits: each has 78 others within the radius, and lies in 13 buckets with others."""
+    df = spark.range(1 << 12).select(F.col("id").alias("fp"))
+    links = simhash.ball_links(df)
+    assert links.count() <= 13 << 12
+    ends = simhash.components(links)
+    assert ends.count() == 1 << 12 and ends.select("component").distinct().count() == 1
+
+
+def test_copies_ties_nulls_and_repeated_rows(spark):
+    rows = [(7, "a b c d"), (7, "a b c d"), (7, "something else entirely here"), (3, "A B  C d"), (None, "a b c d"), (None, "alone and without an id"),
+            (2, None), (5, ""), (None, None)]
+    assert got(simhash.simhash_near_dedup(frame(spark, rows))) == expected(rows)
+
+
+def test_a_hot_group_of_copies(spark):
+    rows = [(i, "the same words again and again" if i % 3 else f"text number {i} of {i * i} others") for i in range(3000)]
+    out = {r.doc_id: r.component_id for r in simhash.simhash_near_dedup(frame(spark, rows)).collect()}
+    assert {out[i] for i in range(3000) if i % 3} == {1}
+
+
+def test_empty_table_and_clashing_columns(spark):
+    assert simhash.simhash_near_dedup(H.docs(spark, [])).count() == 0
+    rows = list(enumerate(near_copies(groups=3) + ["x y z"]))
+    plain = frame(spark, rows)
+    clash = plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(["fp", "first", "size", "component", "component_id", "hub", "variant", "a.b", "_", "members"])])
+    assert got(simhash.simhash_near_dedup(clash)) == expected(rows)
+    kept = simhash.one_each(clash)
+    assert kept.columns == clash.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in expected(rows)})
+
+
+def test_very_long_words(spark):
+    rows = [(0, "x" * 300_000), (1, "x" * 300_000 + " y z"), (2, "X" * 300_000)]
+    assert got(simhash.simhash_near_dedup(frame(spark, rows))) == expected(rows)
