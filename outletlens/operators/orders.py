@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pricing as PR
@@ -19,38 +19,74 @@ PRICE_PENDING_NOTE = "Boleh dipesan, harga menyusul"
 SUGGESTION_NOTE_TAIL = " · laris di toko lain"
 
 
-def cart_state(events: DataFrame) -> DataFrame:
+# A block of a change log holds 2 ** SEQ_BITS consecutive sequence numbers: no task
+# folds more changes of one cart entry.
+SEQ_BITS = 16
+ENTRY = ["outlet_id", "product_id"]
+
+
+def entry_events(events: DataFrame, seq_bits: int = SEQ_BITS) -> DataFrame:
+    """The changes that name a cart entry, with the block of their sequence number."""
+    return events.filter(F.col("product_id").isNotNull() & F.col("outlet_id").isNotNull()).select(
+        *ENTRY, "seq", F.shiftright("seq", seq_bits).alias("_block"), "qty", "unit")
+
+
+def _fold(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge run summaries ``(_del, _start, _last, _qty, _dozen)`` by ``keys``.
+
+    A summary covers some changes of an entry: the last delete, the first add
+    after it (the first of all without one), the last change with its quantity
+    and mode.  Summaries that cover separate stretches of the log merge into one:
+    an add counts when it follows the last delete of all.
+    """
+    after = F.col("_cut").isNull() | (F.col("_start") > F.col("_cut"))
+    runs = runs.withColumn("_cut", F.max("_del").over(Window.partitionBy(*keys)))
+    return runs.groupBy(*keys).agg(
+        F.max("_del").alias("_del"), F.min(F.when(after, F.col("_start"))).alias("_start"), F.max("_last").alias("_last"),
+        F.max_by("_qty", "_last").alias("_qty"), F.max_by("_dozen", "_last").alias("_dozen"))
+
+
+def cart_runs(events: DataFrame, seq_bits: int = SEQ_BITS) -> DataFrame:
+    """One run summary per cart entry, also for entries that were deleted."""
+    qty = F.coalesce(F.col("qty"), F.lit(0))  # no quantity deletes, as 0 does
+    single = entry_events(events, seq_bits).select(
+        *ENTRY, "_block", F.when(qty == 0, F.col("seq")).alias("_del"), F.when(qty != 0, F.col("seq")).alias("_start"),
+        F.col("seq").alias("_last"), qty.alias("_qty"),
+        # Mode is a two-valued enum: 0/1 keeps every aggregation buffer fixed-width.
+        (F.col("unit") == F.lit(PR.MODE_DOZEN)).cast("int").alias("_dozen"))
+    return _fold(_fold(single, [*ENTRY, "_block"]), ENTRY)
+
+
+def cart_state(events: DataFrame, seq_bits: int = SEQ_BITS) -> DataFrame:
     """Reduce a change log ``(outlet_id, seq, product_id, qty, unit)`` to the cart.
 
     A qty of 0 or NULL deletes the entry; a later add re-inserts it at the end, while
     an update of a present entry keeps its place.  The mode is ``'lusin'`` or
     ``'base'`` (any other value counts as base, as in the pricing rules).  Result per live entry:
     latest ``qty`` and ``unit`` (mode) and ``position`` = first seq after the
-    last delete.  Two passes over the log, no per-key window, so a hot
-    (outlet, product) is never one task: (1) a grouped aggregation (partial
-    before its shuffle) gives the latest state and the last delete; (2) the
-    non-zero events join that state and a second grouped aggregation takes the
-    first seq after the delete, carrying the (per-key constant) state along.
+    last delete.  The log is read once and joined with nothing: changes of one
+    entry and one block of the log are folded into a run summary, then an
+    entry's summaries into one.  So a hot (outlet, product) is spread over as
+    many tasks as the log has blocks; what meets is one row a block.
     """
-    ev = events.filter(F.col("product_id").isNotNull() & F.col("outlet_id").isNotNull()).select(
-        "outlet_id", "product_id", "seq",
-        F.coalesce(F.col("qty"), F.lit(0)).alias("qty"),  # no quantity deletes, as 0 does
-        # Mode is a two-valued enum: aggregate it as 0/1 so every aggregation
-        # buffer is fixed-width and Spark keeps a hash (not sort) aggregate.
-        (F.col("unit") == F.lit(PR.MODE_DOZEN)).cast("int").alias("_dozen"))
-    last = ev.groupBy("outlet_id", "product_id").agg(
-        F.max_by("qty", "seq").alias("_qty"),
-        F.max_by("_dozen", "seq").alias("_mode"),
-        F.max(F.when(F.col("qty") == 0, F.col("seq"))).alias("_del"),
-    ).filter(F.col("_qty") != 0)
-    live = ev.filter(F.col("qty") != 0).select("outlet_id", "product_id", "seq").join(
-        last, ["outlet_id", "product_id"])
-    # _qty/_mode are constant per key, so max() just carries them.
-    first = live.filter(F.col("_del").isNull() | (F.col("seq") > F.col("_del"))).groupBy(
-        "outlet_id", "product_id").agg(F.min("seq").alias("position"), F.max("_qty").alias("qty"),
-                                       F.max("_mode").alias("_dozen"))
     mode = F.when(F.col("_dozen") == 1, F.lit(PR.MODE_DOZEN)).otherwise(F.lit(PR.MODE_BASE))
-    return first.select("outlet_id", "product_id", "qty", mode.alias("unit"), "position")
+    return cart_runs(events, seq_bits).filter(F.col("_qty") != 0).select(
+        *ENTRY, F.col("_qty").alias("qty"), mode.alias("unit"), F.col("_start").alias("position"))
+
+
+def live_log(events: DataFrame, seq_bits: int = SEQ_BITS) -> DataFrame:
+    """The changes that still matter: each entry's last delete and what follows it.
+
+    ``cart_state`` of it, and of it with any further changes, equals that of the
+    whole log, also when these come late (below sequence numbers already seen)
+    or again.  Joined on entry and block, so a hot entry is spread here too.
+    """
+    ev = entry_events(events, seq_bits).dropDuplicates([*ENTRY, "seq"])
+    block = [*ENTRY, "_block"]
+    cut = ev.groupBy(*block).agg(F.max(F.when(F.coalesce(F.col("qty"), F.lit(0)) == 0, F.col("seq"))).alias("_del"))
+    cut = cut.select(*block, F.max("_del").over(Window.partitionBy(*ENTRY)).alias("_cut"))
+    return ev.join(cut, block).filter(F.col("_cut").isNull() | (F.col("seq") >= F.col("_cut"))).select(
+        *ENTRY, "seq", "qty", "unit")
 
 
 def _product_join(facts: DataFrame, dim: DataFrame, product_rows: int | None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Token writes produce a *new* snapshot of ``customers``; the path being read is
 never overwritten.  ``uuid()`` is non-deterministic, so issued tokens are
-written once and read back before anyone uses them.
+written once and read back before anyone uses them.  No snapshot whose tokens
+are not unique becomes visible (C25 as the constraint it is in the reference).
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.text import store_display_name
 from ..sources.ledger import CUSTOMERS, Ledger, conform
 from ..sources.sinks import write_snapshot
+from ..sources.versions import AuditFailed, Versions
 
 LINK_PREFIX = "/t/"
 LINK_LIST_SIZE = 20
+# Tokens that a refused write names.
+NAMED_CONFLICTS = 5
 
 
 def new_token() -> Column:
@@ -37,7 +41,7 @@ def with_issued_tokens(customers: DataFrame) -> DataFrame:
 
 def issue_tokens(ledger: Ledger, out_path: str) -> tuple[DataFrame, int]:
     """Write the new customers snapshot to ``out_path``; return it and the count issued."""
-    back = write_snapshot(with_issued_tokens(ledger.customers), out_path)
+    back = write_snapshot(with_issued_tokens(ledger.customers), out_path, audit=unique_tokens)
     issued = back.filter(F.col("token_issued")).count()
     return conform(back, CUSTOMERS), issued
 
@@ -66,7 +70,8 @@ def rotate_tokens(ledger: Ledger, outlet_ids: DataFrame, out_path: str) -> DataF
     The snapshot is written to ``out_path`` (never the path being read) and
     read back; returns (outlet_id, catalog_token) of the rotated outlets.
     """
-    back = write_snapshot(with_rotated_tokens(ledger.customers, outlet_ids).drop("previous_token"), out_path)
+    back = write_snapshot(with_rotated_tokens(ledger.customers, outlet_ids).drop("previous_token"), out_path,
+                          audit=unique_tokens)
     return back.filter(F.col("token_rotated")).select(F.col("id").alias("outlet_id"), "catalog_token")
 
 
@@ -76,6 +81,29 @@ def token_uniqueness_check(customers: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") > 1))
 
 
+class TokenConflict(AuditFailed):
+    """Some token would be held by more than one outlet."""
+
+
+def unique_tokens(customers: DataFrame) -> None:
+    """C25 as a constraint: raise ``TokenConflict`` unless every non-NULL token has one holder."""
+    bad = token_uniqueness_check(customers).orderBy("catalog_token").limit(NAMED_CONFLICTS + 1).collect()
+    if bad:
+        named = ", ".join(f"{r.catalog_token} ({r.holders} outlets)" for r in bad[:NAMED_CONFLICTS])
+        raise TokenConflict(f"catalog_token is not unique: {named}{', ...' if len(bad) > NAMED_CONFLICTS else ''}")
+
+
+def publish_customers(versions: Versions, customers: DataFrame, number: int | None = None) -> DataFrame:
+    """Publish a whole ``customers`` snapshot if its tokens, old and new, are unique.
+
+    Otherwise ``TokenConflict`` names the tokens, and what was visible stays so.
+    """
+    if number is None:
+        latest = versions.latest()
+        number = 0 if latest is None else latest + 1
+    return versions.publish(customers, number, unique_tokens)
+
+
 def token_coverage(customers: DataFrame) -> DataFrame:
     """Total outlets, with a token, without one."""
     return customers.agg(

@@ -1,92 +1,87 @@
-"""C16 as a Structured Streaming stateful operator.
-
-Cart change events ``(outlet_id, product_id, seq, qty, unit)`` arrive in
-micro-batches; ``applyInPandasWithState`` keeps per (outlet, product) the
-current entry (qty, mode, position, last seq).  Each micro-batch emits the
-changed entries (``qty = 0`` marks a removed entry) and the sink writes them per
-batch id, so a retried batch overwrites its own output (idempotent).
-
-Assumes ``seq`` increases across batches (an append-only change log); events
-at or below a key's last applied seq are ignored, which also makes replays safe.
-The end state equals the batch reduction ``orders.cart_state`` over the whole
-log (tested).  A key's events within one micro-batch are reduced by one pandas
-call, so bound micro-batches on the source (``maxFilesPerTrigger`` or
-``maxBytesPerTrigger``); the batch reduction needs no such bound.
+"""C16 as a stream: a versioned snapshot of the changes that still matter.
+
+Cart changes ``(outlet_id, product_id, seq, qty, unit)`` arrive in micro-batches.
+Each is merged into the snapshot by the same folds as the batch reduction
+(``orders.live_log``): an entry keeps its last delete, as a tombstone, and the
+changes after it.  So the live cart equals ``orders.cart_state`` of everything
+that arrived, in whatever order it came: late changes (below sequence numbers
+already seen), replayed ones, a delete followed by a replay of older adds.
+
+The snapshot of batch N is version N of a ``Versions`` table; a retried batch
+finds its version published and changes nothing, or overwrites what an
+unfinished attempt left.  The live cart reads one version, not the batches.
+
+An entry that is changed very often without ever being deleted keeps these
+changes, because a late delete could follow any of them.  With ``lateness``
+changes that are more than so many sequence numbers behind the newest one are
+taken as settled: a later arrival from before that is ignored, and an entry keeps
+only the first and the last of its settled changes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..functions.pricing import MODE_BASE, MODE_DOZEN
-
-STATE_SCHEMA = "qty long, dozen int, position long, last_seq long"
-UPDATE_SCHEMA = "outlet_id long, product_id long, qty long, unit string, position long, last_seq long"
-
-
-def _apply(key, batches: Iterator, state: GroupState):
-    import numpy as np
-    import pandas as pd
-
-    qty, dozen, position, last_seq = (state.get if state.exists else (0, 0, None, -1))
-    frames = [b for b in batches]
-    ev = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
-    if len(ev):
-        ev = ev[ev["seq"] > last_seq].sort_values("seq", kind="stable")
-    if len(ev):
-        seqs = ev["seq"].to_numpy(dtype=np.int64)
-        qtys = ev["qty"].to_numpy(dtype=np.int64)
-        doz = (ev["unit"].to_numpy() == MODE_DOZEN).astype(np.int64)
-        deletes = np.flatnonzero(qtys == 0)
-        if len(deletes):
-            after = np.arange(deletes[-1] + 1, len(seqs))
-            position = int(seqs[after[0]]) if len(after) else None
-        elif qty == 0:
-            position = int(seqs[0])          # (re-)inserted at the end of the cart
-        qty, dozen, last_seq = int(qtys[-1]), int(doz[-1]), int(seqs[-1])
-        if qty == 0:
-            position = None
-    if qty == 0:
-        state.remove()
-    else:
-        state.update((qty, dozen, position, last_seq))
-    yield pd.DataFrame([{
-        "outlet_id": key[0], "product_id": key[1], "qty": qty,
-        "unit": MODE_DOZEN if dozen == 1 else MODE_BASE,
-        "position": position, "last_seq": last_seq,
-    }])
-
-
-def cart_updates(events: DataFrame) -> DataFrame:
-    """Streaming (or batch) frame of cart entry updates per (outlet, product)."""
-    ev = events.filter(F.col("outlet_id").isNotNull() & F.col("product_id").isNotNull()).select(
-        "outlet_id", "product_id", "seq", "qty", "unit")
-    return ev.groupBy("outlet_id", "product_id").applyInPandasWithState(
-        _apply, outputStructType=UPDATE_SCHEMA, stateStructType=STATE_SCHEMA,
-        outputMode="update", timeoutConf=GroupStateTimeout.NoTimeout)
-
-
-def start_cart_stream(events: DataFrame, out_path: str, checkpoint_location: str,
-                      available_now: bool = True) -> StreamingQuery:
-    """Run the stateful reduction; each batch's updates go to ``out_path/batch_id=N``."""
+
+from ..operators.orders import ENTRY, SEQ_BITS, cart_state, live_log
+from ..sources.versions import Versions
+
+CHANGE = [*ENTRY, "seq", "qty", "unit"]
+#: Versions that stay for readers that are still at them.
+KEPT_VERSIONS = 2
+
+
+def _settled(log: DataFrame, horizon: int, seq_bits: int) -> DataFrame:
+    """Without the changes up to ``horizon`` that no change after it can bring back.
+
+    Of a block's settled changes its first and last stay, then those of all blocks,
+    so no entry's changes meet in one task.
+    """
+    old, deletes = F.col("seq") <= F.lit(horizon), F.coalesce(F.col("qty"), F.lit(0)) == 0
+    log = log.withColumn("_block", F.shiftright("seq", seq_bits))
+    for keys in ([*ENTRY, "_block"], ENTRY):
+        w = Window.partitionBy(*keys)
+        log = log.withColumn("_first", F.min(F.when(~deletes, F.col("seq"))).over(w)).withColumn(
+            "_last", F.max(F.when(old, F.col("seq"))).over(w)).filter(
+            ~old | deletes | (F.col("seq") == F.col("_last")) | F.col("seq").eqNullSafe(F.col("_first")))
+    return log.select(*CHANGE)
+
+
+def merge_batch(versions: Versions, batch: DataFrame, batch_id: int, lateness: int | None = None, seq_bits: int = SEQ_BITS) -> None:
+    """Publish version ``batch_id``: the last snapshot before it and the batch, reduced to what matters."""
+    known = versions.published()
+    if batch_id in known:
+        return
+    rows, horizon = batch.select(*CHANGE), None
+    before = [n for n in known if n < batch_id]
+    if before:
+        snapshot = versions.read(before[-1])
+        if lateness is not None:
+            newest = snapshot.agg(F.max("seq")).first()[0]
+            horizon = None if newest is None else newest - lateness
+            rows = rows if horizon is None else rows.filter(F.col("seq") > F.lit(horizon))
+        rows = snapshot.select(*CHANGE).unionByName(rows)
+    log = live_log(rows, seq_bits)
+    versions.publish(log if horizon is None else _settled(log, horizon, seq_bits), batch_id)
+    versions.drop_before((before[-KEPT_VERSIONS + 1:] or [batch_id])[0])
+
+
+def start_cart_stream(events: DataFrame, out_path: str, checkpoint_location: str, available_now: bool = True,
+                      lateness: int | None = None) -> StreamingQuery:
+    """Run the reduction; ``out_path`` holds the snapshots."""
     def sink(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+        merge_batch(Versions(df.sparkSession, out_path), df, batch_id, lateness)
 
-    w = cart_updates(events).writeStream.outputMode("update").foreachBatch(sink).option(
-        "checkpointLocation", checkpoint_location)
+    w = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def current_cart(spark: SparkSession, out_path: str) -> DataFrame:
-    """Fold the written updates into the live cart (latest update per key wins)."""
-    upd = spark.read.parquet(out_path)
-    last = upd.groupBy("outlet_id", "product_id").agg(
-        F.max_by(F.struct("qty", "unit", "position"), F.col("last_seq")).alias("e"))
-    return last.select("outlet_id", "product_id", F.col("e.qty").alias("qty"), F.col("e.unit").alias("unit"),
-                       F.col("e.position").alias("position")).filter(F.col("qty") != 0)
+def current_cart(spark: SparkSession, out_path: str, seq_bits: int = SEQ_BITS) -> DataFrame:
+    """The live cart: the last snapshot, reduced."""
+    versions = Versions(spark, out_path)
+    last = versions.latest()
+    if last is None:
+        raise ValueError(f"no cart snapshot at {out_path}")
+    return cart_state(versions.read(last), seq_bits)
