@@ -1,9 +1,10 @@
 """The reference's per-token calls, with its parameters and clamps.
 
-The four reads (outlet, history, suggestions, products) are the batch plans
-of ``operators.catalog`` restricted to one token (one more filter), paged like
-the reference and ordered by its sort, with exactly the reference's result
-columns.  ``search_products`` and ``build_order`` are the client-side steps
+The four reads (outlet, history, suggestions, products) are the reads of
+``operators.catalog`` for one token, paged like the reference and ordered by its
+sort, with exactly the reference's result columns.  The token is looked up first:
+the outlet's id then filters the scans, a page is cut while one outlet's rows are
+sorted, and nothing is written.  ``search_products`` and ``build_order`` are the client-side steps
 that follow (keyword search over the listing; order lines, totals and message
 from a cart).  An unknown or too-short token gives zero rows in every call.
 For many outlets at once use the batch operators directly; these calls are for
@@ -37,8 +38,8 @@ def get_outlet(ledger: Ledger, token: str) -> DataFrame:
 def get_history(ledger: Ledger, token: str, limit: int | None = C.DEFAULT_PAGE, offset: int | None = 0,
                 vis: C.Visibility = C.DEFAULT) -> DataFrame:
     """One page of the outlet's purchase history (limit clamped 1..1000, offset >= 0)."""
-    rows = C.page(C.positioned_history(ledger, token, vis), limit, offset)
-    return rows.orderBy("pos").select(*_cols(vis, HISTORY_COLUMNS))
+    rows = C.page_of(C.purchase_history(ledger, token, vis), C.history_order(), limit, offset)
+    return rows.select(*_cols(vis, HISTORY_COLUMNS))
 
 
 def get_suggestions(ledger: Ledger, token: str, limit: int | None = C.DEFAULT_SUGGESTIONS,
@@ -50,22 +51,20 @@ def get_suggestions(ledger: Ledger, token: str, limit: int | None = C.DEFAULT_SU
 def get_products(ledger: Ledger, token: str, limit: int | None = C.DEFAULT_PAGE, offset: int | None = 0,
                  vis: C.Visibility = C.DEFAULT) -> DataFrame:
     """One page of the sellable listing, only when the token resolves."""
-    gate = C.resolve_outlets(ledger, token).exists()
-    rows = C.page(C.positioned_listing(ledger, vis), limit, offset).filter(gate)
-    return rows.orderBy("pos").select(*_cols(vis, PRODUCT_COLUMNS))
+    rows = C.page_of(C.product_listing(ledger, token, vis), C.listing_order(), limit, offset)
+    return rows.select(*_cols(vis, PRODUCT_COLUMNS))
 
 
 def get_history_all(ledger: Ledger, token: str, vis: C.Visibility = C.DEFAULT, guard: bool = False) -> DataFrame:
     """The drained history: every page until a short one (with ``guard``, the client's 50 000-row stop)."""
-    rows = C.drain(C.positioned_history(ledger, token, vis), guard=guard)
-    return rows.orderBy("pos").select(*_cols(vis, HISTORY_COLUMNS))
+    rows = C.drained(C.purchase_history(ledger, token, vis), C.history_order(), guard)
+    return rows.select(*_cols(vis, HISTORY_COLUMNS))
 
 
 def get_products_all(ledger: Ledger, token: str, vis: C.Visibility = C.DEFAULT, guard: bool = False) -> DataFrame:
     """The drained listing (the client's full-listing fetch)."""
-    gate = C.resolve_outlets(ledger, token).exists()
-    rows = C.drain(C.positioned_listing(ledger, vis), guard=guard).filter(gate)
-    return rows.orderBy("pos").select(*_cols(vis, PRODUCT_COLUMNS))
+    rows = C.drained(C.product_listing(ledger, token, vis), C.listing_order(), guard)
+    return rows.select(*_cols(vis, PRODUCT_COLUMNS))
 
 
 def get_landing(ledger: Ledger, token: str, vis: C.Visibility = C.DEFAULT) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..plans import hotkeys as HK
+from ..plans.ranking import global_rank
+from ..session import materialize
 from ..sources.ledger import SETTINGS_ROWS, Ledger, settings_frame
+from .catalog import with_category
 
 SETTINGS_PATTERN = "catalog_%"
 
@@ -30,31 +33,34 @@ def missing_price_summary(products: DataFrame) -> DataFrame:
 def missing_price_list(ledger: Ledger) -> DataFrame:
     """Active unpriced products with non-cancelled invoice count and last sale.
 
-    Grouped by (sku, name, category, unit), not by id (T13).  Sales are found
-    with inner joins (items -> unpriced products -> non-cancelled invoices) and
-    reduced to distinct (group, invoice) before the count, so the fact table is
-    never the preserved side of an outer join; never-sold groups come back from
-    a left join of the small per-group result and count 0.
+    Grouped by (sku, name, category, unit), not by id (T13); ``pos`` numbers the
+    groups in the reference's order, most invoices first, then name (ties by the
+    other columns).  A dictionary gives each group one narrow id, its smallest
+    product id.  Sales are found with inner joins (items -> group ids ->
+    non-cancelled invoices), so no string passes through the facts' shuffle, and
+    counted in two levels, (group, invoice) and group.  The strings come back
+    last, in a join of one row a group, where never-sold groups count 0.
     """
     keys = ["sku", "name", "category_name", "unit"]
-    cats = ledger.categories.select(F.col("id").alias("_cat_id"), F.col("name").alias("category_name"))
     raw = ledger.products.filter(_active() & P.unpriced())
-    prods = raw.join(cats, raw["category_id"] == cats["_cat_id"], "left").select(
-        F.col("id").alias("product_id"), *keys)
+    # NULLs are equal in a group, so the four columns are one struct key.
+    prods = with_category(ledger, raw).select(F.col("id").alias("product_id"), F.struct(*keys).alias("_g"))
+    groups = materialize(prods.groupBy("_g").agg(F.min("product_id").alias("_gid")), "price_groups")
+    member = prods.join(groups, "_g").select("product_id", "_gid")
     items = ledger.invoice_items.select("invoice_id", "product_id")
     inv = ledger.invoices.filter(F.col("status") != F.lit("cancelled")).select(
         F.col("id").alias("invoice_id"), "invoice_date")
     # Unpriced products are a subset of the products: broadcast within the
     # checked product count, else the hot-key join over the item scan.
-    sold = (HK.dimension_join(items, prods, "product_id", ledger.product_count, write_facts=False)
+    sold = (HK.dimension_join(items, member, "product_id", ledger.product_count, write_facts=False)
             .join(inv, "invoice_id")
-            .groupBy(*keys).agg(F.count_distinct("invoice_id").alias("invoice_count"),
-                                F.max("invoice_date").alias("last_sold")))
-    groups = prods.select(*keys).distinct()
-    s = sold.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "invoice_count", "last_sold")
-    j = groups.join(s, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], "left")
-    return j.select(*keys, F.coalesce(F.col("invoice_count"), F.lit(0)).cast("bigint").alias("invoice_count"),
-                    "last_sold")
+            .groupBy("_gid", "invoice_id").agg(F.max("invoice_date").alias("_d"))
+            .groupBy("_gid").agg(F.count(F.lit(1)).alias("invoice_count"), F.max("_d").alias("last_sold")))
+    listed = groups.join(sold, "_gid", "left").select(
+        *[F.col(f"_g.{k}").alias(k) for k in keys],
+        F.coalesce(F.col("invoice_count"), F.lit(0)).cast("bigint").alias("invoice_count"), "last_sold")
+    order = [F.col("invoice_count").desc()] + [F.col(k).asc_nulls_last() for k in ("name", "sku", "category_name", "unit")]
+    return global_rank(listed, order, "pos", size_bound=ledger.product_count)
 
 
 def stock_split(products: DataFrame) -> DataFrame:

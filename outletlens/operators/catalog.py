@@ -6,7 +6,9 @@ more filter (``outlets=<token>``).
 
 Outlet selection (``outlets``):
   * ``None``            every outlet whose token can resolve (non-NULL, >= 16 chars)
-  * ``str``             one token, resolved like the reference (no row if unknown)
+  * ``str``             one token, resolved like the reference (no row if unknown);
+                        looked up first, so an unknown token reads no other table,
+                        and a known one puts the outlet's id into the scans' filters
   * DataFrame ``token`` a batch of tokens (unresolvable ones drop out)
   * DataFrame ``outlet_id`` outlets given directly (admin jobs)
 """
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import predicates as P
 from ..functions.text import store_display_name
@@ -94,6 +97,29 @@ def resolve_outlets(ledger: Ledger, outlets=None) -> DataFrame:
             .filter(F.col("outlet_id").isNotNull()).select("outlet_id").dropDuplicates())
 
 
+def find_outlet(ledger: Ledger, token: str):
+    """The id of the outlet that holds ``token``, or None: a lookup in the outlet table only."""
+    if len(token) < P.MIN_TOKEN_LENGTH:
+        return None
+    known = usable_tokens(ledger).filter(F.col("catalog_token") == F.lit(token))
+    return known.agg(F.min("outlet_id")).first()[0]
+
+
+def no_rows(ledger: Ledger, *fields: tuple[str, str | T.DataType]) -> DataFrame:
+    """An empty frame of these columns, which no plan reads anything for."""
+    return ledger.spark.createDataFrame([], T.StructType([T.StructField(n, T._parse_datatype_string(t) if isinstance(t, str) else t) for n, t in fields]))
+
+
+def _product_fields(ledger: Ledger, vis: "Visibility") -> list[tuple[str, T.DataType]]:
+    p = ledger.products.schema
+    source = {"product_id": p["id"], "category_name": ledger.categories.schema["name"]}
+    return [(c, source.get(c, p[c] if c in p.names else None).dataType) for c in vis.product_columns()]
+
+
+def _outlet_field(ledger: Ledger) -> tuple[str, T.DataType]:
+    return "outlet_id", ledger.customers.schema["id"].dataType
+
+
 def token_from_path(path: Column) -> Column:
     tok = F.regexp_extract(path, LINK_PATTERN, 1)
     return F.nullif(tok, F.lit(""))
@@ -115,9 +141,13 @@ def setting_value(ledger: Ledger, key: str) -> Column:
 
 def outlet_profile(ledger: Ledger, outlets=None) -> DataFrame:
     """Display name plus distributor identity for each resolved outlet."""
-    ids = resolve_outlets(ledger, outlets)
     cust = ledger.customers.select(F.col("id").alias("outlet_id"), "name", "store_name")
-    return cust.join(ids, "outlet_id", "left_semi").select(
+    if isinstance(outlets, str):
+        outlet = find_outlet(ledger, outlets)
+        cust = cust.filter(F.lit(False) if outlet is None else F.col("outlet_id") == F.lit(outlet))
+    else:
+        cust = cust.join(resolve_outlets(ledger, outlets), "outlet_id", "left_semi")
+    return cust.select(
         "outlet_id",
         store_display_name().alias("store_name"),
         setting_value(ledger, "catalog_distributor_name").alias("distributor_name"),
@@ -128,21 +158,26 @@ def outlet_profile(ledger: Ledger, outlets=None) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Shared building blocks
 # ---------------------------------------------------------------------------
-def valid_purchases(ledger: Ledger) -> DataFrame:
-    """Item rows of valid invoices: (customer_id, invoice_id, invoice_date, product_id, quantity)."""
+def valid_purchases(ledger: Ledger, outlet=None) -> DataFrame:
+    """Item rows of valid invoices: (customer_id, invoice_id, invoice_date, product_id, quantity).
+
+    With ``outlet`` (an id) those of one outlet: the filter reaches the invoice scan.
+    """
     inv = ledger.invoices.filter(P.valid_invoice()).select(
         F.col("id").alias("invoice_id"), "customer_id", "invoice_date")
+    if outlet is not None:
+        inv = inv.filter(F.col("customer_id") == F.lit(outlet))
     items = ledger.invoice_items.select("invoice_id", "product_id", "quantity")
     return items.join(inv, "invoice_id")
 
 
-def bought(ledger: Ledger) -> DataFrame:
+def bought(ledger: Ledger, outlet=None) -> DataFrame:
     """Distinct (customer, product) pairs with their history aggregates.
 
     Aggregated on narrow keys before any product attribute is attached, so no
     wide string is shuffled; the distinct count plans as a two-phase aggregate.
     """
-    vp = valid_purchases(ledger).filter(F.col("customer_id").isNotNull() & F.col("product_id").isNotNull())
+    vp = valid_purchases(ledger, outlet).filter(F.col("customer_id").isNotNull() & F.col("product_id").isNotNull())
     return vp.groupBy("customer_id", "product_id").agg(
         F.count_distinct("invoice_id").alias("order_count"),
         # Rounded after the sum: quantities may be fractional.
@@ -157,12 +192,21 @@ def owned_pairs(ledger: Ledger) -> DataFrame:
     return vp.select("customer_id", "product_id").distinct()
 
 
+def with_category(ledger: Ledger, prods: DataFrame) -> DataFrame:
+    """Products with their ``category_name`` (NULL without a category).
+
+    A category's products are a hot key, and so are those without one: the
+    categories are broadcast within their checked count, beyond it those with
+    the most products; products without a category skip the join.
+    """
+    cats = ledger.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
+    return HK.dimension_join(prods, cats, "category_id", ledger.category_count, write_facts=False, how="left")
+
+
 def catalog_products(ledger: Ledger, vis: Visibility = DEFAULT) -> DataFrame:
     """Sellable products with their category name (the product side of C4-C6)."""
     prods = ledger.products.filter(P.sellable_product(vis.require_stock, vis.require_price))
-    cats = ledger.categories.select(F.col("id").alias("_cat_id"), F.col("name").alias("category_name"))
-    joined = prods.join(cats, prods["category_id"] == cats["_cat_id"], "left")
-    return joined.select(F.col("id").alias("product_id"), "name", "sku", "price", "unit", "category_name",
+    return with_category(ledger, prods).select(F.col("id").alias("product_id"), "name", "sku", "price", "unit", "category_name",
                          *(PHOTO_COLUMNS if vis.include_photos else []))
 
 
@@ -171,14 +215,22 @@ def catalog_products(ledger: Ledger, vis: Visibility = DEFAULT) -> DataFrame:
 # ---------------------------------------------------------------------------
 def purchase_history(ledger: Ledger, outlets=None, vis: Visibility = DEFAULT) -> DataFrame:
     """C4: per (outlet, sellable product) distinct valid invoices, quantity, last date."""
+    columns = ["outlet_id", *vis.product_columns(), "order_count", "total_qty", "last_ordered"]
+    if isinstance(outlets, str):
+        outlet = find_outlet(ledger, outlets)
+        if outlet is None:
+            return no_rows(ledger, _outlet_field(ledger), *_product_fields(ledger, vis), ("order_count", "bigint"),
+                           ("total_qty", "bigint"), ("last_ordered", ledger.invoices.schema["invoice_date"].dataType))
+        # One outlet has a product once: no key of this join is hot.
+        mine = bought(ledger, outlet).withColumnRenamed("customer_id", "outlet_id")
+        return mine.join(catalog_products(ledger, vis), "product_id").select(*columns)
     ids = resolve_outlets(ledger, outlets).withColumnRenamed("outlet_id", "customer_id")
     b = bought(ledger).join(ids, "customer_id", "left_semi")
     prods = catalog_products(ledger, vis)
     # A popular product is a hot key here (one row per owner): broadcast the
     # products within the checked count, else broadcast the heaviest keys.
     out = HK.dimension_join(b, prods, "product_id", ledger.product_count)
-    return out.select(F.col("customer_id").alias("outlet_id"), *vis.product_columns(),
-                      "order_count", "total_qty", "last_ordered")
+    return out.withColumnRenamed("customer_id", "outlet_id").select(*columns)
 
 
 def history_order() -> list[Column]:
@@ -210,39 +262,71 @@ def owner_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("outlet_count"))
 
 
-def ranked_popularity(ledger: Ledger, vis: Visibility = DEFAULT, pairs: DataFrame | None = None,
-                      counts: DataFrame | None = None) -> DataFrame:
-    """Sellable products bought by >= 1 outlet, with ``outlet_count`` and global ``rank``.
+def popular_products(ledger: Ledger, vis: Visibility, counts: DataFrame) -> DataFrame:
+    """Sellable products bought by >= 1 outlet, with ``outlet_count``.
 
     A product shown to an outlet was never bought by it, so the reference's
     count of *other* outlets equals this global distinct-outlet count.
     """
-    if counts is None:
-        counts = owner_counts(owned_pairs(ledger) if pairs is None else pairs)
-    prods = catalog_products(ledger, vis)
-    # Ranked rows are a subset of the products, so the product count bounds them.
-    return global_rank(prods.join(counts, "product_id"), suggestion_order(), "rank",
-                       size_bound=ledger.product_count)
+    return catalog_products(ledger, vis).join(counts, "product_id")
+
+
+def ranked_popularity(ledger: Ledger, vis: Visibility, counts: DataFrame, head: int) -> DataFrame:
+    """The ``head`` most popular products with their ``rank``; the rest is never sorted as a whole."""
+    pop = popular_products(ledger, vis, counts)
+    if head < ledger.product_count:
+        pop = pop.orderBy(*suggestion_order()).limit(head)
+    return global_rank(pop, suggestion_order(), "rank", size_bound=min(head, ledger.product_count))
+
+
+def head_size(ledger: Ledger, pairs: DataFrame, n: int) -> int:
+    """Ranks that can be shown to some outlet: ``n`` after all that it owns.
+
+    A small product table bounds them without counting; beyond that the largest
+    ownership is measured.
+    """
+    if ledger.product_count <= HK.BROADCAST_ROWS:
+        return ledger.product_count
+    most = pairs.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return min(ledger.product_count, n + (most or 0))
+
+
+def _suggestions_for(ledger: Ledger, outlet, n: int, vis: Visibility) -> DataFrame:
+    """C5 of one outlet: the top ``n`` popular products without its own; nothing is written."""
+    counts = owner_counts(owned_pairs(ledger))
+    own = valid_purchases(ledger, outlet).select("product_id").filter(F.col("product_id").isNotNull()).distinct()
+    top = popular_products(ledger, vis, counts.join(own, "product_id", "left_anti")).orderBy(*suggestion_order()).limit(n)
+    # At most MAX_SUGGESTIONS rows are numbered here.
+    return top.select(F.lit(outlet).cast(_outlet_field(ledger)[1]).alias("outlet_id"),
+                      F.row_number().over(Window.orderBy(*suggestion_order())).cast("bigint").alias("pos"),
+                      *vis.product_columns(), "outlet_count")
 
 
 def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGESTIONS,
                 vis: Visibility = DEFAULT) -> DataFrame:
     """Top ``limit`` products each outlet never validly bought, most outlets first.
 
-    Plan: global popularity rank -> per outlet the slots ``1..limit + owned``
+    Plan: ranks of the most popular products -> per outlet the slots ``1..limit + owned``
     (owned = its sellable bought products, exactly the ranked products it must
     skip) -> anti join owned ranks -> first ``limit`` per outlet -> attributes.
     Linear in outlets x limit + history rows; no cross or theta join.
     """
     n = clamp(limit, DEFAULT_SUGGESTIONS, 1, MAX_SUGGESTIONS)
+    if isinstance(outlets, str):
+        outlet = find_outlet(ledger, outlets)
+        if outlet is None:
+            return no_rows(ledger, _outlet_field(ledger), ("pos", "bigint"), *_product_fields(ledger, vis), ("outlet_count", "bigint"))
+        return _suggestions_for(ledger, outlet, n, vis)
     ids = resolve_outlets(ledger, outlets)
     # The narrow (outlet, product) pairs feed both the popularity rank and the
     # owned side: written once so the ledger join runs once.
     pairs = materialize(owned_pairs(ledger), "pairs")
     counts = owner_counts(pairs)
-    # The rank table is product-sized and used twice (owned ranks, attributes):
-    # written once, so its ranking runs once and both uses see the same ranks.
-    pop = materialize(ranked_popularity(ledger, vis, counts=counts), "popularity")
+    # The rank table is used twice (owned ranks, attributes): written once, so its
+    # ranking runs once and both uses see the same ranks.  It holds the ranks that
+    # some outlet can be shown, and no others.
+    head = head_size(ledger, pairs, n)
+    pop = materialize(ranked_popularity(ledger, vis, counts, head), "popularity")
 
     # Already bought, as ranks (trap T12: the owned side has no product filter;
     # unsellable owned products have no rank and cannot be suggested anyway).
@@ -251,10 +335,9 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
     # are its owners.  The HOT_KEYS heaviest products (sellable or not; a
     # top-k of the owner counts already at hand) are broadcast with their
     # rank, so they never enter a shuffle; every other product has at most
-    # |pairs| / HOT_KEYS owners.  When the ranked products are few (the
-    # product count bounds them, checked against BROADCAST_ROWS) the whole
-    # rank table is broadcast instead.
-    small = ledger.product_count <= HK.BROADCAST_ROWS
+    # |pairs| / HOT_KEYS owners.  When the ranked products are few (their number
+    # is checked against BROADCAST_ROWS) the whole rank table is broadcast instead.
+    small = head <= HK.BROADCAST_ROWS
     ranks = pop.select("product_id", "rank")
     pairs_mine = mine.select("customer_id", "product_id")
     if small:
@@ -304,13 +387,12 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
 def product_listing(ledger: Ledger, token: str | None = None, vis: Visibility = DEFAULT) -> DataFrame:
     """Sellable products with category.  Outlet-independent: computed once.
 
-    With ``token`` the listing is gated on the token resolving (existence
-    semi join), so an unknown token gives zero rows.
+    With ``token`` the listing is gated on the token resolving: an unknown
+    token gives zero rows, and no product is read for it.
     """
-    listing = catalog_products(ledger, vis)
-    if token is None:
-        return listing
-    return listing.filter(resolve_outlets(ledger, token).exists())
+    if token is not None and find_outlet(ledger, token) is None:
+        return no_rows(ledger, *_product_fields(ledger, vis))
+    return catalog_products(ledger, vis)
 
 
 def positioned_listing(ledger: Ledger, vis: Visibility = DEFAULT) -> DataFrame:
@@ -333,6 +415,12 @@ def page_bounds(limit=None, offset=None, default: int = DEFAULT_PAGE, hi: int =
     return n, o
 
 
+def page_of(rows: DataFrame, order: list[Column], limit=None, offset=None) -> DataFrame:
+    """C7 for one outlet's rows: one page by a total order, cut as rows are sorted (no rank of all)."""
+    n, o = page_bounds(limit, offset)
+    return rows.orderBy(*order).offset(o).limit(n)
+
+
 def page(positioned: DataFrame, limit=None, offset=None, pos_col: str = "pos") -> DataFrame:
     """One page of a positioned result (per outlet when it has ``outlet_id``)."""
     n, o = page_bounds(limit, offset)
@@ -345,6 +433,12 @@ def with_page_numbers(positioned: DataFrame, limit=None, pos_col: str = "pos") -
     return positioned.withColumn("page_no", F.floor((F.col(pos_col) - 1) / F.lit(n)).cast("bigint"))
 
 
+def drained(rows: DataFrame, order: list[Column], guard: bool = False, chunk: int = DEFAULT_PAGE) -> DataFrame:
+    """C8 for one outlet's rows, in order; with ``guard`` the client's stop (see ``drain``)."""
+    rows = rows.orderBy(*order)
+    return rows.limit((DRAIN_GUARD_ROWS // chunk + 1) * chunk) if guard else rows
+
+
 def drain(positioned: DataFrame, chunk: int = DEFAULT_PAGE, guard: bool = False,
           pos_col: str = "pos") -> DataFrame:
     """The rows a page-by-page drain returns.
@@ -360,7 +454,7 @@ def drain(positioned: DataFrame, chunk: int = DEFAULT_PAGE, guard: bool = False,
 
 
 def negative_token_check(ledger: Ledger, token: str) -> DataFrame:
-    """Row counts of the four reads for one token (all 0 when unknown)."""
+    """Row counts of the four reads for one token (all 0 when unknown, and then only the outlet table is read)."""
     spark = ledger.spark
     return spark.range(1).select(
         outlet_profile(ledger, token).select(F.count(F.lit(1))).scalar().alias("outlet_rows"),

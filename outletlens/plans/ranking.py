@@ -77,16 +77,14 @@ def group_position(df: DataFrame, group_cols: list[str], order: list[Column],
 
     Group keys may be NULL; NULLs form one group (null-safe join back).
     ``group_bound`` is an optional frame whose row count bounds the largest
-    group (e.g. the product table for one outlet's history), or that count;
-    it is used instead of grouping ``df``.
+    group (e.g. the product table for one outlet's history), or that count: while
+    it is small enough, no group needs counting.  Beyond it the groups are
+    counted, as a bound says little about the largest of them.
     """
     limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
     if limit > 0:
-        if group_bound is not None:
-            largest = _rows(group_bound)
-        else:
-            largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-        if largest <= limit:
+        small = group_bound is not None and _rows(group_bound) <= limit
+        if small or (df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0) <= limit:
             w = Window.partitionBy(*group_cols).orderBy(*order)
             return df.withColumn(pos_col, F.row_number().over(w).cast("bigint"))
     ranked = _distributed_rank(df, [F.col(c).asc_nulls_last() for c in group_cols] + order, "_grank", True)

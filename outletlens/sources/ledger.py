@@ -362,6 +362,11 @@ class Ledger:
         """The bound of outlet-sized size checks (the token table)."""
         return self.row_count("customers")
 
+    @property
+    def category_count(self) -> int:
+        """The bound of the category table in the products' category join."""
+        return self.row_count("categories")
+
     def replace(self, **frames: DataFrame) -> "Ledger":
         loaders = dict(self._loaders)
         for name, df in frames.items():
