@@ -56,13 +56,18 @@ def product_index(listing: DataFrame, history: DataFrame, suggested: DataFrame)
 
 
 def catalog_index(ledger: Ledger, vis: C.Visibility = C.DEFAULT, storage_base_url: str | None = None,
-                  include_lists: bool = True) -> DataFrame:
-    """C12 over the whole ledger: listing + every outlet's history and suggestions."""
+                  include_lists: bool = True, history_vis: C.Visibility | None = None,
+                  suggestion_vis: C.Visibility | None = None) -> DataFrame:
+    """C12 over the whole ledger: listing + every outlet's history and suggestions.
+
+    The lists may be read under different options (as the reference's functions
+    were, version by version); a product in several has the first one's row.
+    """
     listing = normalize_products(C.product_listing(ledger, vis=vis), storage_base_url)
     if not include_lists:
         return listing.withColumn("source", F.lit(0))
-    hist = normalize_products(C.purchase_history(ledger, vis=vis), storage_base_url)
-    sugg = normalize_products(C.suggestions(ledger, vis=vis), storage_base_url)
+    hist = normalize_products(C.purchase_history(ledger, vis=history_vis or vis), storage_base_url)
+    sugg = normalize_products(C.suggestions(ledger, vis=suggestion_vis or vis), storage_base_url)
     return product_index(listing, hist, sugg)
 
 
@@ -109,9 +114,9 @@ def _shown_matches(matches: DataFrame, limit: int) -> DataFrame:
 
 # Keyword index: substrings of this length (shorter keywords use their own length).
 GRAM = 3
-# Product-hash buckets one keyword's candidate search is split into, so a
-# keyword matching most products (a one-letter search) is never one task.
-SEARCH_BUCKETS = 32
+# Candidates of one keyword that one bucket of its search holds: a keyword whose
+# rarest gram is in many products (a one-letter search) is split by product hash.
+BUCKET_CANDIDATES = 4096
 
 
 def _grams(text: Column, n: Column) -> Column:
@@ -137,7 +142,8 @@ def gram_index(index: DataFrame) -> DataFrame:
 
 
 def search_table(index: DataFrame, keywords: DataFrame, keyword_col: str = "keyword",
-                 limit: int = SEARCH_LIMIT, product_rows: int | None = None) -> DataFrame:
+                 limit: int = SEARCH_LIMIT, product_rows: int | None = None,
+                 bucket_candidates: int = BUCKET_CANDIDATES) -> DataFrame:
     """C13 for a table of keywords (e.g. every outlet's search log), same output as ``search``.
 
     A substring test between two tables is a theta join; here it becomes an
@@ -154,22 +160,24 @@ def search_table(index: DataFrame, keywords: DataFrame, keyword_col: str = "keyw
           .withColumn("_n", F.least(F.lit(GRAM), F.length("_k"))))
     # The gram index is read for the frequencies and for the candidates (and
     # again by the count and the shown rows): written once.
-    buckets = SEARCH_BUCKETS
-    grams = materialize(gram_index(index).withColumn(
-        "_b", F.pmod(F.xxhash64("product_id"), F.lit(buckets)).cast("int")), "gram_index")
+    grams = materialize(gram_index(index), "gram_index")
     freq = grams.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("_f"))
     kwg = kw.select("keyword", "_k", F.col("_n").alias("n"), F.explode(_grams(F.col("_k"), F.col("_n"))).alias("gram"))
     # A gram no product holds has frequency 0: the keyword then has no candidates.
     best = kwg.join(freq, ["n", "gram"], "left").groupBy("keyword", "_k", "n").agg(
-        F.min_by("gram", F.coalesce(F.col("_f"), F.lit(0))).alias("gram"))
+        F.min(F.struct(F.coalesce(F.col("_f"), F.lit(0)).alias("f"), "gram")).alias("_best"))
     # One row per distinct keyword, read by both the count and the shown rows:
     # written once, so the keyword source (a whole search log) is read once.
-    best = materialize(best, "search_keywords")
-    # One row per keyword and product bucket, spread over tasks: a keyword's
-    # candidates (and their count and top rows, combined partially) split
-    # over the buckets instead of landing in the keyword's one partition.
-    fan = best.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).repartition("keyword", "_b")
-    cand = fan.join(grams, ["n", "gram", "_b"]).select("keyword", "_k", "product_id")
+    best = materialize(best.select("keyword", "_k", "n", "_best.gram", F.ceil(F.col("_best.f") / F.lit(bucket_candidates)).cast("int").alias("_fan")),
+                       "search_keywords")
+    # A keyword's fan-out follows its candidates: their number in buckets of
+    # ``bucket_candidates``.  Only grams in more products than a bucket holds are
+    # split, at most |gram index| / bucket_candidates of them; these are broadcast.
+    split = best.filter(F.col("_fan") > 1).select("n", "gram", F.col("_fan").alias("_parts")).distinct()
+    bucket = F.pmod(F.xxhash64("product_id"), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
+    held = grams.join(F.broadcast(split), ["n", "gram"], "left").select("n", "gram", "product_id", bucket.alias("_b"))
+    fan = best.filter(F.col("_fan") > 0).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_fan") - 1)))
+    cand = fan.join(held, ["n", "gram", "_b"]).select("keyword", "_k", "product_id")
     if product_rows is None:
         rows = cand.join(index, "product_id")
     else:
@@ -226,11 +234,19 @@ def landing_summary(ledger: Ledger, outlets=None, vis: C.Visibility = C.DEFAULT,
     ``suggestion_count = least(limit, ranked_products - history_count)``.
     """
     n = C.clamp(limit, C.DEFAULT_SUGGESTIONS, 1, C.MAX_SUGGESTIONS)
-    ids = C.resolve_outlets(ledger, outlets)
+    if isinstance(outlets, str):
+        outlet = C.find_outlet(ledger, outlets)
+        if outlet is None:
+            return C.no_rows(ledger, C.outlet_field(ledger), ("history_count", "bigint"), ("suggestion_count", "bigint"),
+                             ("product_count", "bigint"), ("landing", "string"))
+        ids = C.usable_tokens(ledger).filter(F.col("outlet_id") == F.lit(outlet)).select("outlet_id")
+    else:
+        ids = C.resolve_outlets(ledger, outlets)
     sellable = C.catalog_products(ledger, vis).select("product_id")
     # A semi join with the (unique) sellable ids, as the hot-key dimension join.
-    pairs = materialize(HK.dimension_join(C.owned_pairs(ledger), sellable, "product_id", ledger.product_count),
-                        "sellable_pairs")
+    # Both uses below (distinct products, pairs per outlet) read the one shuffle
+    # that makes the pairs distinct.
+    pairs = HK.dimension_join(C.owned_pairs(ledger), sellable, "product_id", ledger.product_count)
     ranked = pairs.select(F.count_distinct("product_id")).scalar()
     # Counted for every customer; the left join below keeps the asked outlets.
     h = pairs.groupBy(F.col("customer_id").alias("outlet_id")).agg(F.count(F.lit(1)).alias("history_count"))

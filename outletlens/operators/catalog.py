@@ -116,7 +116,7 @@ def _product_fields(ledger: Ledger, vis: "Visibility") -> list[tuple[str, T.Data
     return [(c, source.get(c, p[c] if c in p.names else None).dataType) for c in vis.product_columns()]
 
 
-def _outlet_field(ledger: Ledger) -> tuple[str, T.DataType]:
+def outlet_field(ledger: Ledger) -> tuple[str, T.DataType]:
     return "outlet_id", ledger.customers.schema["id"].dataType
 
 
@@ -219,7 +219,7 @@ def purchase_history(ledger: Ledger, outlets=None, vis: Visibility = DEFAULT) ->
     if isinstance(outlets, str):
         outlet = find_outlet(ledger, outlets)
         if outlet is None:
-            return no_rows(ledger, _outlet_field(ledger), *_product_fields(ledger, vis), ("order_count", "bigint"),
+            return no_rows(ledger, outlet_field(ledger), *_product_fields(ledger, vis), ("order_count", "bigint"),
                            ("total_qty", "bigint"), ("last_ordered", ledger.invoices.schema["invoice_date"].dataType))
         # One outlet has a product once: no key of this join is hot.
         mine = bought(ledger, outlet).withColumnRenamed("customer_id", "outlet_id")
@@ -297,7 +297,7 @@ def _suggestions_for(ledger: Ledger, outlet, n: int, vis: Visibility) -> DataFra
     own = valid_purchases(ledger, outlet).select("product_id").filter(F.col("product_id").isNotNull()).distinct()
     top = popular_products(ledger, vis, counts.join(own, "product_id", "left_anti")).orderBy(*suggestion_order()).limit(n)
     # At most MAX_SUGGESTIONS rows are numbered here.
-    return top.select(F.lit(outlet).cast(_outlet_field(ledger)[1]).alias("outlet_id"),
+    return top.select(F.lit(outlet).cast(outlet_field(ledger)[1]).alias("outlet_id"),
                       F.row_number().over(Window.orderBy(*suggestion_order())).cast("bigint").alias("pos"),
                       *vis.product_columns(), "outlet_count")
 
@@ -315,7 +315,7 @@ def suggestions(ledger: Ledger, outlets=None, limit: int | None = DEFAULT_SUGGES
     if isinstance(outlets, str):
         outlet = find_outlet(ledger, outlets)
         if outlet is None:
-            return no_rows(ledger, _outlet_field(ledger), ("pos", "bigint"), *_product_fields(ledger, vis), ("outlet_count", "bigint"))
+            return no_rows(ledger, outlet_field(ledger), ("pos", "bigint"), *_product_fields(ledger, vis), ("outlet_count", "bigint"))
         return _suggestions_for(ledger, outlet, n, vis)
     ids = resolve_outlets(ledger, outlets)
     # The narrow (outlet, product) pairs feed both the popularity rank and the

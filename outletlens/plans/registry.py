@@ -106,6 +106,14 @@ def q_suggestions_priced(spark, sf_dir):
     return C.suggestions(_ledger(spark, sf_dir), vis=C.Visibility(require_price=True))
 
 
+def q_purchase_history_priced(spark, sf_dir):
+    return C.purchase_history(_ledger(spark, sf_dir), vis=C.Visibility(require_price=True))
+
+
+def q_product_listing_priced(spark, sf_dir):
+    return C.product_listing(_ledger(spark, sf_dir), vis=C.Visibility(require_price=True))
+
+
 def q_listing_any_stock(spark, sf_dir):
     vis = C.Visibility(require_stock=False, include_photos=False)
     return C.product_listing(_ledger(spark, sf_dir), vis=vis)
@@ -124,6 +132,13 @@ def q_product_index(spark, sf_dir):
     return B.catalog_index(_ledger(spark, sf_dir), storage_base_url=STORAGE_BASE_URL)
 
 
+def q_product_index_lists(spark, sf_dir):
+    """C12 where the lists differ: a priced listing without photos, a history that
+    also has what is out of stock, suggestions that also have what has no price."""
+    return B.catalog_index(_ledger(spark, sf_dir), C.Visibility(require_price=True, include_photos=False), STORAGE_BASE_URL,
+                           history_vis=C.Visibility(require_stock=False, require_price=True), suggestion_vis=C.DEFAULT)
+
+
 def q_search(spark, sf_dir):
     res = B.search(B.search_index(C.product_listing(_ledger(spark, sf_dir)), STORAGE_BASE_URL), SEARCH_KEYWORDS)
     return res.select("keyword", "match_count", "pos", *NORM)
@@ -207,6 +222,12 @@ def q_history_notes(spark, sf_dir):
                                                            "second_line", "initial")
 
 
+def q_suggestion_notes(spark, sf_dir):
+    rows = B.normalize_products(C.suggestions(_ledger(spark, sf_dir)), STORAGE_BASE_URL)
+    return O.display_rows(rows, qty=None, mode=None).select("outlet_id", "pos", "product_id", "note", "price_tag",
+                                                           "second_line", "initial")
+
+
 # --- C23 - C27 --------------------------------------------------------------
 def q_issue_tokens(spark, sf_dir):
     customers = _ledger(spark, sf_dir).customers
@@ -267,9 +288,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_pages": q_history_pages,              # C7
     "history_drain": q_history_drain,              # C8
     "suggestions_priced": q_suggestions_priced,    # C9
+    "purchase_history_priced": q_purchase_history_priced,  # C9
+    "product_listing_priced": q_product_listing_priced,  # C9
     "listing_any_stock": q_listing_any_stock,      # C10
     "normalized_listing": q_normalized_listing,    # C11
     "product_index": q_product_index,              # C12
+    "product_index_lists": q_product_index_lists,  # C12, lists that differ
     "search": q_search,                            # C13
     "search_log": q_search_log,                    # C13, keyword table
     "category_rollup": q_category_rollup,          # C14
@@ -294,4 +318,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "negative_token_check": q_negative_token_check,  # C34
     "display_rows": q_display_rows,                # C36
     "history_notes": q_history_notes,              # C36
+    "suggestion_notes": q_suggestion_notes,        # C36
 }

@@ -110,3 +110,112 @@ def test_landing_for_one_token(ledger_small):
         "history_count", "suggestion_count", "product_count", "landing").collect()]
     assert got == want and got[0][3] == "history"
     assert api.get_landing(ledger_small, "unknown-token-000000000000").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_page_of_one_token_ranks_nothing(ledger_small):
+    """A page is cut while the outlet's rows are sorted, and its id filters the invoice scan."""
+    oid = _busiest(ledger_small)
+    tok = _token(ledger_small, oid)
+    plan = _plan(api.get_history(ledger_small, tok, limit=4, offset=2))
+    assert "Window" not in plan and "TakeOrderedAndProject" in plan
+    assert f"EqualTo(o_custkey,{oid})" in plan
+    plan = _plan(api.get_products(ledger_small, tok, limit=4, offset=2))
+    assert "Window" not in plan and "TakeOrderedAndProject" in plan
+    assert "Window" not in _plan(api.get_history_all(ledger_small, tok))
+
+
+def _scratch(spark):
+    import os
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/tables"
+    return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+
+def test_unknown_token_reads_no_item_row_and_writes_nothing(spark, ledger_small):
+    before = _scratch(spark)
+    for call in (api.get_outlet, api.get_history, api.get_suggestions, api.get_products, api.get_history_all, api.get_products_all, api.get_landing):
+        df = call(ledger_small, "unknown-token-000000000000")
+        assert df.count() == 0 and not any(t in _plan(df) for t in ("lineitem", "part.parquet", "orders.parquet")), call
+    check = C.negative_token_check(ledger_small, "unknown-token-000000000000")
+    assert tuple(check.first()) == (0, 0, 0, 0) and "lineitem" not in _plan(check)
+    assert _scratch(spark) == before
+
+
+def test_one_token_writes_nothing(spark, ledger_small):
+    tok = _token(ledger_small, _busiest(ledger_small))
+    before = _scratch(spark)
+    api.get_suggestions(ledger_small, tok).collect()
+    api.get_history(ledger_small, tok).collect()
+    assert _scratch(spark) == before
+    assert tuple(C.negative_token_check(ledger_small, tok).first())[0] == 1
+
+
+def test_reads_of_an_unknown_token_have_the_same_columns(ledger_small):
+    tok = _token(ledger_small, _busiest(ledger_small))
+    for read in (C.purchase_history, C.suggestions, C.product_listing, C.outlet_profile):
+        assert [(f.name, f.dataType) for f in read(ledger_small, "unknown-token-000000000000").schema] == [(f.name, f.dataType) for f in read(ledger_small, tok).schema]
+
+
+def test_suggestions_from_a_measured_head_equal_those_from_all_ranks(spark, ledger_small, monkeypatch):
+    """Beyond the broadcast bound only the ranks that some outlet can be shown are sorted."""
+    from outletlens.plans import hotkeys, ranking
+    want = {tuple(r) for r in C.suggestions(ledger_small).collect()}
+    monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(hotkeys, "HOT_KEYS", 16)
+    pairs = C.owned_pairs(ledger_small)
+    most = max(r["count"] for r in pairs.groupBy("customer_id").count().collect())
+    assert C.head_size(ledger_small, pairs, 12) == min(ledger_small.product_count, 12 + most)
+    assert {tuple(r) for r in C.suggestions(ledger_small).collect()} == want
+    # What one task may rank does not decide the result (nor, within the head, the plan).
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 5)
+    assert {tuple(r) for r in C.suggestions(ledger_small).collect()} == want
+
+
+def test_popular_head_is_cut_before_it_is_ranked(ledger_small):
+    counts = C.owner_counts(C.owned_pairs(ledger_small))
+    assert "TakeOrderedAndProject" in _plan(C.ranked_popularity(ledger_small, C.DEFAULT, counts, 20))
+
+
+def test_page_positions_count_the_groups_beyond_the_bound(spark, ledger_small, monkeypatch):
+    """A product table beyond the bound alone does not force the distributed ranking."""
+    from outletlens.plans import ranking
+    rows = spark.range(1000).select((F.col("id") % 50).alias("g"), "id")
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 30)
+    plan = _plan(ranking.group_position(rows, ["g"], [F.col("id")], group_bound=10**9))
+    assert "Window" in plan and "rangepartitioning" not in plan
+
+
+def test_category_join_is_broadcast_or_split(spark, ledger_small, monkeypatch):
+    from outletlens.plans import hotkeys
+    want = {tuple(r) for r in C.product_listing(ledger_small).collect()}
+    plan = _plan(C.product_listing(ledger_small))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(hotkeys, "HOT_KEYS", 2)
+    assert {tuple(r) for r in C.product_listing(ledger_small).collect()} == want
+
+
+def test_search_fan_out_follows_the_candidates(spark, ledger_small):
+    """One-letter and rare keywords: the same rows whatever a bucket holds."""
+    from outletlens.operators import browse as B
+    index = B.search_index(C.product_listing(ledger_small))
+    keywords = spark.createDataFrame([("a",), ("e",), ("ring",), ("sku-0001",), ("zzzz",), ("  A ",)], "keyword string")
+    want = {tuple(r) for r in B.search_table(index, keywords).collect()}
+    assert want and {tuple(r) for r in B.search_table(index, keywords, bucket_candidates=7).collect()} == want
+
+
+def test_index_lists_exercise_the_priority(spark):
+    from outletlens.plans.registry import QUERIES
+    from .conftest import SF001
+    assert {r.source for r in QUERIES["product_index_lists"](spark, SF001).select("source").distinct().collect()} == {0, 1, 2}
+
+
+def test_missing_prices_no_string_in_the_fact_shuffle(ledger_small):
+    """Only ids, dates and counts are exchanged with the items; strings come back per group."""
+    import re
+    from outletlens.operators import audits as A
+    plan = _plan(A.missing_price_list(ledger_small))
+    assert not [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if re.search("name|sku|unit|_g#", x)]

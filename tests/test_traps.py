@@ -132,6 +132,22 @@ def test_t13_missing_price_groups_by_attributes(spark):
     assert len(r) == 1 and r[0].invoice_count == 2   # cancelled invoice 30 is not counted
 
 
+def test_t14_search_sorts_by_locale_not_by_code_point(spark):
+    """Mixed case and accents: 'a' and 'A' together, an accented letter next to its base letter."""
+    from outletlens.operators import browse as B
+    names = ["Zebra", "apel", "Éclair", "Anggur", "élan", "edam", "äpfel", "zaitun", "Edamer", "Ångström"]
+    idx = spark.createDataFrame([(i, n, "SKU", 1.0, "pcs", "C", None, None) for i, n in enumerate(names)],
+                                "product_id bigint, name string, sku string, price double, unit string,"
+                                " category_name string, photo_thumb_url string, photo_large_url string")
+    want = ["Anggur", "Ångström", "apel", "äpfel", "Éclair", "edam", "Edamer", "élan", "zaitun", "Zebra"]
+    got = [r.name for r in B.search(idx, ["sku"]).orderBy("pos").collect()]
+    assert got == want and sorted(names) != want
+    keywords = spark.createDataFrame([("sku",)], "keyword string")
+    assert [r.name for r in B.search_table(idx, keywords).orderBy("pos").collect()] == want
+    cats = B.category_rollup(idx.withColumn("category_name", idx.name)).collect()
+    assert [r.category_name for r in cats] == want
+
+
 def test_t15_t16_nan_and_null_price(spark):
     assert one(spark, PR.has_price(F.lit(float("nan")))) is False
     assert one(spark, PR.has_price(F.lit(float("inf")))) is False
