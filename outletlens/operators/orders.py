@@ -39,21 +39,19 @@ def _fold(runs: DataFrame, keys: list[str]) -> DataFrame:
     and mode.  Summaries that cover separate stretches of the log merge into one:
     an add counts when it follows the last delete of all.
     """
-    after = F.col("_cut").isNull() | (F.col("_start") > F.col("_cut"))
     runs = runs.withColumn("_cut", F.max("_del").over(Window.partitionBy(*keys)))
     return runs.groupBy(*keys).agg(
-        F.max("_del").alias("_del"), F.min(F.when(after, F.col("_start"))).alias("_start"), F.max("_last").alias("_last"),
-        F.max_by("_qty", "_last").alias("_qty"), F.max_by("_dozen", "_last").alias("_dozen"))
+        F.expr("max(_del) AS _del"), F.expr("min(CASE WHEN _cut IS NULL OR _start > _cut THEN _start END) AS _start"),
+        F.expr("max(_last) AS _last"), F.expr("max_by(_qty, _last) AS _qty"), F.expr("max_by(_dozen, _last) AS _dozen"))
 
 
 def cart_runs(events: DataFrame, seq_bits: int = SEQ_BITS) -> DataFrame:
     """One run summary per cart entry, also for entries that were deleted."""
-    qty = F.coalesce(F.col("qty"), F.lit(0))  # no quantity deletes, as 0 does
-    single = entry_events(events, seq_bits).select(
-        *ENTRY, "_block", F.when(qty == 0, F.col("seq")).alias("_del"), F.when(qty != 0, F.col("seq")).alias("_start"),
-        F.col("seq").alias("_last"), qty.alias("_qty"),
-        # Mode is a two-valued enum: 0/1 keeps every aggregation buffer fixed-width.
-        (F.col("unit") == F.lit(PR.MODE_DOZEN)).cast("int").alias("_dozen"))
+    # No quantity deletes, as 0 does.  Mode is a two-valued enum: 0/1 keeps every
+    # aggregation buffer fixed-width.
+    single = entry_events(events, seq_bits).withColumn("_qty", F.expr("coalesce(qty, 0)")).selectExpr(
+        *ENTRY, "_block", "CASE WHEN _qty = 0 THEN seq END AS _del", "CASE WHEN _qty <> 0 THEN seq END AS _start",
+        "seq AS _last", "_qty", f"cast(unit = '{PR.MODE_DOZEN}' AS int) AS _dozen")
     return _fold(_fold(single, [*ENTRY, "_block"]), ENTRY)
 
 

@@ -32,7 +32,7 @@ _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 
 
 # Rows one task may rank with a window: a bound checked before each use.
-SINGLE_TASK_ROWS = 1_000_000
+SINGLE_TASK_ROWS = 100_000
 
 
 def _rows(bound: DataFrame | int) -> int:

@@ -237,23 +237,33 @@ DRIVER_SCHEMAS = {
 }
 
 
+# The driver tables whose rows a ledger table counts (categories: no more than products).
+DRIVER_FILES = {"customers": "customer", "products": "part", "categories": "part"}
+
+
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = DRIVER_SCHEMAS.get(name)
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
+def _files_state(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of a table's files, as its file system lists them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark._jvm.java.util.Arrays.toString(at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+
+
 class Ledger:
     """Lazily loaded ledger tables: a table is read on first use only."""
 
-    def __init__(self, spark: SparkSession, loaders: dict, source: str = "", shared_counts: bool = False):
+    def __init__(self, spark: SparkSession, loaders: dict, source: str = "", paths: dict | None = None):
         self.spark = spark
         self.source = source
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
-        # Ledgers read straight from files share their size-check counts
-        # within the session (see ``row_count``).
-        self._shared_counts = shared_counts
+        # Where tables are read straight from files: their size-check counts are
+        # shared within the session (see ``row_count``).
+        self._paths = dict(paths or {})
 
     def __getattr__(self, name: str) -> DataFrame:
         loaders = self.__dict__.get("_loaders", {})
@@ -278,7 +288,7 @@ class Ledger:
             "app_settings": lambda: settings_frame(spark),
             "cart_events": lambda: map_cart_events(read("events")),
             "grants": lambda: spark.createDataFrame([], GRANTS),
-        }, source=f"driver:{sf_dir}", shared_counts=True)
+        }, source=f"driver:{sf_dir}", paths={t: f"{sf_dir.rstrip('/')}/{f}.parquet" for t, f in DRIVER_FILES.items()})
 
     @classmethod
     def from_tables(cls, spark: SparkSession, root: str, fmt: str = "parquet",
@@ -321,7 +331,7 @@ class Ledger:
             return load
 
         return cls(spark, {n: loader(n, sc) for n, sc in SCHEMAS.items()}, source=f"{fmt}:{root}",
-                   shared_counts=True)
+                   paths={n: f"{root.rstrip('/')}/{n}" for n in SCHEMAS})
 
     @classmethod
     def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> "Ledger":
@@ -337,17 +347,17 @@ class Ledger:
         """Rows of one ledger table for size checks, counted once.
 
         Ledgers read straight from files (``from_driver``/``from_tables``)
-        share the count within a session as long as the files keep their
-        total size.  Ledgers made by ``replace`` or from frames count their own.
+        share the count within a session as long as the files keep their names,
+        lengths and times.  Ledgers made by ``replace`` or from frames count
+        their own.
         """
         counts = self.__dict__.setdefault("_counts", {})
         if name not in counts:
-            df = getattr(self, name)
             known, key = {}, None
-            if self.__dict__.get("_shared_counts"):
+            if name in self._paths:
                 known = self.spark.__dict__.setdefault("_outletlens_counts", {})
-                key = (self.source, name, str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            counts[name] = known[key] if key in known else df.count()
+                key = (self.source, name, _files_state(self.spark, self._paths[name]))
+            counts[name] = known[key] if key in known else getattr(self, name).count()
             known[key] = counts[name]
         return counts[name]
 
