@@ -247,10 +247,16 @@ def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
-def _files_state(spark: SparkSession, path: str) -> str:
-    """Names, lengths and times of a table's files, as its file system lists them."""
+def _files_state(spark: SparkSession, path: str) -> tuple:
+    """Time of a table's folder (or file), number and bytes of its files.
+
+    A rewrite makes the folder anew, so its time tells one of equal size too
+    (on stores that keep times of folders).
+    """
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return spark._jvm.java.util.Arrays.toString(at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(at)
+    return fs.getFileStatus(at).getModificationTime(), summary.getFileCount(), summary.getLength()
 
 
 class Ledger:
@@ -347,8 +353,8 @@ class Ledger:
         """Rows of one ledger table for size checks, counted once.
 
         Ledgers read straight from files (``from_driver``/``from_tables``)
-        share the count within a session as long as the files keep their names,
-        lengths and times.  Ledgers made by ``replace`` or from frames count
+        share the count within a session as long as the files stay as they are
+        (see ``_files_state``).  Ledgers made by ``replace`` or from frames count
         their own.
         """
         counts = self.__dict__.setdefault("_counts", {})

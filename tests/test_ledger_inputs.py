@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from outletlens.functions import pricing as PR
 from outletlens.operators import audits, catalog as C, orders as O
 from outletlens.session import drop, ensure_checkpoint_dir, materialize
+from outletlens.sources import ledger as L
 from outletlens.sources.ledger import CART_EVENTS, Ledger
 
 TOKEN = "0123456789abcdef0123456789abcdef"
@@ -96,3 +97,16 @@ def test_scratch_tables_are_dropped_and_need_a_shared_folder(spark, monkeypatch)
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_a_rewrite_of_equal_size_is_counted_anew(spark, tmp_path):
+    """Size checks share counts only while the files stay as they are."""
+    import time
+    cats = spark.createDataFrame([(f"c{i}", f"n{i}") for i in range(9)], "id string, name string")
+    cats.coalesce(1).write.parquet(str(tmp_path / "categories"))
+    assert Ledger.from_tables(spark, str(tmp_path)).category_count == 9
+    state = L._files_state(spark, str(tmp_path / "categories"))
+    time.sleep(1.1)
+    cats.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "categories"))
+    again = L._files_state(spark, str(tmp_path / "categories"))
+    assert state[1:] == again[1:] and state != again
