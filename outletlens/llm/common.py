@@ -42,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` does not have: longer than all of its own."""
+    longest = max(map(len, df.columns), default=0)
+    return ["_" * (longest + 1 + k) for k in range(n)]
+
+
 class Shared:
     """A broadcast object whose class travels with it, so executors need no package."""
 

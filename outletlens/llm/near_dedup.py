@@ -1,8 +1,8 @@
 """MinHash near-dedup by a Chosen Path set similarity join.
 
 1. A document's set holds the hashes of its distinct two-word shingles.  Equal
-   sets are one *class*, represented by its smallest doc_id; a group of copies,
-   however large, is one row from here on.
+   sets are one *class* with a number of its own; a group of copies, however
+   large, is one row from here on.
 2. Every class has ``POSITIONS`` minwise tokens.  In each of several independent
    trees, a node sends a class to one child, and with probability 1/t - 1 to a
    second one, for similarity threshold t.  The node picks a position, and the
@@ -16,12 +16,14 @@
    Nodes that lie within one component need no more comparisons.  In the rest,
    every class outside the node's largest component is compared with every
    class of the node that is not in its own component: by minwise tokens first
-   (within four standard errors of the threshold), then on full sets.  A
-   first round verifies only the best partner in each other component, which
-   connects almost all; the last round verifies every pair that is left, inside
-   the tasks, and returns no more links than connect the classes.  Large nodes are
-   cut into a grid of blocks of at most about ``LEAF`` classes by ``LEAF``, so
-   no task holds a node, none is capped, and no list of pairs is written.
+   (within ``SPREAD`` standard errors of the threshold, which a pair that belongs
+   together misses once in a thousand million times), then on full sets.  The first
+   rounds verify only the best partner of each class outside its component, one
+   pair a class and block, which connects almost all; the last round verifies
+   every pair that is left, inside the tasks, and returns no more links than
+   connect the classes.  Large nodes are cut into a grid of blocks of at most
+   about ``LEAF`` classes by ``LEAF``, so no task holds a node, none is capped,
+   and no list of pairs is written.
 4. Components of all verified links.  Only links inside an already connected
    component are left out, so components are those of all links found.
 
@@ -29,8 +31,9 @@ Every link is verified on full sets of 64-bit shingle hashes.
 
 Defined cases: null and empty texts have no shingles and stand alone; a text of
 one word has that word as its only shingle; rows with a null ``doc_id`` stand
-alone (component null, kept); rows with equal doc_id and text are one vertex;
-extra columns are not read; an empty table gives no rows.
+alone (component null, kept); rows with equal doc_id and text are one vertex,
+rows with equal doc_id and different texts are one each, judged by their own
+text; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import words as W
-from .common import join_groups, slices, table, utf8_column
+from .common import free_names, join_groups, slices, table, utf8_column
 from .components import components
 
 #: Links have 100 * intersection >= PERCENT * union.
@@ -54,23 +57,36 @@ WORDS = 2
 POSITIONS = 128
 #: Chance that a pair at the threshold meets in at least one node.
 RECALL = 0.9999
+#: Standard errors that minwise tokens may fall short of the threshold.
+SPREAD = 6
 #: Similarity of unlike documents that the depth is laid out for.
 UNLIKE = 0.05
 #: Classes on either side of one exhaustive comparison.
-LEAF = 1024
+LEAF = 512
 #: Rounds in which each class is compared with its likeliest partners only, before the exhaustive one.
 BEST_ROUNDS = 2
 
 
 def plan_trees(classes: int, percent: int = PERCENT) -> tuple[int, int]:
-    """(depth, trees) for so many classes."""
+    """(depth, trees) for so many classes.
+
+    All trees draw from the same positions, in which a pair at the threshold
+    agrees more or less often by chance: the chance to miss it in every tree is
+    taken over all numbers of agreeing positions.
+    """
     t = percent / 100
     depth = max(2, math.ceil(math.log(max(classes, 2)) / math.log(1 / UNLIKE)))
-    two, lost = 1 / t - 1, 0.0  # chance of a second child; chance that a pair has no common node
+    agree = np.arange(POSITIONS + 1)
+    weigh = np.array([math.comb(POSITIONS, k) * t**k * (1 - t) ** (POSITIONS - k) for k in agree.tolist()])
+    share, two = agree / POSITIONS, 1 / t - 1  # chance of a second child
+    lost = np.zeros(POSITIONS + 1)  # chance that one tree has no common node
     for _ in range(depth):
-        one = 1 - t + t * lost
+        one = 1 - share + share * lost
         lost = (1 - two) * one + two * one * one
-    return depth, max(1, math.ceil(math.log(1 - RECALL) / math.log(lost)))
+    trees = 1
+    while (weigh * lost**trees).sum() > 1 - RECALL:
+        trees += 1
+    return depth, trees
 
 
 def shingle_sets(rows: pa.RecordBatch, text: str, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +148,7 @@ def _list_column(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 
 def sketches(docs: DataFrame, depth: int, trees: int, percent: int, words: int) -> DataFrame:
-    """doc_id, set size, 128-bit set hash, low bytes of the minwise tokens, node keys."""
+    """doc_id, hash of the text, set size, 128-bit set hash, low bytes of the minwise tokens, node keys."""
     two = 100 / percent - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,35 +160,46 @@ def sketches(docs: DataFrame, depth: int, trees: int, percent: int, words: int)
                 bounds = np.append(offs[full], len(s))
                 if len(full):
                     tokens = minwise(s, bounds)
-                    f1, f2 = np.add.reduceat(W.mix(s), bounds[:-1]), np.add.reduceat(W.mix(s ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1])
+                    f1, f2 = set_hashes(s, bounds)
                     row, key = path_keys(tokens, depth, trees, two)
                 else:
-                    tokens, f1, f2, row, key = np.empty((0, POSITIONS), np.uint32), *(np.empty(0, np.uint64),) * 2, np.empty(0, np.int64), np.empty(0, np.uint64)
+                    tokens, f1, f2, row, key = np.empty((0, POSITIONS), np.uint32), *(np.empty(0, np.int64),) * 2, np.empty(0, np.int64), np.empty(0, np.uint64)
                 every = part.num_rows
                 place = np.full(every, -1)
                 place[full] = np.arange(len(full))
                 low = (tokens & np.uint32(255)).astype(np.uint8)
                 g1, g2 = np.zeros((2, every), np.int64)
-                g1[full], g2[full] = f1.view(np.int64), f2.view(np.int64)
+                g1[full], g2[full] = f1, f2
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(g1), pa.array(g2),
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(g1), pa.array(g2),
                      pa.array([low[p].tobytes() if p >= 0 else None for p in place], pa.binary()), _list_column(full[row], key.view(np.int64), every)],
-                    ["doc_id", "n_shingles", "f1", "f2", "tokens", "keys"])
+                    ["doc_id", "text_hash", "n_shingles", "f1", "f2", "tokens", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, f1 bigint, f2 bigint, tokens binary, keys array<bigint>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, tokens binary, keys array<bigint>")
 
+def set_hashes(s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each non-empty set."""
+    return tuple(np.add.reduceat(W.mix(x), bounds[:-1]).view(np.int64) for x in (s, s ^ np.uint64(0x5851F42D4C957F2D)))
 
-def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, set) for the documents named in ``ids``."""
+
+def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(id, set) of ``classes`` (id, doc_id, f1, f2), from a document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 s, offs = shingle_sets(part, "text", words)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s[a:b].tobytes() for a, b in zip(offs, offs[1:])], pa.binary())], ["id", "set"])
+                f = np.zeros((2, part.num_rows), np.int64)
+                if len(full := np.flatnonzero(np.diff(offs))):
+                    f[:, full] = set_hashes(s, np.append(offs[full], len(s)))
+                # Rows that share a doc_id with the class's document, and not its text, hold another set.
+                same = (f[0] == part.column("f1").to_numpy()) & (f[1] == part.column("f2").to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s[a:b].tobytes() for a, b in zip(offs, offs[1:])], pa.binary())], ["id", "set"]).filter(pa.array(same))
 
-    wanted = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id")
-    return wanted.mapInArrow(run, "id bigint, set binary")
+    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(classes.select("id", "doc_id", "f1", "f2"), "doc_id")
+    return wanted.select("id", "f1", "f2", "text").mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
 
 
 def _similar(x, y, percent: int) -> bool:
@@ -224,13 +251,13 @@ def _blocks(members: DataFrame, found: DataFrame, tokens: DataFrame) -> DataFram
 def _compared(blocks: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
     """Pairs (a, b) of different components in a block whose minwise tokens agree well enough.
 
-    Not exhaustive: each class's best partner in each other component, still to
-    be verified.  Exhaustive (``blocks`` with full sets): all pairs are verified
+    Not exhaustive: each class's best partner outside its component, still to be
+    verified.  Exhaustive (``blocks`` with full sets): all pairs are verified
     here, best first; what is returned are links, without those between classes
     that the block's links so far connect.
     """
     t = percent / 100
-    least = POSITIONS * (t - 4 * math.sqrt(t * (1 - t) / POSITIONS))
+    least = POSITIONS * (t - SPREAD * math.sqrt(t * (1 - t) / POSITIONS))
 
     def pairs(left: list, right: list) -> Iterator[tuple[int, int]]:
         (li, lc, lt), (ri, rc, rt) = ((np.array([r[0] for r in side]), np.array([r[1] for r in side]),
@@ -245,16 +272,14 @@ def _compared(blocks: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
         for i in range(len(li)):
             agree = (rt == lt[i]).sum(axis=1)
             hit = np.flatnonzero((agree >= least) & (rc != lc[i]))
-            hit = hit[np.argsort(-agree[hit], kind="stable")]
             if exhaustive:
-                for j in hit.tolist():
+                for j in hit[np.argsort(-agree[hit], kind="stable")].tolist():
                     x, y = root(int(lc[i])), root(int(rc[j]))
                     if x != y and _similar(left[i][3], right[j][3], percent):
                         parent[max(x, y)] = min(x, y)
                         yield int(li[i]), int(ri[j])
-            else:
-                for j in hit[np.sort(np.unique(rc[hit], return_index=True)[1])].tolist():
-                    yield int(li[i]), int(ri[j])
+            elif len(hit):
+                yield int(li[i]), int(ri[hit[np.argmax(agree[hit])]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "i", "j", "side", "id", "component", "tokens"] + ["set"] * exhaustive
@@ -282,22 +307,22 @@ def _join_up(found: DataFrame, links: DataFrame) -> DataFrame:
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+def _judged(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """doc_id, hash of the text, n_shingles, component_id, kept for every row of ``docs``."""
     total = docs.count()
     depth, trees = plan_trees(total, percent)
     sketch = materialize(sketches(docs, depth, trees, percent, words), "sketches")
     linkable = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linkable.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "tokens", "keys")).alias("c"), F.count(F.lit(1)).alias("size"))
-    classes = materialize(classes.select("f1", "f2", "size", F.col("c.doc_id").alias("id"), "c.tokens", "c.keys"), "classes")
+    # Numbered once, as two classes may have the same smallest doc_id.
+    classes = materialize(classes.select("f1", "f2", "size", F.monotonically_increasing_id().alias("id"), "c.doc_id", "c.tokens", "c.keys"), "classes")
 
     inside = classes.select("id", F.explode("keys").alias("node")).distinct()
     nodes = inside.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(inside.join(nodes, "node"), "nodes")
     pairs = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
-    ids = members.select("id").distinct()
-    sets = materialize(full_sets(docs, ids, words).dropDuplicates(["id"]), "sets")
+    sets = materialize(full_sets(docs, classes.join(members.select("id").distinct(), "id", "left_semi"), words), "sets")
     links = materialize(verified(pairs, sets, percent), "links")
 
     found = components(links)
@@ -308,19 +333,27 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     last = _blocks(members, found, tokens).join(sets, "id")
     found = _join_up(found, materialize(_compared(last, percent, exhaustive=True), "links"))
 
-    # Only classes with copies or links differ from "on its own".
-    linked = classes.join(found.withColumnRenamed("component", "component_id"), "id", "left").filter("size > 1 OR component_id IS NOT NULL")
-    linked = materialize(linked.select("f1", "f2", "size", F.coalesce("component_id", "id").alias("component_id")), "linked")
-    rows = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("f1")).alias("f1"), "f2")
+    # Only classes with copies or links differ from "on its own".  A component is named by its smallest doc_id.
+    placed = classes.join(found, "id", "left").filter("size > 1 OR component IS NOT NULL")
+    placed = materialize(placed.select("f1", "f2", "size", "doc_id", F.coalesce("component", "id").alias("component")), "placed")
+    names = materialize(placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "names")
+    linked = materialize(join_groups(placed.drop("doc_id"), names, ["component"], "members", total).select("f1", "f2", "size", "component_id"), "linked")
+    rows = sketch.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("f1")).alias("f1"), "f2")
     judged = join_groups(rows, linked, ["f1", "f2"], "size", total)
     component = F.when(F.col("f1").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return judged.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return judged.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    return _judged(docs, percent, words).drop("text_hash")
 
 
 def one_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """One document of each component (the smallest doc_id), with all columns of ``docs``."""
-    gone = materialize(near_dedup(docs, percent, words), "near_dedup").filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each component (the smallest doc_id), with all columns of ``docs``, whatever their names."""
+    gone_id, gone_hash = free_names(docs, 2)
+    gone = materialize(_judged(docs, percent, words), "near_dedup").filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("bigint") == gone[gone_id]) & (F.xxhash64(docs["text"]) == gone[gone_hash]), "left_anti")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

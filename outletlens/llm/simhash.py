@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import words as W
-from .common import join_groups, slices, table, utf8_column
+from .common import free_names, join_groups, slices, table, utf8_column
 from .components import components
 
 WORDS = 3
@@ -198,7 +198,7 @@ def simhash_near_dedup(docs: DataFrame, radius: int = RADIUS, words: int = WORDS
 def one_each(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """The smallest doc_id's rows of each component, with all columns of ``docs``; rows of a null doc_id stay."""
     judged = materialize(simhash_near_dedup(docs, radius, words), "simhash")
-    key = "_" * (1 + max(map(len, docs.columns)))  # longer than any column name, so it is free
+    key, = free_names(docs, 1)
     gone = judged.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
     gone = gone.join(judged.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
     return docs.join(gone, docs["doc_id"].cast("bigint") == gone[key], "left_anti")

@@ -106,3 +106,48 @@ def test_components_of_a_star_a_path_and_a_ring(spark):
     links = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000 + k, 2000 + (k + 1) % 9) for k in range(9)] + [(5000, 5000), (3, 1)]
     got_ = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got_ == {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1061)} | {k: 2000 for k in range(2000, 2009)}
+
+
+def star(rng, n, distance=3):
+    """Near copies of one text that are no near copies of each other: each has edits of its own."""
+    base = sentence(rng, 30)
+    return [base] + [edited(rng, base, distance) for _ in range(n)]
+
+
+def test_a_large_node_of_unconnected_near_copies(spark, monkeypatch):
+    """Texts that share most words in one heavy node: links and groups are those of all pairs."""
+    monkeypatch.setattr(N, "LEAF", 16)
+    rng = random.Random(11)
+    texts = star(rng, 150) + star(rng, 40, 1)
+    rng.shuffle(texts)
+    assert got(spark, texts) == plain(texts)
+
+
+def test_candidate_lists_are_linear(spark):
+    """A node whose classes are all alike by their tokens, and none connected: one pair a class at most."""
+    tokens = bytes(range(128))
+    rows = [(7, 0, 0, side, i, i, tokens) for i in range(200) for side in (0, 1)]
+    blocks = spark.createDataFrame(rows, "node bigint, i int, j int, side int, id bigint, component bigint, tokens binary")
+    assert N._compared(blocks, 80, exhaustive=False).count() <= 200
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Each row is judged by its own text; only its own text's group can drop it."""
+    rng = random.Random(5)
+    a, b, c = (sentence(rng, 50) for _ in range(3))
+    rows = [(1, a), (9, edited(rng, a, 1)), (9, b), (9, b), (4, edited(rng, b, 1)), (9, c), (12, None), (12, c)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_dedup(df).collect())
+    want = [(1, a, 1), (9, rows[1][1], 1), (9, b, 4), (9, b, 4), (4, rows[4][1], 4), (9, c, 9), (12, None, 12), (12, c, 9)]
+    assert found == sorted((d, len(shingles(t)), k, d == k) for d, t, k in want)
+    kept = sorted((r.doc_id, r.text) for r in N.one_each(df).collect() if r.text is not None)
+    assert kept == sorted([(1, a), (4, rows[4][1]), (9, c)])
+
+
+def test_recall_of_links_for_every_twentieth_id(spark):
+    """Of the links that brute force finds for ids divisible by 20, at least 0.999 lie within a component."""
+    from ..conftest import SF001
+    rows = {r.doc_id: shingles(r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").collect()}
+    component = {r.doc_id: r.component_id for r in N.op5_minhash_near_dedup(spark, SF001).collect()}
+    links = [(q, d) for q in rows if q % 20 == 0 and rows[q] for d in rows if d != q and rows[d] and 100 * len(rows[q] & rows[d]) >= 80 * len(rows[q] | rows[d])]
+    assert links and sum(component[a] == component[b] for a, b in links) >= 0.999 * len(links)
