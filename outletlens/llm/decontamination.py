@@ -239,8 +239,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byt
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    return scan(docs, benchmark, docs.columns, text, window).filter(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are not contaminated, with all their columns, whatever their names."""
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = scan(numbered, benchmark, numbered.columns, numbered.columns[docs.columns.index(text)], window).filter(~contaminated())
+    return kept.select(*[F.col(c).alias(name) for c, name in zip(numbered.columns, docs.columns)])
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

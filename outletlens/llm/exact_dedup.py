@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import HEAVY, join_groups, table
+from .common import HEAVY, free_names, join_groups, table
 
 #: Runs that one round merges into one.
 FAN_IN = 16
@@ -76,18 +76,19 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fan
 
 
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows equal in text and doc_id, one."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of rows equal in text and doc_id, one."""
+    own_sha, other_id, other_sha = free_names(docs, 3)
     judged = materialize(exact_dedup(docs, doc_id, text), "exact_dedup")
-    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    sha = F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256)
-    stay = docs.withColumn("_sha", sha).join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
+    named = [F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha)]
+    same = F.col(doc_id).eqNullSafe(F.col(other_id)) & (F.col(own_sha) == F.col(other_sha))
+    gone = judged.filter(~F.col("kept")).select(*named).distinct()
+    stay = docs.withColumn(own_sha, F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256)).join(gone, same, "left_anti")
     again = judged.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
     if again.isEmpty():
-        return stay.drop("_sha")
-    again = again.select(F.col("doc_id").alias("_again"), F.col("text_sha256").alias("_again_sha"))
-    same = F.col(doc_id).eqNullSafe(F.col("_again")) & (F.col("_sha") == F.col("_again_sha"))
-    one = stay.join(again, same, "left_semi").dropDuplicates([doc_id, "_sha"])
-    return stay.join(again, same, "left_anti").unionByName(one).drop("_sha")
+        return stay.drop(own_sha)
+    again = again.select(*named)
+    one = stay.join(again, same, "left_semi").dropDuplicates([doc_id, own_sha])
+    return stay.join(again, same, "left_anti").unionByName(one).drop(own_sha)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import PARCELS, Shared, parcels, slices, summed, table, utf8_column
+from .common import PARCELS, Shared, free_names, parcels, slices, summed, table, utf8_column
 
 BUCKETS = 1 << 13
 #: Dimensions of the index vectors, and how many of them are not zero.
@@ -202,21 +202,25 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: st
     spark = docs.sparkSession
     vectors = Shared(spark, word_vectors(docs))  # BUCKETS x 2 * DIMENSIONS floats
     network = Shared(spark, train(docs, labels, vectors, rows, label))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    # Columns are numbered on the way, so their names do not matter.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = numbered.columns[docs.columns.index("text")]
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_vectors, score_of = vectors.load(), network.load()
         for batch in batches:
-            for part in slices(batch, "text"):
-                score = score_of(pooled(part, "text", known_vectors))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, name])
+            for part in slices(batch, text):
+                score = score_of(pooled(part, text, known_vectors))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` double"]))
+    return numbered.mapInArrow(run, ", ".join([*fields, "score double"])).toDF(*docs.columns, name)
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier predicts to be of quality, with all their columns."""
-    return scored(docs, labels, name="__score").filter(F.col("__score") >= THRESHOLD).drop("__score")
+    """The documents that the classifier predicts to be of quality, with all their columns, whatever their names."""
+    score, = free_names(docs, 1)
+    return scored(docs, labels, name=score).filter(F.col(score) >= THRESHOLD).drop(score)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
