@@ -12,7 +12,8 @@ of these conditional probabilities.
    predicts the number in two steps: its class, then its place in the class.
    It starts from the corpus counts.  Every task trains on all tokens of its
    documents, and the tasks' weights are averaged by token count; weights are
-   summed in two shuffled rounds.
+   summed in two shuffled rounds, piece by piece.  So the network, and the scores
+   within its accuracy, depend on how the documents are dealt to tasks.
 3. Every document is scored with the averaged network.  A token that shares its
    number has the number's probability times the token's share of the number's
    occurrences: count / (count of the number + ``UNSEEN``).  Tokens that the
@@ -47,6 +48,8 @@ SIZE = TOP + RARE
 REACH = 2
 DIMENSIONS = 16
 BATCH, RATE = 4096, 5e-3
+#: Weights that one task sums; a network has as many such pieces as its size takes.
+CHUNK = 1 << 14
 #: Distinct tokens that a task counts before it hands them on.
 _HELD = 1 << 20
 #: Tokens whose counts are broadcast (12 bytes each); a joined token occurs in less than 1 / LISTED of all places.
@@ -139,23 +142,31 @@ class Network:
         return out
 
     def _forward(self, around: np.ndarray, number: np.ndarray):
+        """hidden, class and place of the tokens; per step (log-probability, exponentials of all logits, their sum)."""
         e, a, a0, b, b0 = self.weights
-        hidden = np.tanh(sum(e[k][around[k]] for k in range(len(around))))
+        hidden = e[0].take(around[0], axis=0)
+        for k in range(1, len(around)):
+            hidden += e[k].take(around[k], axis=0)
+        np.tanh(hidden, out=hidden)
         kind, place = number % self.side, number // self.side
-        logs = []
-        for logits, target in ((hidden @ a + a0, kind), (hidden @ b + b0[kind], place)):
-            logits -= logits.max(axis=1, keepdims=True)
-            logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-            logs.append(logits)
-        return hidden, kind, place, logs
+        row, steps = np.arange(len(number)), []
+        for w, bias, of_row, target in ((a, a0, a0, kind), (b, b0, b0[kind], place)):
+            logits = hidden @ w
+            logits += of_row
+            # |hidden| < 1 bounds the logits; only where their exponentials could overflow is the largest taken off.
+            if np.abs(w).sum(axis=0).max() + np.abs(bias).max() > 80:
+                logits -= logits.max(axis=1, keepdims=True)
+            wanted = logits[row, target]
+            total = np.exp(logits, out=logits).sum(axis=1)
+            steps.append((wanted - np.log(total), logits, total))
+        return hidden, kind, place, steps
 
     def log_probabilities(self, number: np.ndarray, doc: np.ndarray) -> np.ndarray:
         out, around = np.empty(len(number)), self.around(number, doc, self.size)
         for at in range(0, len(number), BATCH):
             part = slice(at, at + BATCH)
-            _, kind, place, (first, second) = self._forward(around[:, part], number[part])
-            row = np.arange(len(kind))
-            out[part] = first[row, kind] + second[row, place]
+            _, _, _, ((first, _, _), (second, _, _)) = self._forward(around[:, part], number[part])
+            out[part] = first + second
         return out
 
     def train(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> int:
@@ -167,26 +178,45 @@ class Network:
             around = self.around(number, doc, self.size)
             for at in range(0, len(number), BATCH):
                 step += 1
-                grads = self._gradients(around[:, at: at + BATCH], number[at: at + BATCH])
-                for w, (m, v), g in zip(self.weights, moments, grads):
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    w -= np.float32(RATE / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + np.float32(1e-6))
+                rate = np.float32(RATE / (1 - 0.9**step))
+                least = np.float32(1 - 0.99**step)
+                embedded, dense = self._gradients(around[:, at: at + BATCH], number[at: at + BATCH])
+                # Of an embedding only the rows that the batch met move, so a step's cost does not grow with the vocabulary.
+                for k, (rows, g) in enumerate(embedded):
+                    m, v = (x[k].take(rows, axis=0) for x in moments[0])
+                    self.weights[0][k][rows] -= self._adam(m, v, g, rate, least)
+                    moments[0][0][k][rows], moments[0][1][k][rows] = m, v
+                for w, (m, v), g in zip(self.weights[1:], moments[1:], dense):
+                    w -= self._adam(m, v, g, rate, least)
         return tokens
 
-    def _gradients(self, around: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
-        e, a, _, b, b0 = self.weights
-        hidden, kind, place, logs = self._forward(around, number)
+    @staticmethod
+    def _adam(m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: np.float32, least: np.float32) -> np.ndarray:
+        """Moves the moments ``m`` and ``v``, and returns the step."""
+        m += np.float32(0.1) * (g - m)
+        v += np.float32(0.01) * (g * g - v)
+        return rate * m / (np.sqrt(v / least) + np.float32(1e-6))
+
+    def _gradients(self, around: np.ndarray, number: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+        """Per place around the gap (embedding rows met, their gradients); the gradients of the other weights."""
+        e, a, _, b, _ = self.weights
+        hidden, kind, place, steps = self._forward(around, number)
         row, n = np.arange(len(number)), np.float32(len(number))
-        p, q = (np.exp(x) / n for x in logs)
+        p, q = (np.multiply(x, (1 / (total * n))[:, None], out=x) for _, x, total in steps)
         p[row, kind] -= 1 / n
         q[row, place] -= 1 / n
         back = (p @ a.T + q @ b.T) * (1 - hidden * hidden)
-        one = np.zeros((len(number), self.side), np.float32)
-        one[row, kind] = 1
-        cell = np.arange(DIMENSIONS)
-        de = np.stack([np.bincount((x[:, None] * DIMENSIONS + cell).ravel(), weights=back.ravel(), minlength=e[0].size).reshape(e[0].shape) for x in around]).astype(np.float32)
-        return [de, hidden.T @ p, p.sum(axis=0), hidden.T @ q, one.T @ q]
+        order = np.argsort(kind, kind="stable")
+        cuts = np.flatnonzero(np.diff(kind[order], prepend=-1))
+        biases = np.zeros((self.side, self.side), np.float32)
+        biases[kind[order[cuts]]] = np.add.reduceat(q[order], cuts, axis=0)
+        embedded = []
+        for x in around:
+            order = np.argsort(x, kind="stable")
+            rows = x[order]
+            cuts = np.flatnonzero(np.diff(rows, prepend=-1))
+            embedded.append((rows[cuts], np.add.reduceat(back[order], cuts, axis=0)))
+        return embedded, [hidden.T @ p, p.sum(axis=0), hidden.T @ q, biases]
 
 
 def start_network(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> Network:
@@ -260,11 +290,14 @@ def train(docs: DataFrame, start: Network, text: str = "text") -> Network:
                     yield network.numbers(h), doc
 
         if n := network.train(blocks()):
-            yield parcels(TaskContext.get().partitionId(), {k: np.append(w.ravel().astype(np.float64) * n, n) for k, w in enumerate(network.weights)})
+            flat = np.concatenate([w.ravel() for w in network.weights])
+            yield parcels(TaskContext.get().partitionId(), {k: np.append(flat[at: at + CHUNK].astype(np.float64) * n, n) for k, at in enumerate(range(0, len(flat), CHUNK))})
 
     sums = summed(docs.select(text).mapInArrow(run, PARCELS), np.float64)
-    for k, x in sums.items():
-        start.weights[k] = (x[:-1] / x[-1]).astype(np.float32).reshape(start.weights[k].shape)
+    if sums:
+        flat, at = np.concatenate([sums[k][:-1] / sums[k][-1] for k in range(len(sums))]).astype(np.float32), 0
+        for k, w in enumerate(start.weights):
+            start.weights[k], at = flat[at: at + w.size].reshape(w.shape), at + w.size
     return start
 
 

@@ -53,8 +53,8 @@ def test_network_gives_probabilities():
     number, doc = rng.integers(0, L.SIZE, 50), np.repeat([0, 1], 25)
     net.train(iter([(number, doc)]))
     around = net.around(number[:1], doc[:1])
-    every = sum(np.exp(first[0, kind] + second[0, place]) for k in range(L.SIZE)
-                for _, (kind,), (place,), (first, second) in [net._forward(around, np.array([k]))])
+    every = sum(np.exp(first[0] + second[0]) for k in range(L.SIZE)
+                for *_, ((first, *_), (second, *_)) in [net._forward(around, np.array([k]))])
     assert abs(every - 1) < 1e-4
 
 
@@ -71,7 +71,11 @@ def test_gradients_are_those_of_the_loss():
     net.weights = [w.astype(np.float64) for w in net.weights]
     number, doc = rng.integers(0, L.SIZE, 30), np.repeat([0, 1, 2], 10)
     around = net.around(number, doc)
-    grads = net._gradients(around, number)
+    embedded, dense = net._gradients(around, number)
+    grads = [np.zeros_like(net.weights[0]), *dense]
+    for k, (rows, g) in enumerate(embedded):
+        assert len(set(rows.tolist())) == len(rows)
+        grads[0][k][rows] = g
     for k, w in enumerate(net.weights):
         used = np.argwhere(np.abs(grads[k]) > 1e-6)
         for at in map(tuple, used[rng.integers(0, len(used), 5)]):
