@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import table
+from .common import free_names, table
 
 _WORD = r"\p{L}\p{N}_"
 #: Kind -> pattern, in order of preference at one place; none starts inside a word (see ANY).
 KINDS = {
-    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "ip": rf"(?<!\.)(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\.?[{_WORD}])",
     "mac": rf"(?<![:-])(?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}(?![{_WORD}:-])",
     "ip6": rf"(?<![:.])(?=[a-fA-F:]*\d)(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?:[0-9A-Fa-f]{{1,4}}:){{1,6}}(?::[0-9A-Fa-f]{{1,4}}){{1,6}})(?![{_WORD}:])",
@@ -46,13 +46,17 @@ KINDS = {
 }
 #: What a text without digits, @, : and = must contain to hold an entity; fixed values, parts of the patterns above.
 NEEDED = ["AKIA", "ASIA", "Mr", "Ms", "Mx", "Miss", "Dr", "Prof", "Doct", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа"]
+#: Honorifics that tell a gender; the others (Dr, Prof, Mx, ...) tell none.
 _FEMALE = r"^(Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)\b"
+_MALE = r"^(Mr|Herr|Herrn|Monsieur|Señor|Sr|Господин)\b"
 #: Given names by gender and script; fixed values.
 GIVEN = {
     ("f", "latin"): ["Anna", "Clara", "Diana", "Elena", "Emma", "Helen", "Ines", "Julia", "Laura", "Lucia", "Maria", "Nina", "Olivia", "Rosa", "Sara", "Vera"],
     ("m", "latin"): ["Adam", "Alan", "Bruno", "Carl", "David", "Erik", "Felix", "Hugo", "Ivan", "Jonas", "Leo", "Marco", "Oscar", "Paul", "Simon", "Victor"],
     ("f", "cyrillic"): ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"],
     ("m", "cyrillic"): ["Алексей", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Сергей"],
+    ("n", "latin"): ["Alex", "Andrea", "Charlie", "Dominique", "Jules", "Kai", "Kim", "Luca", "Noa", "Robin", "Sam", "Sascha"],
+    ("n", "cyrillic"): ["Валя", "Женя", "Саша", "Слава", "Шура", "Юля"],
 }
 #: Syllables of surnames by script; fixed values.
 SYLLABLES = {
@@ -77,10 +81,10 @@ _CLASSES = [
 ]
 #: Any entity; most places are ruled out at once, as they are inside a word.
 ANY = f"(?<![{_WORD}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
-#: Draws after which a surrogate grows (mails, secrets) or gives up its exchange (phones); names grow from the first on.
+#: Draws after which a surrogate grows (mails, phones, secrets) and phones give up their exchange; names grow from the first on.
 SAME_SIZE = 3
-#: A guard only: surrogates that grow by a digit a draw find a free one long before.
-MAX_DRAWS = 60
+#: Draws after which surrogates of kinds with a fixed size grow too.  As every kind grows, redrawing ends without a cap.
+FIXED_SIZE = 20
 #: Redrawn entities that are looked up from a list; more are joined.  The result is the same.
 LISTED = 4096
 
@@ -165,23 +169,29 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10
 
 
-def surrogates(key: str, values: Column, draw_of) -> Column:
-    """The surrogates of an array of entities; ``draw_of(kind, norm)`` counts redraws.
+def mark_of(kind: Column, value: Column) -> Column:
+    """The gender that a mention's honorific tells: f, m, or n for none."""
+    return F.when(kind != "person", "n").when(value.rlike(_FEMALE), "f").when(value.rlike(_MALE), "m").otherwise("n")
+
+
+def surrogates(key: str, values: Column, known_of) -> Column:
+    """The surrogates of an array of entities; ``known_of(kind, norm, value)`` is (redraws, gender).
 
     Each step binds what the next ones use again and again.
     """
     found = F.transform(values, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     found = F.transform(found, lambda e: F.struct(e.value.alias("value"), e.kind.alias("kind"), norm_of(e.kind, e.value).alias("norm")))
-    found = F.transform(found, lambda e: F.struct(e.value.alias("value"), e.kind.alias("kind"), e.norm.alias("norm"), draw_of(e.kind, e.norm).alias("draw")))
-    found = F.transform(found, lambda e: F.struct(e.value.alias("value"), e.kind.alias("kind"), e.norm.alias("norm"), e.draw.alias("draw"), _digits(e.value).alias("digits"),
-                                                  _hash(key, e.kind, e.norm, e.draw.cast("string")).alias("h")))
-    return F.transform(found, lambda e: _surrogate(key, e.kind, e.value, e.norm, e.draw, e.digits, e.h))
+    found = F.transform(found, lambda e: F.struct(e.value.alias("value"), e.kind.alias("kind"), e.norm.alias("norm"), known_of(e.kind, e.norm, e.value).alias("known")))
+    found = F.transform(found, lambda e: F.struct(e.value.alias("value"), e.kind.alias("kind"), e.norm.alias("norm"), e.known.draw.alias("draw"), e.known.gender.alias("gender"),
+                                                  _digits(e.value).alias("digits"), _hash(key, e.kind, e.norm, e.known.draw.cast("string")).alias("h")))
+    return F.transform(found, lambda e: _surrogate(key, e.kind, e.value, e.norm, e.draw, e.gender, e.digits, e.h))
 
 
-def _surrogate(key: str, kind: Column, value: Column, norm: Column, draw: Column, digits: Column, h: Column) -> Column:
+def _surrogate(key: str, kind: Column, value: Column, norm: Column, draw: Column, gender: Column, digits: Column, h: Column) -> Column:
     """The surrogate of an entity in its own spelling."""
     n = F.length(digits)
-    more = F.substr(_number(h, F.lit(40)), F.lit(1), F.greatest(draw - SAME_SIZE, F.lit(0)))
+    more = _number(h, F.greatest(draw - SAME_SIZE, F.lit(0)))
+    late = _number(h, F.greatest(draw - FIXED_SIZE, F.lit(0)))
     # Phones: country code kept; area and exchange start with 2 to 9; the fictional exchange 555 is kept while it has room.
     local = F.substring(F.concat(F.lit("0" * 10), digits), -10, 10)
     exchange = F.when((F.substring(local, 4, 3) == "555") & (draw <= SAME_SIZE), "555").otherwise(F.concat((_byte(h, F.lit(3)) % 8 + 2).cast("string"), _number(h, F.lit(2))))
@@ -207,9 +217,10 @@ def _surrogate(key: str, kind: Column, value: Column, norm: Column, draw: Column
     code = F.concat(F.substr(value, F.lit(1), head), _mapped(F.substr(value, head + 1), h))
     iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _spaced(F.substr(value, F.lit(3)), _mapped(F.substr(norm, F.lit(3)), h)))
     secret = F.concat(_mapped(_spelled(value), h), more)
-    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "mac", mac).when(kind == "ip6", ip6).when(kind == "ssn", _filled(value, _number(h, n)))
-            .when(kind == "iban", iban).when(kind == "key", code).when(kind == "hex", hexes).when(kind == "card", card).when(kind == "phone", phone)
-            .when(kind == "person", _person(key, value, h, draw)).otherwise(secret))
+    fixed = (F.when(kind == "ip", ip).when(kind == "mac", mac).when(kind == "ip6", ip6).when(kind == "ssn", _filled(value, _number(h, n))).when(kind == "iban", iban)
+             .when(kind == "key", code).when(kind == "hex", hexes).when(kind == "card", card))
+    return (F.when(kind == "email", email).when(kind == "phone", F.concat(phone, more)).when(kind == "person", _person(key, value, gender, draw)).when(kind == "secret", secret)
+            .otherwise(F.concat(fixed, late)))
 
 
 def _spaced(value: Column, chars: Column) -> Column:
@@ -220,18 +231,25 @@ def _spaced(value: Column, chars: Column) -> Column:
     return step.out
 
 
-def _person(key: str, value: Column, h: Column, draw: Column) -> Column:
-    """Honorific kept; a given name of its gender and script; a surname drawn from the surname."""
+def _person(key: str, value: Column, gender: Column, draw: Column) -> Column:
+    """Honorific kept; a given name of the person's gender and script; a surname drawn from the surname.
+
+    Where no honorific tells the gender, a given name from the lists does; else
+    the new one is a name of any gender.
+    """
     parts = F.split(value, " ")
-    surname = F.lower(F.element_at(parts, -1))
-    cyrillic, female = value.rlike(r"\p{IsCyrillic}"), value.rlike(_FEMALE)
-    hs, hg = _hash(key, F.lit("surname"), surname, draw.cast("string")), _hash(key, F.lit("given"), F.lower(F.element_at(parts, 2)), draw.cast("string"))
+    surname, given_name = F.lower(F.element_at(parts, -1)), F.lower(F.element_at(parts, 2))
+    cyrillic = value.rlike(r"\p{IsCyrillic}")
+    for sign in "mf":
+        listed = [x.lower() for script in ("latin", "cyrillic") for x in GIVEN[sign, script]]
+        gender = F.when((gender == "n") & given_name.isin(listed), sign).otherwise(gender)
+    hs, hg = _hash(key, F.lit("surname"), surname, draw.cast("string")), _hash(key, F.lit("given"), given_name, draw.cast("string"))
     def family(script: str) -> Column:
         syllables = F.transform(F.sequence(F.lit(1), draw + 3), lambda k: _pick(SYLLABLES[script], _byte(hs, k)))
         return F.initcap(F.array_join(syllables, ""))
     given = F.lit(None)
-    for (gender, script), names in GIVEN.items():
-        fits = (female if gender == "f" else ~female) & (cyrillic if script == "cyrillic" else ~cyrillic)
+    for (sign, script), names in GIVEN.items():
+        fits = (gender == sign) & (cyrillic if script == "cyrillic" else ~cyrillic)
         given = F.when(fits, _pick(names, _byte(hg, F.lit(0)))).otherwise(given)
     last = F.when(cyrillic, family("cyrillic")).otherwise(family("latin"))
     return F.when(F.size(parts) > 2, F.concat_ws(" ", parts[0], given, last)).otherwise(F.concat_ws(" ", parts[0], last))
@@ -251,56 +269,72 @@ def entities(text: Column) -> Column:
     return F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
 
 
+_KNOWN = "struct<draw: int, gender: string>"
+
+
 def redraws(found: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, draw) of the distinct entities of ``found`` (value) that need another draw."""
-    all_ = found.select(kind_of(F.col("value")).alias("kind"), "value").select("kind", norm_of(F.col("kind"), F.col("value")).alias("norm"), "value")
-    all_ = materialize(all_.groupBy("kind", "norm").agg(F.min("value").alias("value")), "entities")
-    drawn = lambda rows: rows.withColumn("to", norm_of(F.col("kind"), surrogates(key, F.array("value"), lambda k, n: F.col("draw"))[0]))
-    taken = materialize(drawn(all_.withColumn("draw", F.lit(0))), "surrogates")
+    """(kind, norm, draw, gender) of the distinct entities of ``found`` (value) that need another
+    draw, or whose mentions tell their gender unlike.
+
+    A person has one gender in all mentions: the one that some honorifics tell
+    and none contradicts.
+    """
+    each = found.select(kind_of(F.col("value")).alias("kind"), "value").select("kind", norm_of(F.col("kind"), F.col("value")).alias("norm"), "value", mark_of(F.col("kind"), F.col("value")).alias("mark"))
+    told = lambda sign: F.max(F.col("mark") == sign)
+    all_ = each.groupBy("kind", "norm").agg(F.min("value").alias("value"), told("f").alias("f"), told("m").alias("m"), (F.min("mark") != F.max("mark")).alias("mixed"))
+    gender = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("n")
+    all_ = materialize(all_.select("kind", "norm", "value", "mixed", gender.alias("gender")), "entities")
+    kept = ["kind", "norm", "value", "mixed", "gender", "draw"]
+    known_of = lambda *_: F.struct("draw", "gender")
+    drawn = lambda rows: rows.withColumn("to", norm_of(F.col("kind"), surrogates(key, F.array("value"), known_of)[0]))
+    taken = materialize(drawn(all_.withColumn("draw", F.lit(0))).select(*kept, "to"), "surrogates")
     known = all_.select("kind", F.col("norm").alias("to"), F.lit(True).alias("known"))
-    for _ in range(MAX_DRAWS):
+    while True:
         # The first draw wins a shared surrogate; ties go to the smaller entity.
         owners = taken.groupBy("kind", "to").agg(F.min(F.struct("draw", "norm")).alias("owner"))
         judged = taken.join(owners, ["kind", "to"]).join(known, ["kind", "to"], "left")
         clash = (F.col("owner.norm") != F.col("norm")) | F.col("known").isNotNull()
-        judged = materialize(judged.select("kind", "norm", "value", "draw", "to", clash.alias("clash")), "surrogates")
+        judged = materialize(judged.select(*kept, "to", clash.alias("clash")), "surrogates")
         again = judged.filter("clash")
         if again.isEmpty():
-            return judged.filter("draw > 0").select("kind", "norm", "draw")
-        again = drawn(again.select("kind", "norm", "value", (F.col("draw") + 1).alias("draw")))
-        taken = materialize(judged.filter("NOT clash").select("kind", "norm", "value", "draw", "to").unionByName(again.select("kind", "norm", "value", "draw", "to")), "surrogates")
-    raise ValueError("a kind of entity has more members than surrogates")
+            return judged.filter("draw > 0 OR mixed").select("kind", "norm", "draw", "gender")
+        again = drawn(again.select(*kept).withColumn("draw", F.col("draw") + 1))
+        taken = materialize(judged.filter("NOT clash").select(*kept, "to").unionByName(again.select(*kept, "to")), "surrogates")
 
 
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with surrogates in the text, and ``n_entities``."""
-    row = [F.xxhash64(F.col(text)).alias("_row1"), F.sha2(F.encode(F.col(text), "UTF-8"), 256).alias("_row2")]
-    found = docs.filter(may_hold(F.col(text))).select(F.explode(entities(F.col(text))).alias("value"))
+    """All columns of ``docs`` with surrogates in the text, and ``n_entities`` (instead of a column of that name)."""
+    found_name, draws_name, row1, row2 = free_names(docs, 4)
+    words = F.col(f"`{text}`")
+    row = [F.xxhash64(words).alias(row1), F.sha2(F.encode(words, "UTF-8"), 256).alias(row2)]
+    found = docs.filter(may_hold(words)).select(F.explode(entities(words)).alias("value"))
     moved = materialize(redraws(found, key), "redraws")
-    with_entities = docs.withColumn("_found", entities(F.col(text)))
-    entry = F.struct(F.concat_ws("\x1f", "kind", "norm").alias("k"), "draw")
+    with_entities = docs.withColumn(found_name, entities(words))
+    entry = F.struct(F.concat_ws("\x1f", "kind", "norm").alias("k"), F.struct("draw", "gender").alias("known"))
     count = moved.count()
     if 0 < count <= LISTED:
         # A short list is looked up as it is; no text moves.
-        with_entities = with_entities.withColumn("_draws", moved.select(F.map_from_entries(F.collect_list(entry))).scalar())
+        with_entities = with_entities.withColumn(draws_name, moved.select(F.map_from_entries(F.collect_list(entry))).scalar())
     elif count:
-        # Texts that hold a redrawn entity: which, and at which draw.
-        named = docs.filter(may_hold(F.col(text))).select(*row, F.explode(entities(F.col(text))).alias("value")).distinct()
+        # Texts that hold a listed entity: which, and what is known of it.
+        named = docs.filter(may_hold(words)).select(*row, F.explode(entities(words)).alias("value")).distinct()
         named = named.withColumn("kind", kind_of(F.col("value"))).withColumn("norm", norm_of(F.col("kind"), F.col("value")))
-        per_text = named.join(moved, ["kind", "norm"]).select("_row1", "_row2", entry.alias("e")).distinct()
-        per_text = per_text.groupBy("_row1", "_row2").agg(F.map_from_entries(F.collect_list("e")).alias("_draws"))
-        with_entities = with_entities.withColumns({"_row1": F.when(F.size("_found") > 0, row[0]), "_row2": F.when(F.size("_found") > 0, row[1])})
-        with_entities = with_entities.join(per_text, ["_row1", "_row2"], "left").drop("_row1", "_row2")
+        per_text = named.join(moved, ["kind", "norm"]).select(row1, row2, entry.alias("e")).distinct()
+        per_text = per_text.groupBy(row1, row2).agg(F.map_from_entries(F.collect_list("e")).alias(draws_name))
+        some = F.size(found_name) > 0
+        with_entities = with_entities.withColumns({row1: F.when(some, row[0]), row2: F.when(some, row[1])})
+        with_entities = with_entities.join(per_text, [row1, row2], "left").drop(row1, row2)
     else:
-        with_entities = with_entities.withColumn("_draws", F.lit(None).cast("map<string,int>"))
+        with_entities = with_entities.withColumn(draws_name, F.lit(None).cast(f"map<string, {_KNOWN}>"))
 
-    def draw_of(kind: Column, norm: Column) -> Column:
-        return F.coalesce(F.element_at(F.col("_draws"), F.concat_ws("\x1f", kind, norm)), F.lit(0))
+    def known_of(kind: Column, norm: Column, value: Column) -> Column:
+        own = F.struct(F.lit(0).alias("draw"), mark_of(kind, value).alias("gender"))
+        return F.coalesce(F.element_at(F.col(draws_name), F.concat_ws("\x1f", kind, norm)), own)
 
-    between = F.split(F.col(text), ANY, -1)
-    new = F.array_join(F.flatten(F.zip_with(between, surrogates(key, F.col("_found"), draw_of), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    out = with_entities.withColumn("n_entities", F.size("_found").cast("bigint"))
-    return out.withColumn(text, F.when(F.size("_found") > 0, new).otherwise(F.col(text))).select(*docs.columns, "n_entities")
+    between = F.split(words, ANY, -1)
+    new = F.array_join(F.flatten(F.zip_with(between, surrogates(key, F.col(found_name), known_of), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    replaced = F.when(F.size(found_name) > 0, new).otherwise(words)
+    return with_entities.select(*[replaced.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"], F.size(found_name).cast("bigint").alias("n_entities"))
 
 
 #: Key of the registered query; a real run passes its own secret.

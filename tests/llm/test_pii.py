@@ -72,10 +72,39 @@ def test_no_python_extra_columns_and_empty_table(spark):
     assert pii.replace_pii(df.limit(0), KEY).count() == 0
 
 
-def test_a_full_kind_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(pii, "MAX_DRAWS", 1)
-    with pytest.raises(ValueError, match="more members"):
-        replaced(spark, [f"password={k}" for k in range(10)])
+def test_a_full_format_grows(spark):
+    """All 1000 numbers of the form +1 d d d are taken: their surrogates grow by a digit a draw until all are distinct."""
+    numbers = [f"+1 {a} {b} {c}" for a in range(10) for b in range(10) for c in range(10)]
+    got = replaced(spark, [" , ".join(numbers[k:k + 100]) for k in range(0, 1000, 100)])
+    new = [x for k in range(10) for x in got[k][0].split(" , ")]
+    assert sum(n for _, n in got.values()) == 1000 and len(set(new)) == 1000 and not set(new) & set(numbers)
+
+
+def test_one_person_has_one_surrogate_of_one_gender(spark):
+    texts = ["Dr. Maria Lopez met Mrs. Maria Lopez", "Dr. Jane Roe saw Mr. Jane Roe", "Prof. Anna Smith and Mx. Emma Smith", "Mx. Quill Roe", "Mrs. Kit Poe, Mr. Kit Poe"]
+    got = {k: re.findall(r"(?:Dr|Mrs|Mr|Prof|Mx)\. (\w+) (\w+)", t) for k, (t, _) in replaced(spark, texts).items()}
+    female, male, neutral = (pii.GIVEN[g, "latin"] for g in "fmn")
+    assert got[0][0] == got[0][1] and got[0][0][0] in female
+    assert got[1][0] == got[1][1] and got[1][0][0] in male  # an honorific in any mention tells it
+    assert got[2][0][0] in female and got[2][1][0] in female  # else a listed given name does
+    assert got[3][0][0] in neutral
+    assert got[4][0] == got[4][1] and got[4][0][0] in neutral  # mentions that contradict each other
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x 9.8.7.6", 7, "mail a@b.de", "kept")], "doc_id bigint, text string, n_entities int, _found string, `a.b` string")
+    out = pii.replace_pii(df, KEY)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "n_entities", "_found", "a.b"])
+    row = out.first()
+    assert row.n_entities == 1 and row["_found"] == "mail a@b.de" and row["a.b"] == "kept" and "9.8.7.6" not in row.text
+
+
+@pytest.mark.parametrize("text", ["a@" + "b." * 100_000 + "c", "a." * 100_000 + "@b.c", "1." * 100_000 + "1", "a:" * 100_000, "aa:" * 100_000, "1 " * 100_000, "+1-" * 100_000, "DE00 " + "A1B2 " * 100_000,
+                                  "a" * 200_000, "1" * 200_000, "123-45-" * 100_000, "Dr. A" * 100_000, "Dr. " + "Ab-" * 100_000, "password=" * 100_000, "AKIA" * 100_000, "@" * 100_000, ("Mrs. " * 100_000)])
+def test_very_long_runs_of_every_kind(spark, text):
+    """No pattern recurses or runs in the square of a text's length."""
+    found = spark.createDataFrame([(text,)], "text string").select(F.size(pii.entities(F.col("text"))).alias("n")).first().n
+    assert found >= 0
 
 
 def test_small_formats_and_other_scripts_always_find_a_surrogate(spark):
