@@ -3,21 +3,23 @@
 Entities are found by pattern, and each is replaced by a surrogate of its own
 kind and format: digits stay digits, letters stay letters of the same script
 and case (Latin ones for scripts not in ``_CLASSES``), separators stay, card numbers keep their check sum, names follow the
-honorific's gender and the name's script.  A surrogate is drawn by a keyed hash
+person's gender (told by the honorifics of all mentions, else by a listed given
+name, else a name of any gender) and the name's script.  A surrogate is drawn by a keyed hash
 of the *normalised* entity (a phone's digits, a lower-cased mail address, the
 bare name), so one entity gets one surrogate in every document and spelling.
 
 All distinct entities of the corpus are then checked: a surrogate that another
 entity also got, or that is itself an entity of the corpus, is drawn again
-until none is left, so distinct entities stay distinct.  Surrogates of mails,
-names and secrets grow with the draw, so a small format never runs full.  Only these redrawn
-entities (few) are joined back, to the documents that hold them.
+until none is left, so distinct entities stay distinct.  Surrogates grow with the
+draw (those of a fixed size after ``FIXED_SIZE`` draws), so no format runs full.
+Only these redrawn entities, and persons whose mentions tell their gender unlike,
+are looked up or joined back, to the documents that hold them.
 
 Defined cases: a null text stays null; empty and entity-free texts stay as they
 are; overlapping patterns are taken from left to right, and at one place in the
-order of ``KINDS``; equal rows get equal texts; extra columns are kept; the
-columns ``text`` and ``n_entities`` of the result are the new text and the
-number of replaced entities.
+order of ``KINDS``; equal rows get equal texts; extra columns are kept, whatever
+their names; the columns ``text`` and ``n_entities`` of the result are the new
+text and the number of replaced entities (instead of a column of that name).
 """
 
 from __future__ import annotations
