@@ -150,7 +150,7 @@ class Network:
         np.tanh(hidden, out=hidden)
         kind, place = number % self.side, number // self.side
         row, steps = np.arange(len(number)), []
-        for w, bias, of_row, target in ((a, a0, a0, kind), (b, b0, b0[kind], place)):
+        for w, bias, of_row, target in ((a, a0, a0, kind), (b, b0, b0.take(kind, axis=0), place)):
             logits = hidden @ w
             logits += of_row
             # |hidden| < 1 bounds the logits; only where their exponentials could overflow is the largest taken off.
@@ -206,17 +206,18 @@ class Network:
         p[row, kind] -= 1 / n
         q[row, place] -= 1 / n
         back = (p @ a.T + q @ b.T) * (1 - hidden * hidden)
-        order = np.argsort(kind, kind="stable")
-        cuts = np.flatnonzero(np.diff(kind[order], prepend=-1))
+
+        def by_row(x: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The distinct numbers of ``x`` and the sums of their rows of ``g``; small numbers are sorted by radix."""
+            order = np.argsort(x.astype(np.uint16) if self.size < 1 << 16 else x, kind="stable")
+            sorted_x = x.take(order)
+            cuts = np.flatnonzero(np.diff(sorted_x, prepend=-1))
+            return sorted_x[cuts], np.add.reduceat(g.take(order, axis=0), cuts, axis=0)
+
         biases = np.zeros((self.side, self.side), np.float32)
-        biases[kind[order[cuts]]] = np.add.reduceat(q[order], cuts, axis=0)
-        embedded = []
-        for x in around:
-            order = np.argsort(x, kind="stable")
-            rows = x[order]
-            cuts = np.flatnonzero(np.diff(rows, prepend=-1))
-            embedded.append((rows[cuts], np.add.reduceat(back[order], cuts, axis=0)))
-        return embedded, [hidden.T @ p, p.sum(axis=0), hidden.T @ q, biases]
+        kinds, sums = by_row(kind, q)
+        biases[kinds] = sums
+        return [by_row(x, back) for x in around], [hidden.T @ p, p.sum(axis=0), hidden.T @ q, biases]
 
 
 def start_network(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> Network:
