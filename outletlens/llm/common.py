@@ -57,6 +57,10 @@ class Shared:
     def load(self) -> Any:
         return pickle.loads(self._bytes.value)
 
+    def forget(self) -> None:
+        """Frees the executors' copies; a task that needs it again fetches it again."""
+        self._bytes.unpersist()
+
 
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty.  No copy unless nulls are present."""

@@ -9,18 +9,28 @@ needs m - 1 neighbouring word pairs of the items, so runs of known pairs are
 found first, for whole blocks of text in numpy, and only runs that are long
 enough for the shortest window are streamed.  That skips no match.
 
-Items are split by hash over automata of about ``SHARD_BYTES`` of item text;
-only one such shard is collected and sent to the tasks in one pass, and a
-larger benchmark takes more passes.  Documents are never shuffled.
+Distinct items are split by hash over shards of about ``SHARD_BYTES`` of item
+text.  Spark tasks build one automaton a shard and write it to the checkpoint
+folder.  A pass reads one of them back, sends it to the tasks, and writes the
+documents with what was found so far before the next pass begins, so driver and
+tasks hold one automaton whatever the benchmark's size.  An item is never split:
+an item longer than a shard makes a shard of its length.  Documents are never
+shuffled.
+
+``judge`` reports; ``clean`` drops contaminated documents; ``remove_spans`` cuts
+the hit spans out of the texts, those over a length limit and, in documents over
+the coverage limit, all of them.
 
 Defined cases: null or empty texts have no words, no hits and are clean; an
 item without words is in no document; a null ``item_id`` adds hits but no id;
 item rows with the same id are one item; repeated documents are each judged;
-``clean`` keeps all columns, whatever their names.
+``clean`` and ``remove_spans`` keep all columns, whatever their names; the latter
+leaves a null text null.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop, materialize
 from . import words as W
 from .common import Shared, slices, table, utf8_column
 
@@ -203,27 +214,42 @@ def _pass(docs: DataFrame, shared: Shared, text: str, keep: list[str]) -> DataFr
     return docs.mapInArrow(run, ", ".join([*fields, _STATE_TYPES]))
 
 
-def _automata(benchmark: DataFrame, window: int, shard_bytes: int) -> Iterator[Automaton]:
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = -(-size // shard_bytes)
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    for k in range(shards):
-        yield Automaton([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()], window)
+def automata(benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(shard, automaton): the pickled automaton of each shard of items, built in tasks and written once."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") > 0).distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+
+    def build(rows: pa.Table) -> pa.Table:
+        automaton = Automaton(list(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())), window)
+        return pa.table({"shard": rows.column("shard")[:1], "automaton": pa.array([pickle.dumps(vars(automaton))], pa.binary())})
+
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    return materialize(dealt.groupBy("shard").applyInArrow(build, "shard bigint, automaton binary"), "automata")
+
+
+def _load(built: DataFrame, shard: int) -> Automaton:
+    automaton = object.__new__(Automaton)
+    vars(automaton).update(pickle.loads(built.filter(F.col("shard") == shard).first()["automaton"]))
+    return automaton
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``keep`` columns of ``docs`` with hit word ranges, found items, words and hit words."""
     spark = docs.sparkSession
-    empty = docs.withColumns({"__hits": F.lit(None).cast("array<bigint>"), "__items": F.lit(None).cast("array<string>"),
-                              "__n_words": F.lit(0).cast("bigint"), "__n_hit": F.lit(0).cast("bigint")})
-    automata = [Shared(spark, a) for a in _automata(benchmark, window, shard_bytes)]  # each of about shard_bytes of items
-    if not automata:
-        automata = [Shared(spark, Automaton([], window))]
-    out = empty
-    for k, automaton in enumerate(automata):
-        last = k + 1 == len(automata)
-        out = _pass(out, automaton, text, list(dict.fromkeys(keep if last else [*keep, text])))
-    return out
+    out = docs.withColumns({"__hits": F.lit(None).cast("array<bigint>"), "__items": F.lit(None).cast("array<string>"),
+                            "__n_words": F.lit(0).cast("bigint"), "__n_hit": F.lit(0).cast("bigint")})
+    built = automata(benchmark, window, shard_bytes)
+    shards = sorted(r["shard"] for r in built.select("shard").collect())  # one number per shard_bytes of items
+    if not shards:
+        return _pass(out, Shared(spark, Automaton([], window)), text, keep)
+    for k in shards[:-1]:
+        shared, before = Shared(spark, _load(built, k)), out
+        out = materialize(_pass(before, shared, text, list(dict.fromkeys([*keep, text]))), "decontamination_pass")
+        shared.forget()
+        if hasattr(before, "scratch_path"):
+            drop(spark, before)
+    return _pass(out, Shared(spark, _load(built, shards[-1])), text, list(dict.fromkeys(keep)))
 
 
 def contaminated():
@@ -238,13 +264,62 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byt
                         F.sha2(F.encode(ids, "UTF-8"), 256).alias("items_sha256"), contaminated().alias("contaminated"), F.col("__hits").alias("hits"))
 
 
+def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """The documents with columns c0, c1, ...; the name of the text among them."""
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered, numbered.columns[docs.columns.index(text)]
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with all their columns, whatever their names."""
-    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    kept = scan(numbered, benchmark, numbered.columns, numbered.columns[docs.columns.index(text)], window).filter(~contaminated())
+    numbered, column = _numbered(docs, text)
+    kept = scan(numbered, benchmark, numbered.columns, column, window).filter(~contaminated())
     return kept.select(*[F.col(c).alias(name) for c, name in zip(numbered.columns, docs.columns)])
 
 
+def _cut(found: DataFrame, text: str, longest: int, share: int) -> DataFrame:
+    """``found`` without the state columns, its texts without the spans over a limit."""
+    fields = [f for f in found.schema.fields if f.name not in _STATE]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, text):
+                column = rows.column(text)
+                texts: list[bytes | None] = column.cast(pa.binary()).to_pylist()
+                buf, offs = utf8_column(column)
+                start, end, doc = W.spans(buf, offs, W.ALNUM)
+                zero = np.searchsorted(doc, np.arange(rows.num_rows))
+                state = zip(*(rows.column(c).to_pylist() for c in ("__hits", "__n_words", "__n_hit")))
+                for r, (hits, n_words, n_hit) in enumerate(state):
+                    spans = list(zip(hits[::2], hits[1::2]))
+                    if not share * n_hit >= n_words:
+                        spans = [(a, b) for a, b in spans if b - a > longest]
+                    kept, at = [], 0
+                    for a, b in spans:
+                        kept.append(texts[r][at: int(start[zero[r] + a] - offs[r])])
+                        at = int(end[zero[r] + b - 1] - offs[r])
+                    if spans:
+                        texts[r] = b"".join([*kept, texts[r][at:]])
+                cut = pa.array(texts, pa.binary()).cast(column.type)
+                yield pa.RecordBatch.from_arrays([cut if c == text else rows.column(c) for c in names], names)
+
+    return found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, longest: int = WINDOW, share: int = SHARE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """All documents with all their columns, hit spans cut out of the texts.
+
+    A span is a maximal run of hit words, from its first word's first byte to
+    its last word's last byte; what stands around it stays as it is.  Spans of
+    more than ``longest`` words go.  Where hit words are at least 1 / ``share``
+    of all words, the document is over the coverage limit and every span goes.
+    """
+    numbered, column = _numbered(docs, text)
+    found = scan(numbered, benchmark, numbered.columns, column, window, shard_bytes)
+    return _cut(found, column, longest, share).toDF(*docs.columns)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 

@@ -3,7 +3,8 @@
 A token file is one long run of ids in which an end-of-document id follows each
 document; nothing says where documents begin.  ``token_files`` writes such
 files, one per input partition, as rows of fixed-size blocks; ``flat_blocks``
-reads plain binary files into the same form.
+reads plain binary files into the same form, each in byte ranges of ``RANGE``
+that any task may read, so a file's size does not matter.
 
 The scan searches each block for the separator with numpy, whatever block it
 is, and keeps only the positions.  A document may begin any number of blocks
@@ -20,7 +21,8 @@ that spells the end-of-document token holds ordinary characters, not the id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ END_ID = 50256
 BLOCK = 1 << 16
 #: Blocks of a run in the prefix scan.
 RUN = 4096
+#: Bytes of a plain file that one row of work reads.
+RANGE = 64 << 20
+#: Partitions that the ranges are dealt to at most; beyond, a task reads several.
+TASKS = 1 << 16
 
 _BLOCKS = "file string, block bigint, width int, ids binary, doc_ids array<bigint>"
 
@@ -69,18 +75,46 @@ def token_files(docs: DataFrame, path: str, end_id: int = END_ID, block: int = B
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _BLOCKS)
 
 
-def flat_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Blocks of plain binary files of little-endian ids; a task holds one file at a time."""
+def _open(path: str):
+    """A seekable file: ``file:`` paths, and what pyarrow opens by address (HDFS, S3, GCS)."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[len("file:"):].lstrip("/"))
+    system, place = fs.FileSystem.from_uri(path)
+    return system.open_input_file(place)
+
+
+def flat_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK, size: int = RANGE, opener: Callable[[str], Any] = _open) -> DataFrame:
+    """Blocks of plain binary files of little-endian ids.
+
+    Spark lists the files (their content is not read for that) and deals out
+    byte ranges of about ``size``, whole blocks each; a task seeks to its range
+    and holds one block at a time.  The blocks of a file are numbered from its
+    beginning, so the scan stitches ranges as it stitches blocks.  ``opener``
+    opens other file systems.  A file that ends inside an id is an error.
+    """
+    step = block * width
+    span = max(1, size // step) * step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                whole = content.as_buffer()
-                for number, at in enumerate(range(0, len(whole), block * width)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([number], pa.int64()), pa.array([width], pa.int32()), pa.array([whole[at: at + block * width].to_pybytes()], pa.binary()),
-                                                      pa.array([[]], pa.list_(pa.int64()))], ["file", "block", "width", "ids", "doc_ids"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _BLOCKS)
+            for file, length, first in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "first"))):
+                if length % width:
+                    raise ValueError(f"{file}: {length} bytes are no whole number of ids of {width} bytes")
+                with opener(file) as source:
+                    source.seek(first)
+                    for at in range(first, min(first + span, length), step):
+                        ids = source.read(min(step, length - at))
+                        if len(ids) < min(step, length - at):
+                            raise ValueError(f"{file}: shorter than the {length} bytes listed")
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at // step], pa.int64()), pa.array([width], pa.int32()), pa.array([ids], pa.binary()),
+                                                          pa.array([[]], pa.list_(pa.int64()))], ["file", "block", "width", "ids", "doc_ids"])
+
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "length")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(span).cast("bigint"))).alias("first"))
+    # A stated number of partitions, as the few bytes of a range's row would be merged into one task.
+    return ranges.repartition(max(1, min(ranges.count(), TASKS))).mapInArrow(run, _BLOCKS)
 
 
 def separators(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:

@@ -1,12 +1,13 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from outletlens.llm import decontamination as D
 
-from .helpers import alnum_words, docs, sentence
+from .helpers import LOWER, alnum_words, docs, sentence
 
 ITEMS = "item_id bigint, text string"
 
@@ -62,6 +63,52 @@ def test_equals_brute_force(spark, seed, short, shard_bytes):
     assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == [w[0] for w in want if not w[5]]
 
 
+def plain_cut(texts, items, longest, share, window=13):
+    windows = {tuple(w[k: k + min(window, len(w))]) for _, t in items for w in [alnum_words(t)] for k in range(max(1, len(w) - window + 1)) if w}
+    out = []
+    for t in texts:
+        found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)))
+        w, hit = [m.group() for m in found], [False] * len(found)
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k: k + n]) in windows:
+                    hit[k: k + n] = [True] * n
+        over, left, k = share * sum(hit) >= len(w), t, len(w)
+        while k > 0:
+            end = k
+            while k > 0 and hit[k - 1]:
+                k -= 1
+            if end > k and (over or end - k > longest):
+                left = left[: found[k].start()] + left[found[end - 1].end():]
+            k -= k == end
+        out.append(left)
+    return out
+
+
+@pytest.mark.parametrize("longest,share,shard_bytes", [(13, 20, D.SHARD_BYTES), (18, 3, 700), (0, 1, D.SHARD_BYTES), (1000, 1, 900)])
+def test_removed_spans_equal_brute_force(spark, longest, share, shard_bytes):
+    texts, items = corpus(longest + share, [4])
+    texts += ["Ünï " + items[2][1].title() + " ...  tail\n" + " ".join(f"z{k}" for k in range(400)), items[2][1] + "; " + items[5][1]]
+    df = docs(spark, texts).withColumns({"__hits": F.lit("clash"), "a.b": F.lit(1), "c0": F.lit(2)})
+    got = D.remove_spans(df, spark.createDataFrame(items, ITEMS), longest=longest, share=share, shard_bytes=shard_bytes)
+    assert got.columns == df.columns
+    want = plain_cut(texts, items, longest, share)
+    assert {r["doc_id"]: (r["text"], r["__hits"], r["a.b"], r["c0"]) for r in got.collect()} == {d: (t, "clash", 1, 2) for d, t in enumerate(want)}
+    assert want != texts or longest == 1000
+    assert D.remove_spans(docs(spark, []), spark.createDataFrame(items, ITEMS)).count() == 0
+
+
+def test_every_shard_holds_its_share_of_the_items(spark):
+    rng = random.Random(5)
+    items = [(k, sentence(rng, 30)) for k in range(300)] * 2
+    size = sum(len(t) for _, t in items[:300])
+    built = D.automata(spark.createDataFrame(items, ITEMS), shard_bytes=size // 10)
+    shards = [D._load(built, r["shard"]) for r in built.select("shard").collect()]
+    assert len(shards) >= 10
+    held = [len(set().union(*(i for ends in s.ends.values() for i in ends.values()))) for s in shards]
+    assert sum(held) == 300 and max(held) < 90
+
+
 def test_empty_tables_and_repeated_rows(spark):
     items = spark.createDataFrame([(1, sentence(random.Random(1), 20))], ITEMS)
     assert D.judge(docs(spark, []), items).count() == 0

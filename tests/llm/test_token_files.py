@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,3 +85,30 @@ def test_plain_binary_files_open_tails_and_empty_documents(spark, tmp_path):
     got = sorted((r["file"][-1], r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in out)
     assert got == [("a", 0, 0, 2, True), ("a", 1, 3, 0, True), ("a", 2, 4, 1, False), ("b", 0, 0, 0, True), ("c", 0, 0, 7, False)]
     assert token_counts.count_tokens(token_counts.token_files(docs(spark, []), byte_bpe_path())).count() == 0
+
+
+@pytest.mark.parametrize("width,block,size", [(2, 4, 8), (2, 4, 24), (4, 8, 1)])
+def test_files_are_read_in_byte_ranges(spark, tmp_path, width, block, size):
+    rng, end = np.random.default_rng(width + size), token_counts.END_ID
+    want = []
+    for name in ("one file", "two%20", "three"):
+        ids = np.where(rng.random(rng.integers(200, 400)) < 0.08, end, rng.integers(0, 1000, 1)[0])
+        (tmp_path / name).write_bytes(ids.astype(f"<u{width}").tobytes())
+        ends = np.flatnonzero(ids == end).tolist()
+        starts = [0, *(e + 1 for e in ends)]
+        want += [(name, k, s, e - s, True) for k, (s, e) in enumerate(zip(starts, ends))]
+        want += [(name, len(ends), starts[-1], len(ids) - starts[-1], False)] * (starts[-1] < len(ids))
+    blocks = token_counts.flat_blocks(spark, str(tmp_path), width, block, size)
+    most = max(1, size // (block * width)) * block * width
+    assert "content" not in blocks._jdf.queryExecution().toString().split("Physical Plan")[1]
+    dealt = blocks.select(F.spark_partition_id().alias("task"), "file", "block").collect()
+    # Three files are listed by up to three tasks, each of which deals its ranges out in turn.
+    assert Counter(r["task"] for r in dealt).most_common(1)[0][1] <= 3 * most // (block * width) < len(dealt)
+    got = [(r["file"].rsplit("/", 1)[1], r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in token_counts.count_tokens(blocks, block=block).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_file_that_ends_inside_an_id_is_an_error(spark, tmp_path):
+    (tmp_path / "odd").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number of ids"):
+        token_counts.flat_blocks(spark, str(tmp_path)).count()
