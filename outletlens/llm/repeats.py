@@ -17,8 +17,9 @@ counted from the document's start).  So only one position in eleven is a sample.
    ends of repeats.  They are grouped bucket by bucket by the hash of all LENGTH bytes, with
    one representative of each tied context.
 
-Chunks hand equal samples on once, so a passage that a third of all documents
-share is one entry per chunk.  Bucket counts follow the corpus's bytes, so a
+Chunks hand equal samples and equal strings on once, so a passage that a third
+of all documents share is one entry per chunk, whatever stands around it; that a
+chunk holds a string several times is settled in the chunk.  Bucket counts follow the corpus's bytes, so a
 bucket's size does not.  Strings, and the contexts within a class, are compared
 by 64-bit hashes.
 
@@ -230,7 +231,8 @@ _STRINGS = "bucket bigint, chunk bigint, hashes binary, starts binary"
 
 
 def open_strings(marked: DataFrame, buckets: int) -> DataFrame:
-    """Per chunk and bucket: hashes of the strings to sort, and their starts if they need an answer."""
+    """Per chunk and bucket: hashes of the distinct strings to sort, and their starts if they need an answer."""
+    names = [c.split()[0] for c in _STRINGS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,16 +241,20 @@ def open_strings(marked: DataFrame, buckets: int) -> DataFrame:
                 start = np.flatnonzero(judged.open)
                 h = W.hashes(judged.buf, start, start + LENGTH, lower=False)
                 asked = ~judged.repeated[start]
-                # Strings known to be repeated only answer others; one of each is enough.
-                h = np.concatenate([h[asked], np.unique(h[~asked])])
-                start = np.append(start[asked], np.full(len(h) - asked.sum(), _NO_ANSWER)).astype(np.uint32)
+                # One entry a distinct string: those that the chunk holds several times are answered here.
+                h, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                several = count > 1
+                here = start[asked & several[inverse]].astype(np.uint32)
+                start = np.where(several | ~asked[first], _NO_ANSWER, start[first]).astype(np.uint32)
                 to = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 h, start, to = h[order], start[order], to[order]
                 own = np.unique(to)
                 cuts = [slice(x, y) for x, y in zip(np.searchsorted(to, own), np.searchsorted(to, own, "right"))]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.full(len(own), chunk), pa.int64()), pa.array([h[c].tobytes() for c in cuts], pa.binary()),
-                                                  pa.array([start[c].tobytes() for c in cuts], pa.binary())], [c.split()[0] for c in _STRINGS.split(", ")])
+                                                  pa.array([start[c].tobytes() for c in cuts], pa.binary())], names)
+                if len(here):  # no hashes: nothing to compare
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk % buckets], pa.int64()), pa.array([chunk], pa.int64()), pa.array([b""], pa.binary()), pa.array([here.tobytes()], pa.binary())], names)
 
     return marked.mapInArrow(run, _STRINGS)
 
@@ -258,7 +264,11 @@ def sort_strings(strings: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_bucket(batches):
-            sizes = np.array([len(r["hashes"]) // 8 for r in rows])
+            for r in rows:
+                if not r["hashes"]:
+                    yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()), pa.array([r["starts"]], pa.binary())], ["chunk", "more"])
+            rows = [r for r in rows if r["hashes"]]
+            sizes = np.array([len(r["hashes"]) // 8 for r in rows], np.int64)
             h = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
             start = np.frombuffer(b"".join(r["starts"] for r in rows), np.uint32)
             order = np.argsort(h, kind="stable")

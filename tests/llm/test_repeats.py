@@ -79,3 +79,20 @@ def test_near_equal_contexts_are_not_tied(spark):
     entries = spark.createDataFrame([entry(k, c) for k, c in enumerate((1 << 62, (1 << 62) + 1, (1 << 63) + 1, (1 << 63) + 1))], R._ENTRIES)
     marks = {r["chunk"]: np.unpackbits(np.frombuffer(r["marks"], np.uint8))[:2].tolist() for r in R.rank_samples(entries).collect()}
     assert marks == {0: [0, 1], 1: [0, 1], 2: [1, 1], 3: [1, 0]}
+
+
+def test_a_hot_passage_is_one_entry_a_chunk(spark, monkeypatch):
+    """A passage just over LENGTH bytes, with other text around each copy: its strings are asked, not tied by context."""
+    rng = random.Random(8)
+    hot = sentence(rng, 80)[:230]
+    texts = [sentence(rng, 60) + hot + sentence(rng, 60) if k % 3 == 0 else sentence(rng, 120) for k in range(240)]
+    sent, sort = [], R.sort_strings
+    monkeypatch.setattr(R, "sort_strings", lambda strings: sent.append(strings) or sort(strings))
+    assert got(spark, texts, chunk=8000, bucket=200) == [(i, *w) for i, w in enumerate(plain(texts))]
+    rows = [(r["bucket"], r["chunk"], np.frombuffer(r["hashes"], np.uint64)) for r in sent[0].collect()]
+    chunks = len({c for _, c, _ in rows})
+    entries = [h for _, c, x in rows for h in x.tolist()]
+    copies = {h: entries.count(h) for h in set(entries)}
+    assert 5 < chunks < 40 and max(copies.values()) <= chunks < 80
+    per_chunk = [(c, h) for _, c, x in rows for h in x.tolist()]
+    assert len(per_chunk) == len(set(per_chunk))
