@@ -15,6 +15,7 @@ Outlet selection (``outlets``):
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +41,9 @@ LINK_PATTERN = r"^/t/([A-Za-z0-9_-]+)/?\z"   # '\z': Java '$' also matches befor
 # spread over many tasks.
 SLOT_BLOCK = 4096
 
+# Item rows that one task joins with their invoices and counts by outlet and product.
+JOIN_TASK_ROWS = 500_000
+
 PRODUCT_COLUMNS = ["product_id", "name", "sku", "price", "unit", "category_name"]
 PHOTO_COLUMNS = ["photo_thumb_path", "photo_large_path"]
 
@@ -158,16 +162,26 @@ def outlet_profile(ledger: Ledger, outlets=None) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Shared building blocks
 # ---------------------------------------------------------------------------
-def valid_purchases(ledger: Ledger, outlet=None) -> DataFrame:
+def join_tasks(ledger: Ledger) -> int:
+    """Tasks of ``JOIN_TASK_ROWS`` item rows each, at least one a core; 0 when one task can hold all rows."""
+    rows = ledger.item_count
+    return 0 if rows <= JOIN_TASK_ROWS else max(math.ceil(rows / JOIN_TASK_ROWS), ledger.spark.sparkContext.defaultParallelism)
+
+
+def valid_purchases(ledger: Ledger, outlet=None, tasks: int = 0) -> DataFrame:
     """Item rows of valid invoices: (customer_id, invoice_id, invoice_date, product_id, quantity).
 
     With ``outlet`` (an id) those of one outlet: the filter reaches the invoice scan.
+    With ``tasks`` both sides are dealt by invoice to that many partitions, which
+    are not coalesced.
     """
     inv = ledger.invoices.filter(P.valid_invoice()).select(
         F.col("id").alias("invoice_id"), "customer_id", "invoice_date")
     if outlet is not None:
         inv = inv.filter(F.col("customer_id") == F.lit(outlet))
     items = ledger.invoice_items.select("invoice_id", "product_id", "quantity")
+    if tasks:
+        items, inv = items.repartition(tasks, "invoice_id"), inv.repartition(tasks, "invoice_id")
     return items.join(inv, "invoice_id")
 
 
@@ -176,8 +190,11 @@ def bought(ledger: Ledger, outlet=None) -> DataFrame:
 
     Aggregated on narrow keys before any product attribute is attached, so no
     wide string is shuffled; the distinct count plans as a two-phase aggregate.
+    A task holds its rows of the join sorted and then hashed by (outlet, product,
+    invoice), so for a large ledger its share is bounded in rows: partitions
+    coalesced by their compressed bytes hold millions.
     """
-    vp = valid_purchases(ledger, outlet).filter(F.col("customer_id").isNotNull() & F.col("product_id").isNotNull())
+    vp = valid_purchases(ledger, outlet, join_tasks(ledger) if outlet is None else 0).filter(F.col("customer_id").isNotNull() & F.col("product_id").isNotNull())
     return vp.groupBy("customer_id", "product_id").agg(
         F.count_distinct("invoice_id").alias("order_count"),
         # Rounded after the sum: quantities may be fractional.

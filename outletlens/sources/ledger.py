@@ -238,7 +238,7 @@ DRIVER_SCHEMAS = {
 
 
 # The driver tables whose rows a ledger table counts (categories: no more than products).
-DRIVER_FILES = {"customers": "customer", "products": "part", "categories": "part"}
+DRIVER_FILES = {"customers": "customer", "products": "part", "categories": "part", "invoice_items": "lineitem"}
 
 
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -383,6 +383,11 @@ class Ledger:
         """The bound of the category table in the products' category join."""
         return self.row_count("categories")
 
+    @property
+    def item_count(self) -> int:
+        """The item rows, which bound what a task of the items' join holds."""
+        return self.row_count("invoice_items")
+
     def replace(self, **frames: DataFrame) -> "Ledger":
         loaders = dict(self._loaders)
         for name, df in frames.items():
