@@ -33,25 +33,22 @@ def split_hot_join(left: DataFrame, on: str, hot_keys: DataFrame, dim: DataFrame
     rows join the dimension rows of the hot keys (a broadcast head of at most
     as many rows; hot keys missing from ``dim`` drop out of an inner join and
     keep NULLs in a left join), the others are shuffle-joined with ``dim``.
-    In a left join, rows with a NULL key can match nothing: they skip the
-    join (and its shuffle, where they would all meet in one partition).
+    In a left join, rows with a NULL key can match nothing: they go with the
+    hot rows, so they skip the shuffle, where they would all meet in one
+    partition.  There the routing reads both sides of the broadcast join, so
+    no filter on a computed key is pushed below it and worked out again a row.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
     keys = hot_keys.select(on)
-    rest = None
-    if how == "left":
-        rest = left.filter(F.col(on).isNull())
-        left = left.filter(F.col(on).isNotNull())
     marked = left.join(F.broadcast(keys.withColumn(_HOT, F.lit(True))), on, "left")
     head = dim.join(F.broadcast(keys), on)
-    hot = marked.filter(F.col(_HOT).isNotNull()).drop(_HOT).join(F.broadcast(head), on, how)
-    cold = marked.filter(F.col(_HOT).isNull()).drop(_HOT).join(dim, on, how)
-    out = hot.unionByName(cold)
-    if rest is not None:
-        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema.fields if f.name != on]
-        out = out.unionByName(rest.select(*rest.columns, *nulls))
-    return out
+    if how == "left":
+        no_shuffle = F.coalesce(F.col(_HOT), F.col(on).isNull())
+        hot, cold = marked.filter(no_shuffle), marked.filter(~no_shuffle)
+    else:
+        hot, cold = marked.filter(F.col(_HOT).isNotNull()), marked.filter(F.col(_HOT).isNull())
+    return hot.drop(_HOT).join(F.broadcast(head), on, how).unionByName(cold.drop(_HOT).join(dim, on, how))
 
 
 def split_by_key_join(left: DataFrame, on: str, dim: DataFrame, is_hot) -> DataFrame:
@@ -66,9 +63,14 @@ def split_by_key_join(left: DataFrame, on: str, dim: DataFrame, is_hot) -> DataF
 
 def heaviest_keys(df: DataFrame, on: str, k: int) -> DataFrame:
     """The ``k`` non-NULL keys with the most rows (a top-k report; ties by key).
-    NULL keys never match an equi-join and are filtered before its shuffle."""
-    counts = df.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.orderBy(F.col("_n").desc(), F.col(on)).limit(k).select(on)
+
+    NULL keys never match an equi-join.  Map-side combining leaves one row of
+    them a task; they sort last and fall out after the cut, so a computed key
+    is worked out once a row, not again in a filter below the count.
+    """
+    counts = df.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.orderBy(F.col(on).isNull(), F.col("_n").desc(), F.col(on)).limit(k)
+    return top.filter(F.col(on).isNotNull()).select(on)
 
 
 def dimension_join(facts: DataFrame, dim: DataFrame, on: str, dim_rows: int,
