@@ -422,7 +422,7 @@ def positioned_history(ledger: Ledger, outlets=None, vis: Visibility = DEFAULT)
     """C4 with its 1-based per-outlet position in the reference order."""
     # One outlet has at most one history row per product.
     return group_position(purchase_history(ledger, outlets, vis), ["outlet_id"], history_order(), "pos",
-                          group_bound=ledger.product_count)
+                          group_bound=ledger.product_count, tasks=0 if isinstance(outlets, str) else join_tasks(ledger))
 
 
 def page_bounds(limit=None, offset=None, default: int = DEFAULT_PAGE, hi: int = MAX_PAGE) -> tuple[int, int]:

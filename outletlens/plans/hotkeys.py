@@ -25,7 +25,7 @@ HOT_KEYS = 4096
 
 
 def split_hot_join(left: DataFrame, on: str, hot_keys: DataFrame, dim: DataFrame,
-                   how: str = "inner") -> DataFrame:
+                   how: str = "inner", tasks: int = 0) -> DataFrame:
     """Inner (or left) join of ``left`` with ``dim`` (unique on ``on``).
 
     ``hot_keys`` (column ``on``, at most a fixed number of rows) names the heavy
@@ -37,6 +37,8 @@ def split_hot_join(left: DataFrame, on: str, hot_keys: DataFrame, dim: DataFrame
     hot rows, so they skip the shuffle, where they would all meet in one
     partition.  There the routing reads both sides of the broadcast join, so
     no filter on a computed key is pushed below it and worked out again a row.
+    With ``tasks`` both sides of the shuffle join are dealt by key to that many
+    partitions, which are not coalesced.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
@@ -48,7 +50,10 @@ def split_hot_join(left: DataFrame, on: str, hot_keys: DataFrame, dim: DataFrame
         hot, cold = marked.filter(no_shuffle), marked.filter(~no_shuffle)
     else:
         hot, cold = marked.filter(F.col(_HOT).isNotNull()), marked.filter(F.col(_HOT).isNull())
-    return hot.drop(_HOT).join(F.broadcast(head), on, how).unionByName(cold.drop(_HOT).join(dim, on, how))
+    cold = cold.drop(_HOT)
+    if tasks:
+        cold, dim = cold.repartition(tasks, on), dim.repartition(tasks, on)
+    return hot.drop(_HOT).join(F.broadcast(head), on, how).unionByName(cold.join(dim, on, how))
 
 
 def split_by_key_join(left: DataFrame, on: str, dim: DataFrame, is_hot) -> DataFrame:
@@ -75,7 +80,7 @@ def heaviest_keys(df: DataFrame, on: str, k: int) -> DataFrame:
 
 def dimension_join(facts: DataFrame, dim: DataFrame, on: str, dim_rows: int,
                    broadcast_rows: int | None = None, hot_keys: int | None = None,
-                   write_facts: bool = True, how: str = "inner") -> DataFrame:
+                   write_facts: bool = True, how: str = "inner", tasks: int = 0) -> DataFrame:
     """Many-to-one inner (or left) join of ``facts`` with ``dim`` (unique on ``on``).
 
     ``dim_rows`` is a proven bound of the dimension's row count (e.g. the
@@ -86,6 +91,7 @@ def dimension_join(facts: DataFrame, dim: DataFrame, on: str, dim_rows: int,
     ``|facts| / hot_keys`` rows and is shuffle-joined.  Computed facts are
     written once first (``write_facts``); a plain table scan is cheaper to
     read again than to copy, so callers pass ``write_facts=False`` for it.
+    ``tasks`` bounds what a task of the shuffle join sorts (see ``split_hot_join``).
     """
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     k = HOT_KEYS if hot_keys is None else hot_keys
@@ -93,4 +99,4 @@ def dimension_join(facts: DataFrame, dim: DataFrame, on: str, dim_rows: int,
         return facts.join(F.broadcast(dim), on, how)
     if write_facts:
         facts = materialize(facts, "facts")
-    return split_hot_join(facts, on, heaviest_keys(facts, on, k), dim, how)
+    return split_hot_join(facts, on, heaviest_keys(facts, on, k), dim, how, tasks)

@@ -55,8 +55,9 @@ def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank",
     return _distributed_rank(df, order, rank_col, checkpoint)
 
 
-def _distributed_rank(df: DataFrame, order: list[Column], rank_col: str, checkpoint: bool) -> DataFrame:
-    tagged = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+def _distributed_rank(df: DataFrame, order: list[Column], rank_col: str, checkpoint: bool, tasks: int = 0) -> DataFrame:
+    ordered = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order) if tasks else df.orderBy(*order)
+    tagged = ordered.withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
         tagged = materialize(tagged, "ranked")
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
@@ -72,28 +73,31 @@ def _distributed_rank(df: DataFrame, order: list[Column], rank_col: str, checkpo
 
 def group_position(df: DataFrame, group_cols: list[str], order: list[Column],
                    pos_col: str = "pos", single_task_rows: int | None = None,
-                   group_bound: DataFrame | int | None = None) -> DataFrame:
+                   group_bound: DataFrame | int | None = None, tasks: int = 0) -> DataFrame:
     """1-based position of each row inside its group, by ``order`` (made total by caller).
 
     Group keys may be NULL; NULLs form one group (null-safe join back).
     ``group_bound`` is an optional frame whose row count bounds the largest
     group (e.g. the product table for one outlet's history), or that count: while
     it is small enough, no group needs counting.  Beyond it the groups are
-    counted, as a bound says little about the largest of them.
+    counted, as a bound says little about the largest of them.  With ``tasks``
+    the rows are dealt to that many partitions, which are not coalesced, so that
+    a task sorts a bounded share of them.
     """
     limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
     if limit > 0:
         small = group_bound is not None and _rows(group_bound) <= limit
         if small or (df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0) <= limit:
             w = Window.partitionBy(*group_cols).orderBy(*order)
+            df = df.repartition(tasks, *group_cols) if tasks else df
             return df.withColumn(pos_col, F.row_number().over(w).cast("bigint"))
-    ranked = _distributed_rank(df, [F.col(c).asc_nulls_last() for c in group_cols] + order, "_grank", True)
+    ranked = _distributed_rank(df, [F.col(c).asc_nulls_last() for c in group_cols] + order, "_grank", True, tasks)
     # One struct key per group: NULL group values match each other in it.
     ranked = ranked.withColumn("_gkey", F.struct(*[F.col(c) for c in group_cols]))
     # This path runs because some group is too big for one task, so that group
     # is a hot key of the join back to the first ranks: the hot-key join
     # broadcasts it (or all first ranks, when the groups are few).
     first = materialize(ranked.groupBy("_gkey").agg(F.min("_grank").alias("_first")), "group_first")
-    out = dimension_join(ranked, first, "_gkey", first.count(), write_facts=False)
+    out = dimension_join(ranked, first, "_gkey", first.count(), write_facts=False, tasks=tasks)
     return (out.withColumn(pos_col, (F.col("_grank") - F.col("_first") + F.lit(1)).cast("bigint"))
             .drop("_grank", "_first", "_gkey"))
