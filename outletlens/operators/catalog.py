@@ -41,8 +41,8 @@ LINK_PATTERN = r"^/t/([A-Za-z0-9_-]+)/?\z"   # '\z': Java '$' also matches befor
 # spread over many tasks.
 SLOT_BLOCK = 4096
 
-# Item rows that one task joins with their invoices and counts by outlet and product.
-JOIN_TASK_ROWS = 500_000
+# Item rows, or history rows made of them, that one task joins, counts or sorts.
+JOIN_TASK_ROWS = 250_000
 
 PRODUCT_COLUMNS = ["product_id", "name", "sku", "price", "unit", "category_name"]
 PHOTO_COLUMNS = ["photo_thumb_path", "photo_large_path"]
@@ -189,14 +189,21 @@ def bought(ledger: Ledger, outlet=None) -> DataFrame:
     """Distinct (customer, product) pairs with their history aggregates.
 
     Aggregated on narrow keys before any product attribute is attached, so no
-    wide string is shuffled; the distinct count plans as a two-phase aggregate.
+    wide string is shuffled.  An invoice's rows of a pair are folded first, then
+    the pair's invoices, one row each.
     A task holds its rows of the join sorted and then hashed by (outlet, product,
-    invoice), so for a large ledger its share is bounded in rows: partitions
-    coalesced by their compressed bytes hold millions.
+    invoice), and those of the second fold hashed by pair, so for a large ledger
+    both shares are bounded in rows: partitions coalesced by their compressed
+    bytes hold millions.
     """
-    vp = valid_purchases(ledger, outlet, join_tasks(ledger) if outlet is None else 0).filter(F.col("customer_id").isNotNull() & F.col("product_id").isNotNull())
-    return vp.groupBy("customer_id", "product_id").agg(
-        F.count_distinct("invoice_id").alias("order_count"),
+    tasks = join_tasks(ledger) if outlet is None else 0
+    vp = valid_purchases(ledger, outlet, tasks).filter(F.col("customer_id").isNotNull() & F.col("product_id").isNotNull())
+    orders = vp.groupBy("customer_id", "product_id", "invoice_id").agg(
+        F.sum("quantity").alias("quantity"), F.max("invoice_date").alias("invoice_date"))
+    if tasks:
+        orders = orders.repartition(tasks, "customer_id", "product_id")
+    return orders.groupBy("customer_id", "product_id").agg(
+        F.count("invoice_id").alias("order_count"),
         # Rounded after the sum: quantities may be fractional.
         F.round(F.sum("quantity")).cast("bigint").alias("total_qty"),
         F.max("invoice_date").alias("last_ordered"),
@@ -246,7 +253,7 @@ def purchase_history(ledger: Ledger, outlets=None, vis: Visibility = DEFAULT) ->
     prods = catalog_products(ledger, vis)
     # A popular product is a hot key here (one row per owner): broadcast the
     # products within the checked count, else broadcast the heaviest keys.
-    out = HK.dimension_join(b, prods, "product_id", ledger.product_count)
+    out = HK.dimension_join(b, prods, "product_id", ledger.product_count, tasks=join_tasks(ledger))
     return out.withColumnRenamed("customer_id", "outlet_id").select(*columns)
 
 
